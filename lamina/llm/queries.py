@@ -1,7 +1,7 @@
 """All queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from . import packing, quality, token_counts
+from . import packing, quality, secrets, simhash, token_counts
 
-MODULES = [quality, token_counts, packing]
+MODULES = [quality, token_counts, packing, secrets, simhash]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
