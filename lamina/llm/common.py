@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,15 +53,13 @@ def texts_of(column: pa.Array) -> list[str]:
 
 def slices(batch: pa.RecordBatch, max_bytes: int, column: str = "text"):
     """Parts of a batch holding about ``max_bytes`` of text each (one row at least), so that numpy work stays bounded."""
-    lengths = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(column)], dtype=np.int64)
-    start, held = 0, 0
-    for i, n in enumerate(lengths):
-        if i > start and held + n > max_bytes:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += int(n)
-    if len(lengths):
-        yield batch.slice(start)
+    if not batch.num_rows:
+        return
+    lengths = np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)).astype(np.int64)
+    part = np.cumsum(lengths) // max_bytes
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist()
+    for s, e in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+        yield batch.slice(s, e - s)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
