@@ -1,7 +1,7 @@
 """All queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from . import packing, quality, secrets, simhash, substrings, token_counts, urls
+from . import languages, neighbours, packing, quality, secrets, simhash, substrings, token_counts, urls
 
-MODULES = [urls, quality, substrings, token_counts, packing, secrets, simhash]
+MODULES = [urls, quality, substrings, token_counts, packing, neighbours, languages, secrets, simhash]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
