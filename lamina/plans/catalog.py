@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import structures
+
+MODULES = [structures]
+QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL: dict = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
 FLAGSHIP = "qc_purity_recall"
