@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import structures
+from . import relations, structures
 
-MODULES = [structures]
+MODULES = [structures, relations]
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
 FLAGSHIP = "qc_purity_recall"
