@@ -217,17 +217,54 @@ def shared_phrases(docs: DataFrame, n_buckets: int) -> DataFrame:
     return sent.repartition("bucket").mapInArrow(answer, "doc_id bigint, hashes binary")
 
 
-_PLACE = np.dtype([("pos", "<i4"), ("source", "<i8"), ("source_pos", "<i4")])
+#: ``n`` consecutive windows from word ``pos`` on that start in document ``source`` too, there from word ``source_pos`` on.
+_PLACE = np.dtype([("pos", "<i4"), ("n", "<i4"), ("source", "<i8"), ("source_pos", "<i4")])
 _TRIED = pa.schema(
     [("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.string()), ("places", pa.binary()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary()), ("at", pa.binary())]
 )
 _TRIED_DDL = "doc_id bigint, n_words bigint, sha string, text string, places binary, bucket int, hashes binary, ids binary, at binary"
 
 
-def try_windows(docs: DataFrame, shared: DataFrame, n_buckets: int) -> DataFrame:
-    """Two kinds of rows: a row for each document, with its text only if a window of it may recur, and rows with a bucket, which hold such windows.
+def _steps(a: np.ndarray) -> bytes:
+    """Differences of a sequence, their bytes by rank, so that small steps leave little after compression."""
+    return np.ascontiguousarray(np.diff(a.astype("<i8"), prepend=0).view(np.uint8).reshape(-1, 8).T).tobytes()
 
-    A finished document has ``sha`` and no text. ``places`` are windows known at once to start in a smaller document.
+
+def _from_steps(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view("<i8").ravel())
+
+
+def _joined_places(p: np.ndarray) -> np.ndarray:
+    """Places in order of ``pos``, those that continue one another as one."""
+    p = p[np.argsort(p["pos"], kind="stable")]
+    new = np.ones(len(p), dtype=bool)
+    new[1:] = (p["pos"][1:] != p["pos"][:-1] + p["n"][:-1]) | (p["source"][1:] != p["source"][:-1]) | (p["source_pos"][1:] != p["source_pos"][:-1] + p["n"][:-1])
+    at = np.flatnonzero(new)
+    out = p[at]
+    out["n"] = np.add.reduceat(p["n"], at) if len(at) else 0
+    return out
+
+
+def _places(h: np.ndarray, d: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+    """Of windows (hash, document, word): which are in no smaller document among these, and the places of the others by document."""
+    o = np.lexsort((pos, d, h))
+    h, d, pos = h[o], d[o], pos[o]
+    edge = _edges(h)
+    first = np.flatnonzero(edge)[np.cumsum(edge) - 1]
+    later = np.flatnonzero(d > d[first])
+    later = later[np.lexsort((pos[later], d[later]))]
+    place = np.empty(len(later), dtype=_PLACE)
+    place["pos"], place["n"], place["source"], place["source_pos"] = pos[later], 1, d[first[later]], pos[first[later]]
+    alone = np.ones(len(h), dtype=bool)
+    alone[later] = False
+    return o[alone], [(int(d[later[s]]), _joined_places(place[s:e]).tobytes()) for s, e in _groups(d[later])]
+
+
+def _try_windows(docs: DataFrame, shared: DataFrame, n_buckets: int) -> DataFrame:
+    """Two kinds of rows: one for each document, with its text only if a window of it may recur, and rows of such windows.
+
+    A finished document has ``sha`` and no text. ``places`` are windows seen here to start in a smaller document; such
+    windows are not sent. Windows with one phrase go to one bucket, next to each other.
     """
     told = shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("told"))
 
@@ -235,77 +272,62 @@ def try_windows(docs: DataFrame, shared: DataFrame, n_buckets: int) -> DataFrame
         for batch in batches:
             for part in slices(batch, SLICE):
                 texts = _texts(part)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False) if part.column("doc_id").null_count == 0 else np.array([-1 if x is None else x for x in part.column("doc_id").to_pylist()])
-                told_by = part.column("told").to_pylist()
+                doc_ids, told_by = part.column("doc_id").to_pylist(), part.column("told").to_pylist()
+                ids = np.array([-1 if x is None else x for x in doc_ids], dtype=np.int64)
                 words = Words(texts)
-                phrase = _short(words.phrases())
+                phrase = words.phrases()
                 edge = np.searchsorted(words.doc, np.arange(len(texts) + 1))
                 maybe = np.zeros(len(phrase), dtype=bool)
                 for i, raw in enumerate(told_by):
                     if raw and edge[i] < edge[i + 1]:
                         known = np.unique(_from_six(b"".join(raw)))
-                        p = phrase[edge[i] : edge[i + 1]]
+                        p = _short(phrase[edge[i] : edge[i + 1]])
                         maybe[edge[i] : edge[i + 1]] = known[np.minimum(np.searchsorted(known, p), len(known) - 1)] == p
                 pending = np.bincount(words.doc[maybe], minlength=len(texts)) > 0
-                h, d, pos = words.hashes()[maybe], ids[words.doc[maybe]].astype(np.int64), words.pos[maybe]
-                o = np.lexsort((pos, d, h))
-                h, d, pos = h[o], d[o], pos[o]
-                first = _edges(h)
-                group = np.cumsum(first) - 1
-                source, source_pos = (d[first][group], pos[first][group]) if len(group) else (d, pos)
-                later = d > source
-                places = {}
-                if later.any():
-                    found = np.empty(int(later.sum()), dtype=_PLACE)
-                    found["pos"], found["source"], found["source_pos"] = pos[later], source[later], source_pos[later]
-                    who = d[later]
-                    by = np.argsort(who, kind="stable")
-                    places = {int(who[by[s]]): found[by[s:e]].tobytes() for s, e in _groups(who[by])}
+                h, d, pos, b = words.hashes()[maybe], ids[words.doc[maybe]], words.pos[maybe], _bucket(phrase[maybe], n_buckets)
+                sent, found = _places(h, d, pos)
+                places = dict(found)
                 rows: list[tuple] = []
-                for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
-                    if pending[i]:
-                        rows.append((doc_id, int(words.n_words[i]), None, texts[i].decode(), places.get(doc_id), None, None, None, None))
-                    else:
-                        rows.append((doc_id, int(words.n_words[i]), hashlib.sha256(b" ".join(texts[i].split())).hexdigest(), None, None, None, None, None, None))
-                h, d, pos = h[~later], d[~later], pos[~later]
-                b = _bucket(h, n_buckets)
+                for i, doc_id in enumerate(doc_ids):
+                    sha = None if pending[i] else hashlib.sha256(b" ".join(texts[i].split())).hexdigest()
+                    text = texts[i].decode() if pending[i] else None
+                    rows.append((doc_id, int(words.n_words[i]), sha, text, places.get(doc_id) if pending[i] else None, int(ids[i] ^ (ids[i] >> 7)) % n_buckets, None, None, None))
+                h, d, pos, b = h[sent], d[sent], pos[sent], b[sent]
                 o = np.lexsort((pos, d, b))
                 h, d, pos, b = h[o], d[o], pos[o], b[o]
-                rows += [(None, None, None, None, None, int(b[s]), h[s:e].tobytes(), d[s:e].tobytes(), pos[s:e].astype("<i4").tobytes()) for s, e in _groups(b)]
+                rows += [(None, None, None, None, None, int(b[s]), h[s:e].tobytes(), _steps(d[s:e]), _steps(pos[s:e])) for s, e in _groups(b)]
                 yield batch_of(_TRIED, **dict(zip(_TRIED.names, zip(*rows, strict=True), strict=True)))
 
     return docs.select("doc_id", "text").join(told, "doc_id", "left").mapInArrow(run, _TRIED_DDL)
 
 
-def earlier_places(tried: DataFrame) -> DataFrame:
-    """(doc_id, places): windows that start in a smaller document too, with the smallest and where it starts there."""
+_JUDGED_DDL = "doc_id bigint, n_words bigint, sha string, text string, places binary"
+
+
+def judged_windows(docs: DataFrame, shared: DataFrame, n_buckets: int) -> DataFrame:
+    """(doc_id, n_words, sha, text, places): the documents, finished ones with ``sha``, the others with their text; rows with ``places`` alone add to theirs.
+
+    Documents and windows go through one exchange: documents are handed on as they come, windows are compared by bucket.
+    """
+    schema = pa.schema(list(_TRIED)[:5])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = defaultdict(list)
         for batch in batches:
-            for b, h, d, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held[b].append((np.frombuffer(h, dtype="<u8"), np.frombuffer(d, dtype="<i8"), np.frombuffer(p, dtype="<i4")))
-        found = []
+            is_doc = batch.column("n_words").is_valid()
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.filter(is_doc).columns, schema, strict=False)], schema=schema)
+            windows = batch.filter(batch.column("n_words").is_null())
+            for b, h, d, p in zip(*(windows.column(c).to_pylist() for c in ("bucket", "hashes", "ids", "at")), strict=True):
+                held[b].append((np.frombuffer(h, dtype="<u8"), _from_steps(d), _from_steps(p)))
+        by: dict[int, list[bytes]] = defaultdict(list)
         for entries in held.values():
-            h, d, pos = (np.concatenate(x) for x in zip(*entries, strict=True))
-            o = np.lexsort((pos, d, h))
-            h, d, pos = h[o], d[o], pos[o]
-            first = np.flatnonzero(_edges(h))[np.cumsum(_edges(h)) - 1]
-            later = d > d[first]
-            place = np.empty(int(later.sum()), dtype=_PLACE)
-            place["pos"], place["source"], place["source_pos"] = pos[later], d[first][later], pos[first][later]
-            found.append((d[later], place))
-        if found:
-            who, place = (np.concatenate(x) for x in zip(*found, strict=True))
-            o = np.lexsort((place["pos"], who))
-            who, place = who[o], place[o]
-            cut = list(_groups(who))
-            for at in range(0, len(cut), 10_000):
-                some = cut[at : at + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([int(who[s]) for s, _ in some], pa.int64()), pa.array([place[s:e].tobytes() for s, e in some], pa.binary())], names=["doc_id", "places"])
+            for doc_id, raw in _places(*(np.concatenate(x) for x in zip(*entries, strict=True)))[1]:
+                by[doc_id].append(raw)
+        found = [(d, None, None, None, b"".join(raw)) for d, raw in by.items()]
+        for at in range(0, len(found), 10_000):
+            yield batch_of(schema, **dict(zip(schema.names, zip(*found[at : at + 10_000], strict=True), strict=True)))
 
-    windows = tried.where("bucket is not null").select("bucket", "hashes", "ids", "at")
-    return windows.repartition("bucket").mapInArrow(run, "doc_id bigint, places binary")
+    return _try_windows(docs, shared, n_buckets).repartition("bucket").mapInArrow(run, _JUDGED_DDL)
 
 
 def wanted(places: DataFrame, n_shards: int) -> DataFrame:
@@ -315,13 +337,8 @@ def wanted(places: DataFrame, n_shards: int) -> DataFrame:
         for batch in batches:
             parts = []
             for to, raw in zip(batch.column("to").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                p = np.frombuffer(b"".join(raw), dtype=_PLACE)
-                p = p[np.argsort(p["pos"], kind="stable")]
-                p = p[_edges(p["pos"])]
-                new = np.ones(len(p), dtype=bool)
-                new[1:] = (p["pos"][1:] != p["pos"][:-1] + 1) | (p["source"][1:] != p["source"][:-1]) | (p["source_pos"][1:] != p["source_pos"][:-1] + 1)
-                at = np.flatnonzero(new)
-                parts.append((p["source"][at], p["source_pos"][at], np.diff([*at, len(p)]) + WINDOW - 1, np.full(len(at), to)))
+                p = _joined_places(np.frombuffer(b"".join(raw), dtype=_PLACE))
+                parts.append((p["source"], p["source_pos"], p["n"] + WINDOW - 1, np.full(len(p), to)))
             if parts:
                 source, start, n, to = (np.concatenate(x) for x in zip(*parts, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(source, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(to, pa.int32())], names=["source", "start", "n", "to"])
@@ -389,12 +406,12 @@ def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = 4 * shuffle_partitions(spark)
-    tried = materialize(try_windows(docs, shared_phrases(docs, n), n))
+    tried = materialize(judged_windows(docs, shared_phrases(docs, n), n))
     pending = tried.where("text is not null")
     size = pending.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = max(n, int(size // SHARD) + 1)
     held = pending.select(_shard("doc_id", n_shards).alias("shard"), "doc_id", "text")
-    places = earlier_places(tried).union(tried.where("places is not null").select("doc_id", "places"))
+    places = tried.where("places is not null").select("doc_id", "places")
     return tried, held, passages(held, wanted(places, n_shards))
 
 
