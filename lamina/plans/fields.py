@@ -128,7 +128,7 @@ ORACLE_SQL = {
       d AS (SELECT ix, iy, round((abs(a.u - b.u) + abs(a.v - b.v)) / 2, 9) AS change FROM a JOIN b USING (ix, iy)) SELECT ix, iy, round(change, 6) AS change FROM d WHERE change >= (SELECT quantile_cont(change, CAST(0.92 AS DOUBLE)) FROM d)""",
     "x54_otsu": f"""WITH h AS (SELECT {_bin("x", 0.0, 1060.0, 64)} AS b, count(*) AS n FROM {_SPOTS} WHERE x BETWEEN 0 AND 1060 GROUP BY ALL), m AS (SELECT b, n, (b + CAST(0.5 AS DOUBLE)) * {1060.0 / 64} AS mid FROM h),
       s AS (SELECT t.b AS t, sum(n) FILTER (m.b <= t.b) AS n0, sum(n) FILTER (m.b > t.b) AS n1, sum(n * mid) FILTER (m.b <= t.b) AS s0, sum(n * mid) FILTER (m.b > t.b) AS s1 FROM m, (SELECT b FROM h) t GROUP BY t.b)
-      SELECT round((t + 1) * {1060.0 / 64}, 6) AS threshold FROM s WHERE n0 > 0 AND n1 > 0 ORDER BY round(CAST(n0 AS DOUBLE) * n1 * (s0 / n0 - s1 / n1) * (s0 / n0 - s1 / n1), 3) DESC, t LIMIT 1""",
+      SELECT round(CAST((t + 1) * {1060.0 / 64} AS DOUBLE), 6) AS threshold FROM s WHERE n0 > 0 AND n1 > 0 ORDER BY round(CAST(n0 AS DOUBLE) * n1 * (s0 / n0 - s1 / n1) * (s0 / n0 - s1 / n1), 3) DESC, t LIMIT 1""",
     "x26_links": f"WITH {_BOXES} SELECT source, target, iou, score FROM l",
     "x37_band_signatures": f"""WITH t AS (SELECT * FROM {_TX} WHERE k IS NOT NULL), q AS (SELECT cell, quantile_cont(CAST(k AS DOUBLE), {1 / 3!r}::DOUBLE) AS lo, quantile_cont(CAST(k AS DOUBLE), {2 / 3!r}::DOUBLE) AS hi FROM t GROUP BY cell),
       r AS (SELECT CASE WHEN k <= lo THEN 'low' WHEN k >= hi THEN 'high' END AS band, gene FROM t JOIN q USING (cell)), n AS (SELECT band, gene, count(*) AS n FROM r WHERE band IS NOT NULL GROUP BY band, gene)
