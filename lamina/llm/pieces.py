@@ -29,11 +29,11 @@ from pyspark.sql import types as T
 from .common import batch_of, materialize, read_table, slices
 
 CHUNK, BLOCK = 32_768, 64
-SLICE = 4 << 20
+SLICE = 1 << 20
 NEG = -(1 << 62)
 MARK = "▁"
 #: Pre-tokens whose pieces a task remembers.
-HELD = 200_000
+HELD = 50_000
 
 _UNIT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 _lattices: dict[str, Lattice] = {}
@@ -357,9 +357,10 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice.load(model_path)
-        for b in batches:
-            decoded = [lattice.decode(np.frombuffer(i, dtype="<u4")) for i in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decoded, pa.string())], names=[*b.schema.names, "decoded"])
+        for batch in batches:
+            for b in slices(batch, SLICE, "ids"):
+                decoded = [lattice.decode(np.frombuffer(i, dtype="<u4")) for i in b.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(decoded, pa.string())], names=[*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
 
