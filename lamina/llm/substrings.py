@@ -14,6 +14,7 @@ table gives an empty result. Other columns are ignored by :func:`remove_repeats`
 4. Each shard compiles its passages into an Aho-Corasick automaton over word numbers and streams its documents through
    it. Only what the automaton finds, word by word, is removed: hashes pick candidates and decide nothing.
 
+Steps 2 to 4 read the documents by shard, and all three read one exchange of the texts.
 What a task sees of a hash is brought down to one document before it is sent, so that a passage in a third of all
 documents costs a row for each slice of the input, not for each document.
 """
@@ -23,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import batch_of, materialize, read_table, shuffle_partitions, slices, texts_of
 
 WINDOW, PHRASE = 13, 6
-#: Text looked at together in one task, and text of one shard, in bytes.
+#: Text looked at together in one task, and text of a shard at most (or of one document), in bytes.
 SLICE, SHARD = 4 << 20, 16 << 20
 SEGMENT = 1 << 20
 
@@ -153,7 +155,7 @@ def _groups(keys: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 _KEYED = pa.schema([("bucket", pa.int32()), ("direct", pa.bool_()), ("hashes", pa.binary()), ("ids", pa.binary())])
-_REPLY = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
+_REPLY = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64())])
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -161,7 +163,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def shared_phrases(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """(doc_id, hashes): for each document, phrases that it shares with another, in one or more rows."""
+    """(doc_id, hash): phrases that a document shares with another; some come twice."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,27 +204,18 @@ def shared_phrases(docs: DataFrame, n_buckets: int) -> DataFrame:
             group = np.cumsum(first) - 1
             other = np.bincount(group, weights=d != d[first][group]) > 0
             out.append((h[other[group]], d[other[group]]))
-        if out:
-            h, d = (np.concatenate(x) for x in zip(*out, strict=True))
-            o = np.lexsort((h, d))
-            h, d = h[o], d[o]
-            new = _edges(h, d)
-            h, d = h[new], d[new]
-            cut = list(_groups(d))
-            for at in range(0, len(cut), 10_000):
-                some = cut[at : at + 10_000]
-                yield batch_of(_REPLY, doc_id=[int(d[s]) for s, _ in some], hashes=[_six(h[s:e]) for s, e in some])
+        for h, d in out:
+            for at in range(0, len(h), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(d[at : at + 100_000], pa.int64()), pa.array(h[at : at + 100_000].view(np.int64), pa.int64())], schema=_REPLY)
 
     sent = docs.select("doc_id", "text").mapInArrow(send, "bucket int, direct boolean, hashes binary, ids binary")
-    return sent.repartition("bucket").mapInArrow(answer, "doc_id bigint, hashes binary")
+    return sent.repartition("bucket").mapInArrow(answer, "doc_id bigint, hash bigint")
 
 
 #: ``n`` consecutive windows from word ``pos`` on that start in document ``source`` too, there from word ``source_pos`` on.
 _PLACE = np.dtype([("pos", "<i4"), ("n", "<i4"), ("source", "<i8"), ("source_pos", "<i4")])
-_TRIED = pa.schema(
-    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.string()), ("places", pa.binary()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary()), ("at", pa.binary())]
-)
-_TRIED_DDL = "doc_id bigint, n_words bigint, sha string, text string, places binary, bucket int, hashes binary, ids binary, at binary"
+_SENT = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("places", pa.binary()), ("hashes", pa.binary()), ("ids", pa.binary()), ("at", pa.binary())])
+_SENT_DDL = "bucket int, doc_id bigint, places binary, hashes binary, ids binary, at binary"
 
 
 def _steps(a: np.ndarray) -> bytes:
@@ -260,78 +253,70 @@ def _places(h: np.ndarray, d: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray,
     return o[alone], [(int(d[later[s]]), _joined_places(place[s:e]).tobytes()) for s, e in _groups(d[later])]
 
 
-def _try_windows(docs: DataFrame, shared: DataFrame, n_buckets: int) -> DataFrame:
-    """Two kinds of rows: one for each document, with its text only if a window of it may recur, and rows of such windows.
+def _try_windows(held: Held, shared: DataFrame, n_buckets: int) -> DataFrame:
+    """Windows that may recur, by bucket, and ``places`` of those seen here to start in a smaller document, which are not sent.
 
-    A finished document has ``sha`` and no text. ``places`` are windows seen here to start in a smaller document; such
-    windows are not sent. Windows with one phrase go to one bucket, next to each other.
+    Windows with one phrase go to one bucket, next to each other. Documents are taken in order of id and text, so that
+    a task run again sends the same.
     """
-    told = shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("told"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        if not docs.num_rows or not told.num_rows:
+            return _SENT.empty_table()
+        docs = docs.filter(docs.column("doc_id").is_valid()).sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+        who, known = told.column("doc_id").to_numpy(), told.column("hash").to_numpy().view(np.uint64)
+        o = np.lexsort((known, who))
+        who, known = who[o], known[o]
+        rows: list[tuple] = []
+        for batch in docs.to_batches():
             for part in slices(batch, SLICE):
-                texts = _texts(part)
-                doc_ids, told_by = part.column("doc_id").to_pylist(), part.column("told").to_pylist()
-                ids = np.array([-1 if x is None else x for x in doc_ids], dtype=np.int64)
-                words = Words(texts)
+                ids = part.column("doc_id").to_numpy()
+                words = Words(_texts(part))
                 phrase = words.phrases()
-                edge = np.searchsorted(words.doc, np.arange(len(texts) + 1))
+                edge = np.searchsorted(words.doc, np.arange(len(ids) + 1))
                 maybe = np.zeros(len(phrase), dtype=bool)
-                for i, raw in enumerate(told_by):
-                    if raw and edge[i] < edge[i + 1]:
-                        known = np.unique(_from_six(b"".join(raw)))
-                        p = _short(phrase[edge[i] : edge[i + 1]])
-                        maybe[edge[i] : edge[i + 1]] = known[np.minimum(np.searchsorted(known, p), len(known) - 1)] == p
-                pending = np.bincount(words.doc[maybe], minlength=len(texts)) > 0
+                for i, (s, e) in enumerate(zip(np.searchsorted(who, ids), np.searchsorted(who, ids, side="right"), strict=True)):
+                    if s < e and edge[i] < edge[i + 1]:
+                        p, k = _short(phrase[edge[i] : edge[i + 1]]), known[s:e]
+                        maybe[edge[i] : edge[i + 1]] = k[np.minimum(np.searchsorted(k, p), len(k) - 1)] == p
                 h, d, pos, b = words.hashes()[maybe], ids[words.doc[maybe]], words.pos[maybe], _bucket(phrase[maybe], n_buckets)
-                sent, found = _places(h, d, pos)
-                places = dict(found)
-                rows: list[tuple] = []
-                for i, doc_id in enumerate(doc_ids):
-                    sha = None if pending[i] else hashlib.sha256(b" ".join(texts[i].split())).hexdigest()
-                    text = texts[i].decode() if pending[i] else None
-                    rows.append((doc_id, int(words.n_words[i]), sha, text, places.get(doc_id) if pending[i] else None, int(ids[i] ^ (ids[i] >> 7)) % n_buckets, None, None, None))
+                sent, places = _places(h, d, pos)
+                rows += [(int((i ^ (i >> 7)) % n_buckets), i, raw, None, None, None) for i, raw in places]
                 h, d, pos, b = h[sent], d[sent], pos[sent], b[sent]
                 o = np.lexsort((pos, d, b))
                 h, d, pos, b = h[o], d[o], pos[o], b[o]
-                rows += [(None, None, None, None, None, int(b[s]), h[s:e].tobytes(), _steps(d[s:e]), _steps(pos[s:e])) for s, e in _groups(b)]
-                yield batch_of(_TRIED, **dict(zip(_TRIED.names, zip(*rows, strict=True), strict=True)))
+                rows += [(int(b[s]), None, None, h[s:e].tobytes(), _steps(d[s:e]), _steps(pos[s:e])) for s, e in _groups(b)]
+        return pa.Table.from_batches([batch_of(_SENT, **dict(zip(_SENT.names, zip(*rows, strict=True), strict=True)))]) if rows else _SENT.empty_table()
 
-    return docs.select("doc_id", "text").join(told, "doc_id", "left").mapInArrow(run, _TRIED_DDL)
+    told = shared.select(F.col("doc_id").alias("doc_id"), "hash", _shard("doc_id", held.n_shards).alias("told_shard"))
+    return held.docs.groupBy("shard").cogroup(told.groupBy("told_shard")).applyInArrow(run, _SENT_DDL)
 
 
-_JUDGED_DDL = "doc_id bigint, n_words bigint, sha string, text string, places binary"
-
-
-def judged_windows(docs: DataFrame, shared: DataFrame, n_buckets: int) -> DataFrame:
-    """(doc_id, n_words, sha, text, places): the documents, finished ones with ``sha``, the others with their text; rows with ``places`` alone add to theirs.
-
-    Documents and windows go through one exchange: documents are handed on as they come, windows are compared by bucket.
-    """
-    schema = pa.schema(list(_TRIED)[:5])
+def earlier_places(held: Held, shared: DataFrame, n_buckets: int) -> DataFrame:
+    """(doc_id, places): windows that start in a smaller document too, with the smallest seen and where it starts there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = defaultdict(list)
-        for batch in batches:
-            is_doc = batch.column("n_words").is_valid()
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.filter(is_doc).columns, schema, strict=False)], schema=schema)
-            windows = batch.filter(batch.column("n_words").is_null())
-            for b, h, d, p in zip(*(windows.column(c).to_pylist() for c in ("bucket", "hashes", "ids", "at")), strict=True):
-                held[b].append((np.frombuffer(h, dtype="<u8"), _from_steps(d), _from_steps(p)))
         by: dict[int, list[bytes]] = defaultdict(list)
+        for batch in batches:
+            for b, doc_id, places, h, d, p in zip(*(batch.column(c).to_pylist() for c in _SENT.names), strict=True):
+                if doc_id is not None:
+                    by[doc_id].append(places)
+                else:
+                    held[b].append((np.frombuffer(h, dtype="<u8"), _from_steps(d), _from_steps(p)))
         for entries in held.values():
             for doc_id, raw in _places(*(np.concatenate(x) for x in zip(*entries, strict=True)))[1]:
                 by[doc_id].append(raw)
-        found = [(d, None, None, None, b"".join(raw)) for d, raw in by.items()]
+        found = [(d, b"".join(raw)) for d, raw in by.items()]
         for at in range(0, len(found), 10_000):
-            yield batch_of(schema, **dict(zip(schema.names, zip(*found[at : at + 10_000], strict=True), strict=True)))
+            ids, raw = zip(*found[at : at + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "places"])
 
-    return _try_windows(docs, shared, n_buckets).repartition("bucket").mapInArrow(run, _JUDGED_DDL)
+    return _try_windows(held, shared, n_buckets).repartition("bucket").mapInArrow(run, "doc_id bigint, places binary")
 
 
 def wanted(places: DataFrame, n_shards: int) -> DataFrame:
-    """(shard, source, start, n, to): passages of ``n`` words that shard ``to`` needs from document ``source``."""
+    """(source_shard, source, start, n, to): passages of ``n`` words that shard ``to`` needs from document ``source``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,7 +329,7 @@ def wanted(places: DataFrame, n_shards: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(source, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(to, pa.int32())], names=["source", "start", "n", "to"])
 
     grouped = places.groupBy("doc_id").agg(F.collect_list("places").alias("places")).select(_shard("doc_id", n_shards).alias("to"), "places")
-    return grouped.mapInArrow(run, "source bigint, start int, n int, to int").distinct().select(_shard("source", n_shards).alias("shard"), "source", "start", "n", "to")
+    return grouped.mapInArrow(run, "source bigint, start int, n int, to int").distinct().select(_shard("source", n_shards).alias("source_shard"), "source", "start", "n", "to")
 
 
 def _shard(column: str, n: int):
@@ -352,21 +337,21 @@ def _shard(column: str, n: int):
 
 
 def passages(held: DataFrame, requests: DataFrame) -> DataFrame:
-    """(shard, source, words): the words asked for, from the texts that have them. Words are joined by single spaces."""
+    """(passage_shard, source, words): the words asked for, from the texts that have them. Words are joined by single spaces."""
 
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
         want = defaultdict(list)
         for s, start, n, to in zip(*(asked.column(c).to_pylist() for c in ("source", "start", "n", "to")), strict=True):
             want[s].append((start, n, to))
         out = []
-        for doc_id, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
+        for doc_id, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True) if want else ():
             if doc_id in want:
-                words = text.encode().split()
+                words = (text or "").encode().split()
                 out += [(to, doc_id, b" ".join(words[start : start + n]).decode()) for start, n, to in want[doc_id] if start + n <= len(words)]
         shard, source, words = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"shard": pa.array(shard, pa.int32()), "source": pa.array(source, pa.int64()), "words": pa.array(words, pa.string())})
+        return pa.table({"passage_shard": pa.array(shard, pa.int32()), "source": pa.array(source, pa.int64()), "words": pa.array(words, pa.string())})
 
-    return held.groupBy("shard").cogroup(requests.groupBy("shard")).applyInArrow(run, "shard int, source bigint, words string")
+    return held.groupBy("shard").cogroup(requests.groupBy("source_shard")).applyInArrow(run, "passage_shard int, source bigint, words string")
 
 
 def covered(docs: list[tuple[int, list[bytes]]], phrases: dict[tuple[bytes, ...], int]) -> Iterator[np.ndarray]:
@@ -382,7 +367,7 @@ def covered(docs: list[tuple[int, list[bytes]]], phrases: dict[tuple[bytes, ...]
         automaton.make_automaton()
     for doc_id, words in docs:
         change = np.zeros(len(words) + 1, dtype=np.int64)
-        if sizes and words:
+        if sizes and words and doc_id is not None:
             for end, k in automaton.iter(tuple(numbers.get(w, 0) for w in words)):
                 if sources[k] < doc_id:
                     change[end + 1 - sizes[k]] += 1
@@ -396,39 +381,45 @@ def _locate(docs: pa.Table, found: pa.Table, emit, schema: pa.Schema) -> pa.Tabl
         key = tuple(text.encode().split())
         phrases[key] = min(source, phrases.get(key, source))
     ids, texts = docs.column("doc_id").to_pylist(), docs.column("text").to_pylist()
-    split = [t.encode().split() for t in texts]
-    rows = [emit(*x) for x in zip(ids, texts, split, covered(list(zip(ids, split, strict=True)), phrases), strict=True)]
+    split = [(t or "").encode().split() for t in texts]
+    rows = [r for x in zip(ids, texts, split, covered(list(zip(ids, split, strict=True)), phrases), strict=True) if (r := emit(*x))]
     return pa.table({f.name: pa.array(c, f.type) for f, c in zip(schema, zip(*rows, strict=True) if rows else [()] * len(schema), strict=True)}, schema=schema)
 
 
-def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(tried rows, texts still to be judged by shard, their passages by shard)."""
+@dataclass
+class Held:
+    """Documents by shard; a row without an id goes by its text, so that such rows are spread."""
+
+    docs: DataFrame
+    n_shards: int
+
+
+def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents by shard, passages by the shard that may hold them)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = 4 * shuffle_partitions(spark)
-    tried = materialize(judged_windows(docs, shared_phrases(docs, n), n))
-    pending = tried.where("text is not null")
-    size = pending.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = max(n, int(size // SHARD) + 1)
-    held = pending.select(_shard("doc_id", n_shards).alias("shard"), "doc_id", "text")
-    places = tried.where("places is not null").select("doc_id", "places")
-    return tried, held, passages(held, wanted(places, n_shards))
+    shard = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(n_shards)).cast("int")
+    held = Held(docs.select(shard.alias("shard"), "doc_id", "text"), n_shards)
+    places = earlier_places(held, shared_phrases(docs, n), n)
+    return held.docs, passages(held.docs, wanted(places, n_shards))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row."""
-    tried, held, found = _found(docs)
+    held, found = _found(docs)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def emit(doc_id, _, words, gone):
-        kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+        kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
         return doc_id, len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         return _locate(docs, found, emit, schema)
 
-    judged = held.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
-    return judged.union(tried.where("sha is not null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256")))
+    return held.groupBy("shard").cogroup(found.groupBy("passage_shard")).applyInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def cut_text(text: str, gone: np.ndarray) -> str:
@@ -444,19 +435,19 @@ def cut_text(text: str, gone: np.ndarray) -> str:
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated words taken out of ``text``; all rows and columns stay. Rows of one id and text are cut alike."""
-    _, held, found = _found(docs)
+    held, found = _found(docs)
     schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.string()), ("text", pa.string())])
 
     def emit(doc_id, text, _, gone):
         if not gone.any():
-            return doc_id, None, None
+            return None
         return doc_id, hashlib.sha256(text.encode()).hexdigest(), cut_text(text, gone)
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         return _locate(docs, found, emit, schema)
 
-    judged = held.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(run, "doc_id bigint, hash string, text string")
-    cuts = materialize(judged.where("hash is not null").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("text").alias("_cut")).dropDuplicates(["_id", "_hash"]))
+    judged = held.groupBy("shard").cogroup(found.groupBy("passage_shard")).applyInArrow(run, "doc_id bigint, hash string, text string")
+    cuts = materialize(judged.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("text").alias("_cut")).dropDuplicates(["_id", "_hash"]))
     joined = docs.join(cuts, (docs["doc_id"].cast("long") == F.col("_id")) & (F.sha2(docs["text"], 256) == F.col("_hash")), "left")
     return joined.withColumn("text", F.coalesce("_cut", docs["text"])).select(*docs.columns)
 
