@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -33,9 +34,13 @@ SLICE = 1 << 20
 NEG = -(1 << 62)
 MARK = "▁"
 #: Pre-tokens whose pieces a task remembers.
-HELD = 50_000
+HELD = 150_000
+#: Stretches up to this length are solved side by side.
+SHORT = 32
 
 _UNIT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.multiply.accumulate(np.full(65, _BASE, dtype=np.uint64)) * np.uint64(pow(int(_BASE), -1, 1 << 64))
 _lattices: dict[str, Lattice] = {}
 
 
@@ -48,8 +53,16 @@ class Lattice:
         self.unknown = min(s for _, s in scores.values()) - 10 * 1024
         #: No piece has a newline, or a mark after anything else: then every path has an edge there.
         self.edges = not any("\n" in p or MARK in p.lstrip(MARK) for p in scores)
-        self.bytes_of = {i: b for b, i in enumerate(byte_ids)}
+        self.single = {p for p in scores if len(p) == 1}
+        self.automaton = ahocorasick.Automaton()
+        for p, (_, score) in scores.items():
+            self.automaton.add_word(p, (len(p), score))
+        self.automaton.make_automaton()
+        #: Text of each id; a byte piece under 0x80 is its character wherever it stands.
+        self.text = [chr(byte_ids.index(i)) if i in byte_ids[:128] else n for i, n in enumerate(names)]
+        self.high = {i: b for b, i in enumerate(byte_ids) if b >= 128}
         self.memo: dict[str, tuple[bytes, int]] = {}
+        self.tables = None
 
     @classmethod
     def load(cls, path: str) -> Lattice:
@@ -67,20 +80,18 @@ class Lattice:
     def forward(self, t: str, best: list[int], core: int) -> tuple[list[int], list[int]]:
         """Best score of a path to each place of ``t`` and where its last piece starts (-1: it was there at entry).
 
-        ``best`` has the scores at entry; pieces start before ``core`` only.
+        ``best`` has the scores at entry; pieces start before ``core`` only. The automaton names the pieces at each
+        place by their end, the longest first, which is the order that settles ties.
         """
-        pieces, longest, unknown = self.pieces, self.longest, self.unknown
         back = [-1] * (len(t) + 1)
-        for e in range(1, len(t) + 1):
-            top, start = best[e], -1
-            for s in range(max(0, e - longest), min(e, core)):
-                if best[s] > NEG and (p := pieces.get(t[s:e])) is not None and best[s] + p[1] > top:
-                    top, start = best[s] + p[1], s
-            if e <= core and best[e - 1] > NEG and t[e - 1] not in pieces and best[e - 1] + unknown > top:
-                top, start = best[e - 1] + unknown, e - 1
-            elif e > core and e - 1 < core and best[e - 1] > NEG and t[e - 1] not in pieces and best[e - 1] + unknown > top:
-                top, start = best[e - 1] + unknown, e - 1
-            best[e], back[e] = top, start
+        found = self.automaton.iter(t)
+        if not self.single.issuperset(t):
+            alone = [(i, (1, self.unknown)) for i, c in enumerate(t) if c not in self.single]
+            found = sorted([*found, *alone], key=lambda m: (m[0], -m[1][0]))
+        for i, (n, score) in found:
+            s = i + 1 - n
+            if s < core and best[s] > NEG and best[s] + score > best[i + 1]:
+                best[i + 1], back[i + 1] = best[s] + score, s
         return best, back
 
     def ids_between(self, t: str, back: list[int], e: int) -> tuple[list[int], int]:
@@ -98,11 +109,71 @@ class Lattice:
         if (found := self.memo.get(t)) is None:
             best, back = self.forward(t, [0] + [NEG] * len(t), len(t))
             found = np.array(self.ids_between(t, back, len(t))[0], dtype="<u4").tobytes(), best[len(t)]
-            if len(self.memo) >= HELD:
-                self.memo.clear()
-            self.memo[t] = found
+            if len(self.memo) < HELD:
+                self.memo[t] = found
         return found
 
+    def _tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length: hashes of its pieces in order, their scores and ids."""
+        if self.tables is None:
+            self.tables = [(np.empty(0, np.uint64),) * 3]
+            for n in range(1, self.longest + 1):
+                own = [(p, *v) for p, v in self.pieces.items() if len(p) == n]
+                chars = np.frombuffer("".join([p for p, *_ in own]).encode("utf-32-le"), dtype="<u4").reshape(len(own), n).astype(np.uint64)
+                h = np.zeros(len(own), dtype=np.uint64)
+                for i in range(n):
+                    h = h * _BASE + chars[:, i] + np.uint64(1)
+                o = np.argsort(h)
+                self.tables.append((h[o], np.array([s for *_, s in own], dtype=np.int64)[o], np.array([i for _, i, _ in own], dtype=np.uint32)[o]))
+        return self.tables
+
+    def learn(self, units: list[str]) -> None:
+        """Remember the best paths of many short stretches, all of whose characters are pieces, found side by side.
+
+        It is the same recursion as :meth:`forward`, one place and piece length at a time over all stretches. Pieces
+        are looked up by hash; a path whose pieces don't spell the stretch is left to :meth:`unit`.
+        """
+        units = sorted(units, key=len, reverse=True)
+        lengths = np.array([len(u) for u in units])
+        width = int(lengths[0])
+        chars = np.frombuffer("".join([u.ljust(width, "\0") for u in units]).encode("utf-32-le"), dtype="<u4").reshape(len(units), width)
+        prefix = np.zeros((width + 1, len(units)), dtype=np.uint64)
+        for e in range(width):
+            prefix[e + 1] = prefix[e] * _BASE + chars[:, e] + np.uint64(1)
+        best = np.full((width + 1, len(units)), NEG, dtype=np.int64)
+        best[0] = 0
+        step, ident = np.zeros((width + 1, len(units)), dtype=np.int64), np.zeros((width + 1, len(units)), dtype=np.uint32)
+        tables = self._tables()
+        for e in range(1, width + 1):
+            n = int(np.searchsorted(-lengths, -e, side="right"))  # stretches that reach this place
+            for k in range(min(e, self.longest), 0, -1):
+                known, score, ids = tables[k]
+                if not len(known):
+                    continue
+                h = prefix[e, :n] - prefix[e - k, :n] * _POWERS[k]
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = np.flatnonzero(known[at] == h)
+                total = best[e - k, hit] + score[at[hit]]
+                up = total > best[e, hit]
+                hit = hit[up]
+                best[e, hit], step[e, hit], ident[e, hit] = total[up], k, ids[at[hit]]
+        rows, place, trail = np.arange(len(units)), lengths.copy(), []
+        while len(rows):
+            trail.append((rows, ident[place, rows]))
+            place = place - step[place, rows]
+            rows, place = rows[place > 0], place[place > 0]
+        owner = np.concatenate([r for r, _ in trail])
+        ids = np.concatenate([i for _, i in trail])
+        order = np.lexsort((-np.arange(len(owner)), owner))
+        flat = ids[order].astype("<u4")
+        ends = np.cumsum(np.bincount(owner, minlength=len(units)))
+        raw, text, top = flat.tobytes(), [self.names[i] for i in flat.tolist()], best[lengths, np.arange(len(units))].tolist()
+        start = 0
+        for u, e, s in zip(units, ends.tolist(), top, strict=True):
+            if "".join(text[start:e]) == u:
+                self.memo[u] = raw[4 * start : 4 * e], s
+            start = e
+
     def units(self, t: str) -> list[str]:
         if not self.edges:
             return [t] if t else []
@@ -110,24 +181,36 @@ class Lattice:
             return _UNIT.findall(t)
         return [u for u in t.replace(MARK, "\0" + MARK).replace("\n", "\0\n\0").split("\0") if u]
 
+    def know(self, split: list[list[str]]) -> None:
+        """Learn the short stretches among ``split`` that are not remembered."""
+        new = {u for units in split for u in units if u not in self.memo}
+        if len(self.memo) + len(new) > HELD:
+            self.memo.clear()
+            new = {u for units in split for u in units}
+        if short := [u for u in new if len(u) <= SHORT and self.single.issuperset(u)]:
+            self.learn(short)
+
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, int]]:
+        """Ids and score of whole texts."""
+        split = [self.units(marked(t)) for t in texts]
+        self.know(split)
+        out = []
+        for units in split:
+            found = [self.unit(u) for u in units]
+            out.append((b"".join([i for i, _ in found]), sum([s for _, s in found])))
+        return out
+
     def encode(self, text: str) -> tuple[bytes, int]:
-        """Ids and score of a whole text."""
-        found = [self.unit(u) for u in self.units(marked(text))]
-        return b"".join([i for i, _ in found]), sum(s for _, s in found)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
-        out, raw = [], bytearray()
-        for i in ids.tolist():
-            if (b := self.bytes_of.get(i)) is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode(errors="replace"))
-                raw = bytearray()
-            out.append(self.names[i])
-        if raw:
-            out.append(raw.decode(errors="replace"))
-        text = "".join(out).replace(MARK, " ")
+        names, ids = self.text, ids.tolist()
+        if self.high.keys().isdisjoint(ids):
+            text = "".join([names[i] for i in ids])
+        else:
+            raw = b"".join([bytes([self.high[i]]) if i in self.high else names[i].encode() for i in ids])
+            text = raw.decode(errors="replace")
+        text = text.replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -171,7 +254,9 @@ class Chunk:
                 out[i] = self._exits(lat.forward(self.t, self._entry(one[i], len(self.t)), self.core)[0], 0)
             return out
         head = self.t[: self.first]
-        middle = sum(lat.unit(u)[1] for u in lat.units(self.t[self.first : self.last]))
+        middle = lat.units(self.t[self.first : self.last])
+        lat.know([middle])
+        middle = sum([lat.unit(u)[1] for u in middle])
         tail = self.t[self.last :]
         exits = self._exits(lat.forward(tail, [0] + [NEG] * len(tail), self.core - self.last)[0], self.last)
         for i in range(min(n, self.first + 1)):
@@ -215,7 +300,9 @@ class Trace:
         if self.c.first is None:
             return tail
         lat = self.c.lattice
-        return np.array(self.head, dtype="<u4").tobytes() + b"".join([lat.unit(u)[0] for u in lat.units(self.c.t[self.c.first : self.c.last])]) + tail
+        middle = lat.units(self.c.t[self.c.first : self.c.last])
+        lat.know([middle])
+        return np.array(self.head, dtype="<u4").tobytes() + b"".join([lat.unit(u)[0] for u in middle]) + tail
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -252,7 +339,7 @@ def encode_documents(docs: DataFrame, model_path: str, chunk: int = CHUNK, block
         for b in batches:
             schema = pa.schema([("doc_id", b.schema.field("doc_id").type), ("ids", pa.binary()), ("score", pa.int64()), ("text", pa.string())])
             for part in slices(b, SLICE):
-                found = [lattice.encode(t) for t in part.column("text").to_pylist()]
+                found = lattice.encode_all(part.column("text").to_pylist())
                 yield batch_of(schema, doc_id=part.column("doc_id"), ids=[i for i, _ in found], score=[s for _, s in found], text=part.column("text"))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
