@@ -83,7 +83,7 @@ def overlaps(regions: DataFrame, key: str, bin_size: float) -> DataFrame:
     met = pairs.join(r.withColumnsRenamed({key: "a", "ring": "ra", "area": "aa"}), "a").join(r.withColumnsRenamed({key: "b", "ring": "rb", "area": "ab"}), "b")
     s = met.withColumn("shared", shared_area_of("ra", "rb")).where("shared > 1e-9")
     return s.select(
-        "a", "b", F.round("shared", 3).alias("shared"), F.round(F.col("shared") / (F.col("aa") + F.col("ab") - F.col("shared")), 6).alias("iou"),
+        "a", "b", F.round("shared", 1).alias("shared"), F.round(F.col("shared") / (F.col("aa") + F.col("ab") - F.col("shared")), 6).alias("iou"),
         F.round(2 * F.col("shared") / (F.col("aa") + F.col("ab")), 6).alias("dice"), F.round(F.col("shared") / F.least("aa", "ab"), 6).alias("fraction"),
     )
 

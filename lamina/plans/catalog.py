@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fields, relations, structures
+from . import fields, geometry, relations, structures
 
-MODULES = [structures, relations, fields]
+MODULES = [structures, relations, fields, geometry]
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
 FLAGSHIP = "qc_purity_recall"
