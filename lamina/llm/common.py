@@ -2,40 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The six bytes that end a word in every operator here: space and 0x09-0x0D.
-SPACES = " \t\n\x0b\x0c\r"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the shared folder that the cluster names in ``spark.checkpoint.dir``.
+from ..sources.scratch import materialize, scratch_dir
 
-    Only where the setting is absent (tests on one machine) a local folder is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-lamina-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lamina-{uuid.uuid4().hex}"
+__all__ = ["SPACES", "batch_of", "materialize", "read_table", "salted_lookup", "scratch_dir", "shuffle_partitions", "slices", "texts_of"]
 
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to shared scratch and read it back: lineage is cut there.
-
-    A lost executor costs at most the tasks it was running; readers after this point start from files.
-    """
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: The six bytes that end a word in every operator here: space and 0x09-0x0D.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
