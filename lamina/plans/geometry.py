@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import alignment, overlay, raster, regions, structure
+from ..operators import alignment, orientation, overlay, quality, raster, regions, structure
 from ..sources import tables
 from .fields import _objects
 from .structures import _BOXES, _CELLS, _PLACED, _SPOTS, SPEC, X, Y
@@ -91,7 +91,27 @@ def j18_assignment(spark, sf):
     return overlay.best_assignment(found, ["cluster", "sample"], "source", "target", "score")
 
 
-NAMES = "j13_ring_cells a30_overlaps x14_hulls x54_components x10_morphology x10_filled x34_signed_distance x47_procrustes x47_consensus x36_projection x46_warp j18_assignment".split()
+def x38_orientation(spark, sf):
+    t = tables.spots(spark, sf).groupBy("region", "sample").agg(F.avg("x").alias("cx"), F.avg("weight").alias("w"))
+    nxt = t.select("region", (F.col("sample") - 1).alias("sample"), F.col("cx").alias("nx"), F.col("w").alias("nw"))
+    near = F.round(1 / (1 + F.abs(F.col("cx") - F.col("nx")) / 50), 6)
+    flip = F.round(10 * F.abs(F.col("w") - F.col("nw")), 6)
+    e = t.join(nxt, ["region", "sample"]).select("region", "sample", near.alias("s00"), flip.alias("s01"), flip.alias("s10"), near.alias("s11"))
+    return orientation.best_orientation(e, ["region"], "sample").select("region", "n_edges", "path", F.round("score", 5).alias("score"))
+
+
+def x20_structure_quality(spark, sf):
+    bins, _ = _mask(spark, sf)
+    cells = structure.assign_partition(structure.assign_structure(tables.cells(spark, sf), SPEC), bins, X, Y)
+    found = quality.structure_quality(cells, bins, X, Y, [50.0, 100.0, 150.0], 19, 1500)
+    return found.select("structure_id", "n_cells", *[F.round(c, 6).alias(c) for c in ("di_in", "di_tissue", "p_tissue", "explained")], "verdict")
+
+
+def d5_tested_clusters(spark, sf):
+    return quality.tested_clusters(structure.assign_structure(tables.cells(spark, sf), SPEC))
+
+
+NAMES = "x38_orientation x20_structure_quality d5_tested_clusters j13_ring_cells a30_overlaps x14_hulls x54_components x10_morphology x10_filled x34_signed_distance x47_procrustes x47_consensus x36_projection x46_warp j18_assignment".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _BOX = _BOXES.format(e=0.0037)
@@ -102,6 +122,8 @@ c AS (SELECT cluster, sum((x - mx) * (u - mu) + (y - my) * (v - mv)) AS dt, sum(
   sum((u - mu) * (u - mu) + (v - mv) * (v - mv)) AS t, count(*) AS n FROM l JOIN m USING (cluster) GROUP BY cluster),
 f AS (SELECT cluster, dt / s AS a, cr / s AS b, mu - dt / s * mx + cr / s * my AS dx, mv - cr / s * mx - dt / s * my AS dy, sqrt(greatest(t - (dt * dt + cr * cr) / s, 0) / n) AS residual FROM c JOIN m USING (cluster))"""
 ORACLE_SQL = {
+    "d5_tested_clusters": f"""WITH {_PLACED}, n AS (SELECT structure_id, cluster, count(*) AS n FROM placed WHERE structure_id > 0 GROUP BY ALL)
+      SELECT structure_id, cluster, n, round(n / sum(n) OVER w, 6) AS share, n >= 100 AND n / sum(n) OVER w >= 0.01 AS tested FROM n WINDOW w AS (PARTITION BY structure_id)""",
     "j13_ring_cells": f"""WITH {_BOX}, d AS (SELECT region, c.x AS x, sqrt(power(greatest(x0 - c.x, 0, c.x - x1), 2) + power(greatest(y0 - c.y, 0, c.y - y1), 2)) AS d FROM {_CELLS} c, boxes)
       SELECT region, count(*) AS n, round(avg(x), 3) AS mean_x FROM d WHERE d > 50 AND d <= 150 GROUP BY region""",
     "a30_overlaps": f"""WITH {_BOX}, b AS (SELECT *, (x1 - x0) * (y1 - y0) AS area FROM boxes), s AS (SELECT p.region AS a, q.region AS b, p.area AS aa, q.area AS ab,

@@ -112,3 +112,17 @@ def test_signed_distance(spark):
     for i, j, ins in grid:
         d = min(math.hypot(i - a, j - b) for a, b, o in grid if o != ins)
         assert math.isclose(got[(i, j)], -d if ins else d, abs_tol=1e-5)
+
+
+def test_orientation_is_the_best_of_all(spark):
+    from lamina.operators import orientation
+
+    rng = random.Random(7)
+    rows = [(g, i, *(float(rng.randint(0, 9)) for _ in range(4))) for g in range(12) for i in range(5)]
+    got = {r.g: r for r in orientation.best_orientation(spark.createDataFrame(rows, "g int, i int, s00 double, s01 double, s10 double, s11 double").repartition(3), ["g"], "i").collect()}
+    for g in range(12):
+        e = [r[2:] for r in rows if r[0] == g]
+        total = {p: sum(s[2 * a + b] for s, a, b in zip(e, p, p[1:], strict=False)) for p in itertools.product((0, 1), repeat=6)}
+        path = tuple(map(int, got[g].path))
+        assert got[g].score == max(total.values()) == total[path]
+        assert got[g].margin == max(total.values()) - max(v for p, v in total.items() if p[-1] != path[-1])
