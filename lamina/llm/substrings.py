@@ -212,52 +212,40 @@ def shared_phrases(docs: DataFrame, n_buckets: int) -> DataFrame:
     return sent.repartition("bucket").mapInArrow(answer, "doc_id bigint, hash bigint")
 
 
-#: ``n`` consecutive windows from word ``pos`` on that start in document ``source`` too, there from word ``source_pos`` on.
-_PLACE = np.dtype([("pos", "<i4"), ("n", "<i4"), ("source", "<i8"), ("source_pos", "<i4")])
-_SENT = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("places", pa.binary()), ("hashes", pa.binary()), ("ids", pa.binary()), ("at", pa.binary())])
-_SENT_DDL = "bucket int, doc_id bigint, places binary, hashes binary, ids binary, at binary"
-
-
-def _steps(a: np.ndarray) -> bytes:
-    """Differences of a sequence, their bytes by rank, so that small steps leave little after compression."""
-    return np.ascontiguousarray(np.diff(a.astype("<i8"), prepend=0).view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _from_steps(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view("<i8").ravel())
-
-
-def _joined_places(p: np.ndarray) -> np.ndarray:
-    """Places in order of ``pos``, those that continue one another as one."""
-    p = p[np.argsort(p["pos"], kind="stable")]
-    new = np.ones(len(p), dtype=bool)
-    new[1:] = (p["pos"][1:] != p["pos"][:-1] + p["n"][:-1]) | (p["source"][1:] != p["source"][:-1]) | (p["source_pos"][1:] != p["source_pos"][:-1] + p["n"][:-1])
+#: A place: ``n`` consecutive windows of a document from word ``pos`` on that start in document ``source`` too, there from word ``source_pos`` on.
+_PLACE = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("source", pa.int64()), ("source_pos", pa.int32())])
+_PLACE_DDL = "doc_id bigint, pos int, n int, source bigint, source_pos int"
+#: Windows sent to be compared: ``hashes`` of consecutive ones from ``pos`` on that have one phrase; or a place, without hashes.
+_SENT = pa.schema([("key", pa.int64()), *_PLACE, ("hashes", pa.list_(pa.int64()))])
+_SENT_DDL = f"key bigint, {_PLACE_DDL}, hashes array<bigint>"
+
+
+def _joined_places(p: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Places (document, pos, n, source, source_pos) in order, those that continue one another as one."""
+    d, pos, n, source, source_pos = p
+    o = np.lexsort((source_pos, source, pos, d))
+    d, pos, n, source, source_pos = d[o], pos[o], n[o], source[o], source_pos[o]
+    new = _edges(d, source)
+    new[1:] |= (pos[1:] != pos[:-1] + n[:-1]) | (source_pos[1:] != source_pos[:-1] + n[:-1])
     at = np.flatnonzero(new)
-    out = p[at]
-    out["n"] = np.add.reduceat(p["n"], at) if len(at) else 0
-    return out
+    return d[at], pos[at], np.add.reduceat(n, at) if len(at) else n[at], source[at], source_pos[at]
 
 
-def _places(h: np.ndarray, d: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
-    """Of windows (hash, document, word): which are in no smaller document among these, and the places of the others by document."""
+def _places(h: np.ndarray, d: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Of windows (hash, document, word): which are in no smaller document among these, and the places of the others."""
     o = np.lexsort((pos, d, h))
     h, d, pos = h[o], d[o], pos[o]
     edge = _edges(h)
     first = np.flatnonzero(edge)[np.cumsum(edge) - 1]
-    later = np.flatnonzero(d > d[first])
-    later = later[np.lexsort((pos[later], d[later]))]
-    place = np.empty(len(later), dtype=_PLACE)
-    place["pos"], place["n"], place["source"], place["source_pos"] = pos[later], 1, d[first[later]], pos[first[later]]
-    alone = np.ones(len(h), dtype=bool)
-    alone[later] = False
-    return o[alone], [(int(d[later[s]]), _joined_places(place[s:e]).tobytes()) for s, e in _groups(d[later])]
+    later = d > d[first]
+    return o[~later], _joined_places((d[later], pos[later], np.ones(int(later.sum()), dtype=np.int64), d[first[later]], pos[first[later]]))
 
 
-def _try_windows(held: Held, shared: DataFrame, n_buckets: int) -> DataFrame:
-    """Windows that may recur, by bucket, and ``places`` of those seen here to start in a smaller document, which are not sent.
+def _try_windows(held: Held, shared: DataFrame) -> DataFrame:
+    """Windows that may recur, keyed by their phrase, and places of those seen here to start in a smaller document, which are not sent.
 
-    Windows with one phrase go to one bucket, next to each other. Documents are taken in order of id and text, so that
-    a task run again sends the same.
+    A row is a run of windows with one phrase, so there are as many rows as shared phrases at most. Documents are taken
+    in order of id and text, so that a task run again sends the same.
     """
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -267,7 +255,7 @@ def _try_windows(held: Held, shared: DataFrame, n_buckets: int) -> DataFrame:
         who, known = told.column("doc_id").to_numpy(), told.column("hash").to_numpy().view(np.uint64)
         o = np.lexsort((known, who))
         who, known = who[o], known[o]
-        rows: list[tuple] = []
+        out = [_SENT.empty_table()]
         for batch in docs.to_batches():
             for part in slices(batch, SLICE):
                 ids = part.column("doc_id").to_numpy()
@@ -279,57 +267,62 @@ def _try_windows(held: Held, shared: DataFrame, n_buckets: int) -> DataFrame:
                     if s < e and edge[i] < edge[i + 1]:
                         p, k = _short(phrase[edge[i] : edge[i + 1]]), known[s:e]
                         maybe[edge[i] : edge[i + 1]] = k[np.minimum(np.searchsorted(k, p), len(k) - 1)] == p
-                h, d, pos, b = words.hashes()[maybe], ids[words.doc[maybe]], words.pos[maybe], _bucket(phrase[maybe], n_buckets)
+                h, d, pos, key = words.hashes()[maybe], ids[words.doc[maybe]], words.pos[maybe], phrase[maybe]
                 sent, places = _places(h, d, pos)
-                rows += [(int((i ^ (i >> 7)) % n_buckets), i, raw, None, None, None) for i, raw in places]
-                h, d, pos, b = h[sent], d[sent], pos[sent], b[sent]
-                o = np.lexsort((pos, d, b))
-                h, d, pos, b = h[o], d[o], pos[o], b[o]
-                rows += [(int(b[s]), None, None, h[s:e].tobytes(), _steps(d[s:e]), _steps(pos[s:e])) for s, e in _groups(b)]
-        return pa.Table.from_batches([batch_of(_SENT, **dict(zip(_SENT.names, zip(*rows, strict=True), strict=True)))]) if rows else _SENT.empty_table()
-
-    told = shared.select(F.col("doc_id").alias("doc_id"), "hash", _shard("doc_id", held.n_shards).alias("told_shard"))
+                out.append(pa.table([pa.array(places[0]), *[pa.array(c, f.type) for c, f in zip(places, _PLACE, strict=True)], pa.nulls(len(places[0]), _SENT.field("hashes").type)], schema=_SENT))
+                sent = np.sort(sent)
+                h, d, pos, key = h[sent], d[sent], pos[sent], key[sent]
+                new = _edges(key, d)
+                new[1:] |= pos[1:] != pos[:-1] + 1
+                at = np.flatnonzero(new)
+                runs = pa.ListArray.from_arrays(pa.array(np.append(at, len(h)), pa.int32()), pa.array(h.view(np.int64)))
+                none = [pa.nulls(len(at), f.type) for f in list(_PLACE)[2:]]
+                out.append(pa.table([pa.array(key[at].view(np.int64)), pa.array(d[at]), pa.array(pos[at], pa.int32()), *none, runs], schema=_SENT))
+        return pa.concat_tables(out)
+
+    told = shared.select("doc_id", "hash", _shard("doc_id", held.n_shards).alias("told_shard"))
     return held.docs.groupBy("shard").cogroup(told.groupBy("told_shard")).applyInArrow(run, _SENT_DDL)
 
 
-def earlier_places(held: Held, shared: DataFrame, n_buckets: int) -> DataFrame:
-    """(doc_id, places): windows that start in a smaller document too, with the smallest seen and where it starts there."""
+def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
+    return tuple(table.column(f.name).to_numpy().astype(np.int64) for f in _PLACE)
+
+
+def earlier_places(held: Held, shared: DataFrame) -> DataFrame:
+    """Places of all windows that start in a smaller document too, the smallest that was seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = defaultdict(list)
-        by: dict[int, list[bytes]] = defaultdict(list)
-        for batch in batches:
-            for b, doc_id, places, h, d, p in zip(*(batch.column(c).to_pylist() for c in _SENT.names), strict=True):
-                if doc_id is not None:
-                    by[doc_id].append(places)
-                else:
-                    held[b].append((np.frombuffer(h, dtype="<u8"), _from_steps(d), _from_steps(p)))
-        for entries in held.values():
-            for doc_id, raw in _places(*(np.concatenate(x) for x in zip(*entries, strict=True)))[1]:
-                by[doc_id].append(raw)
-        found = [(d, b"".join(raw)) for d, raw in by.items()]
-        for at in range(0, len(found), 10_000):
-            ids, raw = zip(*found[at : at + 10_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "places"])
+        table = pa.Table.from_batches(list(batches), schema=_SENT)
+        yield from table.filter(table.column("hashes").is_null()).select(_PLACE.names).to_batches()
+        w = table.filter(table.column("hashes").is_valid()).combine_chunks()
+        if not w.num_rows:
+            return
+        runs = w.column("hashes").combine_chunks()
+        size = runs.value_lengths().to_numpy().astype(np.int64)
+        h = runs.flatten().to_numpy().view(np.uint64)
+        step = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+        _, places = _places(h, np.repeat(w.column("doc_id").to_numpy(), size), np.repeat(w.column("pos").to_numpy().astype(np.int64), size) + step)
+        yield from pa.table([pa.array(c, f.type) for c, f in zip(places, _PLACE, strict=True)], schema=_PLACE).to_batches(max_chunksize=100_000)
 
-    return _try_windows(held, shared, n_buckets).repartition("bucket").mapInArrow(run, "doc_id bigint, places binary")
+    return _try_windows(held, shared).repartition("key").mapInArrow(run, _PLACE_DDL)
 
 
 def wanted(places: DataFrame, n_shards: int) -> DataFrame:
-    """(source_shard, source, start, n, to): passages of ``n`` words that shard ``to`` needs from document ``source``."""
+    """(source_shard, source, start, n, to): passages of ``n`` words that shard ``to`` needs from document ``source``, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            for to, raw in zip(batch.column("to").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                p = _joined_places(np.frombuffer(b"".join(raw), dtype=_PLACE))
-                parts.append((p["source"], p["source_pos"], p["n"] + WINDOW - 1, np.full(len(p), to)))
-            if parts:
-                source, start, n, to = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(source, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(to, pa.int32())], names=["source", "start", "n", "to"])
+        table = pa.Table.from_batches(list(batches), schema=pa.schema([("to", pa.int32()), *_PLACE]))
+        if not table.num_rows:
+            return
+        d, _, n, source, start = _joined_places(_columns(table))
+        who, at = np.unique(table.column("doc_id").to_numpy(), return_index=True)
+        to = table.column("to").to_numpy()[at][np.searchsorted(who, d)]
+        found = np.unique(np.column_stack([source, start, n + WINDOW - 1, to]), axis=0)
+        names = pa.schema([("source", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("to", pa.int32())])
+        yield from pa.table([pa.array(found[:, i], f.type) for i, f in enumerate(names)], schema=names).to_batches(max_chunksize=100_000)
 
-    grouped = places.groupBy("doc_id").agg(F.collect_list("places").alias("places")).select(_shard("doc_id", n_shards).alias("to"), "places")
-    return grouped.mapInArrow(run, "source bigint, start int, n int, to int").distinct().select(_shard("source", n_shards).alias("source_shard"), "source", "start", "n", "to")
+    by_shard = places.select(_shard("doc_id", n_shards).alias("to"), *_PLACE.names).repartition("to")
+    return by_shard.mapInArrow(run, "source bigint, start int, n int, to int").select(_shard("source", n_shards).alias("source_shard"), "source", "start", "n", "to")
 
 
 def _shard(column: str, n: int):
@@ -403,7 +396,7 @@ def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n_shards = max(n, int(size // SHARD) + 1)
     shard = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(n_shards)).cast("int")
     held = Held(docs.select(shard.alias("shard"), "doc_id", "text"), n_shards)
-    places = earlier_places(held, shared_phrases(docs, n), n)
+    places = earlier_places(held, shared_phrases(docs, n))
     return held.docs, passages(held.docs, wanted(places, n_shards))
 
 
