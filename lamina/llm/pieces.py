@@ -30,11 +30,11 @@ from pyspark.sql import types as T
 from .common import batch_of, materialize, read_table, slices
 
 CHUNK, BLOCK = 32_768, 64
-SLICE = 1 << 20
+SLICE = 1 << 19
 NEG = -(1 << 62)
 MARK = "▁"
 #: Pre-tokens whose pieces a task remembers.
-HELD = 150_000
+HELD = 60_000
 #: Stretches up to this length are solved side by side.
 SHORT = 32
 
@@ -142,7 +142,7 @@ class Lattice:
             prefix[e + 1] = prefix[e] * _BASE + chars[:, e] + np.uint64(1)
         best = np.full((width + 1, len(units)), NEG, dtype=np.int64)
         best[0] = 0
-        step, ident = np.zeros((width + 1, len(units)), dtype=np.int64), np.zeros((width + 1, len(units)), dtype=np.uint32)
+        step, ident = np.zeros((width + 1, len(units)), dtype=np.int8), np.zeros((width + 1, len(units)), dtype=np.uint32)
         tables = self._tables()
         for e in range(1, width + 1):
             n = int(np.searchsorted(-lengths, -e, side="right"))  # stretches that reach this place
@@ -329,18 +329,24 @@ def _matrix_of(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, dtype="<i8").reshape(-1, n)
 
 
-def encode_documents(docs: DataFrame, model_path: str, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
-    """(doc_id, ids, score, text) of every row; ids are little-endian unsigned 32-bit."""
+def encode_documents(docs: DataFrame, model_path: str, chunk: int = CHUNK, block: int = BLOCK, check: bool = False) -> DataFrame:
+    """(doc_id, ids, score, text) of every row; ids are little-endian unsigned 32-bit.
+
+    With ``check`` the ids are decoded where they were made, and ``round_trip`` (the text came back, marks as spaces)
+    stands in place of the text, so that texts don't travel twice.
+    """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice.load(model_path)
         for b in batches:
-            schema = pa.schema([("doc_id", b.schema.field("doc_id").type), ("ids", pa.binary()), ("score", pa.int64()), ("text", pa.string())])
+            schema = pa.schema([("doc_id", b.schema.field("doc_id").type), ("ids", pa.binary()), ("score", pa.int64()), ("round_trip", pa.bool_()) if check else ("text", pa.string())])
             for part in slices(b, SLICE):
-                found = lattice.encode_all(part.column("text").to_pylist())
-                yield batch_of(schema, doc_id=part.column("doc_id"), ids=[i for i, _ in found], score=[s for _, s in found], text=part.column("text"))
+                texts = part.column("text").to_pylist()
+                found = lattice.encode_all(texts)
+                last = {"round_trip": [lattice.decode(np.frombuffer(i, dtype="<u4")) == t.replace(MARK, " ") for t, (i, _) in zip(texts, found, strict=True)]} if check else {"text": texts}
+                yield batch_of(schema, doc_id=part.column("doc_id"), ids=[i for i, _ in found], score=[s for _, s in found], **last)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice.load(model_path)
@@ -353,9 +359,12 @@ def encode_documents(docs: DataFrame, model_path: str, chunk: int = CHUNK, block
                 yield batch_of(schema, **dict(zip(schema.names, zip(*rows, strict=True), strict=True)))
 
     giant = F.length("text") > chunk
-    short = docs.where(~giant).mapInArrow(whole, f"doc_id {id_type}, ids binary, score bigint, text string")
+    short = docs.where(~giant).mapInArrow(whole, f"doc_id {id_type}, ids binary, score bigint, " + ("round_trip boolean" if check else "text string"))
     chunks = materialize(docs.where(giant).mapInArrow(parts, f"doc_id {id_type}, uid bigint, k int, core int, part string"))
-    return short.union(_scan(chunks, model_path, block))
+    whole_ones = _scan(chunks, model_path, block)
+    if check:
+        whole_ones = decode_documents(whole_ones, model_path).select("doc_id", "ids", "score", (F.col("decoded") == F.translate("text", MARK, " ")).alias("round_trip"))
+    return short.union(whole_ones)
 
 
 def _scan(chunks: DataFrame, model_path: str, block: int) -> DataFrame:
@@ -457,9 +466,8 @@ def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    both = decode_documents(encode_documents(read_table(spark, sf_dir, "documents"), path), path)
-    same = F.col("decoded") == F.translate("text", MARK, " ")
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), (F.col("score") / 1024).alias("score"), same.alias("round_trip"))
+    both = encode_documents(read_table(spark, sf_dir, "documents"), path, check=True)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), (F.col("score") / 1024).alias("score"), "round_trip")
 
 
 QUERIES = {"op8_sentencepiece": op8_sentencepiece}
