@@ -65,9 +65,9 @@ def find(docs: DataFrame, owner: str = "source", repository: str = "lang") -> Da
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"))
     kinds = [*KINDS, *ADDED]
-    # Runs too short to count are not worth placing: the quick pattern asks for one that is long enough.
+    # Runs too short to count are not worth placing: the quick pattern asks for one that is long enough, its fixed start included.
     for kind, pattern, group, least in kinds:
-        quick = pattern if group else pattern[:-1] + "{%d,}" % least if kind in ("access", "hex") else pattern
+        quick = pattern[:-1] + "{%d,}" % (least - pattern.index("[")) if kind in ("access", "hex") else pattern
         rows = rows.withColumn(f"_{kind}", F.when(F.col("text").rlike(quick), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
     spans = [_spans(F.col("text"), F.col(f"_{kind}"), i, kind, pattern, group, least) for i, (kind, pattern, group, least) in enumerate(kinds)]
     return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "owner", "repository", F.array_sort(F.concat(*spans)).alias("spans"))

@@ -193,6 +193,16 @@ def test_secret_ownership(spark):
     assert found[9] == (1, 0) and all(found[i] == (0, 1) for i in range(6))
 
 
+def test_secrets_at_the_least_length(spark):
+    texts = [(n, "key AKIA" + "Q7" * 6 + "Z" * (n - 16) + " end" if n > 15 else "key AKIA" + "Q" * 11 + " end") for n in (15, 16, 19, 20)]
+    texts += [(30 + n, "hex " + "0a" * 15 + "b" * (n - 30) + " end") for n in (31, 32)]
+    rows = spark.createDataFrame([(i, t, "en", f"s{i}") for i, t in texts], "doc_id bigint, text string, lang string, source string")
+    found = {r.doc_id: (r.n_access, r.n_hex, r.spans, r.n_live) for r in secrets.scan(rows).collect()}
+    assert found == {15: (0, 0, "", 0), **{n: (1, 0, f"access:4:{4 + n}", 1) for n in (16, 19, 20)}, 61: (0, 0, "", 0), 62: (0, 1, "hex:4:36", 1)}
+    masked = {r.doc_id: r.text for r in secrets.mask(rows).collect()}
+    assert masked[15] == texts[0][1] and all(masked[n] == f"key {secrets.MARK} end" for n in (16, 19, 20))
+
+
 def test_no_python_in_secret_scan(docs):
     plan = secrets.mask(docs)._jdf.queryExecution().executedPlan().toString() + secrets.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
