@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from lamina.llm import languages, packing, pieces, quality, secrets, simhash, substrings, token_counts
+import corpus_pipeline
+from lamina.llm import languages, packing, pieces, quality, secrets, shingles, simhash, substrings, token_counts
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars int, token string, count bigint, key string, uid bigint, rep int, hash string, _salt int, place string"
@@ -256,6 +257,57 @@ def test_simhash_links_are_complete():
     assert (found == simhash.forest(len(fp), a, b)).all()
 
 
+def brute_shingles(t):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_similar_groups(spark, empty):
+    rng = random.Random(3)
+    base = [[rng.choice("abcdefghijklmnop") + str(rng.randrange(40)) for _ in range(rng.randrange(3, 120))] for _ in range(40)]
+    texts = [None, "", " "] + [" ".join(w) for w in base] + [" ".join(w).upper() for w in base[:5]]
+    for w in base * 3:
+        w = list(w)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(9)}"
+        texts.append(" ".join(w))
+    sets = [brute_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string").repartition(3)
+    assert len(set(root)) < len(texts) - 40
+    assert sorted(r.doc_id for r in shingles.keep_first(rows).collect()) == sorted(set(root))
+    assert shingles.keep_first(empty).count() == 0
+    # one changed word in 60: a similarity of 51 / 61, which the stage must drop whatever the fingerprints say
+    words = [f"u{i}" for i in range(60)]
+    near = spark.createDataFrame([(i, " ".join([*words[:30], f"x{i}", *words[31:]])) for i in range(30)], "doc_id bigint, text string")
+    assert [r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, near, "").collect()] == [0]
+
+
+def test_bands_recall():
+    rng = np.random.default_rng(4)
+    found = 0
+    for _ in range(4000):
+        h = np.unique(rng.integers(0, 1 << 63, 180, dtype=np.uint64))
+        a = h[rng.permutation(180)][:162]
+        b = np.concatenate([a[:144], np.setdiff1d(h, a)])  # 144 of 180 shared
+        found += bool(set(shingles.bands(np.sort(a))) & set(shingles.bands(np.sort(b))))
+    assert found >= 3990
+
+
+def test_rows_that_share_an_id_but_not_a_text(spark):
+    one, two = " ".join(f"p{i}" for i in range(40)), " ".join(f"q{i}" for i in range(40))
+    rows = [(1, one), (1, two), (1, one), (2, one), (3, two), (None, two)]
+    for _ in range(2):
+        kept = shingles.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+        assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, two), (1, one), (1, two)]
+        rows.reverse()
+
+
 def test_languages(spark, docs, empty):
     model = languages.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     rows = languages.identify(docs, model).collect()
