@@ -157,3 +157,29 @@ def test_latent_space_equals_numpy(spark):
     _, s, _ = np.linalg.svd(z, full_matrices=False)
     got = np.array([(r.pc1, r.pc2) for r in df.collect()])
     assert np.allclose((got**2).sum(0), s[:2] ** 2)
+
+
+def test_components_and_greedy_pairs_cover_every_pair(spark, sf):
+    import duckdb
+
+    from lamina.plans import relations
+
+    pairs = duckdb.sql(f"SELECT l_partkey, l_suppkey, round(sum(l_quantity), 2) FROM '{sf}/lineitem.parquet' GROUP BY ALL").fetchall()
+    root = {x: x for a, b, _ in pairs for x in (a, -b - 1)}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b, _ in pairs:
+        low, high = sorted((top(a), top(-b - 1)))
+        root[high] = low
+    assert {(r.node, r.component) for r in relations.g1_components(spark, sf).collect()} == {(x, top(x)) for x in root}
+    taken, left, right = set(), set(), set()
+    for a, b, s in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if a not in left and b not in right:
+            taken.add((a, b, s))
+            left.add(a)
+            right.add(b)
+    assert {tuple(r) for r in relations.j19_greedy(spark, sf).collect()} == taken
