@@ -11,23 +11,23 @@ from .patterns import pattern_tests
 
 
 def structure_quality(cells: DataFrame, bins: DataFrame, x: Axis, y: Axis, radii: list[float], n_sim: int = 49, max_points: int = 20_000) -> DataFrame:
-    """(structure_id, n_cells, di_in, di_tissue, p_tissue, verdict, explained) of each structure.
+    """(structure_id, n_cells, n_used, di_in, di_tissue, p_tissue, verdict, explained) of each structure.
 
     ``cells`` has cell_id, x, y, structure_id and bin_structure. Own cells in the structure's own bins are tested there, and
     all own cells over the whole tissue; both families of tests run as one grouped map.
     """
     own = cells.where("structure_id > 0")
     tissue = own.select(F.format_string("tissue:%d", "structure_id").alias("key"), F.col("cell_id").alias("id"), "x", "y")
-    found = pattern_tests(tissue, bins, x, y, radii, n_sim, max_points).select(F.split("key", ":")[1].cast("int").alias("structure_id"), "n_cells", F.col("di").alias("di_tissue"), F.col("p_clustered").alias("p_tissue"))
+    found = pattern_tests(tissue, bins, x, y, radii, n_sim, max_points).select(F.split("key", ":")[1].cast("int").alias("structure_id"), "n_cells", "n_used", F.col("di").alias("di_tissue"), F.col("p_clustered").alias("p_tissue"))
     parts = None
     for r in sorted(r.structure_id for r in bins.select(F.col("bin_structure").alias("structure_id")).distinct().collect()):  # a few structures
         inside = own.where((F.col("structure_id") == r) & (F.col("bin_structure") == r)).select(F.format_string("in:%d", "structure_id").alias("key"), F.col("cell_id").alias("id"), "x", "y")
         t = pattern_tests(inside, bins.where(F.col("bin_structure") == r), x, y, radii, n_sim, max_points).select(F.lit(r).alias("structure_id"), F.col("di").alias("di_in"))
         parts = t if parts is None else parts.unionByName(t)
     if parts is None:
-        return found.limit(0).select("structure_id", "n_cells", F.lit(0.0).alias("di_in"), "di_tissue", "p_tissue", F.lit("").alias("verdict"), F.lit(0.0).alias("explained"))
+        return found.limit(0).select("structure_id", "n_cells", "n_used", F.lit(0.0).alias("di_in"), "di_tissue", "p_tissue", F.lit("").alias("verdict"), F.lit(0.0).alias("explained"))
     verdict, explained = structure_verdict(F.col("di_in"), F.col("di_tissue"), F.col("p_tissue"))
-    return found.join(parts, "structure_id").select("structure_id", "n_cells", "di_in", "di_tissue", "p_tissue", verdict.alias("verdict"), explained.alias("explained"))
+    return found.join(parts, "structure_id").select("structure_id", "n_cells", "n_used", "di_in", "di_tissue", "p_tissue", verdict.alias("verdict"), explained.alias("explained"))
 
 
 def tested_clusters(cells: DataFrame) -> DataFrame:

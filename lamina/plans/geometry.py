@@ -103,8 +103,8 @@ def x38_orientation(spark, sf):
 def x20_structure_quality(spark, sf):
     bins, _ = _mask(spark, sf)
     cells = structure.assign_partition(structure.assign_structure(tables.cells(spark, sf), SPEC), bins, X, Y)
-    found = quality.structure_quality(cells, bins, X, Y, [50.0, 100.0, 150.0], 19, 1500)
-    return found.select("structure_id", "n_cells", *[F.round(c, 6).alias(c) for c in ("di_in", "di_tissue", "p_tissue", "explained")], "verdict")
+    found = quality.structure_quality(cells, bins, X, Y, [50.0, 100.0, 150.0])
+    return found.select("structure_id", "n_cells", "n_used", *[F.round(c, 6).alias(c) for c in ("di_in", "di_tissue", "p_tissue", "explained")], "verdict")
 
 
 def d5_tested_clusters(spark, sf):

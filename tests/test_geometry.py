@@ -126,3 +126,11 @@ def test_orientation_is_the_best_of_all(spark):
         path = tuple(map(int, got[g].path))
         assert got[g].score == max(total.values()) == total[path]
         assert got[g].margin == max(total.values()) - max(v for p, v in total.items() if p[-1] != path[-1])
+
+
+def test_structure_quality_uses_every_cell_under_the_cap(spark):
+    from lamina.plans import geometry
+
+    rows = geometry.x20_structure_quality(spark, "/root/testdata/sf0.01").collect()
+    assert any(r.n_cells > 1500 for r in rows) and all(r.n_used == min(r.n_cells, 20_000) for r in rows)
+    assert all(abs(r.p_tissue * 50 - round(r.p_tissue * 50)) < 1e-3 for r in rows)
