@@ -65,7 +65,7 @@ def within(left: DataFrame, right: DataFrame, radius: float, dims: str = "xy") -
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radius: float, limit: float) -> DataFrame:
     """(left id, right id, d2) of each left row's nearest right row, ties to the smaller id; rows with none within ``limit`` are absent.
 
-    A match within the radius is the true nearest. Only rows still without one are tried at twice the radius.
+    A match within the radius is the true nearest. Only rows still without one are tried at twice the radius, and at last at ``limit``.
     """
     found: list[DataFrame] = []
     rest = left.where(F.col(left_id).isNotNull())
@@ -73,9 +73,9 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radi
         pairs = within(rest, right, radius)
         best = pairs.groupBy(F.col(f"l_{left_id}").alias(left_id)).agg(F.min(F.struct("d2", F.col(f"r_{right_id}").alias("r"))).alias("m"))
         found.append(materialize(best.select(left_id, F.col("m.r").alias(f"near_{right_id}"), F.col("m.d2").alias("d2"))))
-        radius *= 2
-        if radius > limit:
+        if radius >= limit:
             return reduce(DataFrame.unionByName, found)
+        radius = min(2 * radius, limit)
         rest = materialize(rest.join(found[-1].select(left_id), left_id, "left_anti"))
         if rest.isEmpty():
             return reduce(DataFrame.unionByName, found)

@@ -183,3 +183,11 @@ def test_components_and_greedy_pairs_cover_every_pair(spark, sf):
             left.add(a)
             right.add(b)
     assert {tuple(r) for r in relations.j19_greedy(spark, sf).collect()} == taken
+
+
+def test_nearest_reaches_the_limit(spark):
+    from lamina.functions.grid import nearest
+
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, 100.0, 0.0), (3, 200.0, 0.0)], "id int, x double, y double")
+    right = spark.createDataFrame([(7, 0.05, 0.0), (8, 104.5, 0.0), (9, 205.5, 0.0)], "id int, x double, y double")
+    assert sorted((r.id, r.near_id) for r in nearest(left, right, "id", "id", 0.1, 5.0).collect()) == [(1, 7), (2, 8)]
