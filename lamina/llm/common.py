@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize, scratch_dir
 
-__all__ = ["SPACES", "batch_of", "materialize", "read_table", "salted_lookup", "scratch_dir", "shuffle_partitions", "slices", "texts_of"]
+__all__ = ["SPACES", "batch_of", "hot_lookup", "materialize", "read_table", "scratch_dir", "shuffle_partitions", "slices", "texts_of", "unused"]
 
 #: The six bytes that end a word in every operator here: space and 0x09-0x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -44,8 +44,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def salted_lookup(rows: DataFrame, table: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
-    """``rows`` left-joined to ``table`` (unique ``key``), with the rows of a frequent key dealt over ``salts`` tasks."""
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.join(table, [key, "_salt"], "left").drop("_salt")
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with marks added until no column of ``frames`` is called so."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key that more rows hold than this share of all is hot; so there are fewer hot keys than this number.
+HOT_SHARE = 1000
+
+
+def hot_lookup(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` left-joined to ``table`` (unique ``key``), whose column ``count`` says how many rows hold the key; it is dropped.
+
+    Rows of a hot key are dealt over as many tasks as a shuffle has, by their other columns, and its table row is
+    repeated for each. Only the keys themselves, under a thousand, are broadcast.
+    """
+    salts = shuffle_partitions(rows.sparkSession)
+    total = table.agg(F.sum(count)).first()[0] or 0
+    least = max(total // HOT_SHARE, 10_000)
+    hot = table.where(F.col(count) > least).select(key)
+    salt, mark = unused("_salt", rows, table), unused("_hot", rows, table)
+    if hot.isEmpty():
+        return rows.join(table.drop(count), key, "left")
+    marked = rows.join(F.broadcast(hot.withColumn(mark, F.lit(True))), key, "left")
+    dealt = F.when(F.col(mark), F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).otherwise(0)
+    every = F.when(F.col(count) > least, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return marked.withColumn(salt, dealt).drop(mark).join(table.withColumn(salt, F.explode(every)).drop(count), [key, salt], "left").drop(salt)

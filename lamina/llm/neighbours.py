@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, materialize, read_table, salted_lookup
+from .common import batch_of, hot_lookup, materialize, read_table
 from .components import connected, forest
 
 COSINE, TABLES, HASHES, WIDTH = 0.9, 32, 12, 2.2
@@ -191,8 +191,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     roots = connected(found.select("rep", "root")).select(F.col("node").alias("rep"), "root")
     known = nodes.join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = known.groupBy("root").agg(F.min("first_id").alias("component"))
-    table = known.join(least, "root").select("raw", "n", "links", "component")
-    return salted_lookup(marked, table, "raw", "uid").select(
+    table = materialize(known.join(least, "root").select("raw", "n", "links", "component", F.col("n").alias("rows")))
+    return hot_lookup(marked, table, "raw", "rows").select(
         "vec_id",
         (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))).cast("long").alias("n_links"),
         F.when(F.col("raw").isNull(), F.col("vec_id")).otherwise(F.col("component")).alias("component_id"),

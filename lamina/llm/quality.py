@@ -162,13 +162,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, thresh
         labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     )
-    schema = pa.schema([("s", pa.list_(pa.int64())), ("y", pa.int32())])
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch_of(schema, s=_stats_of(b).tolist(), y=b.column("_y"))
+            schema = pa.schema([("doc_id", b.schema.field("doc_id").type), ("s", pa.list_(pa.int64())), ("y", pa.int32())])
+            yield batch_of(schema, doc_id=b.column("doc_id"), s=_stats_of(b).tolist(), y=b.column("_y"))
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("text", F.col("_y").cast("int").alias("_y")).mapInArrow(measure, "s array<bigint>, y int").collect()
+    picked = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("doc_id", "text", F.col("_y").cast("int").alias("_y"))
+    # An id that many rows repeat counts once, by its smallest statistics, so no more than max_labels rows come to the driver.
+    rows = picked.mapInArrow(measure, f"doc_id {id_type}, s array<bigint>, y int").groupBy("doc_id").agg(F.min("s").alias("s"), F.min("y").alias("y")).collect()
     if not rows or len({r.y for r in rows}) < 2:
         return None, threshold
     rows.sort(key=lambda r: (r.s, r.y))

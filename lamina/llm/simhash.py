@@ -4,11 +4,12 @@ Fingerprints of 3-word shingles link at a Hamming distance of 3 or less. Null an
 and link like any other. Repeated rows and ids each give a row; a null id gives a row whose component is the smallest
 non-null id of its group, if any. An empty table gives an empty result; other columns are ignored.
 
-Candidates come from distances to reference fingerprints (pivots): for any pivot p, |d(x, p) - d(y, p)| <= d(x, y).
-A fingerprint is cut into six blocks, each with its own pivots, and a table holds the distances of every block value to
-them. Two fingerprints that differ in three bits at most have at least three blocks at coordinate difference zero, so
-pairs are looked for among fingerprints whose coordinates agree on three of the blocks (20 choices). Pairs are then
-discarded by the maximum coordinate difference over pivots of the whole fingerprint, and survivors are verified.
+Candidates share bits: a fingerprint is cut into six blocks, and two fingerprints that differ in three bits at most have
+at least three blocks alike, so pairs are looked for among fingerprints that agree on three of the blocks (20 choices).
+A crowded choice is divided by a quarter of its other bits, of which three differing bits leave one as it is. Pairs are
+then discarded by a pivot table: for any pivot p, |d(x, p) - d(y, p)| <= d(x, y), so a pair whose distances to one of
+the reference fingerprints differ by more than three is no link. Survivors are verified bit by bit. Pivot distances
+alone make no candidates: to one pivot most of all fingerprints are 24 to 40 bits away, so they tell too few apart.
 Equal fingerprints are one node throughout, so a group of copies costs one row however large it is.
 """
 
@@ -23,15 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialize, read_table, salted_lookup, texts_of
+from .common import batch_of, hot_lookup, materialize, read_table, texts_of, unused
 from .components import connected, forest
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 3, 64
-#: Widths of the six blocks, and pivots of a block.
+#: Widths of the six blocks.
 WIDTHS = (11, 11, 11, 11, 10, 10)
-BLOCK_PIVOTS = 15
 PIVOTS = 16
-#: Candidates of one bucket compared pair by pair; beyond, the bucket is divided once more.
+#: Candidates of one bucket compared pair by pair; a larger bucket is divided, and its parts are dealt anew.
 DIVIDE = 512
 
 
@@ -56,56 +56,54 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
+    """(doc_id, row, fp) of every row; fp holds the 64 bits as a signed long, ``row`` is a hash of all columns."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in texts_of(b.column("text"))], dtype=np.uint64)
-            yield batch_of(pa.schema([("doc_id", b.schema.field("doc_id").type), ("fp", pa.int64())]), doc_id=b.column("doc_id"), fp=fp.view(np.int64))
+            yield batch_of(pa.schema([("doc_id", b.schema.field("doc_id").type), ("row", pa.int64()), ("fp", pa.int64())]), doc_id=b.column("doc_id"), row=b.column("row"), fp=fp.view(np.int64))
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp bigint")
+    return docs.select("doc_id", F.xxhash64(*docs.columns).alias("row"), "text").mapInArrow(run, f"doc_id {id_type}, row bigint, fp bigint")
 
 
-def block_tables() -> list[np.ndarray]:
-    """For each block, the distances of every value of the block to its pivots, packed four bits each.
+CHOICES = list(combinations(range(len(WIDTHS)), len(WIDTHS) - RADIUS))
+
+
+def _bits_of(block: int) -> np.ndarray:
+    start = sum(WIDTHS[:block])
+    return np.arange(start, start + WIDTHS[block])
 
-    A block's pivots are zero and its single bits but as many as BLOCK_PIVOTS allows, from which the distances tell every value apart.
-    """
-    out = []
-    for width in WIDTHS:
-        values = np.arange(1 << width, dtype=np.uint64)
-        pivots = [0, *(1 << i for i in range(width))][:BLOCK_PIVOTS]
-        packed = np.zeros(len(values), dtype=np.uint64)
-        for p in pivots:
-            packed = (packed << np.uint64(4)) | np.bitwise_count(values ^ np.uint64(p)).astype(np.uint64)
-        out.append(packed)
-    return out
 
+def _mask(bits) -> np.uint64:
+    return np.uint64(sum(1 << int(x) for x in bits))
 
-def _blocks(fp: np.ndarray) -> np.ndarray:
-    """Values of the six blocks of each fingerprint."""
-    out, at = [], 0
-    for width in WIDTHS:
-        out.append((fp >> np.uint64(at)) & np.uint64((1 << width) - 1))
-        at += width
-    return np.stack(out)
 
+#: Bits of the three blocks of each choice; and of each quarter of its other bits.
+CHOSEN = [_mask(np.concatenate([_bits_of(b) for b in chosen])) for chosen in CHOICES]
+QUARTERS = [[_mask(q) for q in np.array_split(np.concatenate([_bits_of(b) for b in range(len(WIDTHS)) if b not in chosen]), RADIUS + 1)] for chosen in CHOICES]
 
-CHOICES = list(combinations(range(len(WIDTHS)), len(WIDTHS) - RADIUS))
+
+def _keyed(bits: np.ndarray, salt: int, low: int) -> np.ndarray:
+    """Mixed bits with the number of the choice in the low five bits of the key."""
+    h = (bits ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(32))) & ~np.uint64(31)) | np.uint64(low)
 
 
-def bucket_keys(fp: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-    """Keys (choices x fingerprints): the coordinates on the chosen blocks, mixed, with the choice in the low five bits."""
-    coords = [t[v.astype(np.int64)] for t, v in zip(tables, _blocks(fp), strict=True)]
-    keys = np.empty((len(CHOICES), len(fp)), dtype=np.uint64)
-    for i, chosen in enumerate(CHOICES):
-        h = np.full(len(fp), i + 1, dtype=np.uint64)
-        for b in chosen:
-            h = (h ^ coords[b]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        keys[i] = (h & ~np.uint64(31)) | np.uint64(i)
-    return keys
+def bucket_keys(fp: np.ndarray) -> np.ndarray:
+    """Keys (choices x fingerprints) of the blocks chosen."""
+    return np.stack([_keyed(fp & m, i + 1, i) for i, m in enumerate(CHOSEN)])
+
+
+def divided(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, fingerprint) rows of crowded buckets, each under four new keys: its bucket and one quarter of the bits that the bucket leaves free."""
+    choice = (key & np.uint64(31)).astype(np.int64)
+    keys = []
+    for q in range(RADIUS + 1):
+        masks = np.array([QUARTERS[c][q] for c in range(len(CHOICES))], dtype=np.uint64)[choice]
+        keys.append(_keyed((fp & masks) ^ (key >> np.uint64(5)), 101 + q, q))
+    return np.concatenate(keys), np.tile(fp, RADIUS + 1)
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -133,10 +131,15 @@ def pairs_within(key: np.ndarray, fp: np.ndarray, coords: np.ndarray) -> Iterato
             yield near, near + shift
 
 
-def link(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links found among rows of (bucket key, fingerprint): each linked fingerprint with the smallest it reaches here."""
+def link(key: np.ndarray, fp: np.ndarray, divide: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links found among rows of (bucket key, fingerprint), each linked fingerprint with the smallest it reaches here; and, with ``divide``, the rows of larger buckets under new keys."""
     order = np.lexsort((fp, key))
     key, fp = key[order], fp[order]
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
+    sizes = np.diff(edges)
+    crowded = np.repeat(sizes > DIVIDE, sizes) if divide else np.zeros(len(key), dtype=bool)
+    later = divided(key[crowded], fp[crowded])
+    key, fp = key[~crowded], fp[~crowded]
     nodes, of = np.unique(fp, return_inverse=True)
     coords = np.bitwise_count(fp[:, None] ^ pivots()[None, :]).astype(np.int8)
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -149,75 +152,69 @@ def link(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         moved = np.flatnonzero(root != np.arange(len(nodes)))
         held, size = [(moved, root[moved])], len(moved)
 
-    def add(rows: np.ndarray, found: Iterator) -> None:
-        nonlocal size
-        for a, b in found:
-            held.append((of[rows[a]], of[rows[b]]))
-            size += len(a)
-            if size > 2_000_000 + 2 * len(nodes):
-                settle()
-
-    small = np.ones(len(key), dtype=bool)
-    for s, e in _runs(key):
-        if e - s <= DIVIDE:
-            continue
-        small[s:e] = False
-        chosen = CHOICES[int(key[s] & np.uint64(31))]
-        rest = np.concatenate([_bits_of(b) for b in range(len(WIDTHS)) if b not in chosen])
-        rows = np.arange(s, e)
-        for part in np.array_split(rest, RADIUS + 1):  # three differing bits leave one of four parts as it is
-            mask = np.uint64(sum(1 << int(x) for x in part))
-            sub = fp[rows] & mask
-            o = np.argsort(sub, kind="stable")
-            add(rows[o], pairs_within(sub[o], fp[rows[o]], coords[rows[o]]))
-    rows = np.flatnonzero(small)
-    add(rows, pairs_within(key[rows], fp[rows], coords[rows]))
+    for a, b in pairs_within(key, fp, coords):
+        held.append((of[a], of[b]))
+        size += len(a)
+        if size > 2_000_000 + 2 * len(nodes):
+            settle()
     settle()
     u, v = held[0]
-    return nodes[u], nodes[v]
+    return nodes[u], nodes[v], *later
 
 
-def _bits_of(block: int) -> np.ndarray:
-    start = sum(WIDTHS[:block])
-    return np.arange(start, start + WIDTHS[block])
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("again", pa.bool_())])
+
+
+def _compared(rows: DataFrame, divide: bool) -> DataFrame:
+    """(a, b, again): links (a, b), and where ``again`` is set the key and fingerprint of a row that is to be compared anew."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+        if parts:
+            key, fp = (np.concatenate(x).view(np.uint64) for x in zip(*parts, strict=True))
+            u, v, key, fp = link(key, fp, divide)
+            for a, b, again in ((u, v, False), (key, fp, True)):
+                for at in range(0, len(a), 1 << 20):
+                    some = slice(at, at + (1 << 20))
+                    yield batch_of(_FOUND, a=a[some].view(np.int64), b=b[some].view(np.int64), again=np.full(len(a[some]), again))
+
+    return rows.repartition("key").mapInArrow(find, "a bigint, b bigint, again boolean")
 
 
 def links(fps: DataFrame) -> DataFrame:
     """(a, b) links that connect the distinct fingerprints of column ``fp`` as all links within RADIUS do."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = block_tables()
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            keys = bucket_keys(fp, tables)
-            yield batch_of(pa.schema([("key", pa.int64()), ("fp", pa.int64())]), key=keys.ravel().view(np.int64), fp=np.tile(fp.view(np.int64), len(CHOICES)))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-        if parts:
-            key, fp = (np.concatenate(x).view(np.uint64) for x in zip(*parts, strict=True))
-            u, v = link(key, fp)
-            yield batch_of(pa.schema([("a", pa.int64()), ("b", pa.int64())]), a=u.view(np.int64), b=v.view(np.int64))
+            yield batch_of(pa.schema([("key", pa.int64()), ("fp", pa.int64())]), key=bucket_keys(fp).ravel().view(np.int64), fp=np.tile(fp.view(np.int64), len(CHOICES)))
 
-    return fps.select("fp").mapInArrow(spread, "key bigint, fp bigint").repartition("key").mapInArrow(find, "a bigint, b bigint")
+    found = materialize(_compared(fps.select("fp").mapInArrow(spread, "key bigint, fp bigint"), True))
+    rest = _compared(found.where("again").select(F.col("a").alias("key"), F.col("b").alias("fp")), False)
+    return found.where("not again").select("a", "b").union(rest.select("a", "b"))
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, fp, root, component_id) of every row; rows of one root are one group."""
     marked = materialize(fingerprints(docs))
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     roots = connected(links(nodes)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = materialize(nodes.join(roots, "fp", "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    table = rooted.join(least, "root").select("fp", "component_id")
-    return salted_lookup(marked, table, "fp", "doc_id")
+    return hot_lookup(marked, rooted.join(least, "root").select("fp", "root", "component_id", "n"), "fp", "n")
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of every row."""
+    return _grouped(docs).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near copies: that of the smallest id. Rows that repeat its id are one document; rows without an id stay."""
-    groups = near_groups(docs)
-    kept = materialize(groups.where("doc_id = component_id").select("doc_id").distinct())
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one row of each group of near copies: that of the smallest id, then of the smallest hash of its columns. Rows without an id stay."""
+    first = _grouped(docs).where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("m"))
+    row = unused("_row", docs)
+    kept = materialize(first.select(F.col("m.doc_id").alias("doc_id"), F.col("m.row").alias(row)))
+    once = docs.withColumn(row, F.xxhash64(*docs.columns)).join(kept, ["doc_id", row], "left_semi").dropDuplicates(["doc_id", row])
     return once.select(docs.columns).union(docs.where("doc_id is null"))
 
 
