@@ -4,13 +4,15 @@ Words are runs of bytes other than space and 0x09-0x0D. A window is 13 consecuti
 under a window that also starts in a document of a smaller id is removed. Windows are judged on the input. Null, empty
 and short texts have no window and lose nothing. Rows that repeat an id are one document's texts: none is the smaller
 of the other. A null id is neither smaller nor larger, so such rows neither lose words nor make others lose any. An empty
-table gives an empty result. Other columns are ignored by :func:`remove_repeats` and carried by :func:`cut_repeats`.
+table gives an empty result. Ids of any type that has an order will do; those that aren't whole numbers are numbered in
+order first. Other columns are ignored by :func:`remove_repeats` and carried by :func:`cut_repeats`.
 
 1. Each window is represented by the smallest hash among its 6-word phrases. A window in two documents has its phrase in
    both, so phrases seen in one document only rule out their windows. About a quarter of the words start such a phrase.
-2. Windows with a shared phrase are hashed whole; each gets the smallest document that has it.
-3. Consecutive windows with one earlier document make a passage. That document is asked for the passage's own words,
-   and they are sent, sharded by the documents that may hold them.
+2. Windows with a shared phrase are hashed whole; each gets the smallest document that has it. They meet by phrase, those
+   of the most frequent phrases by their own hash, so that a phrase in a third of all documents is spread over tasks.
+3. Consecutive windows with one earlier document make a passage. That document is asked once for the passage's own words,
+   and they are sent to every shard whose documents may hold them.
 4. Each shard compiles its passages into an Aho-Corasick automaton over word numbers and streams its documents through
    it. Only what the automaton finds, word by word, is removed: hashes pick candidates and decide nothing.
 
@@ -31,13 +33,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import batch_of, materialize, read_table, shuffle_partitions, slices, texts_of
+from .common import batch_of, materialize, read_table, shuffle_partitions, slices, texts_of, unused
 
 WINDOW, PHRASE = 13, 6
 #: Text looked at together in one task, and text of a shard at most (or of one document), in bytes.
 SLICE, SHARD = 4 << 20, 16 << 20
 SEGMENT = 1 << 20
+#: A phrase that so many slices of the input share is frequent; the most frequent ones, so many at most, have their windows spread.
+FREQUENT, MAX_FREQUENT = 64, 50_000
 
 _rng = np.random.default_rng(13)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -155,7 +160,7 @@ def _groups(keys: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 _KEYED = pa.schema([("bucket", pa.int32()), ("direct", pa.bool_()), ("hashes", pa.binary()), ("ids", pa.binary())])
-_REPLY = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64())])
+_REPLY = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n", pa.int32())])
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -163,7 +168,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def shared_phrases(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """(doc_id, hash): phrases that a document shares with another; some come twice."""
+    """(doc_id, hash, n): phrases that a document shares with another; some come twice. ``n`` counts the slices of the input seen to have the phrase."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,10 +197,13 @@ def shared_phrases(docs: DataFrame, n_buckets: int) -> DataFrame:
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = defaultdict(list)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             for b, direct, h, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                (out if direct else held[b]).append((_from_six(h), np.frombuffer(d, dtype="<i8")))
+                if direct:
+                    out.append((_from_six(h), np.frombuffer(d, dtype="<i8"), np.zeros(len(h) // 6, dtype=np.int32)))
+                else:
+                    held[b].append((_from_six(h), np.frombuffer(d, dtype="<i8")))
         for entries in held.values():
             h, d = (np.concatenate(x) for x in zip(*entries, strict=True))
             o = np.lexsort((d, h))
@@ -203,13 +211,21 @@ def shared_phrases(docs: DataFrame, n_buckets: int) -> DataFrame:
             first = _edges(h)
             group = np.cumsum(first) - 1
             other = np.bincount(group, weights=d != d[first][group]) > 0
-            out.append((h[other[group]], d[other[group]]))
-        for h, d in out:
+            keep = other[group]
+            out.append((h[keep], d[keep], np.bincount(group)[group][keep].astype(np.int32)))
+        for h, d, n in out:
             for at in range(0, len(h), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(d[at : at + 100_000], pa.int64()), pa.array(h[at : at + 100_000].view(np.int64), pa.int64())], schema=_REPLY)
+                some = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(d[some], pa.int64()), pa.array(h[some].view(np.int64), pa.int64()), pa.array(n[some], pa.int32())], schema=_REPLY)
 
     sent = docs.select("doc_id", "text").mapInArrow(send, "bucket int, direct boolean, hashes binary, ids binary")
-    return sent.repartition("bucket").mapInArrow(answer, "doc_id bigint, hash bigint")
+    return sent.repartition("bucket").mapInArrow(answer, "doc_id bigint, hash bigint, n int")
+
+
+def frequent_phrases(shared: DataFrame) -> np.ndarray:
+    """The short hashes of the most frequent phrases, MAX_FREQUENT at most, in order. All documents' windows of such a phrase are keyed alike, so none is missed."""
+    many = shared.where(F.col("n") >= FREQUENT).groupBy("hash").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "hash").limit(MAX_FREQUENT)
+    return np.sort(np.array([r["hash"] for r in many.select("hash").collect()], dtype=np.int64).view(np.uint64))
 
 
 #: A place: ``n`` consecutive windows of a document from word ``pos`` on that start in document ``source`` too, there from word ``source_pos`` on.
@@ -241,11 +257,11 @@ def _places(h: np.ndarray, d: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray,
     return o[~later], _joined_places((d[later], pos[later], np.ones(int(later.sum()), dtype=np.int64), d[first[later]], pos[first[later]]))
 
 
-def _try_windows(held: Held, shared: DataFrame) -> DataFrame:
+def _try_windows(held: Held, shared: DataFrame, frequent: np.ndarray) -> DataFrame:
     """Windows that may recur, keyed by their phrase, and places of those seen here to start in a smaller document, which are not sent.
 
-    A row is a run of windows with one phrase, so there are as many rows as shared phrases at most. Documents are taken
-    in order of id and text, so that a task run again sends the same.
+    A row is a run of windows with one phrase, so there are as many rows as shared phrases at most; windows of frequent
+    phrases are keyed one by one. Documents are taken in order of id and text, so that a task run again sends the same.
     """
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -272,6 +288,9 @@ def _try_windows(held: Held, shared: DataFrame) -> DataFrame:
                 out.append(pa.table([pa.array(places[0]), *[pa.array(c, f.type) for c, f in zip(places, _PLACE, strict=True)], pa.nulls(len(places[0]), _SENT.field("hashes").type)], schema=_SENT))
                 sent = np.sort(sent)
                 h, d, pos, key = h[sent], d[sent], pos[sent], key[sent]
+                if len(frequent) and len(key):
+                    own = frequent[np.minimum(np.searchsorted(frequent, _short(key)), len(frequent) - 1)] == _short(key)
+                    key = np.where(own, h, key)
                 new = _edges(key, d)
                 new[1:] |= pos[1:] != pos[:-1] + 1
                 at = np.flatnonzero(new)
@@ -288,7 +307,7 @@ def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
     return tuple(table.column(f.name).to_numpy().astype(np.int64) for f in _PLACE)
 
 
-def earlier_places(held: Held, shared: DataFrame) -> DataFrame:
+def earlier_places(held: Held, shared: DataFrame, frequent: np.ndarray) -> DataFrame:
     """Places of all windows that start in a smaller document too, the smallest that was seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +323,7 @@ def earlier_places(held: Held, shared: DataFrame) -> DataFrame:
         _, places = _places(h, np.repeat(w.column("doc_id").to_numpy(), size), np.repeat(w.column("pos").to_numpy().astype(np.int64), size) + step)
         yield from pa.table([pa.array(c, f.type) for c, f in zip(places, _PLACE, strict=True)], schema=_PLACE).to_batches(max_chunksize=100_000)
 
-    return _try_windows(held, shared).repartition("key").mapInArrow(run, _PLACE_DDL)
+    return _try_windows(held, shared, frequent).repartition("key").mapInArrow(run, _PLACE_DDL)
 
 
 def wanted(places: DataFrame, n_shards: int) -> DataFrame:
@@ -330,21 +349,26 @@ def _shard(column: str, n: int):
 
 
 def passages(held: DataFrame, requests: DataFrame) -> DataFrame:
-    """(passage_shard, source, words): the words asked for, from the texts that have them. Words are joined by single spaces."""
+    """(passage_shard, source, words): the words asked for, from the texts that have them. Words are joined by single spaces.
+
+    A passage that many shards want is read out once; its words meet the shards that want it in a join.
+    """
 
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
         want = defaultdict(list)
-        for s, start, n, to in zip(*(asked.column(c).to_pylist() for c in ("source", "start", "n", "to")), strict=True):
-            want[s].append((start, n, to))
+        for s, start, n in zip(*(asked.column(c).to_pylist() for c in ("source", "start", "n")), strict=True):
+            want[s].append((start, n))
         out = []
         for doc_id, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True) if want else ():
             if doc_id in want:
                 words = (text or "").encode().split()
-                out += [(to, doc_id, b" ".join(words[start : start + n]).decode()) for start, n, to in want[doc_id] if start + n <= len(words)]
-        shard, source, words = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"passage_shard": pa.array(shard, pa.int32()), "source": pa.array(source, pa.int64()), "words": pa.array(words, pa.string())})
+                out += [(doc_id, start, n, b" ".join(words[start : start + n]).decode()) for start, n in want[doc_id] if start + n <= len(words)]
+        source, start, n, words = zip(*out, strict=True) if out else ((),) * 4
+        return pa.table({"source": pa.array(source, pa.int64()), "start": pa.array(start, pa.int32()), "n": pa.array(n, pa.int32()), "words": pa.array(words, pa.string())})
 
-    return held.groupBy("shard").cogroup(requests.groupBy("source_shard")).applyInArrow(run, "passage_shard int, source bigint, words string")
+    asked = requests.select("source_shard", "source", "start", "n").distinct()
+    read = held.groupBy("shard").cogroup(asked.groupBy("source_shard")).applyInArrow(run, "source bigint, start int, n int, words string")
+    return requests.select("source", "start", "n", F.col("to").alias("passage_shard")).join(read, ["source", "start", "n"]).select("passage_shard", "source", "words")
 
 
 def covered(docs: list[tuple[int, list[bytes]]], phrases: dict[tuple[bytes, ...], int]) -> Iterator[np.ndarray]:
@@ -387,21 +411,33 @@ class Held:
     n_shards: int
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id as a long, text), and for ids that aren't whole numbers (_no, _own): the numbers they got, in their order."""
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
+    ids = docs.select(F.col("doc_id").alias("_own")).where("_own is not null").distinct()
+    ordered = ids.repartitionByRange(shuffle_partitions(docs.sparkSession), "_own").sortWithinPartitions("_own")
+    numbers = materialize(ordered.withColumn("_no", F.monotonically_increasing_id()))
+    rows = docs.select(F.col("doc_id").alias("_own"), "text").join(numbers, "_own", "left")
+    return rows.select(F.col("_no").alias("doc_id"), "text"), numbers
+
+
 def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents by shard, passages by the shard that may hold them)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = 4 * shuffle_partitions(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = max(n, int(size // SHARD) + 1)
     shard = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(n_shards)).cast("int")
     held = Held(docs.select(shard.alias("shard"), "doc_id", "text"), n_shards)
-    places = earlier_places(held, shared_phrases(docs, n))
+    shared = materialize(shared_phrases(docs, n))
+    places = earlier_places(held, shared, frequent_phrases(shared))
     return held.docs, passages(held.docs, wanted(places, n_shards))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row."""
+    docs, numbers = _numbered(docs)
     held, found = _found(docs)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -412,7 +448,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         return _locate(docs, found, emit, schema)
 
-    return held.groupBy("shard").cogroup(found.groupBy("passage_shard")).applyInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    judged = held.groupBy("shard").cogroup(found.groupBy("passage_shard")).applyInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    if numbers is None:
+        return judged
+    return judged.join(numbers, judged["doc_id"] == numbers["_no"], "left").select(F.col("_own").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 def cut_text(text: str, gone: np.ndarray) -> str:
@@ -428,7 +467,8 @@ def cut_text(text: str, gone: np.ndarray) -> str:
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated words taken out of ``text``; all rows and columns stay. Rows of one id and text are cut alike."""
-    held, found = _found(docs)
+    rows, numbers = _numbered(docs)
+    held, found = _found(rows)
     schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.string()), ("text", pa.string())])
 
     def emit(doc_id, text, _, gone):
@@ -440,9 +480,12 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         return _locate(docs, found, emit, schema)
 
     judged = held.groupBy("shard").cogroup(found.groupBy("passage_shard")).applyInArrow(run, "doc_id bigint, hash string, text string")
-    cuts = materialize(judged.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("text").alias("_cut")).dropDuplicates(["_id", "_hash"]))
-    joined = docs.join(cuts, (docs["doc_id"].cast("long") == F.col("_id")) & (F.sha2(docs["text"], 256) == F.col("_hash")), "left")
-    return joined.withColumn("text", F.coalesce("_cut", docs["text"])).select(*docs.columns)
+    if numbers is not None:
+        judged = judged.join(numbers, judged["doc_id"] == numbers["_no"]).select(F.col("_own").alias("doc_id"), "hash", "text")
+    id_, hash_, cut_ = (unused(n, docs) for n in ("_id", "_hash", "_cut"))
+    cuts = materialize(judged.select(F.col("doc_id").alias(id_), F.col("hash").alias(hash_), F.col("text").alias(cut_)).dropDuplicates([id_, hash_]))
+    joined = docs.join(cuts, (docs["doc_id"] == F.col(id_)) & (F.sha2(docs["text"], 256) == F.col(hash_)), "left")
+    return joined.withColumn("text", F.coalesce(cut_, docs["text"])).select(*docs.columns)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
