@@ -79,20 +79,33 @@ URLS = [
 ]
 
 
-def test_urls(spark):
+def test_urls(spark, monkeypatch):
     pages = spark.createDataFrame([(i, u, "h", "r", "v") for i, u in enumerate(URLS)] + [(4, URLS[4], "h", "r", "v")], "page_id bigint, url string, host string, rule string, verdict string")
     listed = spark.createDataFrame([*urls.RULES, urls.RULES[0], (None, "allow"), ("q/", None)], "key string, verdict string")
     want = sorted(repr((i, *brute_url(u))) for i, u in [*enumerate(URLS), (4, URLS[4])])
-    for found in (urls.judge(pages, listed), urls._joined(pages, listed.where("key is not null and verdict is not null").dropDuplicates(), "allow")):
-        assert sorted(repr(tuple(r)) for r in found.collect()) == want
+    more = listed.union(spark.createDataFrame([(f"never{i}.net/x", "block") for i in range(40)], listed.schema))
+    for entries, probed in ((4_000_000, 1 << 20), (6, 1), (2, 3)):  # sent whole; brought down to the entries met; in shares
+        monkeypatch.setattr(urls, "MAX_ENTRIES", entries)
+        monkeypatch.setattr(urls, "PROBED", probed)
+        assert sorted(repr(tuple(r)) for r in urls.judge(pages, more).collect()) == want
     assert urls.judge(pages.limit(0), listed).count() == 0
     assert {r.rule for r in urls.judge(pages, listed.limit(0)).collect()} == {None}
 
 
+def test_entries_that_are_hosts_and_long_paths(spark):
+    listed = spark.createDataFrame([("example.org", "block"), ("example.org/é/", "allow"), ("b.example.org/", "allow")], "key string, verdict string")
+    long = "http://" + ".".join(["a"] * 60) + ".example.org/" + "x/" * 50_000
+    found = ["http://example.org", "http://x.example.org/y", "http://example.org/é/z", "http://b.example.org/é/", "http://example.org.net/", long]
+    rows = urls.judge(spark.createDataFrame(list(enumerate(found)), "page_id int, url string"), listed).orderBy("page_id").collect()
+    assert [r.rule for r in rows] == ["example.org", "example.org", "example.org/é/", "b.example.org/", None, "example.org"]
+    assert [r.verdict for r in rows] == ["block", "block", "allow", "allow", "allow", "block"]
+
+
 def test_digests_that_collide(tmp_path, monkeypatch):
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda k: 7)
     names = {p: f"{p}.npy" for p in urls.DigestIndex.PARTS}
     urls.DigestIndex.write([("a/", "allow"), ("b/", "block")], str(tmp_path), names)
     index = urls.DigestIndex(str(tmp_path), names)
-    found = index.probe(["b/", "c/", "a/"])
-    assert found[1] == -1 and index.verdicts[found[0]] and not index.verdicts[found[2]]
+    which, at = index.search(np.array([7, 8, 7], dtype=np.uint64))
+    assert which.tolist() == [0, 2] and at.tolist() == [0, 0]
+    assert index.confirm(0, "c/") == -1 and index.verdicts[index.confirm(0, "b/")] and not index.verdicts[index.confirm(0, "a/")]
