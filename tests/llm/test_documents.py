@@ -392,6 +392,32 @@ def test_similar_groups(spark, empty):
     assert [r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, near, "").collect()] == [0]
 
 
+def test_a_crowd_of_near_copies(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(260):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 3, 4, 5, 6, 8])):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], [f"n{rng.randrange(400)}"], [w[at], w[at]], [w[at] + "s"]])
+        texts.append(" ".join(w))
+    # two that are alike and far from all others: the same seven words are changed in both
+    for extra in ("", "tail"):
+        w = [f"same{i}" if i % 20 == 7 else x for i, x in enumerate(base)]
+        texts.append(" ".join([*w, *extra.split()]))
+    sets = [brute_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    assert 20 < len(set(root)) < 200
+    assert sorted(r.doc_id for r in shingles.keep_first(rows).collect()) == sorted(set(root))
+
+
 def test_bands_recall():
     rng = np.random.default_rng(4)
     found = 0
