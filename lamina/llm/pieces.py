@@ -42,6 +42,8 @@ MARK = "▁"
 HELD = 150_000
 #: Of 1 to 5,000, the shift by which most words of the small table get the merges' own pieces (82 %; 65 % at 1).
 RANK_SHIFT = 200
+#: Bits of a piece's hash by which most that is no piece is told without a search.
+TOP = 17
 #: Stretches up to this length are solved side by side.
 SHORT = 32
 
@@ -125,10 +127,10 @@ class Lattice:
                 self.memo[t] = found
         return found
 
-    def _tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each length: hashes of its pieces in order, their scores and ids."""
+    def _tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length: hashes of its pieces in order, their scores and ids, and which top bits some hash has."""
         if self.tables is None:
-            self.tables = [(np.empty(0, np.uint64),) * 3]
+            self.tables = [(np.empty(0, np.uint64),) * 4]
             for n in range(1, self.longest + 1):
                 own = [(p, *v) for p, v in self.pieces.items() if len(p) == n]
                 chars = np.frombuffer("".join([p for p, *_ in own]).encode("utf-32-le"), dtype="<u4").reshape(len(own), n).astype(np.uint64)
@@ -136,7 +138,9 @@ class Lattice:
                 for i in range(n):
                     h = h * _BASE + chars[:, i] + np.uint64(1)
                 o = np.argsort(h)
-                self.tables.append((h[o], np.array([s for *_, s in own], dtype=np.int64)[o], np.array([i for _, i, _ in own], dtype=np.uint32)[o]))
+                some = np.zeros(1 << TOP, dtype=bool)
+                some[h >> np.uint64(64 - TOP)] = True
+                self.tables.append((h[o], np.array([s for *_, s in own], dtype=np.int64)[o], np.array([i for _, i, _ in own], dtype=np.uint32)[o], some))
         return self.tables
 
     def learn(self, units: list[str]) -> None:
@@ -159,16 +163,21 @@ class Lattice:
         for e in range(1, width + 1):
             n = int(np.searchsorted(-lengths, -e, side="right"))  # stretches that reach this place
             for k in range(min(e, self.longest), 0, -1):
-                known, score, ids = tables[k]
+                known, score, ids, some = tables[k]
                 if not len(known):
                     continue
                 h = prefix[e, :n] - prefix[e - k, :n] * _POWERS[k]
+                hit = np.flatnonzero(some[h >> np.uint64(64 - TOP)])
+                if not len(hit):
+                    continue
+                h = h[hit]
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                hit = np.flatnonzero(known[at] == h)
-                total = best[e - k, hit] + score[at[hit]]
+                right = known[at] == h
+                hit, at = hit[right], at[right]
+                total = best[e - k, hit] + score[at]
                 up = total > best[e, hit]
                 hit = hit[up]
-                best[e, hit], step[e, hit], ident[e, hit] = total[up], k, ids[at[hit]]
+                best[e, hit], step[e, hit], ident[e, hit] = total[up], k, ids[at[up]]
         rows, place, trail = np.arange(len(units)), lengths.copy(), []
         while len(rows):
             trail.append((rows, ident[place, rows]))
@@ -199,10 +208,14 @@ class Lattice:
         new = met.difference(self.memo)
         if len(self.memo) + len(new) > HELD:
             self.memo, self.older, new = {}, self.memo, met
-        again = new.intersection(self.older)
-        for u in again:
-            self.memo[u] = self.older[u]
-        if short := [u for u in new.difference(again) if len(u) <= SHORT and self.single.issuperset(u)]:
+        memo, older, single = self.memo, self.older, self.single
+        short = []
+        for u in new:
+            if u in older:
+                memo[u] = older[u]
+            elif len(u) <= SHORT and single.issuperset(u):
+                short.append(u)
+        if short:
             self.learn(short)
 
     def encode_all(self, texts: list[str]) -> list[tuple[bytes, int]]:
@@ -211,10 +224,19 @@ class Lattice:
         self.know(split)
         out = []
         for units in split:
-            found = [self.unit(u) for u in units]
-            out.append((b"".join([i for i, _ in found]), sum([s for _, s in found])))
+            out.append(self.solved(units))
         return out
 
+    def solved(self, units: list[str]) -> tuple[bytes, int]:
+        """Ids and score of stretches one after the other."""
+        if not units:
+            return b"", 0
+        found = list(map(self.memo.get, units))
+        if None in found:
+            found = [self.unit(u) for u in units]
+        ids, scores = zip(*found, strict=True)
+        return b"".join(ids), sum(scores)
+
     def encode(self, text: str) -> tuple[bytes, int]:
         return self.encode_all([text])[0]
 
@@ -268,8 +290,7 @@ class Chunk:
             return b"", 0
         units = self.lattice.units(self.t[self.first : self.last])
         self.lattice.know([units])
-        found = [self.lattice.unit(u) for u in units]
-        return b"".join([i for i, _ in found]), sum([s for _, s in found])
+        return self.lattice.solved(units)
 
     def matrix(self, middle: int | None = None) -> np.ndarray:
         """Best score from each state at the start to each at the end; ``middle`` is the score of :meth:`middle`."""
