@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
@@ -69,6 +70,7 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radi
     """
     found: list[DataFrame] = []
     rest = left.where(F.col(left_id).isNotNull())
+    first = True
     while True:
         pairs = within(rest, right, radius)
         best = pairs.groupBy(F.col(f"l_{left_id}").alias(left_id)).agg(F.min(F.struct("d2", F.col(f"r_{right_id}").alias("r"))).alias("m"))
@@ -79,3 +81,42 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radi
         rest = materialize(rest.join(found[-1].select(left_id), left_id, "left_anti"))
         if rest.isEmpty():
             return reduce(DataFrame.unionByName, found)
+        if first:  # later rounds read a written table, not the source
+            right, first = materialize(right), False
+
+
+def k_nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int, radius: float, limit: float, dims: str = "xy") -> DataFrame:
+    """(left id, near id, d2, place) of each left row's ``k`` nearest right rows within ``limit``, ties to the smaller id.
+
+    What is found within a radius is complete there, so only left rows with fewer than ``k`` are tried at twice the radius.
+    """
+    found: list[DataFrame] = []
+    rest, first = left.where(F.col(left_id).isNotNull()), True
+    near = f"near_{right_id}"
+    while True:
+        pairs = within(rest, right, radius, dims).select(F.col(f"l_{left_id}").alias(left_id), F.col(f"r_{right_id}").alias(near), "d2")
+        place = F.row_number().over(W.partitionBy(left_id).orderBy("d2", near))
+        ranked = materialize(pairs.withColumn("place", place).where(F.col("place") <= k))
+        full = ranked.where(F.col("place") == k).select(left_id)
+        if radius >= limit:
+            return reduce(DataFrame.unionByName, [*found, ranked])
+        found.append(ranked.join(full, left_id, "left_semi"))
+        rest = materialize(rest.join(full, left_id, "left_anti"))
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        radius = min(2 * radius, limit)
+        if first:
+            right, first = materialize(right), False
+
+
+def inverse_distance(neighbours: DataFrame, left_id: str, value: str) -> DataFrame:
+    """(left id, value): the mean of neighbours' values by inverse distance; where some lie at no distance, of those alone."""
+    exact = F.count_if(F.col("d2") == 0)
+    weighted = F.sum(F.when(F.col("d2") > 0, F.col(value) / F.sqrt("d2"))) / F.sum(F.when(F.col("d2") > 0, 1 / F.sqrt("d2")))
+    return neighbours.groupBy(left_id).agg(F.when(exact > 0, F.avg(F.when(F.col("d2") == 0, F.col(value)))).otherwise(weighted).alias(value))
+
+
+def gaussian_mean(neighbours: DataFrame, left_id: str, values: list[str], sigma: float) -> DataFrame:
+    """(left id, values): means of neighbours' values by a Gaussian of their distance."""
+    w = F.exp(-F.col("d2") / (2 * sigma * sigma))
+    return neighbours.groupBy(left_id).agg(*[(F.sum(F.col(v) * w) / F.sum(w)).alias(v) for v in values])

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import pair
+from ..functions.quantiles import quantiles
 
 
 def r6(c: Column) -> Column:
@@ -32,8 +33,8 @@ def spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Minimum, quantiles, mean and maximum with linear interpolation."""
-    q = F.percentile(value, F.array(*[F.lit(p) for p in (0.05, 0.5, 0.9, 0.95)]))
-    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min"), q.alias("q"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    q = quantiles(df, keys, [value], [0.05, 0.5, 0.9, 0.95]).withColumnRenamed(value, "q")
+    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max")).join(q, keys)
     return out.select(*keys, "n", r6(F.col("min")).alias("min"), *[r6(F.col("q")[i]).alias(c) for i, c in enumerate(("p05", "median", "p90", "p95"))], r6(F.col("mean")).alias("mean"), r6(F.col("max")).alias("max"))
 
 
@@ -82,9 +83,9 @@ def degrees(edges: DataFrame, a: str, b: str, weight: str) -> DataFrame:
 
 def within_mad(df: DataFrame, keys: list[str], value: str, limit: float) -> DataFrame:
     """Rows within ``limit`` scaled median absolute deviations of their group's median."""
-    med = df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("_med"))
+    med = quantiles(df, keys, [value], [0.5]).select(*keys, F.col(value)[0].alias("_med"))
     rows = df.join(med, keys).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
-    mad = rows.groupBy(*keys).agg(F.percentile("_dev", 0.5).alias("_mad"))
+    mad = quantiles(rows, keys, ["_dev"], [0.5]).select(*keys, F.col("_dev")[0].alias("_mad"))
     return rows.join(mad, keys).where(F.col("_dev") <= limit * 1.4826 * F.col("_mad")).drop("_med", "_dev", "_mad")
 
 

@@ -23,6 +23,63 @@ def cluster_status(di_rl: Column, di_csr: Column, p_rl: Column, p_regular: Colum
     )
 
 
+def split_level(verdict: Column, single: Column, can_split: Column, top_rl: Column) -> Column:
+    """Whether a structure should be split (D2, D4): ``top_rl`` is the index of its strongest hotspot."""
+    return (
+        F.when(single, "NOT_NEEDED").when((verdict != "PASS") & can_split, "RECOMMENDED").when((verdict == "PASS") & can_split & (top_rl >= 2 * 0.30), "OPTIONAL")
+        .when(verdict == "FAIL", "REVIEW").otherwise("NOT_NEEDED")
+    )
+
+
+def instance_flags(n_seeds: Column, ring: Column, n_lumens: Column, area: Column, least_ring: float, least_area: float) -> Column:
+    """``;``-joined flags of an instance (D8): no_lumen_seed, weak_ring, merged_candidate, small_fragment."""
+    flags = [F.when(n_seeds == 0, "no_lumen_seed"), F.when(ring < least_ring, "weak_ring"), F.when(n_lumens > 1, "merged_candidate"), F.when(area < least_area, "small_fragment")]
+    return F.concat_ws(";", *flags)
+
+
+def label_family(name: Column, families: list[tuple[str, list[str]]], default: str = "other") -> Column:
+    """The first family one of whose keywords is in a label, case ignored."""
+    out = F.lit(default)
+    for family, words in reversed(families):
+        found = F.lit(False)
+        for w in words:
+            found = found | F.lower(name).contains(w)
+        out = F.when(found, family).otherwise(out)
+    return out
+
+
+#: Rows from which a coarser mesh is used, and its number of points a side.
+MESHES = [(80_000, 450), (40_000, 550), (20_000, 650), (10_000, 800)]
+
+
+def mesh_size(n: Column, full: int = 1200) -> Column:
+    """Points a side of the mesh for ``n`` rows."""
+    out = F.lit(full)
+    for rows, size in reversed(MESHES):
+        out = F.when(n >= rows, size).otherwise(out)
+    return out
+
+
+def lumen_collapse(area: Column) -> Column:
+    """1 / ln(1 + area + 1)."""
+    return 1 / F.log(2 + F.coalesce(area, F.lit(0.0)))
+
+
+def seed_guard(accepted: Column, residual: Column, n: Column, rotation: Column, coverage: Column, quadrants: Column, limit: float, least: int) -> Column:
+    """The first rule that an alignment fails, or ``ok``."""
+    turned = F.abs(rotation) > 15
+    return (
+        F.when(~accepted, "not_accepted").when(~finite(residual), "residual_missing").when(residual > limit, "residual_high").when(n < least, "too_few_anchors").when(n < 6, "too_few_for_similarity")
+        .when(F.abs(rotation) >= 150, "rotation_flip").when(turned & (n < 8), "rotated_few_anchors").when(turned & (residual > 120), "rotated_residual")
+        .when(turned & (coverage < 0.05), "rotated_coverage").when(turned & (quadrants < 2), "rotated_quadrants").otherwise("ok")
+    )
+
+
+def wide_area_similarity(ratio: Column) -> Column:
+    """1 - |ln r| / ln 10 within a factor of ten, else 0."""
+    return F.when((ratio >= 0.1) & (ratio <= 10), 1 - F.abs(F.log(ratio)) / F.log(F.lit(10.0))).otherwise(0.0)
+
+
 def eligible(n: Column, share: Column) -> Column:
     """Whether a cluster has cells enough to be tested."""
     return (n >= 100) & (share >= 0.01)

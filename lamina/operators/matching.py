@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import at_ranks
 from ..sources.scratch import materialize
 
 
@@ -109,22 +110,64 @@ def stratified_sample(df: DataFrame, strata: list[str], key: str, n: int, seed:
     left = F.lit(n) - F.sum("_base").over(total)
     order = F.row_number().over(W.orderBy(F.desc(F.col("_exact") - F.col("_base")), *strata))
     q = q.select(*strata, (F.col("_base") + F.when(order <= left, 1).otherwise(0)).alias("quota"))
-    rank = F.row_number().over(W.partitionBy(*strata).orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 256), key))
-    return df.withColumn("_rank", rank).join(F.broadcast(q), strata).where(F.col("_rank") <= F.col("quota")).drop("_rank", "quota")
+    # The order is that of the hash's hexadecimal digits, so its first twelve of them, as a fraction, bound a quota's share; only what is under the bound is ranked.
+    hash_ = F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 256)
+    share = F.conv(F.substring(hash_, 1, 12), 16, 10).cast("double") / float(1 << 48)
+    few = df.join(q.join(counts, strata), strata).withColumn("_hash", hash_).where((share < (1.5 * F.col("quota") + 50) / F.col("_c")))
+    rank = F.row_number().over(W.partitionBy(*strata).orderBy("_hash", key))
+    return few.withColumn("_rank", rank).where(F.col("_rank") <= F.col("quota")).select(*df.columns)
 
 
 def evenly_spaced(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     """``n`` rows of each group at equal steps of rank, first and last included."""
-    w = W.partitionBy(*keys)
-    rows = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
-    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(k * (F.col("_n") - 1) / F.lit(n - 1)))
-    return rows.where((F.col("_n") <= n) | F.array_contains(at, F.col("_i").cast("bigint"))).drop("_i", "_n")
+    steps = F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(n).cast("bigint"), F.col("_n")) - 1)
+    at = F.transform(steps, lambda k: F.when(F.col("_n") <= n, k).otherwise(F.floor(k * (F.col("_n") - 1) / F.lit(n - 1))))
+    return at_ranks(df, keys, order, at)
 
 
 def threshold_or_top(df: DataFrame, keys: list[str], passes: Column, order: list[Column], k: int) -> DataFrame:
     """The first ``k`` passing rows of each group, or of all its rows where none passes."""
-    rows = df.withColumn("_p", passes).withColumn("_any", F.max("_p").over(W.partitionBy(*keys)))
-    return top_k(rows.where(F.col("_p") | ~F.col("_any")), keys, order, k).drop("_p", "_any")
+    rows = df.withColumn("_p", passes)
+    any_ = rows.groupBy(*keys).agg(F.bool_or("_p").alias("_any"))
+    return top_k(rows.join(any_, keys).where(F.col("_p") | ~F.col("_any")), keys, order, k).drop("_p", "_any")
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with its place from 1 in an order over all rows (W1, W10): rows are sorted by ranges, numbered in each, and each range adds the rows before it."""
+    parts = materialize(df.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row for each range
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_place", place).join(sizes.select("_part", before.alias("_before")), "_part").select(*df.columns, (F.col("_place") + F.col("_before")).cast("bigint").alias(name))
+
+
+def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each group in an order, by an aggregate."""
+    o = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in df.columns if c not in keys]), o).alias("_r")).select(*keys, "_r.*")
+
+
+def mode(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, n): the most frequent value of each group, the smallest of equals."""
+    n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    return first_of(n, keys, [-F.col("n"), F.col(value)])
+
+
+def passing_or_nearest(df: DataFrame, keys: list[str], passes: Column, least: int, order: list[Column]) -> DataFrame:
+    """Passing rows of each group, or its first ``least`` in ``order`` where fewer pass."""
+    rows = df.withColumn("_p", passes)
+    enough = rows.groupBy(*keys).agg((F.count_if("_p") >= least).alias("_enough"))
+    rows = rows.join(enough, keys)
+    return rows.where(F.col("_p") & F.col("_enough")).drop("_p", "_enough").unionByName(top_k(rows.where(~F.col("_enough")), keys, order, least).drop("_p", "_enough", "rank"))
+
+
+def chosen_first(parts: list[DataFrame], key: str, order: str, most: int) -> DataFrame:
+    """``most`` keys from lists of decreasing standing, each key once, in order within its list."""
+    all_ = None
+    for i, p in enumerate(parts):
+        p = p.select(F.lit(i).alias("part"), F.col(key), F.col(order).alias("_o"))
+        all_ = p if all_ is None else all_.unionByName(p)
+    return all_.groupBy(key).agg(F.min(F.struct("part", "_o")).alias("m")).select(key, "m.part", "m._o").orderBy("part", "_o", key).limit(most).select(key, "part")
 
 
 def sparse_cosine(weights: DataFrame, row: str, key: str, value: str, candidates: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import materialize
+from .matching import components
 from .regions import contains, edges, signed_area
 
 
@@ -39,49 +41,75 @@ def ring_cells(points: DataFrame, regions: DataFrame, inner: float, outer: float
     return met.where((F.col("_d") > inner) & (F.col("_d") <= outer) & ~contains(F.col("ring"), F.col("x"), F.col("y"))).select(*points.columns, "region")
 
 
-def _crossings(ring: np.ndarray, level: float) -> np.ndarray:
+def _crossings(ring: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Where horizontal lines cross a ring: a row for each level, in order, filled up with infinity."""
     a, b = ring, np.roll(ring, -1, axis=0)
-    hit = (a[:, 1] > level) != (b[:, 1] > level)
-    a, b = a[hit], b[hit]
-    return np.sort(a[:, 0] + (level - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1]))
+    hit = (a[None, :, 1] > levels[:, None]) != (b[None, :, 1] > levels[:, None])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = a[None, :, 0] + (levels[:, None] - a[None, :, 1]) * ((b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1]))[None, :]
+    at = np.sort(np.where(hit, at, np.inf), axis=1)
+    most = int(hit.sum(axis=1).max(initial=0))
+    return at[:, :most]
 
 
-def _both(p: np.ndarray, q: np.ndarray, level: float) -> float:
-    """Length that two even-odd polygons share on a horizontal line."""
-    x, y = _crossings(p, level), _crossings(q, level)
-    return float(sum(max(0.0, min(b, d) - max(a, c)) for a, b in zip(x[::2], x[1::2], strict=False) for c, d in zip(y[::2], y[1::2], strict=False)))
+def _both(p: np.ndarray, q: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Length that two even-odd polygons share on each horizontal line."""
+    x, y = _crossings(p, levels), _crossings(q, levels)
+    if not x.shape[1] or not y.shape[1]:
+        return np.zeros(len(levels))
+    with np.errstate(invalid="ignore"):
+        low, high = np.maximum(x[:, ::2, None], y[:, None, ::2]), np.minimum(x[:, 1::2, None], y[:, None, 1::2])
+        return np.where(np.isfinite(high) & (high > low), high - low, 0.0).sum(axis=(1, 2))
 
 
 def shared_area(p: np.ndarray, q: np.ndarray) -> float:
     """Area that two simple polygons share. Between the heights of vertices and of edge crossings the shared length is linear, so the middle of each slab gives its area."""
+    a, r = p, np.roll(p, -1, axis=0) - p
+    c, s = q, np.roll(q, -1, axis=0) - q
     cuts = [p[:, 1], q[:, 1]]
-    a, b = p, np.roll(p, -1, axis=0)
-    for c, d in zip(q, np.roll(q, -1, axis=0), strict=True):
-        r, s = b - a, d - c
-        den = r[:, 0] * s[1] - r[:, 1] * s[0]
-        ok = np.abs(den) > 1e-300
-        t = ((c - a)[ok, 0] * s[1] - (c - a)[ok, 1] * s[0]) / den[ok]
-        u = ((c - a)[ok, 0] * r[ok, 1] - (c - a)[ok, 1] * r[ok, 0]) / den[ok]
-        cuts.append((a[ok] + t[:, None] * r[ok])[(t >= 0) & (t <= 1) & (u >= 0) & (u <= 1), 1])
+    for at in range(0, len(c), 1024):
+        den = r[:, None, 0] * s[None, at : at + 1024, 1] - r[:, None, 1] * s[None, at : at + 1024, 0]
+        dx, dy = c[None, at : at + 1024, 0] - a[:, None, 0], c[None, at : at + 1024, 1] - a[:, None, 1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = (dx * s[None, at : at + 1024, 1] - dy * s[None, at : at + 1024, 0]) / den
+            u = (dx * r[:, None, 1] - dy * r[:, None, 0]) / den
+            hit = (np.abs(den) > 1e-300) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+        i, j = np.nonzero(hit)
+        cuts.append(a[i, 1] + t[i, j] * r[i, 1])
     levels = np.unique(np.concatenate(cuts))
-    return float(sum((hi - lo) * _both(p, q, (lo + hi) / 2) for lo, hi in zip(levels, levels[1:], strict=False)))
+    mid, height = (levels[1:] + levels[:-1]) / 2, np.diff(levels)
+    return float(sum((height[k : k + 512] * _both(p, q, mid[k : k + 512])).sum() for k in range(0, len(mid), 512)))
+
+
+def flat(ring: Column) -> Column:
+    """A ring as one array of x and y in turn."""
+    return F.flatten(F.transform(ring, lambda v: F.array(v["x"], v["y"])))
 
 
 @F.pandas_udf(T.DoubleType())
 def shared_area_of(p: pd.Series, q: pd.Series) -> pd.Series:
-    at = lambda r: np.array([(v["x"], v["y"]) for v in r], float)
-    return pd.Series([shared_area(at(a), at(b)) for a, b in zip(p, q, strict=True)], dtype=float)
+    """Shared area of rings given as :func:`flat` arrays."""
+    return pd.Series([shared_area(np.reshape(a, (-1, 2)), np.reshape(b, (-1, 2))) for a, b in zip(p, q, strict=True)], dtype=float)
 
 
-def overlaps(regions: DataFrame, key: str, bin_size: float) -> DataFrame:
-    """(a, b, shared, iou, dice, fraction) of regions that share area (A30, J14, J15): boxes meet by bin, then outlines are overlaid once for each pair."""
-    low = lambda c: F.floor(F.array_min(F.transform("ring", lambda p: p[c])) / bin_size).cast("int")
-    high = lambda c: F.floor(F.array_max(F.transform("ring", lambda p: p[c])) / bin_size).cast("int")
+def near_pairs(regions: DataFrame, key: str, bin_size: float, reach: float = 0.0) -> DataFrame:
+    """(a, b), a < b, of regions whose bounding boxes, widened by ``reach``, touch a common bin."""
+    low = lambda c: F.floor((F.array_min(F.transform("ring", lambda p: p[c])) - reach) / bin_size).cast("int")
+    high = lambda c: F.floor((F.array_max(F.transform("ring", lambda p: p[c])) + reach) / bin_size).cast("int")
     binned = regions.select(key, F.explode(F.sequence(low("x"), high("x"))).alias("_bx"), F.sequence(low("y"), high("y")).alias("_s")).select(key, "_bx", F.explode("_s").alias("_by"))
-    pairs = binned.withColumnRenamed(key, "a").join(binned.withColumnRenamed(key, "b"), ["_bx", "_by"]).where("a < b").select("a", "b").distinct()
-    r = regions.select(key, "ring", F.abs(signed_area(F.col("ring"))).alias("area"))
-    met = pairs.join(r.withColumnsRenamed({key: "a", "ring": "ra", "area": "aa"}), "a").join(r.withColumnsRenamed({key: "b", "ring": "rb", "area": "ab"}), "b")
-    s = met.withColumn("shared", shared_area_of("ra", "rb")).where("shared > 1e-9")
+    return binned.withColumnRenamed(key, "a").join(binned.withColumnRenamed(key, "b"), ["_bx", "_by"]).where("a < b").select("a", "b").distinct()
+
+
+def shared_areas(regions: DataFrame, key: str, bin_size: float) -> DataFrame:
+    """(a, b, aa, ab, shared): areas of regions that overlap, and the area they share. Boxes meet by bin, then outlines are overlaid once for each pair."""
+    r = regions.select(key, flat(F.col("ring")).alias("ring"), F.abs(signed_area(F.col("ring"))).alias("area"))
+    met = near_pairs(regions, key, bin_size).join(r.withColumnsRenamed({key: "a", "ring": "ra", "area": "aa"}), "a").join(r.withColumnsRenamed({key: "b", "ring": "rb", "area": "ab"}), "b")
+    return met.select("a", "b", "aa", "ab", shared_area_of("ra", "rb").alias("shared")).where("shared > 1e-9")
+
+
+def overlaps(regions: DataFrame, key: str, bin_size: float) -> DataFrame:
+    """(a, b, shared, iou, dice, fraction) of regions that share area."""
+    s = shared_areas(regions, key, bin_size)
     return s.select(
         "a", "b", F.round("shared", 1).alias("shared"), F.round(F.col("shared") / (F.col("aa") + F.col("ab") - F.col("shared")), 6).alias("iou"),
         F.round(2 * F.col("shared") / (F.col("aa") + F.col("ab")), 6).alias("dice"), F.round(F.col("shared") / F.least("aa", "ab"), 6).alias("fraction"),
@@ -152,8 +180,14 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 def best_assignment(pairs: DataFrame, groups: list[str], a: str, b: str, score: str) -> DataFrame:
-    """One-to-one pairs of the highest total score in each group, those with a score over zero (J18). A group is one structure in one pair of slices."""
-    out = pairs.select(*groups, a, b, score)
+    """One-to-one pairs of the highest total score in each group, those with a score over zero (J18). A group is one structure in one pair of slices.
+
+    Objects that no chain of candidates connects don't bear on each other, so each connected part is solved on its own.
+    """
+    out = materialize(pairs.select(*groups, a, b, score))
+    name = lambda c: F.concat_ws(":", F.lit(c), *[F.col(g).cast("string") for g in groups], F.col(c).cast("string"))
+    parts = components(out.where(F.col(score) > 0).select(name(a).alias("u"), name(b).alias("v")), "u", "v").withColumnsRenamed({"node": "_node", "component": "_part"})
+    split = out.where(F.col(score) > 0).withColumn("_node", name(a)).join(parts, "_node").drop("_node")
     columns = out.columns
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -163,4 +197,4 @@ def best_assignment(pairs: DataFrame, groups: list[str], a: str, b: str, score:
         best = g.sort_values(score, ascending=False, kind="stable").drop_duplicates([a, b])
         return best[[(x, y) in keep for x, y in zip(best[a], best[b], strict=True)]][columns]
 
-    return out.groupBy(*groups).applyInPandas(run, out.schema)
+    return split.groupBy(*groups, "_part").applyInPandas(run, out.schema)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import Axis, histogram, nearest, within
+from ..functions.quantiles import quantiles
 
 
 def edges(ring: Column) -> Column:
@@ -64,10 +65,10 @@ def measures(regions: DataFrame, key: str) -> DataFrame:
 
 def quantile_boxes(cells: DataFrame, key: str, shift: float) -> DataFrame:
     """(region, ring): the middle half of each group's cells in x and y as a rectangle, moved by ``shift``."""
-    q = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in "xy"]
     at = lambda c, i: F.col(c)[i] + shift
     corner = lambda i, j: F.struct(at("x", i).alias("x"), at("y", j).alias("y"))
-    return cells.groupBy(F.col(key).alias("region")).agg(*q).select("region", F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"))
+    q = quantiles(cells.select(F.col(key).alias("region"), "x", "y"), ["region"], ["x", "y"], [0.25, 0.75])
+    return q.select("region", F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"))
 
 
 def smallest_region(points: DataFrame, regions: DataFrame, point_id: str, bin_size: float) -> DataFrame:
@@ -110,14 +111,17 @@ def away_from(points: DataFrame, others: DataFrame, key: str, radius: float) ->
 
 def search_find(points: DataFrame, key: str, labels: list[str], radius: float, limit: float) -> DataFrame:
     """(a, b, distance): the mean distance from a label's points to the nearest point of another label (X1). Not symmetric."""
-    parts = []
-    for b in labels:
-        near = nearest(points.where(F.col("cluster").isin([a for a in labels if a != b])), points.where(F.col("cluster") == b), key, key, radius, limit)
-        parts.append(near.select(key, F.lit(b).alias("b"), F.sqrt("d2").alias("d")))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found.join(points.select(key, F.col("cluster").alias("a")), key).groupBy("a", "b").agg(F.round(F.avg("d"), 6).alias("distance"))
+    p = points.where(F.col("cluster").isin(labels)).select(key, "x", "y", "cluster")
+    span = p.agg(F.min("x").alias("low"), F.max("x").alias("high")).first()
+    if span.low is None:
+        return p.select(F.col("cluster").alias("a"), F.col("cluster").alias("b"), F.col("x").alias("distance"))
+    # Each target label has a place of its own along x, so that one search serves all pairs of labels.
+    place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("b")) * F.lit(span.high - span.low + 2 * limit + 1.0)
+    asked = p.withColumn("b", F.explode(F.array(*[F.lit(x) for x in labels]))).where("b <> cluster")
+    left = asked.select(F.concat_ws("|", F.col(key).cast("string"), "b").alias("ask"), F.col("cluster").alias("a"), "b", (F.col("x") + place).alias("x"), "y")
+    right = p.withColumn("b", F.col("cluster")).select(key, (F.col("x") + place).alias("x"), "y")
+    near = nearest(left.select("ask", "x", "y"), right, "ask", key, radius, limit)
+    return near.join(left.select("ask", "a", "b"), "ask").groupBy("a", "b").agg(F.round(F.avg(F.sqrt("d2")), 6).alias("distance"))
 
 
 def overlap(spots: DataFrame, x: Axis, y: Axis, key: str, quantile: float) -> DataFrame:
@@ -126,7 +130,7 @@ def overlap(spots: DataFrame, x: Axis, y: Axis, key: str, quantile: float) -> Da
     Fields meet bin by bin in an equi-join; there are as many result rows as pairs of field names.
     """
     v = histogram(spots, x, y, [key], F.col("value")).withColumnRenamed(key, "gene")
-    cut = v.groupBy("gene").agg(F.percentile("value", quantile).alias("cut"))
+    cut = quantiles(v, ["gene"], ["value"], [quantile]).select("gene", F.col("value")[0].alias("cut"))
     hot = v.join(cut, "gene").where("value >= cut").select("gene", "ix", "iy")
     n = hot.groupBy("gene").agg(F.count("*").alias("n"))
     both = hot.withColumnRenamed("gene", "a").join(hot.withColumnRenamed("gene", "b"), ["ix", "iy"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_both"))

@@ -44,10 +44,14 @@ def assign_partition(cells: DataFrame, bins: DataFrame, x: Axis, y: Axis) -> Dat
 
 def purity_recall(cells: DataFrame) -> DataFrame:
     """Per structure: cells, cells its bins hold, own cells in its bins, purity and recall."""
-    own = F.count_if(F.col("structure_id") == F.col("bin_structure"))
-    by_cell = cells.where("structure_id > 0").groupBy("structure_id").agg(F.count("*").alias("n_cells"), own.alias("n_own"))
-    by_bin = cells.where("bin_structure > 0 and structure_id > 0").groupBy(F.col("bin_structure").alias("structure_id")).agg(F.count("*").alias("n_held"))
-    return by_cell.join(by_bin, "structure_id", "left").select(
+    # One pass over cells; all figures come from the counts of pairs of structures.
+    pairs = cells.where("structure_id > 0").groupBy("structure_id", "bin_structure").agg(F.count("*").alias("n"))
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("cell"), F.col("structure_id").alias("s")), F.struct(F.lit(False).alias("cell"), F.col("bin_structure").alias("s")))).alias("e")
+    each = pairs.select("n", (F.col("structure_id") == F.col("bin_structure")).alias("own"), sides).where("e.s > 0").groupBy(F.col("e.s").alias("structure_id")).agg(
+        F.sum(F.when(F.col("e.cell"), F.col("n"))).alias("n_cells"), F.sum(F.when(F.col("e.cell") & F.col("own"), F.col("n")).otherwise(0)).alias("n_own"), F.sum(F.when(~F.col("e.cell"), F.col("n"))).alias("n_held")
+    )
+    by_cell = each.where("n_cells is not null")
+    return by_cell.select(
         "structure_id", "n_cells", "n_own", F.coalesce("n_held", F.lit(0)).alias("n_held"),
         F.round(F.coalesce(F.try_divide("n_own", "n_held"), F.lit(0.0)), 6).alias("purity"), F.round(F.col("n_own") / F.col("n_cells"), 6).alias("recall"),
     )

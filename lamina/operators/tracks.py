@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
+from ..sources.scratch import materialize
 from .matching import components, mutual_best
 
 
 def boxes(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Middle half of each object's cells as a box with area and centre."""
-    q = F.array(F.lit(0.25), F.lit(0.75))
-    t = cells.groupBy(*keys).agg(F.percentile("x", q).alias("qx"), F.percentile("y", q).alias("qy"), F.count("*").alias("n"))
+    n = cells.groupBy(*keys).agg(F.count("*").alias("n"))
+    t = quantiles(cells.select(*keys, "x", "y"), keys, ["x", "y"], [0.25, 0.75]).withColumnsRenamed({"x": "qx", "y": "qy"}).join(n, keys)
     t = t.select(*keys, "n", *[F.col(f"q{c}")[i].alias(f"{c}{i}") for c in "xy" for i in (0, 1)])
     return t.withColumns({"area": (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), "cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2}).where("area > 0")
 
 
-def links(objects: DataFrame, slice_no: str, key: str, group: str, reach: float, max_ratio: float) -> DataFrame:
+def links(objects: DataFrame, slice_no: str, key: str, group: str, reach: float, max_ratio: float, bin_size: float | None = None) -> DataFrame:
     """Candidate links of objects of one group in neighbouring slices, with overlap and score.
 
     Weights: half overlap (intersection over union), three tenths centre distance, a fifth area ratio.
@@ -25,7 +27,14 @@ def links(objects: DataFrame, slice_no: str, key: str, group: str, reach: float,
     a = objects.select(group, F.col(key).alias("source"), (F.col(slice_no) + 1).alias("_s"), *[F.col(c).alias(f"a_{c}") for c in names])
     b = objects.select(group, F.col(key).alias("target"), F.col(slice_no).alias("_s"), *[F.col(c).alias(f"b_{c}") for c in names])
     side = lambda c: F.greatest(F.least(f"a_{c}1", f"b_{c}1") - F.greatest(f"a_{c}0", f"b_{c}0"), F.lit(0.0))
-    met = a.join(b, [group, "_s"])
+    # Boxes that may link, the first widened by the reach, meet in the bins they touch; a pair counts in the bin of the upper of its lower corners.
+    size = bin_size or 8 * reach
+    cover = lambda n, by: {f"_b{c}": F.explode(F.sequence(F.floor((F.col(f"{n}_{c}0") - by) / size), F.floor((F.col(f"{n}_{c}1") + by) / size))) for c in "xy"}
+    for c in "xy":
+        a, b = a.withColumn(f"_b{c}", cover("a", reach)[f"_b{c}"]), b.withColumn(f"_b{c}", cover("b", 0.0)[f"_b{c}"])
+    met = a.join(b, [group, "_s", "_bx", "_by"])
+    for c in "xy":
+        met = met.where(F.col(f"_b{c}") == F.floor(F.greatest(F.col(f"a_{c}0") - reach, F.col(f"b_{c}0")) / size))
     inter = side("x") * side("y")
     met = met.withColumn("iou", inter / (F.col("a_area") + F.col("b_area") - inter)).withColumn("distance", F.hypot(F.col("a_cx") - F.col("b_cx"), F.col("a_cy") - F.col("b_cy")))
     met = met.withColumn("ratio", F.greatest("a_area", "b_area") / F.least("a_area", "b_area")).where(((F.col("iou") >= 0.1) | (F.col("distance") <= reach)) & (F.col("ratio") <= max_ratio))
@@ -41,4 +50,6 @@ def chains(objects: DataFrame, accepted: DataFrame, key: str, slice_no: str) ->
 
 
 def track(objects: DataFrame, slice_no: str, key: str, group: str, reach: float, max_ratio: float) -> DataFrame:
-    return chains(objects, mutual_best(links(objects, slice_no, key, group, reach, max_ratio), "source", "target", "score"), key, slice_no)
+    objects = materialize(objects)
+    found = materialize(links(objects, slice_no, key, group, reach, max_ratio))
+    return chains(objects, mutual_best(found, "source", "target", "score"), key, slice_no)

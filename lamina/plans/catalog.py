@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fields, geometry, relations, structures
+from . import contours, details, fields, geometry, relations, splits, structures
 
-MODULES = [structures, relations, fields, geometry]
+MODULES = [structures, relations, fields, geometry, contours, splits, details]
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
 FLAGSHIP = "qc_purity_recall"

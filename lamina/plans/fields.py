@@ -52,7 +52,9 @@ def x19_patterns(spark, sf):
     x, y = Axis(-1.0, 1.0, 20), Axis(-1.0, 1.0, 20)
     p = tables.points(spark, sf).where(x.inside("x") & y.inside("y"))
     window = p.select(x.clipped("x").alias("ix"), y.clipped("y").alias("iy"))
-    found = patterns.pattern_tests(p.select(F.col("cluster").alias("key"), F.col("vec_id").alias("id"), "x", "y"), window, x, y, [0.02, 0.04, 0.06, 0.08, 0.1], 19)
+    window = window.withColumn("window", F.lit("all"))
+    tests = p.select(F.col("cluster").alias("key")).distinct().select("key", F.lit("all").alias("window"), F.lit(None).cast("string").alias("pool"))
+    found = patterns.pattern_tests(p.select(F.col("cluster").alias("key"), F.col("vec_id").alias("id"), "x", "y"), tests, window, x, y, [0.02, 0.04, 0.06, 0.08, 0.1])
     return found.select("key", "n_cells", "n_used", *[F.round(c, 6).alias(c) for c in ("di", "p_clustered", "p_regular", "ce", "p_ce")])
 
 
@@ -130,6 +132,10 @@ ORACLE_SQL = {
       s AS (SELECT t.b AS t, sum(n) FILTER (m.b <= t.b) AS n0, sum(n) FILTER (m.b > t.b) AS n1, sum(n * mid) FILTER (m.b <= t.b) AS s0, sum(n * mid) FILTER (m.b > t.b) AS s1 FROM m, (SELECT b FROM h) t GROUP BY t.b)
       SELECT round(CAST((t + 1) * {1060.0 / 64} AS DOUBLE), 6) AS threshold FROM s WHERE n0 > 0 AND n1 > 0 ORDER BY round(CAST(n0 AS DOUBLE) * n1 * (s0 / n0 - s1 / n1) * (s0 / n0 - s1 / n1), 3) DESC, t LIMIT 1""",
     "x26_links": f"WITH {_BOXES} SELECT source, target, iou, score FROM l",
+    "x26_tracks": f"""WITH RECURSIVE {_BOXES}, o1 AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, target) = 1),
+      i1 AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, source) = 1), e AS (SELECT o1.source AS s, o1.target AS t FROM o1 JOIN i1 USING (source, target)),
+      g AS (SELECT s AS u, t AS v FROM e UNION ALL SELECT t, s FROM e), r(u, v) AS (SELECT u, v FROM g UNION SELECT r.u, g.v FROM r JOIN g ON r.v = g.u), c AS (SELECT u, least(u, min(v)) AS c FROM r GROUP BY u)
+      SELECT coalesce(c.c, b.id) AS track, count(DISTINCT sample) AS n_slices, min(sample) AS first_slice, max(sample) AS last_slice, round(avg(area), 2) AS mean_area FROM b LEFT JOIN c ON c.u = b.id GROUP BY 1""",
     "x37_band_signatures": f"""WITH t AS (SELECT * FROM {_TX} WHERE k IS NOT NULL), q AS (SELECT cell, quantile_cont(CAST(k AS DOUBLE), {1 / 3!r}::DOUBLE) AS lo, quantile_cont(CAST(k AS DOUBLE), {2 / 3!r}::DOUBLE) AS hi FROM t GROUP BY cell),
       r AS (SELECT CASE WHEN k <= lo THEN 'low' WHEN k >= hi THEN 'high' END AS band, gene FROM t JOIN q USING (cell)), n AS (SELECT band, gene, count(*) AS n FROM r WHERE band IS NOT NULL GROUP BY band, gene)
       SELECT band, gene, round(n / sum(n) OVER (PARTITION BY band), 6) AS share FROM n""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment, orientation, overlay, quality, raster, regions, structure
 from ..sources import tables
+from ..sources.scratch import materialize
 from .fields import _objects
 from .structures import _BOXES, _CELLS, _PLACED, _SPOTS, SPEC, X, Y
 
@@ -58,8 +59,9 @@ def x34_signed_distance(spark, sf):
 def _landmarks(spark, sf):
     """Regions of each cluster in odd and even slices as matching points."""
     s = tables.spots(spark, sf)
-    at = lambda odd, a, b: s.where(F.col("sample") % 2 == odd).groupBy("cluster", "region").agg(F.avg("x").alias(a), (F.avg("y") * 20).alias(b))
-    return at(1, "x", "y").join(at(0, "u", "v"), ["cluster", "region"])
+    at = lambda odd, a, b, n: s.where(F.col("sample") % 2 == odd).groupBy("cluster", "region").agg(F.avg("x").alias(a), (F.avg("y") * 20).alias(b), F.count("*").alias(n))
+    both = at(1, "x", "y", "_m").join(at(0, "u", "v", "_n"), ["cluster", "region"])
+    return both.withColumn("score", F.round(F.least("_m", "_n") / F.greatest("_m", "_n"), 6)).drop("_m", "_n")
 
 
 def x47_procrustes(spark, sf):
@@ -68,8 +70,12 @@ def x47_procrustes(spark, sf):
 
 
 def x47_consensus(spark, sf):
-    a = _landmarks(spark, sf).where("cluster = 'AF'").select(F.col("region").alias("id"), "x", "y", "u", "v")
-    return alignment.consensus(a, 60.0, 30).select("a", "b", "inliers")
+    a = _landmarks(spark, sf).withColumnRenamed("region", "id")
+    return alignment.consensus(a, ["cluster"], 60.0, 30).select("cluster", "a", "b", "inliers")
+
+
+def z8_coverage(spark, sf):
+    return alignment.coverage(_landmarks(spark, sf), ["cluster"]).select("cluster", "n", "quadrants", F.round("evenness", 6).alias("evenness"))
 
 
 def x36_projection(spark, sf):
@@ -78,8 +84,8 @@ def x36_projection(spark, sf):
 
 
 def x46_warp(spark, sf):
-    a = _landmarks(spark, sf).where("cluster = 'AF'").select(F.col("region").alias("id"), "x", "y", "u", "v")
-    warped = alignment.landmark_warp(tables.spots(spark, sf).select("cluster", "x", (F.col("y") * 20).alias("y")), a, 50, 100.0)
+    a = _landmarks(spark, sf).withColumnRenamed("region", "id")
+    warped = alignment.landmark_warp(tables.spots(spark, sf).select("cluster", "x", (F.col("y") * 20).alias("y")), a, "cluster", 50, 100.0)
     return warped.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.avg("x"), 2).alias("mean_x"), F.round(F.avg("y"), 2).alias("mean_y"))
 
 
@@ -97,26 +103,45 @@ def x38_orientation(spark, sf):
     near = F.round(1 / (1 + F.abs(F.col("cx") - F.col("nx")) / 50), 6)
     flip = F.round(10 * F.abs(F.col("w") - F.col("nw")), 6)
     e = t.join(nxt, ["region", "sample"]).select("region", "sample", near.alias("s00"), flip.alias("s01"), flip.alias("s10"), near.alias("s11"))
-    return orientation.best_orientation(e, ["region"], "sample").select("region", "n_edges", "path", F.round("score", 5).alias("score"))
+    best = orientation.best_orientation(e, ["region"], "sample")
+    return best.select("region", "n_edges", "path", F.round("score", 5).alias("score"), F.round("margin", 5).alias("margin"))
 
 
-def x20_structure_quality(spark, sf):
+def _quality(spark, sf):
+    """(cells with their structures, bins, results of all tests)."""
     bins, _ = _mask(spark, sf)
     cells = structure.assign_partition(structure.assign_structure(tables.cells(spark, sf), SPEC), bins, X, Y)
-    found = quality.structure_quality(cells, bins, X, Y, [50.0, 100.0, 150.0])
-    return found.select("structure_id", "n_cells", "n_used", *[F.round(c, 6).alias(c) for c in ("di_in", "di_tissue", "p_tissue", "explained")], "verdict")
+    return cells, bins, materialize(quality.structure_tests(cells, bins, X, Y, [50.0, 100.0, 150.0]))
+
+
+def x20_structure_quality(spark, sf):
+    cells, bins, found = _quality(spark, sf)
+    found = quality.structure_quality(found, quality.cluster_quality(cells, bins, X, Y, found), cells.where("structure_id > 0").select("structure_id", "cluster").distinct())
+    return found.select("structure_id", "n_cells", "n_used", *[F.round(c, 6).alias(c) for c in ("di_in", "di_tissue", "p_tissue", "explained")], "verdict", "n_hotspots", "split")
+
+
+def x20_cluster_quality(spark, sf):
+    cells, bins, found = _quality(spark, sf)
+    c = quality.cluster_quality(cells, bins, X, Y, found).join(quality.before_after(found).drop("p_original"), ["structure_id", "cluster"], "left")
+    return c.select("structure_id", "cluster", *[F.round(v, 6).alias(v) for v in ("di_csr", "p_csr", "di_rl", "p_rl", "edge_ratio", "di_original", "d_di")], "status", "at_edge", "role")
+
+
+def x20_border_depth(spark, sf):
+    """Distances of a structure's bins to its border, as the edge ratio takes them."""
+    d = quality.border_distances(_mask(spark, sf)[0], X, Y)
+    return d.select(F.col("ix").cast("bigint").alias("ix"), F.col("iy").cast("bigint").alias("iy"), F.round("depth", 4).alias("depth"))
 
 
 def d5_tested_clusters(spark, sf):
     return quality.tested_clusters(structure.assign_structure(tables.cells(spark, sf), SPEC))
 
 
-NAMES = "x38_orientation x20_structure_quality d5_tested_clusters j13_ring_cells a30_overlaps x14_hulls x54_components x10_morphology x10_filled x34_signed_distance x47_procrustes x47_consensus x36_projection x46_warp j18_assignment".split()
+NAMES = "z8_coverage x20_cluster_quality x20_border_depth x38_orientation x20_structure_quality d5_tested_clusters j13_ring_cells a30_overlaps x14_hulls x54_components x10_morphology x10_filled x34_signed_distance x47_procrustes x47_consensus x36_projection x46_warp j18_assignment".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _BOX = _BOXES.format(e=0.0037)
-_LAND = f"""o AS (SELECT cluster, region, avg(x) AS x, avg(y) * 20 AS y FROM {_SPOTS} WHERE sample % 2 = 1 GROUP BY ALL), e AS (SELECT cluster, region, avg(x) AS u, avg(y) * 20 AS v FROM {_SPOTS} WHERE sample % 2 = 0 GROUP BY ALL),
-l AS (SELECT * FROM o JOIN e USING (cluster, region))"""
+_LAND = f"""o AS (SELECT cluster, region, avg(x) AS x, avg(y) * 20 AS y, count(*) AS m FROM {_SPOTS} WHERE sample % 2 = 1 GROUP BY ALL), e AS (SELECT cluster, region, avg(x) AS u, avg(y) * 20 AS v, count(*) AS n FROM {_SPOTS} WHERE sample % 2 = 0 GROUP BY ALL),
+l AS (SELECT *, round(least(m, n) / greatest(m, n), 6) AS score FROM o JOIN e USING (cluster, region))"""
 _FIT = """m AS (SELECT cluster, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv FROM l GROUP BY cluster),
 c AS (SELECT cluster, sum((x - mx) * (u - mu) + (y - my) * (v - mv)) AS dt, sum((x - mx) * (v - mv) - (y - my) * (u - mu)) AS cr, sum((x - mx) * (x - mx) + (y - my) * (y - my)) AS s,
   sum((u - mu) * (u - mu) + (v - mv) * (v - mv)) AS t, count(*) AS n FROM l JOIN m USING (cluster) GROUP BY cluster),
@@ -131,13 +156,38 @@ ORACLE_SQL = {
       SELECT a, b, round(shared, 1) AS shared, round(shared / (aa + ab - shared), 6) AS iou, round(2 * shared / (aa + ab), 6) AS dice, round(shared / least(aa, ab), 6) AS fraction FROM s WHERE shared > 0""",
     "x54_components": f"""WITH RECURSIVE {_PLACED}, m AS (SELECT ix, iy, iy * {NX} + ix AS no FROM bins WHERE bin_structure = 1), g AS (SELECT p.no AS a, q.no AS b FROM m p JOIN m q ON abs(p.ix - q.ix) + abs(p.iy - q.iy) = 1),
       r(a, b) AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a) SELECT ix, iy, least(no, coalesce(low, no)) AS component FROM m LEFT JOIN (SELECT a, min(b) AS low FROM r GROUP BY a) ON a = no""",
+    "x10_morphology": f"""WITH {_PLACED}, m AS (SELECT ix, iy FROM bins WHERE bin_structure = 1), s(dx, dy) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)),
+      d AS (SELECT DISTINCT ix + dx AS ix, iy + dy AS iy FROM m, s WHERE ix + dx BETWEEN 0 AND {NX - 1} AND iy + dy BETWEEN 0 AND {NY - 1}),
+      c AS (SELECT ix + dx AS ix, iy + dy AS iy FROM d, s WHERE ix + dx BETWEEN 0 AND {NX - 1} AND iy + dy BETWEEN 0 AND {NY - 1} GROUP BY ALL HAVING count(*) = 5),
+      e AS (SELECT ix + dx AS ix, iy + dy AS iy FROM m, s WHERE ix + dx BETWEEN 0 AND {NX - 1} AND iy + dy BETWEEN 0 AND {NY - 1} GROUP BY ALL HAVING count(*) = 5),
+      o AS (SELECT DISTINCT ix + dx AS ix, iy + dy AS iy FROM e, s WHERE ix + dx BETWEEN 0 AND {NX - 1} AND iy + dy BETWEEN 0 AND {NY - 1})
+      SELECT 'closed' AS step, count(*) AS n, CAST(sum(ix) AS BIGINT) AS sum_ix, CAST(sum(iy) AS BIGINT) AS sum_iy FROM c HAVING count(*) > 0 UNION ALL SELECT 'opened', count(*), CAST(sum(ix) AS BIGINT), CAST(sum(iy) AS BIGINT) FROM o HAVING count(*) > 0""",
+    "x10_filled": f"""WITH RECURSIVE {_PLACED}, m AS (SELECT ix, iy, iy * {NX} + ix AS no FROM bins WHERE bin_structure = 1),
+      q AS (SELECT no % {NX} AS ix, no // {NX} AS iy, no FROM (SELECT unnest(range({NX * NY})) AS no) WHERE no NOT IN (SELECT no FROM m)),
+      out(no, ix, iy) AS (SELECT no, ix, iy FROM q WHERE ix = 0 OR iy = 0 OR ix = {NX - 1} OR iy = {NY - 1} UNION SELECT q.no, q.ix, q.iy FROM out JOIN q ON abs(q.ix - out.ix) + abs(q.iy - out.iy) = 1),
+      f AS (SELECT no, no % {NX} AS ix, no // {NX} AS iy FROM (SELECT unnest(range({NX * NY})) AS no) WHERE no NOT IN (SELECT no FROM out)),
+      e AS (SELECT a.no AS a, b.no AS b FROM f a JOIN f b ON abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1), r(a, b) AS (SELECT no, no FROM f UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+      big AS (SELECT a FROM r GROUP BY a HAVING count(*) >= 3) SELECT CAST(iy AS INT) AS iy, count(*) AS n FROM f WHERE no IN (SELECT a FROM big) GROUP BY 1""",
+    "x38_orientation": f"""WITH RECURSIVE t AS (SELECT region, sample, avg(x) AS cx, avg(weight) AS w FROM {_SPOTS} GROUP BY ALL),
+      e AS (SELECT a.region, a.sample, round(1 / (1 + abs(a.cx - b.cx) / 50), 6) AS same, round(10 * abs(a.w - b.w), 6) AS flip, row_number() OVER (PARTITION BY a.region ORDER BY a.sample) AS i, count(*) OVER (PARTITION BY a.region) AS n
+        FROM t a JOIN t b ON a.region = b.region AND b.sample = a.sample + 1),
+      r(region, i, n, path, score) AS (SELECT DISTINCT region, CAST(0 AS BIGINT), n, s, CAST(0 AS DOUBLE) FROM e, (VALUES ('0'), ('1')) v(s)
+        UNION ALL SELECT r.region, e.i, r.n, r.path || s, r.score + CASE WHEN right(r.path, 1) = s THEN same ELSE flip END FROM r JOIN e ON e.region = r.region AND e.i = r.i + 1, (VALUES ('0'), ('1')) v(s))
+      SELECT region, any_value(n) AS n_edges, arg_min(path, (-round(score, 9), reverse(path))) AS path, round(max(score), 5) AS score,
+      round(abs(max(score) FILTER (right(path, 1) = '0') - max(score) FILTER (right(path, 1) = '1')), 5) AS margin FROM r WHERE i = n GROUP BY region""",
     "x34_signed_distance": f"""WITH {_PLACED} SELECT p.ix, p.iy, round(CASE WHEN p.bin_structure = 1 THEN -1 ELSE 1 END * min(sqrt((p.ix - q.ix) * (p.ix - q.ix) + (p.iy - q.iy) * (p.iy - q.iy))), 6) AS distance
       FROM bins p JOIN bins q ON (p.bin_structure = 1) <> (q.bin_structure = 1) GROUP BY p.ix, p.iy, p.bin_structure""",
     "x47_procrustes": f"WITH {_LAND}, {_FIT} SELECT cluster, round(degrees(atan2(b, a)), 3) AS rotation, round(sqrt(a * a + b * b), 3) AS scale, round(dx, 3) AS dx, round(dy, 3) AS dy, round(residual, 3) AS residual FROM f",
     "x36_projection": f"""WITH {_LAND}, {_FIT} SELECT cluster, count(*) AS n, round(avg(a * p.x - b * p.y * 20 + dx), 3) AS mean_x, round(avg(b * p.x + a * p.y * 20 + dy), 3) AS mean_y FROM {_SPOTS} p JOIN f USING (cluster) GROUP BY cluster""",
-    "x47_consensus": f"""WITH {_LAND}, k AS (SELECT region AS id, x, y, u, v FROM l WHERE cluster = 'AF' ORDER BY region LIMIT 30),
-      t AS (SELECT p.id AS a, q.id AS b, p.x AS x0, p.y AS y0, p.u AS u0, p.v AS v0, q.x - p.x AS px, q.y - p.y AS py, q.u - p.u AS qx, q.v - p.v AS qy FROM k p JOIN k q ON p.id < q.id),
+    "x47_consensus": f"""WITH {_LAND}, k AS (SELECT cluster, region AS id, x, y, u, v FROM l QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY score DESC, region) <= 30),
+      t AS (SELECT p.cluster, p.id AS a, q.id AS b, p.x AS x0, p.y AS y0, p.u AS u0, p.v AS v0, q.x - p.x AS px, q.y - p.y AS py, q.u - p.u AS qx, q.v - p.v AS qy FROM k p JOIN k q ON p.cluster = q.cluster AND p.id < q.id),
       c AS (SELECT *, (px * qx + py * qy) / (px * px + py * py) AS c, (px * qy - py * qx) / (px * px + py * py) AS d FROM t WHERE px * px + py * py > 0),
-      g AS (SELECT a, b, c, d, u0 - c * x0 + d * y0 AS dx, v0 - d * x0 - c * y0 AS dy FROM c)
-      SELECT a, b, count(*) FILTER (round(sqrt(power(c * x - d * y + dx - u, 2) + power(d * x + c * y + dy - v, 2)), 6) <= 60) AS inliers FROM g, k GROUP BY a, b""",
+      g AS (SELECT cluster, a, b, c, d, u0 - c * x0 + d * y0 AS dx, v0 - d * x0 - c * y0 AS dy FROM c)
+      SELECT cluster, a, b, count(*) FILTER (round(sqrt(power(c * x - d * y + dx - u, 2) + power(d * x + c * y + dy - v, 2)), 6) <= 60) AS inliers FROM g JOIN l USING (cluster) GROUP BY cluster, a, b""",
+    "z8_coverage": f"""WITH {_LAND}, b AS (SELECT cluster, (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my FROM l GROUP BY cluster),
+      q AS (SELECT cluster, CAST(x >= mx AS INT) * 2 + CAST(y >= my AS INT) AS q, count(*) AS k FROM l JOIN b USING (cluster) GROUP BY ALL), t AS (SELECT cluster, q, k, sum(k) OVER (PARTITION BY cluster) AS t FROM q)
+      SELECT cluster, CAST(max(t) AS BIGINT) AS n, count(*) AS quadrants, round(-sum(k / t * ln(k / t)) / ln(4), 6) AS evenness FROM t GROUP BY cluster""",
+    "x20_border_depth": f"""WITH {_PLACED}, g AS (SELECT ix, iy, bin_structure AS s FROM bins WHERE bin_structure > 0), n AS (SELECT unnest(range(-1, {NX} + 1)) AS ix), m AS (SELECT unnest(range(-1, {NY} + 1)) AS iy),
+      f AS (SELECT n.ix, m.iy, coalesce(g.s, 0) AS s FROM n CROSS JOIN m LEFT JOIN g ON g.ix = n.ix AND g.iy = m.iy)
+      SELECT g.ix, g.iy, round(min(sqrt(power((g.ix - f.ix) * {X.step}, 2) + power((g.iy - f.iy) * {Y.step}, 2))), 4) AS depth FROM g JOIN f ON f.s <> g.s GROUP BY g.ix, g.iy""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import aggregates as A
+from ..operators import alignment
 from ..operators import decisions as D
 from ..operators import matching as M
 from ..sources import tables
@@ -112,12 +113,12 @@ def a22_pair_totals(spark, sf):
 
 
 def a23_dense_pairs(spark, sf):
-    some = A.pair_totals(_nation_edges(spark, sf).where("l_quantity > 49"), "c_nationkey", "s_nationkey", "l_quantity")
+    some = A.pair_totals(_nation_edges(spark, sf), "c_nationkey", "s_nationkey", "l_quantity")
     return A.dense_pairs(read(spark, sf, "nation").select(F.col("n_nationkey").alias("label")), some)
 
 
 def a24_degrees(spark, sf):
-    return A.degrees(_nation_edges(spark, sf).where("l_quantity > 49"), "c_nationkey", "s_nationkey", "l_quantity")
+    return A.degrees(_nation_edges(spark, sf), "c_nationkey", "s_nationkey", "l_quantity")
 
 
 def a26_signature(spark, sf):
@@ -138,7 +139,7 @@ def a34_region_table(spark, sf):
 
 def w1_rank(spark, sf):
     counts = tables.spots(spark, sf).groupBy("region").agg(F.round(F.sum("x"), 2).alias("total"))
-    return counts.withColumn("place", F.row_number().over(W.orderBy(F.desc("total"), "region")).cast("bigint")).withColumn("name", F.format_string("region_%04d", "place"))
+    return M.global_rank(counts, [F.desc("total"), F.col("region")], "place").withColumn("name", F.format_string("region_%04d", "place"))
 
 
 def w2_pct_rank(spark, sf):
@@ -221,7 +222,7 @@ def d3_status(spark, sf):
 
 
 def d6_quality(spark, sf):
-    t = tables.spots(spark, sf).where("region % 7 <> 3 or sample < 3").groupBy("region").agg(
+    t = tables.spots(spark, sf).groupBy("region").agg(
         F.countDistinct("sample").alias("n_slices"), (F.min("weight") + F.avg("weight")).alias("overlap"), (F.max("x") - F.avg("x")).alias("jump"), (F.stddev_pop("x") / F.avg("x")).alias("cv"),
         F.count_if(F.col("weight") > 0.099).alias("n_high"),
     )
@@ -232,7 +233,7 @@ def d6_quality(spark, sf):
 
 
 def d9_motif(spark, sf):
-    links = _pairs(spark, sf).where("n >= 2").select((F.col("b") % 40).alias("family"), F.col("a").alias("source"), F.col("b").alias("target"), F.when(F.col("score") > 90, "candidate_branch_merge").otherwise("link").alias("kind"))
+    links = _pairs(spark, sf).select((F.col("b") % 40).alias("family"), F.col("a").alias("source"), F.col("b").alias("target"), F.when(F.col("score") > 90, "candidate_branch_merge").otherwise("link").alias("kind"))
     return D.motifs(links, "family", "source", "target", "kind")
 
 
@@ -273,8 +274,7 @@ def x60_case_bundle(spark, sf):
 def z28_drift(spark, sf):
     """Slope of the slices' centroids by order, taken off."""
     t = tables.spots(spark, sf).groupBy("sample").agg(F.avg("x").alias("cx"))
-    slope = t.agg(F.regr_slope("cx", F.col("sample").cast("double")).alias("slope"))
-    return t.crossJoin(F.broadcast(slope)).select("sample", F.round(F.col("cx") - F.col("slope") * F.col("sample"), 4).alias("steady_x"))
+    return alignment.drift_free(t, "sample", "cx").select("sample", F.round("steady", 4).alias("steady_x"))
 
 
 NAMES = [
@@ -315,9 +315,9 @@ ORACLE_SQL = {
     "a17_flag_union": f"""WITH f AS (SELECT DISTINCT cell, unnest(list_filter([gene, CASE WHEN k > 50 THEN 'high' END, CASE WHEN qv > 50 THEN 'bright' END], lambda x: x IS NOT NULL)) AS f FROM {_TX} WHERE qv > 15)
       SELECT cell, string_agg(f, ';' ORDER BY f) AS flags, count(*) AS n_flags FROM f GROUP BY cell""",
     "a22_pair_totals": f"WITH {_EDGES} SELECT least(c, s) AS a, greatest(c, s) AS b, count(*) AS n, round(sum(q), 4) AS total FROM e GROUP BY ALL",
-    "a23_dense_pairs": f"""WITH {_EDGES}, t AS (SELECT least(c, s) AS a, greatest(c, s) AS b, count(*) AS n, round(sum(q), 4) AS total FROM e WHERE q > 49 GROUP BY ALL)
+    "a23_dense_pairs": f"""WITH {_EDGES}, t AS (SELECT least(c, s) AS a, greatest(c, s) AS b, count(*) AS n, round(sum(q), 4) AS total FROM e GROUP BY ALL)
       SELECT x.n_nationkey AS a, y.n_nationkey AS b, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM nation x JOIN nation y ON x.n_nationkey <= y.n_nationkey LEFT JOIN t ON t.a = x.n_nationkey AND t.b = y.n_nationkey""",
-    "a24_degrees": f"""WITH {_EDGES}, b AS (SELECT c AS node, s AS other, q FROM e WHERE q > 49 UNION ALL SELECT s, c, q FROM e WHERE q > 49 AND c <> s)
+    "a24_degrees": f"""WITH {_EDGES}, b AS (SELECT c AS node, s AS other, q FROM e UNION ALL SELECT s, c, q FROM e WHERE c <> s)
       SELECT node, count(DISTINCT other) FILTER (other <> node) AS n_neighbours, count(*) AS n_edges, round(sum(q), 2) AS strength FROM b GROUP BY node""",
     "a26_signature": f"""WITH n AS (SELECT cell, count(*) FILTER (gene IN ('purchase', 'signup')) AS c, count(*) FILTER (gene IN ('click', 'view')) AS b, count(*) FILTER (gene = 'error') AS e FROM {_TX} GROUP BY cell)
       SELECT cell, CASE WHEN greatest(c, b, e) <= 0 THEN 'unresolved' WHEN c = greatest(c, b, e) THEN 'commerce' WHEN b = greatest(c, b, e) THEN 'browse' ELSE 'stress' END AS state, greatest(c, b, e) AS score FROM n""",
@@ -351,10 +351,10 @@ ORACLE_SQL = {
       SELECT region, CASE WHEN dt <= 0 OR p > 0.05 THEN 'FAIL' WHEN di <= 0.10 THEN 'PASS' WHEN di <= 0.30 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict, round(CASE WHEN dt > 0 THEN 1 - greatest(di, 0) / dt END, 6) AS explained FROM t""",
     "d3_status": f"""WITH t AS (SELECT region, avg(weight) * 20 - 1 AS rl, (avg(y) - 25) / 2 AS csr, stddev_pop(weight) * 1.6 AS p FROM {_SPOTS} GROUP BY region)
       SELECT region, CASE WHEN rl >= 0.30 AND csr >= 0.30 AND p <= 0.05 THEN 'HOTSPOT' WHEN rl >= 0.15 AND p <= 0.05 THEN 'CLUSTERED' WHEN rl <= -0.15 THEN 'DISPERSED' ELSE 'RANDOM-LIKE' END AS status FROM t""",
-    "d6_quality": f"""WITH t AS (SELECT region, count(DISTINCT sample) AS n, min(weight) + avg(weight) AS o, max(x) - avg(x) AS j, stddev_pop(x) / avg(x) AS cv, count(*) FILTER (weight > 0.099) > 60 AS br FROM {_SPOTS} WHERE region % 7 <> 3 OR sample < 3 GROUP BY region),
+    "d6_quality": f"""WITH t AS (SELECT region, count(DISTINCT sample) AS n, min(weight) + avg(weight) AS o, max(x) - avg(x) AS j, stddev_pop(x) / avg(x) AS cv, count(*) FILTER (weight > 0.099) > 60 AS br FROM {_SPOTS} GROUP BY region),
       q AS (SELECT *, CASE WHEN n <= 1 THEN 'isolated' WHEN n <= 2 OR br THEN 'review' WHEN o < 0.0495 OR j > 550 OR cv > 0.56 THEN 'review' ELSE 'good' END AS quality FROM t)
       SELECT region, quality, CAST(CASE quality WHEN 'review' THEN CASE WHEN br THEN 0 WHEN o < 0.05 THEN 1 ELSE 2 END WHEN 'isolated' THEN 3 ELSE CASE WHEN n <= 3 THEN 4 ELSE 5 END END AS BIGINT) AS priority FROM q""",
-    "d9_motif": f"""WITH {_PAIRS}, l AS (SELECT b % 40 AS family, a, b, score > 90 AS br FROM p WHERE n >= 2), o AS (SELECT family, max(k) AS mo FROM (SELECT family, a, count(DISTINCT b) AS k FROM l GROUP BY ALL) GROUP BY family),
+    "d9_motif": f"""WITH {_PAIRS}, l AS (SELECT b % 40 AS family, a, b, score > 90 AS br FROM p), o AS (SELECT family, max(k) AS mo FROM (SELECT family, a, count(DISTINCT b) AS k FROM l GROUP BY ALL) GROUP BY family),
       i AS (SELECT family, max(k) AS mi FROM (SELECT family, b, count(DISTINCT a) AS k FROM l GROUP BY ALL) GROUP BY family), x AS (SELECT family, bool_or(br) AS br FROM l GROUP BY family)
       SELECT family, CASE WHEN NOT br THEN 'linear' WHEN mo > 1 AND mi <= 1 THEN 'candidate_split' WHEN mi > 1 AND mo <= 1 THEN 'candidate_merge' ELSE 'complex' END AS motif FROM o JOIN i USING (family) JOIN x USING (family)""",
     "d20_boundary": f"""WITH t AS (SELECT cell, count(*) FILTER (gene = 'click') AS rec, count(*) FILTER (gene = 'view') AS lig, count(*) AS n, count(*) FILTER (qv > 30) AS ring, avg(qv) AS dens FROM {_TX} GROUP BY cell)

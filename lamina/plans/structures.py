@@ -83,13 +83,13 @@ def j9_pair_counts(spark, sf):
 
 def j6_nearest(spark, sf):
     p = tables.points(spark, sf).select("vec_id", "x", "y", "cluster")
-    near = nearest(p.where("cluster = '0'"), p.where("cluster <> '0'"), "vec_id", "vec_id", 0.1, 5.0)
+    near = nearest(p, p.where("cluster = '3'"), "vec_id", "vec_id", 0.1, 5.0)
     return near.select("vec_id", F.col("near_vec_id").alias("near_id"), F.round(F.sqrt("d2"), 6).alias("distance"))
 
 
 def x1_search_find(spark, sf):
     p = tables.points(spark, sf).select("vec_id", "x", "y", "cluster")
-    return regions.search_find(p, "vec_id", ["0", "1", "2"], 0.2, 5.0)
+    return regions.search_find(p, "vec_id", [str(i) for i in range(10)], 0.2, 5.0)
 
 
 def p16_crowded_filter(spark, sf):
@@ -177,9 +177,9 @@ ORACLE_SQL = {
     + ", ".join(f"count(*) FILTER ({_D2} <= {r * r}) AS pairs_{i + 1}" for i, r in enumerate([0.01, 0.02, 0.03, 0.04, 0.05]))
     + f" FROM {_POINTS} a JOIN {_POINTS} b ON a.cluster = b.cluster AND a.vec_id <> b.vec_id WHERE {_D2} <= {0.05 * 0.05} GROUP BY a.cluster",
     "j6_nearest": f"""SELECT vec_id, near_id, round(sqrt(d2), 6) AS distance FROM (SELECT a.vec_id, b.vec_id AS near_id, {_D2} AS d2, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_D2}, b.vec_id) AS k
-      FROM {_POINTS} a JOIN {_POINTS} b ON a.cluster = '0' AND b.cluster <> '0') WHERE k = 1""",
+      FROM {_POINTS} a JOIN {_POINTS} b ON b.cluster = '3') WHERE k = 1""",
     "x1_search_find": f"""SELECT a, b, round(avg(d), 6) AS distance FROM (SELECT a.cluster AS a, b.cluster AS b, a.vec_id, sqrt(min({_D2})) AS d FROM {_POINTS} a JOIN {_POINTS} b
-      ON a.cluster IN ('0', '1', '2') AND b.cluster IN ('0', '1', '2') AND a.cluster <> b.cluster GROUP BY a.cluster, b.cluster, a.vec_id) GROUP BY a, b""",
+      ON a.cluster <> b.cluster GROUP BY a.cluster, b.cluster, a.vec_id) GROUP BY a, b""",
     "p16_crowded_filter": f"SELECT a.vec_id, a.cluster FROM {_POINTS} a WHERE a.cluster <> '3' AND NOT EXISTS (SELECT 1 FROM {_POINTS} b WHERE b.cluster = '3' AND {_D2} <= {0.03 * 0.03})",
     "p10_similarity": f"""WITH m AS (SELECT slice, 1.25 * ((x - 2500) * cos(radians(30)) - (y - 1200) * sin(radians(30))) + 2500 + 10 AS x, 1.25 * ((x - 2500) * sin(radians(30)) + (y - 1200) * cos(radians(30))) + 1200 - 5 AS y FROM {_CELLS})
       SELECT slice, round(avg(x), 4) AS mean_x, round(avg(y), 4) AS mean_y, round(min(x), 4) AS min_x, round(max(y), 4) AS max_y FROM m GROUP BY slice""",

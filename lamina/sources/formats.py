@@ -92,9 +92,9 @@ def wkt_polygons(text: Column) -> Column:
 
 
 def read_contours(spark: SparkSession, path: str) -> DataFrame:
-    """(contour_id, region, part, rings) from a CSV whose ``geometry`` is WKT or GeoJSON."""
+    """(contour_id, region, part, rings) from a CSV whose ``geometry`` is WKT, GeoJSON or hexadecimal WKB."""
     df = spark.read.csv(path, header=True, escape='"')
-    parsed = F.coalesce(wkt_polygons(F.col("geometry")), _polygons(F.get_json_object("geometry", "$.type"), F.get_json_object("geometry", "$.coordinates")))
+    parsed = F.coalesce(wkt_polygons(F.col("geometry")), _polygons(F.get_json_object("geometry", "$.type"), F.get_json_object("geometry", "$.coordinates")), wkb_polygons(F.col("geometry")))
     return df.select("contour_id", F.trim("group_label").alias("region"), F.posexplode(parsed).alias("part", "rings"))
 
 
@@ -110,6 +110,83 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return long
 
 
+def wkb_polygons(text: Column) -> Column:
+    """array<polygon> from the hexadecimal text of a little-endian WKB polygon without heights (S7), null for anything else.
+
+    Numbers are read from the bytes by casts alone, ring after ring.
+    """
+    t = F.upper(F.trim(text))
+    count = lambda at: _int(t.substr(at, F.lit(8)))
+
+    def ring(acc: Column, _: Column) -> Column:
+        n = count(acc["at"])
+        point = lambda i: F.struct(_double(t.substr(acc["at"] + 8 + i * 32, F.lit(16))).alias("x"), _double(t.substr(acc["at"] + 24 + i * 32, F.lit(16))).alias("y"))
+        points = F.transform(F.sequence(F.lit(0), n - 1), point)
+        closed = F.when(F.element_at(points, 1) == F.element_at(points, -1), F.slice(points, 1, n - 1)).otherwise(points)
+        return F.struct((acc["at"] + 8 + n * 32).cast("int").alias("at"), F.array_append(acc["rings"], closed).alias("rings"))
+
+    start = F.struct(F.lit(19).alias("at"), F.expr("cast(array() as array<array<struct<x:double,y:double>>>)").alias("rings"))
+    rings = F.aggregate(F.sequence(F.lit(1), count(F.lit(11))), start, ring, lambda acc: acc["rings"])
+    return F.when(t.startswith("0103000000"), F.array(rings))
+
+
+def _int(hex_: Column) -> Column:
+    """A little-endian unsigned 32-bit number from eight hexadecimal digits."""
+    return sum(F.conv(F.substring(hex_, 2 * i + 1, 2), 16, 10).cast("int") * (1 << (8 * i)) for i in range(4))
+
+
+def _double(hex_: Column) -> Column:
+    """A little-endian double from sixteen hexadecimal digits: its sign, exponent and fraction."""
+    byte = lambda i: F.conv(F.substring(hex_, 2 * i + 1, 2), 16, 10).cast("bigint")
+    top, next_ = byte(7), byte(6)
+    exponent = (top % 128) * 16 + F.floor(next_ / 16)
+    fraction = (next_ % 16).cast("double") * float(1 << 48) + sum(byte(i).cast("double") * float(1 << (8 * i)) for i in range(6))
+    sign = F.when(top >= 128, -1.0).otherwise(1.0)
+    return sign * F.when(exponent == 0, fraction * 2.0**-1074).otherwise((1 + fraction / float(1 << 52)) * F.pow(F.lit(2.0), exponent - 1023))
+
+
+def discover(spark: SparkSession, root: str, marker: str) -> DataFrame:
+    """(order, name, path) of the folders under ``root`` that hold a file named ``marker``, in order of :func:`slice_order`.
+
+    Files are listed by Spark's reader, so any store will do; only names are read.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", marker).load(root).select("path").distinct()
+    folders = sorted(r.path.rsplit("/", 1)[0] for r in found.collect())  # as many as slices
+    names = {f.rsplit("/", 1)[-1]: f for f in folders}
+    return spark.createDataFrame([(i, n, names[n]) for i, n in slice_order(list(names))], "order int, name string, path string")
+
+
+def read_bundle(spark: SparkSession, root: str, tables: dict[str, str]) -> dict[str, DataFrame]:
+    """Tables of an artifact folder by name, each read by the suffix of its file: Parquet, CSV or TSV, JSON."""
+    out = {}
+    for name, file in tables.items():
+        path, low = f"{root.rstrip('/')}/{file}", file.lower()
+        sep = next((s for end, s in sorted(SEPARATORS.items(), key=lambda kv: -len(kv[0])) if low.endswith(end)), None)
+        out[name] = spark.read.csv(path, sep=sep, header=True, inferSchema=True) if sep else spark.read.json(path, multiLine=True) if low.endswith(".json") else spark.read.parquet(path)
+    return out
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """A table as Parquet, or as CSV or TSV with a header where the path says so; every task writes its own rows (K1)."""
+    sep = next((s for end, s in SEPARATORS.items() if path.lower().endswith(end)), None)
+    if sep:
+        df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
+
+
+def write_raster(bins: DataFrame, path: str, tile: int = 256) -> None:
+    """A raster (ix, iy and its values) as Parquet by square tiles, so that a window of it reads its tiles alone (K5)."""
+    tiled = bins.withColumns({"tile_x": F.floor(F.col("ix") / tile).cast("int"), "tile_y": F.floor(F.col("iy") / tile).cast("int")})
+    tiled.repartition("tile_x", "tile_y").write.mode("overwrite").partitionBy("tile_x", "tile_y").parquet(path)
+
+
+def selection_summary(regions: DataFrame, key: str) -> DataFrame:
+    """(key, n_rings, n_vertices) beside a table of :func:`vertices` (K4)."""
+    v = vertices(regions, key)
+    return v.groupBy(key).agg(F.countDistinct("ring").alias("n_rings"), F.count("*").alias("n_vertices"))
+
+
 def slice_order(names: list[str]) -> list[tuple[int, str]]:
     """Folder names numbered from 1 by the last whole number in each, then by name."""
     last = lambda n: int((re.findall(r"\d+", n) or ["-1"])[-1])

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset (tests on one machine) under a local one."""
+    """A new folder under ``spark.checkpoint.dir``. Where that is unset a local one will do on a single machine; on a cluster it raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-lamina-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lamina-{uuid.uuid4().hex}"

@@ -60,7 +60,7 @@ def test_procrustes_and_consensus(spark):
     assert all(math.isclose(a, b, abs_tol=1e-6) for a, b in ((r.rotation, 40), (r.scale, 1.5), (r.dx, 3), (r.dy, -7))) and r.residual < 1e-4
     out = alignment.moved(df.select("id", "k", "x", "y"), t, ["k"]).join(df.select("id", "u", "v"), "id").where("id % 6 <> 5")
     assert out.agg(F.max(F.hypot(F.col("x") - F.col("u"), F.col("y") - F.col("v")))).first()[0] < 1e-6
-    best = alignment.consensus(df.select("id", "x", "y", "u", "v"), 0.01, 40).orderBy(F.desc("inliers")).first()
+    best = alignment.consensus(df.select("id", "x", "y", "u", "v", "k", F.lit(1.0).alias("score")), ["k"], 0.01, 40).orderBy(F.desc("inliers")).first()
     assert best.inliers == 25 and best.rotation == 40.0 and best.scale == 1.5
 
 
@@ -68,9 +68,12 @@ def test_thin_plate_meets_its_landmarks(spark):
     rng = np.random.default_rng(5)
     a, b = rng.random((12, 2)) * 10, rng.random((12, 2)) * 10
     pairs = spark.createDataFrame([(i, *map(float, x), *map(float, y)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "id int, x double, y double, u double, v double")
-    got = alignment.landmark_warp(pairs.select("id", "x", "y"), pairs, 100).orderBy("id").collect()
-    assert np.allclose([(r.x, r.y) for r in got], b, atol=1e-6)
-    assert alignment.landmark_warp(pairs, pairs.limit(2), 100) is pairs
+    pairs = pairs.withColumns({"k": F.lit("g"), "score": F.lit(1.0)})
+    more = pairs.select("id", "x", "y", "k").union(spark.createDataFrame([(99, 1.0, 2.0, "other")], "id int, x double, y double, k string"))
+    got = alignment.landmark_warp(more, pairs, "k", 1_000_000).orderBy("id").collect()
+    assert np.allclose([(r.x, r.y) for r in got], [*b, (1, 2)], atol=1e-6)
+    assert alignment.landmark_warp(pairs, pairs.limit(2), "k", 100) is pairs
+    assert alignment.spread_landmarks(pairs, "k", 9).count() <= 9
 
 
 def dense(df, nx, ny):

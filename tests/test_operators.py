@@ -145,8 +145,51 @@ def test_clustered_points_are_found(spark):
     rows = [("tight", i, float(a), float(b)) for i, (a, b) in enumerate(tight)] + [("even", i, float(a), float(b)) for i, (a, b) in enumerate(even)]
     axis = Axis(0.0, 1.0, 10)
     window = spark.createDataFrame([(i, j) for i in range(10) for j in range(10)], "ix int, iy int")
-    got = {r.key: r for r in patterns.pattern_tests(spark.createDataFrame(rows, "key string, id int, x double, y double"), window, axis, axis, [0.02, 0.05, 0.1], 19).collect()}
-    assert got["tight"].di > 1 and got["tight"].p_clustered == 0.05 and abs(got["even"].di) < 0.3
+    points = spark.createDataFrame(rows, "key string, id int, x double, y double")
+    window = window.withColumn("window", F.lit("w"))
+    pools = points.select(F.lit("p").alias("pool"), (F.col("id") + F.when(F.col("key") == "even", 1000).otherwise(0)).alias("id"), "x", "y")
+    tests = spark.createDataFrame([("tight", "w", None), ("even", "w", None)], "key string, window string, pool string")
+    labelled = spark.createDataFrame([("tight", "w", "p"), ("even", "w", "p")], "key string, window string, pool string")
+    got = {r.key: r for r in patterns.pattern_tests(points, tests, window, axis, axis, [0.02, 0.05, 0.1], 19).collect()}
+    assert got["tight"].di > 1 and got["tight"].p_clustered == 0.05 and abs(got["even"].di) < 0.3 and got["tight"].area == 1 and got["even"].n_used == 150
+    got = {r.key: r for r in patterns.pattern_tests(points, labelled, window, axis, axis, [0.02, 0.05, 0.1], 19, pools=pools).collect()}
+    assert got["tight"].di > 0.2 and got["tight"].p_clustered == 0.05 and got["even"].di < 0 and got["even"].p_regular == 0.05
+
+
+def test_pattern_statistics_follow_their_definition(spark):
+    rng = np.random.default_rng(5)
+    measured = [("k", s, [float(a) for a in rng.random(3)], float(rng.random())) for s in range(8)]
+    known = spark.createDataFrame([("k", 10, 10, 4.0)], "key string, n_cells long, n_used long, area double")
+    r = patterns._judged(spark.createDataFrame(measured, patterns.MEASURED), known, np.array([1.0, 2.0, 3.0]), 7, (2.0, 3.0)).first()
+    level = np.sqrt(4.0 * np.array([m[2] for m in measured]) / np.pi)[:, 1:]
+    di = (level[0] / level[1:].mean(0)).mean() - 1
+    null = [(level[i] / np.delete(level[1:], i - 1, axis=0).mean(0)).mean() - 1 for i in range(1, 8)]
+    near = np.array([m[3] for m in measured])
+    assert math.isclose(r.di, di) and math.isclose(r.p_clustered, (1 + sum(n >= di for n in null)) / 8) and math.isclose(r.p_regular, (1 + sum(n <= di for n in null)) / 8)
+    assert math.isclose(r.ce, near[0] / near[1:].mean()) and math.isclose(r.p_ce, min(1, 2 * (1 + min((near[1:] <= near[0]).sum(), (near[1:] >= near[0]).sum())) / 8))
+
+
+def test_thinning_keeps_as_many_as_asked(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 4900, "big").otherwise("small").alias("key"), "id")
+    n = {r.key: (r["count"], r.full) for r in patterns.thinned(rows, "key", 400).groupBy("key").agg(F.count("*").alias("count"), F.max("n_full").alias("full")).collect()}
+    assert n == {"big": (400, 4900), "small": (100, 100)}
+
+
+def test_quantiles_equal_numpy(spark):
+    from lamina.functions.quantiles import at_ranks, quantiles
+
+    rng = np.random.default_rng(0)
+    rows = [("a", float(v)) for v in rng.standard_normal(999)] + [("b", float(v)) for v in rng.integers(0, 4, 500)] + [("c", 5.0)] * 3 + [("d", None), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double").withColumn("w", -F.col("v"))
+    p = [0.0, 0.05, 0.5, 0.77, 1.0]
+    got = {r.k: (r.v, r.w) for r in quantiles(df, ["k"], ["v", "w"], p, 7).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for k, (v, w) in got.items():
+        own = np.array([x for g, x in rows if g == k])
+        assert np.allclose(v, np.quantile(own, p)) and np.allclose(w, np.quantile(-own, p))
+    ids = spark.createDataFrame([("a", i * i) for i in range(300)] + [("b", 7)], "k string, i int")
+    ranks = F.transform(F.array(F.lit(0), F.lit(100), F.lit(299)), lambda x: x)
+    assert sorted((r.k, r.i) for r in at_ranks(ids, ["k"], "i", ranks, 5).collect()) == [("a", 0), ("a", 10_000), ("a", 299 * 299), ("b", 7)]
 
 
 def test_latent_space_equals_numpy(spark):

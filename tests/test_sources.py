@@ -1,5 +1,6 @@
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,39 @@ def test_matrix_and_manifest(spark, tmp_path):
     assert formats.slice_order(["run_10", "run_2", "b_2"]) == [(1, "b_2"), (2, "run_2"), (3, "run_10")]
 
 
+def test_well_known_binary(spark, tmp_path):
+    import struct
+
+    rng = random.Random(1)
+    rings = [[(rng.uniform(-1e6, 1e6), rng.choice([0.0, -0.0, 1e-310, 0.1, -3.5, 1e300])) for _ in range(5)] for _ in range(2)]
+    closed = [[*r, r[0]] for r in rings]
+    raw = struct.pack("<BII", 1, 3, 2) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", *p) for p in r) for r in closed)
+    (tmp_path / "w.csv").write_text(f"contour_id,group_label,geometry\n1,A,{raw.hex()}\n2,B,00ff\n")
+    rows = formats.read_contours(spark, str(tmp_path / "w.csv")).collect()
+    assert [r.contour_id for r in rows] == ["1"] and [[(p.x, p.y) for p in r] for r in rows[0].rings] == rings
+
+
+def test_folders_bundles_and_sinks(spark, tmp_path):
+    for name in ("run_10", "run_2"):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "experiment.xenium").write_text("{}")
+    (tmp_path / "in" / "other").mkdir()
+    found = formats.discover(spark, str(tmp_path / "in"), "experiment.xenium").orderBy("order").collect()
+    assert [(r.order, r.name) for r in found] == [(1, "run_2"), (2, "run_10")] and found[0].path.endswith("in/run_2")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    formats.write_table(df, str(tmp_path / "t.tsv"))
+    formats.write_table(df, str(tmp_path / "t"))
+    (tmp_path / "j.json").write_text('{"k": [1, 2]}')
+    got = formats.read_bundle(spark, str(tmp_path), {"one": "t.tsv", "two": "t", "three": "j.json"})
+    assert sorted(map(tuple, got["one"].collect())) == sorted(map(tuple, got["two"].collect())) == [(1, "a"), (2, "b")] and got["three"].first().k == [1, 2]
+    bins = spark.range(600).select((F.col("id") % 600).cast("int").alias("ix"), (F.col("id") % 7).cast("int").alias("iy"), F.lit(1).alias("label"))
+    formats.write_raster(bins, str(tmp_path / "raster"))
+    back = spark.read.parquet(str(tmp_path / "raster"))
+    assert back.count() == 600 and back.where("tile_x = 2").agg(F.min("ix")).first()[0] == 512
+    ring = spark.createDataFrame([("s", [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)], [(0.1, 0.1), (0.2, 0.1), (0.2, 0.2)]])], "key string, rings array<array<struct<x:double,y:double>>>")
+    assert formats.selection_summary(ring, "key").first()[1:] == (2, 6)
+
+
 def test_provenance():
     assert formats.provenance({"b": 1.00000000000001, "a": [1]}) == formats.provenance({"a": (1,), "b": 1.0})
 
