@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import pair
 from ..functions.quantiles import quantiles
+from ..sources.scratch import materialize
 
 
 def r6(c: Column) -> Column:
@@ -84,7 +85,7 @@ def degrees(edges: DataFrame, a: str, b: str, weight: str) -> DataFrame:
 def within_mad(df: DataFrame, keys: list[str], value: str, limit: float) -> DataFrame:
     """Rows within ``limit`` scaled median absolute deviations of their group's median."""
     med = quantiles(df, keys, [value], [0.5]).select(*keys, F.col(value)[0].alias("_med"))
-    rows = df.join(med, keys).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
+    rows = materialize(df.join(med, keys).withColumn("_dev", F.abs(F.col(value) - F.col("_med"))))
     mad = quantiles(rows, keys, ["_dev"], [0.5]).select(*keys, F.col("_dev")[0].alias("_mad"))
     return rows.join(mad, keys).where(F.col("_dev") <= limit * 1.4826 * F.col("_mad")).drop("_med", "_dev", "_mad")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import Axis, histogram
 from ..functions.quantiles import quantiles
+from ..sources.scratch import materialize
 
 
 def kernel(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -52,7 +53,7 @@ def smooth(bins: DataFrame, keys: list[str], sizes: dict[str, int], sigma: float
 
 def partition(cells: DataFrame, x: Axis, y: Axis, sigma: float, support: float) -> DataFrame:
     """(ix, iy, structure_id): the structure whose smoothed density, on the scale of its own upper quantile, is highest in a bin, where it reaches ``support``."""
-    field = smooth(histogram(cells.where("structure_id > 0"), x, y, ["structure_id"]), ["structure_id"], {"ix": x.n, "iy": y.n}, sigma, ["value"])
+    field = materialize(smooth(histogram(cells.where("structure_id > 0"), x, y, ["structure_id"]), ["structure_id"], {"ix": x.n, "iy": y.n}, sigma, ["value"]))
     scale = quantiles(field, ["structure_id"], ["value"], [0.95]).select("structure_id", F.col("value")[0].alias("scale"))  # a row for each structure
     scaled = field.join(F.broadcast(scale), "structure_id").withColumn("level", F.round(F.col("value") / F.col("scale"), 9)).where(F.col("level") >= support)
     return scaled.groupBy("ix", "iy").agg(F.max_by("structure_id", F.struct("level", -F.col("structure_id"))).alias("structure_id"))
@@ -64,24 +65,24 @@ def enrichment(spots: DataFrame, x: Axis, y: Axis, sigma: float, least: float) -
     bins = at.groupBy("gene", "ix", "iy").agg(F.count("*").cast("double").alias("n"), F.sum("value").alias("v"))
     raw = bins.select("gene", "ix", "iy", F.col("n").alias("cells"))
     even = smooth(bins, ["gene"], {"ix": x.n, "iy": y.n}, sigma, ["n", "v"], "nearest").join(raw, ["gene", "ix", "iy"]).where(F.col("cells") >= least)
-    e = even.withColumn("enrichment", F.round(F.try_divide("v", "n"), 9))
+    e = materialize(even.withColumn("enrichment", F.round(F.try_divide("v", "n"), 9)))
     cut = quantiles(e, ["gene"], ["enrichment"], [0.75]).select("gene", F.col("enrichment")[0].alias("cut"))
     return e.join(cut, "gene").where("enrichment >= cut").select("gene", "ix", "iy", F.round("enrichment", 6).alias("enrichment"))
 
 
-def robust_scaled(df: DataFrame, value: str) -> DataFrame:
-    """``value`` less its median over its interquartile range, floored at 1e-4."""
-    q = quantiles(df, [], [value], [0.25, 0.5, 0.75]).withColumnRenamed(value, "_q")
-    return df.crossJoin(F.broadcast(q)).withColumn(value, (F.col(value) - F.col("_q")[1]) / F.greatest(F.col("_q")[2] - F.col("_q")[0], F.lit(1e-4))).drop("_q")
+def robust_scaled(df: DataFrame, values: list[str]) -> DataFrame:
+    """``values`` less their medians over their interquartile ranges, floored at 1e-4 (W9). The quantiles are one row."""
+    q = quantiles(df, [], values, [0.25, 0.5, 0.75]).select(*[F.col(v).alias(f"_q{v}") for v in values])
+    scaled = {v: (F.col(v) - F.col(f"_q{v}")[1]) / F.greatest(F.col(f"_q{v}")[2] - F.col(f"_q{v}")[0], F.lit(1e-4)) for v in values}
+    return df.crossJoin(F.broadcast(q)).withColumns(scaled).select(*df.columns)
 
 
 def changed(before: DataFrame, after: DataFrame, values: list[str], quantile: float) -> DataFrame:
     """(ix, iy, change) of pixels in both images whose mean absolute difference of robustly scaled features reaches the quantile."""
-    for v in values:
-        before, after = robust_scaled(before, v), robust_scaled(after, v)
+    before, after = robust_scaled(materialize(before), values), robust_scaled(materialize(after), values)
     both = before.join(after.withColumnsRenamed({v: f"{v}_after" for v in values}), ["ix", "iy"])
     diff = sum(F.abs(F.col(v) - F.col(f"{v}_after")) for v in values) / len(values)
-    both = both.select("ix", "iy", F.round(diff, 9).alias("change"))
+    both = materialize(both.select("ix", "iy", F.round(diff, 9).alias("change")))
     cut = quantiles(both, [], ["change"], [quantile]).select(F.col("change")[0].alias("cut"))
     return both.crossJoin(F.broadcast(cut)).where("change >= cut").select("ix", "iy", F.round("change", 6).alias("change"))
 

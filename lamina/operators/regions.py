@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import Axis, histogram, nearest, within
 from ..functions.quantiles import quantiles
+from ..sources.scratch import materialize
 
 
 def edges(ring: Column) -> Column:
@@ -129,7 +130,7 @@ def overlap(spots: DataFrame, x: Axis, y: Axis, key: str, quantile: float) -> Da
 
     Fields meet bin by bin in an equi-join; there are as many result rows as pairs of field names.
     """
-    v = histogram(spots, x, y, [key], F.col("value")).withColumnRenamed(key, "gene")
+    v = materialize(histogram(spots, x, y, [key], F.col("value")).withColumnRenamed(key, "gene"))
     cut = quantiles(v, ["gene"], ["value"], [quantile]).select("gene", F.col("value")[0].alias("cut"))
     hot = v.join(cut, "gene").where("value >= cut").select("gene", "ix", "iy")
     n = hot.groupBy("gene").agg(F.count("*").alias("n"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import natural_key
 from ..functions.quantiles import quantiles
 from ..sources.scratch import materialize
+from .decisions import track_priority, track_quality
 from .matching import components, mutual_best
 
 
@@ -44,12 +46,63 @@ def links(objects: DataFrame, slice_no: str, key: str, group: str, reach: float,
 
 def chains(objects: DataFrame, accepted: DataFrame, key: str, slice_no: str) -> DataFrame:
     """(track, n_slices, first_slice, last_slice, mean_area): objects joined by accepted links."""
-    joined = components(accepted, "source", "target")
-    track = objects.join(joined, objects[key] == joined["node"], "left").withColumn("track", F.coalesce("component", F.col(key)))
-    return track.groupBy("track").agg(F.countDistinct(slice_no).alias("n_slices"), F.min(slice_no).alias("first_slice"), F.max(slice_no).alias("last_slice"), F.round(F.avg("area"), 2).alias("mean_area"))
+    return track_of(objects, accepted, key).groupBy("track").agg(F.countDistinct(slice_no).alias("n_slices"), F.min(slice_no).alias("first_slice"), F.max(slice_no).alias("last_slice"), F.round(F.avg("area"), 2).alias("mean_area"))
 
 
 def track(objects: DataFrame, slice_no: str, key: str, group: str, reach: float, max_ratio: float) -> DataFrame:
     objects = materialize(objects)
     found = materialize(links(objects, slice_no, key, group, reach, max_ratio))
     return chains(objects, mutual_best(found, "source", "target", "score"), key, slice_no)
+
+
+def track_table(objects: DataFrame, found: DataFrame, slice_no: str, key: str, weak: float = 0.2) -> DataFrame:
+    """(track, n_slices, first_slice, min_iou, max_jump, area_cv, n_branches, n_weak, quality, priority) of tracks.
+
+    ``found`` are candidate links; those that are each other's best make the tracks, and others that touch a track's
+    objects are its branches.
+    """
+    objects, found = materialize(objects), materialize(found)
+    best = materialize(mutual_best(found, "source", "target", "score"))
+    of = materialize(track_of(objects, best, key))
+    at = of.select(F.col(key).alias("k"), "track", "cx", "cy")
+    linked = best.join(at.withColumnsRenamed({"k": "source", "cx": "ax", "cy": "ay"}), "source").join(at.select(F.col("k").alias("target"), F.col("cx").alias("bx"), F.col("cy").alias("by")), "target")
+    steps = linked.groupBy("track").agg(F.min("iou").alias("min_iou"), F.max(F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))).alias("max_jump"), F.count_if(F.col("score") < weak).alias("n_weak"))
+    others = found.join(best.select("source", "target"), ["source", "target"], "left_anti")
+    branches = others.join(at.select(F.col("k").alias("source"), "track"), "source").groupBy("track").agg(F.count("*").alias("n_branches"))
+    size = of.groupBy("track").agg(F.countDistinct(slice_no).alias("n_slices"), F.min(slice_no).alias("first_slice"), F.try_divide(F.stddev_pop("area"), F.avg("area")).alias("area_cv"))
+    t = size.join(steps, "track", "left").join(branches, "track", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_branches", "n_weak")})
+    quality = track_quality(F.col("n_slices"), F.col("min_iou"), F.col("max_jump"), F.col("area_cv"), F.lit(0), F.col("n_weak"), 0.1, 100.0, 0.35)
+    t = t.withColumn("quality", quality)
+    return t.withColumn("priority", track_priority(F.col("quality"), F.lit(0), F.col("min_iou"), F.col("n_slices")))
+
+
+def track_of(objects: DataFrame, accepted: DataFrame, key: str) -> DataFrame:
+    """``objects`` with the track that accepted links put them in, named by its first object."""
+    joined = components(accepted, "source", "target")
+    return objects.join(joined, objects[key] == joined["node"], "left").withColumn("track", F.coalesce("component", F.col(key))).drop("node", "component")
+
+
+def families(objects: DataFrame, found: DataFrame, slice_no: str, key: str, least: float) -> DataFrame:
+    """(family, n_members, members, n_slices, n_events, event): tracks that strong links beyond the best ones join, and how they branch.
+
+    Members are listed in natural order.
+    """
+    objects, found = materialize(objects), materialize(found)
+    best = materialize(mutual_best(found, "source", "target", "score"))
+    of = materialize(track_of(objects, best, key))
+    at = of.select(F.col(key).alias("k"), "track")
+    cross = found.where(F.col("score") >= least).join(best.select("source", "target"), ["source", "target"], "left_anti")
+    cross = cross.join(at.withColumnsRenamed({"k": "source", "track": "a"}), "source").join(at.withColumnsRenamed({"k": "target", "track": "b"}), "target").where("a <> b").select("a", "b", "source", "target")
+    cross = materialize(cross)
+    joined = components(cross.select("a", "b"), "a", "b").withColumnsRenamed({"node": "track", "component": "family"})
+    full = of.join(joined, "track", "left").withColumn("family", F.coalesce("family", "track"))
+    index = full.groupBy("family").agg(F.collect_set("track").alias("m"), F.countDistinct(slice_no).alias("n_slices"))
+    named = F.array_join(F.transform(F.array_sort(F.transform("m", lambda t: F.struct(natural_key(t).alias("o"), t.alias("t")))), lambda s: s["t"]), ";")
+    events = cross.join(joined.withColumnRenamed("track", "a"), "a")
+    splits = events.groupBy("family", "source").agg(F.count("*").alias("n")).groupBy("family").agg(F.max("n").alias("most_out"))
+    merges = events.groupBy("family", "target").agg(F.count("*").alias("n")).groupBy("family").agg(F.max("n").alias("most_in"))
+    n = events.groupBy("family").agg(F.count("*").alias("n_events"))
+    split, merge = F.col("most_out") > 1, F.col("most_in") > 1
+    event = F.when(F.col("n_events").isNull(), "none").when(split & merge, "complex").when(split, "candidate_split").when(merge, "candidate_merge").otherwise("candidate_branch")
+    j = index.join(n, "family", "left").join(splits, "family", "left").join(merges, "family", "left")
+    return j.select("family", F.size("m").cast("bigint").alias("n_members"), named.alias("members"), "n_slices", F.coalesce("n_events", F.lit(0)).alias("n_events"), event.alias("event"))

@@ -76,7 +76,7 @@ def p14_edges(spark, sf):
 def a33_envelope(spark, sf):
     """Bounding box of all contours of a label."""
     v = _contours(spark, sf).select("label", F.explode("ring").alias("v"))
-    return v.groupBy("label").agg(F.round(F.min("v.x"), 4).alias("x0"), F.round(F.min("v.y"), 4).alias("y0"), F.round(F.max("v.x"), 4).alias("x1"), F.round(F.max("v.y"), 4).alias("y1"))
+    return v.groupBy("label").agg(F.round(F.min("v.x"), 2).alias("x0"), F.round(F.min("v.y"), 2).alias("y0"), F.round(F.max("v.x"), 2).alias("x1"), F.round(F.max("v.y"), 2).alias("y1"))
 
 
 NAMES = "x16_contours x16_enclosures a25_contour_summary x16_near_contours x17_label_matrix x18_network p14_edges a33_envelope".split()
@@ -109,5 +109,5 @@ ORACLE_SQL = {
     "x18_network": f"""WITH {_RECTS}, s AS (SELECT a AS node, b AS other, length FROM fe UNION ALL SELECT b, a, length FROM fe WHERE a <> b)
       SELECT node, count(DISTINCT other) FILTER (other <> node) AS n_neighbours, count(*) AS n_edges, round(sum(length), 2) AS strength, round(round(sum(length), 2) / count(*), 4) AS mean_boundary FROM s GROUP BY node""",
     "p14_edges": f"WITH {_RECTS} SELECT a, b, n, round(length, 3) AS length FROM fe ORDER BY fe.length DESC, n DESC, a, b LIMIT 3",
-    "a33_envelope": f"WITH {_RECTS} SELECT label, round(min(x0), 4) AS x0, round(min(y0), 4) AS y0, round(max(x1), 4) AS x1, round(max(y1), 4) AS y1 FROM r GROUP BY label",
+    "a33_envelope": f"WITH {_RECTS} SELECT label, round(min(x0), 2) AS x0, round(min(y0), 2) AS y0, round(max(x1), 2) AS x1, round(max(y1), 2) AS y1 FROM r GROUP BY label",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.grid import Axis
 from ..operators import fields, latent, patterns, structure, tracks
 from ..sources import tables
+from ..sources.scratch import materialize
 from ..sources.tables import SQL, read
 from ..streaming.windows import run_windows
 from .structures import _CELLS, _SPOTS, SPEC, SPEC_SQL, _bin
@@ -45,7 +46,18 @@ def x26_links(spark, sf):
 
 
 def x26_tracks(spark, sf):
-    return tracks.track(_objects(spark, sf), "sample", "id", "cluster", 30.0, 1.6)
+    return tracks.track(_objects(spark, sf), "sample", "id", "cluster", 30.0, 1.6).withColumn("mean_area", F.round("mean_area", 0))
+
+
+def x27_track_table(spark, sf):
+    o = materialize(_objects(spark, sf))
+    t = tracks.track_table(o, tracks.links(o, "sample", "id", "cluster", 30.0, 1.6), "sample", "id")
+    return t.select("track", "n_slices", "first_slice", F.round("min_iou", 5).alias("min_iou"), F.round("max_jump", 3).alias("max_jump"), F.round("area_cv", 5).alias("area_cv"), "n_branches", "n_weak", "quality", F.col("priority").cast("bigint").alias("priority"))
+
+
+def x28_families(spark, sf):
+    o = materialize(_objects(spark, sf))
+    return tracks.families(o, tracks.links(o, "sample", "id", "cluster", 30.0, 1.6), "sample", "id", 0.93)
 
 
 def x19_patterns(spark, sf):
@@ -90,7 +102,7 @@ def u1_union(spark, sf):
     return a.unionByName(b).groupBy("kind", "nation").agg(F.count("*").alias("n"), F.max("balance").alias("top"))
 
 
-NAMES = "x10_partition x31_enrichment x55_change x54_otsu x26_links x26_tracks x19_patterns x30_latent x7_label_groups x37_band_signatures s_event_windows a_rollup u1_union".split()
+NAMES = "x27_track_table x28_families x10_partition x31_enrichment x55_change x54_otsu x26_links x26_tracks x19_patterns x30_latent x7_label_groups x37_band_signatures s_event_windows a_rollup u1_union".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _TX = SQL["transcripts"]
@@ -116,6 +128,11 @@ m AS (SELECT a.id AS source, c.id AS target, greatest(least(a.x1, c.x1) - greate
   sqrt((a.cx - c.cx) * (a.cx - c.cx) + (a.cy - c.cy) * (a.cy - c.cy)) AS d FROM b a JOIN b c ON a.cluster = c.cluster AND c.sample = a.sample + 1),
 l AS (SELECT source, target, round(i / (aa + ca - i), 6) AS iou, round(0.5 * (i / (aa + ca - i)) + 0.3 * greatest(1 - d / 30, 0) + 0.2 / (greatest(aa, ca) / least(aa, ca)), 6) AS score FROM m
   WHERE (i / (aa + ca - i) >= 0.1 OR d <= 30) AND greatest(aa, ca) / least(aa, ca) <= 1.6)"""
+_TRACKS = f"""{_BOXES}, o1 AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, target) = 1),
+i1 AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, source) = 1), e AS (SELECT o1.source, o1.target, o1.iou, o1.score FROM o1 JOIN i1 USING (source, target)),
+g AS (SELECT source AS u, target AS v FROM e UNION ALL SELECT target, source FROM e), r(u, v) AS (SELECT u, v FROM g UNION SELECT r.u, g.v FROM r JOIN g ON r.v = g.u),
+t AS (SELECT b.*, coalesce(c, b.id) AS track FROM b LEFT JOIN (SELECT u, least(u, min(v)) AS c FROM r GROUP BY u) ON u = b.id),
+rest AS (SELECT * FROM l WHERE (source, target) NOT IN (SELECT source, target FROM e))"""
 _ROBUST = "(({v}) - median({v}) OVER ()) / greatest(quantile_cont({v}, 0.75) OVER () - quantile_cont({v}, 0.25) OVER (), 0.0001)"
 ORACLE_SQL = {
     "x10_partition": f"""WITH h AS (SELECT s.sid AS structure_id, {_bin("x", 0.0, 5000.0, 40)} AS ix, {_bin("y", 0.0, 3000.0, 30)} AS iy, count(*) AS value FROM {_CELLS} c JOIN {SPEC_SQL} s(sid, cl) ON c.cluster = s.cl
@@ -135,7 +152,21 @@ ORACLE_SQL = {
     "x26_tracks": f"""WITH RECURSIVE {_BOXES}, o1 AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, target) = 1),
       i1 AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, source) = 1), e AS (SELECT o1.source AS s, o1.target AS t FROM o1 JOIN i1 USING (source, target)),
       g AS (SELECT s AS u, t AS v FROM e UNION ALL SELECT t, s FROM e), r(u, v) AS (SELECT u, v FROM g UNION SELECT r.u, g.v FROM r JOIN g ON r.v = g.u), c AS (SELECT u, least(u, min(v)) AS c FROM r GROUP BY u)
-      SELECT coalesce(c.c, b.id) AS track, count(DISTINCT sample) AS n_slices, min(sample) AS first_slice, max(sample) AS last_slice, round(avg(area), 2) AS mean_area FROM b LEFT JOIN c ON c.u = b.id GROUP BY 1""",
+      SELECT coalesce(c.c, b.id) AS track, count(DISTINCT sample) AS n_slices, min(sample) AS first_slice, max(sample) AS last_slice, round(round(avg(area), 2), 0) AS mean_area FROM b LEFT JOIN c ON c.u = b.id GROUP BY 1""",
+    "x27_track_table": f"""WITH RECURSIVE {_TRACKS}, s AS (SELECT a.track, min(iou) AS mi, max(sqrt(power(a.cx - c.cx, 2) + power(a.cy - c.cy, 2))) AS mj, count(*) FILTER (score < 0.2) AS nw FROM e JOIN t a ON a.id = source JOIN t c ON c.id = target GROUP BY a.track),
+      n AS (SELECT a.track, count(*) AS nb FROM rest JOIN t a ON a.id = source GROUP BY a.track), z AS (SELECT track, count(DISTINCT sample) AS ns, min(sample) AS fs, stddev_pop(area) / avg(area) AS cv FROM t GROUP BY track),
+      q AS (SELECT *, CASE WHEN ns <= 1 THEN 'isolated' WHEN ns <= 2 OR coalesce(nw, 0) > 0 OR mi < 0.1 OR mj > 100 OR cv > 0.35 THEN 'review' ELSE 'good' END AS quality FROM z LEFT JOIN s USING (track) LEFT JOIN n USING (track))
+      SELECT track, ns AS n_slices, fs AS first_slice, round(mi, 5) AS min_iou, round(mj, 3) AS max_jump, round(cv, 5) AS area_cv, coalesce(nb, 0) AS n_branches, coalesce(nw, 0) AS n_weak, quality,
+      CAST(CASE quality WHEN 'review' THEN CASE WHEN mi < 0.05 THEN 1 ELSE 2 END WHEN 'isolated' THEN 3 ELSE CASE WHEN ns <= 3 THEN 4 ELSE 5 END END AS BIGINT) AS priority FROM q""",
+    "x28_families": f"""WITH RECURSIVE {_TRACKS}, x AS (SELECT a.track AS a, c.track AS b, source, target FROM rest JOIN t a ON a.id = source JOIN t c ON c.id = target WHERE score >= 0.93 AND a.track <> c.track),
+      y AS (SELECT a AS u, b AS v FROM x UNION SELECT b, a FROM x), f(u, v) AS (SELECT u, v FROM y UNION SELECT f.u, y.v FROM f JOIN y ON f.v = y.u), k AS (SELECT u AS track, least(u, min(v)) AS family FROM f GROUP BY u),
+      w AS (SELECT t.*, coalesce(family, t.track) AS fam FROM t LEFT JOIN k USING (track)),
+      mb AS (SELECT fam, track, CAST(split_part(track, ':', 2) AS INT) AS i, CAST(split_part(track, ':', 3) AS INT) AS j, split_part(track, ':', 1) AS c FROM w GROUP BY fam, track),
+      d AS (SELECT fam AS family, count(*) AS n_members, string_agg(track, ';' ORDER BY c, i, j) AS members FROM mb GROUP BY fam), ns AS (SELECT fam AS family, count(DISTINCT sample) AS n_slices FROM w GROUP BY fam),
+      ev AS (SELECT family, source, target FROM x JOIN k ON k.track = x.a), mo AS (SELECT family, max(n) AS mo FROM (SELECT family, source, count(*) AS n FROM ev GROUP BY ALL) GROUP BY family),
+      mi AS (SELECT family, max(n) AS mi FROM (SELECT family, target, count(*) AS n FROM ev GROUP BY ALL) GROUP BY family), ne AS (SELECT family, count(*) AS n FROM ev GROUP BY family)
+      SELECT family, n_members, members, n_slices, coalesce(n, 0) AS n_events, CASE WHEN n IS NULL THEN 'none' WHEN mo > 1 AND mi > 1 THEN 'complex' WHEN mo > 1 THEN 'candidate_split' WHEN mi > 1 THEN 'candidate_merge' ELSE 'candidate_branch' END AS event
+      FROM d JOIN ns USING (family) LEFT JOIN ne USING (family) LEFT JOIN mo USING (family) LEFT JOIN mi USING (family)""",
     "x37_band_signatures": f"""WITH t AS (SELECT * FROM {_TX} WHERE k IS NOT NULL), q AS (SELECT cell, quantile_cont(CAST(k AS DOUBLE), {1 / 3!r}::DOUBLE) AS lo, quantile_cont(CAST(k AS DOUBLE), {2 / 3!r}::DOUBLE) AS hi FROM t GROUP BY cell),
       r AS (SELECT CASE WHEN k <= lo THEN 'low' WHEN k >= hi THEN 'high' END AS band, gene FROM t JOIN q USING (cell)), n AS (SELECT band, gene, count(*) AS n FROM r WHERE band IS NOT NULL GROUP BY band, gene)
       SELECT band, gene, round(n / sum(n) OVER (PARTITION BY band), 6) AS share FROM n""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import alignment, orientation, overlay, quality, raster, regions, structure
+from ..operators import alignment, isolines, orientation, overlay, quality, raster, regions, structure
 from ..sources import tables
 from ..sources.scratch import materialize
 from .fields import _objects
@@ -50,6 +50,31 @@ def x10_filled(spark, sf):
     return raster.large_parts(raster.fill_holes(_mask(spark, sf)[1], NX, NY), NX, 3).groupBy("iy").agg(F.count("*").alias("n"))
 
 
+def x15_polygons(spark, sf):
+    parts = materialize(raster.label(_mask(spark, sf)[1], NX))
+    return isolines.polygon_sizes(isolines.polygons(parts, X, Y)).select("component", "area", "perimeter")
+
+
+def x12_isoline(spark, sf):
+    """Outlines of where the most urgent cells prevail."""
+    cells = tables.cells(spark, sf).select("cell_id", "x", "y", (F.col("cluster") == "1-URGENT").cast("int").alias("target"))
+    kept, rings = isolines.isoline(cells, X, Y, 5, 60.0, 200.0, 1.0, 0.3, 10)
+    return isolines.polygon_sizes(rings).join(kept.groupBy("component").agg(F.max("n_targets").alias("n_targets"), F.count("*").alias("n_bins")), "component")
+
+
+def x13_gene_isolines(spark, sf):
+    """One outline for each order status, its orders standing for molecules among all cells."""
+    c = tables.cells(spark, sf)
+    return isolines.gene_isolines(c.select(F.col("cell_id").alias("id"), "x", "y", F.col("slice").alias("gene")), c, X, Y, ["F", "O", "P", "none"], k=5, radius=60.0, sigma=1.0, level=0.25)
+
+
+def x10_seeded(spark, sf):
+    """Bins of the closed mask of all structures, the empty ones filled from the nearest labelled bin."""
+    bins = _mask(spark, sf)[0].where("bin_structure > 0").withColumnRenamed("bin_structure", "structure_id")
+    closed = raster.close(bins.select("ix", "iy"), NX, NY)
+    return isolines.seeded(bins, closed, X, Y).select(F.col("ix").cast("bigint").alias("ix"), F.col("iy").cast("bigint").alias("iy"), "structure_id")
+
+
 def x34_signed_distance(spark, sf):
     grid = _mask(spark, sf)[0].withColumn("inner", F.col("bin_structure") == 1)
     found = raster.signed_distance(grid, "inner", 2.0, 256.0)
@@ -104,7 +129,7 @@ def x38_orientation(spark, sf):
     flip = F.round(10 * F.abs(F.col("w") - F.col("nw")), 6)
     e = t.join(nxt, ["region", "sample"]).select("region", "sample", near.alias("s00"), flip.alias("s01"), flip.alias("s10"), near.alias("s11"))
     best = orientation.best_orientation(e, ["region"], "sample")
-    return best.select("region", "n_edges", "path", F.round("score", 5).alias("score"), F.round("margin", 5).alias("margin"))
+    return best.select("region", "n_edges", "path", F.round("score", 4).alias("score"), F.round("margin", 4).alias("margin"))
 
 
 def _quality(spark, sf):
@@ -136,7 +161,7 @@ def d5_tested_clusters(spark, sf):
     return quality.tested_clusters(structure.assign_structure(tables.cells(spark, sf), SPEC))
 
 
-NAMES = "z8_coverage x20_cluster_quality x20_border_depth x38_orientation x20_structure_quality d5_tested_clusters j13_ring_cells a30_overlaps x14_hulls x54_components x10_morphology x10_filled x34_signed_distance x47_procrustes x47_consensus x36_projection x46_warp j18_assignment".split()
+NAMES = "x15_polygons x12_isoline x13_gene_isolines x10_seeded z8_coverage x20_cluster_quality x20_border_depth x38_orientation x20_structure_quality d5_tested_clusters j13_ring_cells a30_overlaps x14_hulls x54_components x10_morphology x10_filled x34_signed_distance x47_procrustes x47_consensus x36_projection x46_warp j18_assignment".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _BOX = _BOXES.format(e=0.0037)
@@ -156,6 +181,16 @@ ORACLE_SQL = {
       SELECT a, b, round(shared, 1) AS shared, round(shared / (aa + ab - shared), 6) AS iou, round(2 * shared / (aa + ab), 6) AS dice, round(shared / least(aa, ab), 6) AS fraction FROM s WHERE shared > 0""",
     "x54_components": f"""WITH RECURSIVE {_PLACED}, m AS (SELECT ix, iy, iy * {NX} + ix AS no FROM bins WHERE bin_structure = 1), g AS (SELECT p.no AS a, q.no AS b FROM m p JOIN m q ON abs(p.ix - q.ix) + abs(p.iy - q.iy) = 1),
       r(a, b) AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a) SELECT ix, iy, least(no, coalesce(low, no)) AS component FROM m LEFT JOIN (SELECT a, min(b) AS low FROM r GROUP BY a) ON a = no""",
+    "x15_polygons": f"""WITH RECURSIVE {_PLACED}, m AS (SELECT ix, iy, iy * {NX} + ix AS no FROM bins WHERE bin_structure = 1), g AS (SELECT p.no AS a, q.no AS b FROM m p JOIN m q ON abs(p.ix - q.ix) + abs(p.iy - q.iy) = 1),
+      r(a, b) AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a), c AS (SELECT ix, iy, least(no, coalesce(low, no)) AS component FROM m LEFT JOIN (SELECT a, min(b) AS low FROM r GROUP BY a) ON a = no),
+      s(dx, dy, len) AS (VALUES (1, 0, {Y.step}), (-1, 0, {Y.step}), (0, 1, {X.step}), (0, -1, {X.step})),
+      p AS (SELECT c.component, sum(len) AS perimeter FROM c CROSS JOIN s LEFT JOIN c n ON n.ix = c.ix + dx AND n.iy = c.iy + dy AND n.component = c.component WHERE n.ix IS NULL GROUP BY c.component)
+      SELECT component, round(CAST(count(*) * {X.step * Y.step} AS DOUBLE), 3) AS area, round(CAST(any_value(perimeter) AS DOUBLE), 3) AS perimeter FROM c JOIN p USING (component) GROUP BY component""",
+    "x10_seeded": f"""WITH {_PLACED}, b AS (SELECT ix, iy, bin_structure AS s FROM bins WHERE bin_structure > 0), s(dx, dy) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)),
+      d AS (SELECT DISTINCT ix + dx AS ix, iy + dy AS iy FROM b, s WHERE ix + dx BETWEEN 0 AND {NX - 1} AND iy + dy BETWEEN 0 AND {NY - 1}),
+      c AS (SELECT ix + dx AS ix, iy + dy AS iy FROM d, s WHERE ix + dx BETWEEN 0 AND {NX - 1} AND iy + dy BETWEEN 0 AND {NY - 1} GROUP BY ALL HAVING count(*) = 5),
+      h AS (SELECT c.ix, c.iy, b.s FROM c JOIN b USING (ix, iy))
+      SELECT ix, iy, s AS structure_id FROM h UNION ALL SELECT c.ix, c.iy, arg_min(h.s, (round(power((c.ix - h.ix) * {X.step}, 2) + power((c.iy - h.iy) * {Y.step}, 2), 6), h.s)) FROM (SELECT * FROM c WHERE (ix, iy) NOT IN (SELECT ix, iy FROM h)) c, h GROUP BY c.ix, c.iy""",
     "x10_morphology": f"""WITH {_PLACED}, m AS (SELECT ix, iy FROM bins WHERE bin_structure = 1), s(dx, dy) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)),
       d AS (SELECT DISTINCT ix + dx AS ix, iy + dy AS iy FROM m, s WHERE ix + dx BETWEEN 0 AND {NX - 1} AND iy + dy BETWEEN 0 AND {NY - 1}),
       c AS (SELECT ix + dx AS ix, iy + dy AS iy FROM d, s WHERE ix + dx BETWEEN 0 AND {NX - 1} AND iy + dy BETWEEN 0 AND {NY - 1} GROUP BY ALL HAVING count(*) = 5),
@@ -173,8 +208,8 @@ ORACLE_SQL = {
         FROM t a JOIN t b ON a.region = b.region AND b.sample = a.sample + 1),
       r(region, i, n, path, score) AS (SELECT DISTINCT region, CAST(0 AS BIGINT), n, s, CAST(0 AS DOUBLE) FROM e, (VALUES ('0'), ('1')) v(s)
         UNION ALL SELECT r.region, e.i, r.n, r.path || s, r.score + CASE WHEN right(r.path, 1) = s THEN same ELSE flip END FROM r JOIN e ON e.region = r.region AND e.i = r.i + 1, (VALUES ('0'), ('1')) v(s))
-      SELECT region, any_value(n) AS n_edges, arg_min(path, (-round(score, 9), reverse(path))) AS path, round(max(score), 5) AS score,
-      round(abs(max(score) FILTER (right(path, 1) = '0') - max(score) FILTER (right(path, 1) = '1')), 5) AS margin FROM r WHERE i = n GROUP BY region""",
+      SELECT region, any_value(n) AS n_edges, arg_min(path, (-round(score, 9), reverse(path))) AS path, round(max(score), 4) AS score,
+      round(abs(max(score) FILTER (right(path, 1) = '0') - max(score) FILTER (right(path, 1) = '1')), 4) AS margin FROM r WHERE i = n GROUP BY region""",
     "x34_signed_distance": f"""WITH {_PLACED} SELECT p.ix, p.iy, round(CASE WHEN p.bin_structure = 1 THEN -1 ELSE 1 END * min(sqrt((p.ix - q.ix) * (p.ix - q.ix) + (p.iy - q.iy) * (p.iy - q.iy))), 6) AS distance
       FROM bins p JOIN bins q ON (p.bin_structure = 1) <> (q.bin_structure = 1) GROUP BY p.ix, p.iy, p.bin_structure""",
     "x47_procrustes": f"WITH {_LAND}, {_FIT} SELECT cluster, round(degrees(atan2(b, a)), 3) AS rotation, round(sqrt(a * a + b * b), 3) AS scale, round(dx, 3) AS dx, round(dy, 3) AS dy, round(residual, 3) AS residual FROM f",

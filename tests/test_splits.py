@@ -203,3 +203,76 @@ def test_surroundings(spark):
     pairs = s.select(F.col("k").alias("p"), F.col("around").alias("x")).crossJoin(s.select(F.col("k").alias("q"), F.col("around").alias("y")))
     got = {(r.p, r.q): r.v for r in pairs.select("p", "q", profiles.surroundings_similarity(F.col("x"), F.col("y")).alias("v")).collect()}
     assert math.isclose(got[("a", "b")], brute(around["a"], around["b"])) and math.isclose(got[("a", "c")], 1) and got[("a", "d")] == 0
+
+
+def test_rings_of_a_mask(spark):
+    from lamina.operators import isolines, raster
+
+    art = [".######.", ".#....#.", ".#.##.#.", ".#..#.#.", ".######.", "#......#", "##....#."]
+    mask = {(i, j) for j, row in enumerate(art) for i, c in enumerate(row) if c == "#"}
+    x, y = Axis(0.0, 16.0, 8), Axis(0.0, 7.0, 7)
+    parts = raster.label(spark.createDataFrame(sorted(mask), "ix int, iy int"), 8).cache()
+    rings = isolines.polygons(parts, x, y)
+    sizes = {r.component: r for r in isolines.polygon_sizes(rings).collect()}
+    cells = {}
+    for r in parts.collect():
+        cells.setdefault(r.component, set()).add((r.ix, r.iy))
+    assert set(sizes) == set(cells)
+    for c, own in cells.items():
+        border = sum(2.0 if d[1] else 1.0 for i, j in own for d in ((1, 0), (-1, 0), (0, 1), (0, -1)) if (i + d[0], j + d[1]) not in own)
+        assert sizes[c].area == 2.0 * len(own) and sizes[c].perimeter == border
+    # A point is inside the rings' even-odd sum exactly where its bin is in the component.
+    flat = {c: [] for c in cells}
+    for r in rings.collect():
+        assert len(r.corners) >= 4 and len({(p.x, p.y) for p in r.corners}) >= 4
+        flat[r.component].append([(p.x, p.y) for p in r.corners])
+    for c, own in cells.items():
+        for i, j in itertools.product(range(8), range(7)):
+            px, py, inside = 2 * i + 1.0, j + 0.5, False
+            for ring in flat[c]:
+                for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+                    inside ^= (ay > py) != (by > py) and px < (bx - ax) * (py - ay) / (by - ay) + ax
+            assert inside == ((i, j) in own)
+    assert rings.groupBy("component").count().where("count > 1").count() == 1
+
+
+def test_isoline_of_a_packed_cluster(spark):
+    from lamina.operators import isolines
+
+    rng = np.random.default_rng(9)
+    inner = 20 + 10 * rng.random((300, 2))
+    outer = [p for p in 60 * rng.random((900, 2)) if not ((18 < p) & (p < 32)).all()]
+    rows = [(i, float(a), float(b), 1) for i, (a, b) in enumerate(inner)] + [(1000 + i, float(a), float(b), 0) for i, (a, b) in enumerate(outer)] + [(5000, 50.0, 50.0, 1)]
+    cells = spark.createDataFrame(rows, "cell_id int, x double, y double, target int")
+    x = Axis(0.0, 60.0, 30)
+    field = {(r.ix, r.iy): r.value for r in isolines.target_field(cells, x, x, 4, 3.0, 8.0, 0.01).collect()}
+    pts, t = np.array([r[1:3] for r in rows]), np.array([r[3] for r in rows], float)
+    for i, j in ((12, 12), (9, 12), (3, 20), (25, 25)):
+        d = np.hypot(*(pts - (2 * i + 1, 2 * j + 1)).T)
+        k = np.argsort(d)[:4]
+        assert math.isclose(field[(i, j)], (t[k] / d[k]).sum() / (1 / d[k]).sum(), rel_tol=1e-9)
+    kept, rings = isolines.isoline(cells, x, x, 4, 3.0, 8.0, 1.0, 0.5, 10)
+    sizes = isolines.polygon_sizes(rings).collect()
+    assert len(sizes) == 1 and 80 < sizes[0].area < 180 and kept.first().n_targets >= 250
+
+
+def test_tracks_through_bins_are_those_of_all_pairs(spark):
+    from lamina.operators import tracks
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for s in range(3):
+        for k in range(40):
+            x0, y0, w, h = *(rng.uniform(-50, 50, 2)), *(rng.uniform(1, 12, 2))
+            rows.append((f"{s}:{k}", "g", s, x0, x0 + w, y0, y0 + h, w * h, x0 + w / 2, y0 + h / 2))
+    df = spark.createDataFrame([tuple(float(v) if isinstance(v, float) else v for v in r) for r in rows], "id string, g string, s int, x0 double, x1 double, y0 double, y1 double, area double, cx double, cy double")
+    want = set()
+    for a, b in itertools.product(rows, rows):
+        if b[2] == a[2] + 1:
+            inter = max(0, min(a[4], b[4]) - max(a[3], b[3])) * max(0, min(a[6], b[6]) - max(a[5], b[5]))
+            iou, d, ratio = inter / (a[7] + b[7] - inter), math.hypot(a[8] - b[8], a[9] - b[9]), max(a[7], b[7]) / min(a[7], b[7])
+            if (iou >= 0.1 or d <= 9) and ratio <= 3:
+                want.add((a[0], b[0]))
+    for size in (None, 3.0, 500.0):
+        got = [(r.source, r.target) for r in tracks.links(df, "s", "id", "g", 9.0, 3.0, size).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
