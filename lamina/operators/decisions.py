@@ -120,6 +120,15 @@ def correspondence_class(score: Column, mutual: Column) -> Column:
     return F.when((score >= 0.72) & mutual, "matched_anchor").when((score >= 0.55) & mutual, "matched_review").otherwise("rejected")
 
 
+def acceptance(mutual: Column, score: Column, distance: Column, overlap: Column, ratio: Column, least_score: float, most_distance: float, least_overlap: float, close: float, ratios: tuple[float, float]) -> Column:
+    """Why a pair of contours is taken, or the first rule that it breaks."""
+    enough = (overlap >= least_overlap) | ((distance <= close) & ratio.between(*ratios))
+    return (
+        F.when(~mutual, "not_mutual_best").when(score < least_score, "score_below_threshold").when(distance > most_distance, "centroid_distance_above_threshold")
+        .when(enough, "mutual_high_score_local_overlap").otherwise("insufficient_overlap")
+    )
+
+
 def structure_confidence(score: Column, margin: Column) -> Column:
     """Confidence between 0.01 and 0.99."""
     return F.greatest(F.lit(0.01), F.least(F.lit(0.99), sigmoid(2.2 * score + 3 * F.least(margin, F.lit(0.2)) - 0.15)))

@@ -276,3 +276,22 @@ def test_tracks_through_bins_are_those_of_all_pairs(spark):
     for size in (None, 3.0, 500.0):
         got = [(r.source, r.target) for r in tracks.links(df, "s", "id", "g", 9.0, 3.0, size).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_registration_pieces(spark):
+    from lamina.operators import registration as R
+
+    v = spark.createDataFrame([(0, 0, 0), (1, 1, 1), (2, 1, 1), (5, 5, 5), (5, 6, 6), (9, 9, 9)], "ix int, iy int, iz int")
+    parts = {(r.ix, r.iy, r.iz): (r.part, r.n) for r in R.volume_parts(v).collect()}
+    assert {p for p, _ in parts.values()} == {"00000:00000:00000", "00005:00005:00005", "00009:00009:00009"} and parts[(2, 1, 1)] == ("00000:00000:00000", 3)
+    assert R.volume_parts(v, 2).count() == 5
+    rows = [("e", i, 1.0 if i % 3 else 0.2, 0.5) for i in range(30)] + [("f", i, 0.1, 0.9) for i in range(5)]
+    got = {r.k: (r.n, r.support) for r in R.bootstrap_support(spark.createDataFrame(rows, "k string, i int, same double, flip double"), ["k"], "i", "same", "flip").collect()}
+    assert got["e"][0] == 30 and got["e"][1] > 0.95 and got["f"] == (5, got["f"][1]) and got["f"][1] < 0.05
+    p = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.0, 0.0), (3, 99.0, 99.0)], "id int, x double, y double")
+    a = spark.createDataFrame([(0.0, 0.0, 1.0, 0.0), (1.0, 0.0, 3.0, 0.0), (10.0, 1.0, 0.0, 8.0)], "x double, y double, dx double, dy double")
+    moved = {r.id: (r.x, r.y) for r in R.tear_field(p, "id", a, 4.0, 2.5).collect()}
+    w = math.exp(-1 / 8)
+    assert math.isclose(moved[1][0], (1 + 3 * w) / (1 + w)) and math.isclose(moved[2][1], 2.5) and moved[3] == (99.0, 99.0)
+    pad = R.padding_points(p.where("id < 3").withColumn("g", F.lit(1)), ["g"], 2, 1.0).orderBy("i").collect()
+    assert [(r.x, r.y) for r in pad][:4] == [(-1.0, -1.0), (5.0, -1.0), (11.0, -1.0), (11.0, 0.0)]
