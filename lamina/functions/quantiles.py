@@ -6,7 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BINS = 1024
+#: Bins of a group at most, and the rows a bin should have at least: small groups get few bins.
+BINS, LEAST_ROWS = 1024, 256
+
+
+def _bin(value: Column, bins: int) -> Column:
+    """Bin of a value between ``_lo`` and ``_hi`` of a group of ``_n`` rows."""
+    n = F.least(F.lit(bins), F.greatest(F.lit(1), F.floor(F.col("_n") / LEAST_ROWS)))
+    return F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * n), n - 1)).otherwise(0).cast("int")
 
 
 def _ranks(probabilities: list[float]) -> Column:
@@ -18,7 +25,7 @@ def _ranks(probabilities: list[float]) -> Column:
 def quantiles(df: DataFrame, keys: list[str], values: list[str], probabilities: list[float], bins: int = BINS) -> DataFrame:
     """(keys, and for each of ``values`` an array of its quantiles, linearly interpolated); nulls are left out.
 
-    Three passes, each with partial sums: range and count of each group, counts of its ``bins`` equal bins, and counts of
+    Three passes, each with partial sums: range and count of each group, counts of its equal bins (``bins`` at most), and counts of
     the distinct values within the bins that hold a wanted rank. Windows run over a group's bins and over the distinct
     values of one bin, never over a group's rows.
     """
@@ -26,8 +33,7 @@ def quantiles(df: DataFrame, keys: list[str], values: list[str], probabilities:
     long = df.select(*keys, named).select(*keys, "_e._c", "_e._v").where("_v is not null")
     group = [*keys, "_c"]
     span = long.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
-    bin_ = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
-    binned = _same(long, span, group).withColumn("_b", bin_)
+    binned = _same(long, span, group).withColumn("_b", _bin(F.col("_v"), bins))
     before = F.coalesce(F.sum("_k").over(W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = binned.groupBy(*group, "_b", "_n").agg(F.count("*").alias("_k")).withColumn("_before", before)
     wanted = F.filter(_ranks(probabilities), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_k")))
@@ -55,8 +61,7 @@ def at_ranks(df: DataFrame, keys: list[str], order: str, ranks: Column, bins: in
     """
     v = F.col(order).cast("double")
     span = df.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count("*").alias("_n"))
-    bin_ = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
-    binned = _same(df, span, keys).withColumn("_b", bin_)
+    binned = _same(df, span, keys).withColumn("_b", _bin(v, bins))
     before = F.coalesce(F.sum("_k").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = binned.groupBy(*keys, "_b", "_n").agg(F.count("*").alias("_k")).withColumn("_before", before)
     wanted = F.filter(ranks.cast("array<bigint>"), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_k")))

@@ -175,9 +175,12 @@ def test_thinning_keeps_as_many_as_asked(spark):
     assert n == {"big": (400, 4900), "small": (100, 100)}
 
 
-def test_quantiles_equal_numpy(spark):
+def test_quantiles_equal_numpy(spark, monkeypatch):
+    from lamina.functions import quantiles as module
     from lamina.functions.quantiles import at_ranks, quantiles
 
+    monkeypatch.setattr(module, "LEAST_ROWS", 8)
+
     rng = np.random.default_rng(0)
     rows = [("a", float(v)) for v in rng.standard_normal(999)] + [("b", float(v)) for v in rng.integers(0, 4, 500)] + [("c", 5.0)] * 3 + [("d", None), (None, 1.0), (None, 2.0)]
     df = spark.createDataFrame(rows, "k string, v double").withColumn("w", -F.col("v"))
