@@ -78,22 +78,40 @@ def full_match(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return both.agg(F.count_if(F.col("_r").isNull()).alias("n_left_only"), F.count_if(F.col("_l").isNull()).alias("n_right_only"), F.count_if(F.col("_l") & F.col("_r")).alias("n_both"))
 
 
-def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of an edge table, component being its smallest member (G1).
+def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, root) of every node with a smaller one in its component; root is the smallest.
 
-    Labels fall to the least among neighbours, then to their label's own label, so long chains shorten by half a round.
+    ``edges`` has two columns of one orderable type. Each round links every node's larger neighbours to its smallest
+    one, then its smaller neighbours too, until the graph is a star around each root (a few rounds for groups of
+    copies). Rounds are written to shared scratch; the driver sees two numbers of each.
     """
-    pairs = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct())
-    label = materialize(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c")))
+    a, b = edges.columns
+    both = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    now = materialize(both.where("u <> v").distinct())
+    state = None
     for _ in range(max_rounds):
-        near = pairs.join(label.withColumnsRenamed({"u": "v", "c": "cv"}), "v").groupBy("u").agg(F.min("cv").alias("m"))
-        low = label.join(near, "u").select("u", F.least("c", "m").alias("c"), F.col("c").alias("was"))
-        jump = low.join(low.select(F.col("u").alias("c"), F.col("c").alias("cc")), "c").select("u", "cc", "was")
-        new = materialize(jump.select("u", F.col("cc").alias("c"), (F.col("cc") != F.col("was")).alias("moved")))
-        label = new.select("u", "c")
-        if new.where("moved").isEmpty():
-            return label.select(F.col("u").alias("node"), F.col("c").alias("component"))
-    raise RuntimeError("components did not settle")
+        around = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = materialize(small.union(lowest.select("u", F.col("m").alias("v"))).distinct())
+        seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        if state == (seen.n, seen.x):
+            break
+        state = (seen.n, seen.x)
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component) of every node of an edge table, component being its smallest member (G1)."""
+    pairs = edges.select(a, b)
+    star = stars(pairs).withColumnRenamed("root", "component")
+    out = star.unionByName(star.select(F.col("component").alias("node"), "component").distinct())
+    alone = pairs.where(F.col(a) == F.col(b)).select(F.col(a).alias("node"), F.col(a).alias("component")).distinct()
+    return materialize(out.unionByName(alone.join(out.select("node"), "node", "left_anti")))
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
