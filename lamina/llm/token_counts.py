@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import md5
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, materialize, read_table, texts_of
 
-#: Pre-tokens whose counts every task holds: at most so many, of at most so many characters each.
+#: Pre-tokens whose counts every task holds: at most so many. One of more than so many characters is held by its MD5, so their bytes are bounded too.
 HOT_TOKENS, HOT_CHARS = 131_072, 32
 OVER_LIMIT = 4096
 #: Distinct pre-tokens a task gathers before it passes them on.
@@ -82,16 +83,22 @@ def vocabulary(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def hot_counts(vocab: DataFrame, limit: int = HOT_TOKENS, chars: int = HOT_CHARS) -> dict[str, int]:
-    """Pieces of the most frequent short pre-tokens: those of the highest frequency classes that hold ``limit`` at most in all."""
-    short = vocab.where(F.length("token") <= chars).withColumn("_class", F.floor(8 * F.log2("n_docs")))
+    """Pieces of the most frequent pre-tokens, by :func:`held_key`: those of the highest frequency classes that hold ``limit`` at most in all."""
+    key = F.when(F.length("token") <= chars, F.col("token")).otherwise(F.concat(F.lit("\0"), F.md5("token")))
+    classes = vocab.select(key.alias("key"), "n_pieces", F.floor(8 * F.log2("n_docs")).alias("_class"))
     room, least = limit, None
-    for r in sorted(short.groupBy("_class").count().collect(), key=lambda r: -r._class):  # a few hundred classes
+    for r in sorted(classes.groupBy("_class").count().collect(), key=lambda r: -r._class):  # a few hundred classes
         if (room := room - r["count"]) < 0:
             break
         least = r._class
     if least is None:
         return {}
-    return {r.token: r.n_pieces for r in short.where(F.col("_class") >= least).select("token", "n_pieces").toLocalIterator()}
+    return {r.key: r.n_pieces for r in classes.where(F.col("_class") >= least).select("key", "n_pieces").toLocalIterator()}
+
+
+def held_key(token: str, chars: int = HOT_CHARS) -> str:
+    """A pre-token of at most ``chars`` characters itself, a longer one's MD5 after a null, which is one character longer than that."""
+    return token if len(token) <= chars else "\0" + md5(token.encode()).hexdigest()
 
 
 def count_tokens(docs: DataFrame, model_path: str, hot_tokens: int = HOT_TOKENS) -> DataFrame:
@@ -117,7 +124,7 @@ def count_tokens(docs: DataFrame, model_path: str, hot_tokens: int = HOT_TOKENS)
                 uid += 1
                 own, rest = 0, []
                 for t, k in Counter(pre_tokens(text)).items():
-                    if (n := known.get(t)) is None:
+                    if (n := known.get(held_key(t))) is None:
                         rest.append((None, uid, None, t, False, k))
                     else:
                         own += n * k
