@@ -12,6 +12,7 @@ from ..operators import matching as M
 from ..operators import profiles as P
 from ..operators import regions, structure
 from ..sources import tables
+from ..sources.formats import molecules
 from ..sources.tables import SQL, read
 from .structures import _BOXES, _MATRIX
 
@@ -262,8 +263,33 @@ def z37_genes(spark, sf):
     return tables.transcripts(spark, sf).select("gene").where("gene is not null").distinct()
 
 
+def p4_molecules(spark, sf):
+    """Molecules of some genes at or over a quality; both conditions reach the scan."""
+    t = tables.transcripts(spark, sf).select(F.col("cell").cast("string").alias("id"), "gene", F.col("qv").alias("quality"))
+    return molecules(t, ["click", "view"], 20.0).groupBy("id", "gene").agg(F.count("*").alias("n"), F.round(F.max("quality"), 4).alias("best"))
+
+
+def p2_labels(spark, sf):
+    """Labels that stand for no cluster are left out, whatever their case."""
+    name = F.when(F.col("p_size") % 5 == 0, " Unassigned").when(F.col("p_size") % 7 == 0, "NaN ").when(F.col("p_size") % 11 == 0, " ").otherwise(F.col("p_brand"))
+    return read(spark, sf, "part").withColumn("label", name).where(C.is_cluster("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def p5_finite(spark, sf):
+    """Coordinates in micrometres of points that have any; division by zero stands for what a table lacks."""
+    p = tables.points(spark, sf)
+    odd = F.col("vec_id") % 10
+    x = F.when(odd == 0, F.lit(float("nan"))).when(odd == 1, F.lit(float("inf"))).when(odd == 2, F.lit(None).cast("double")).otherwise(F.col("x") * 0.2125)
+    return p.withColumn("x", x).where(C.finite("x")).groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.sum("x"), 5).alias("total"))
+
+
+def z15_truthy(spark, sf):
+    text = F.element_at(F.array(*[F.lit(v) for v in ("TRUE", " yes", "0", "1", "no", "y", "")]), (F.col("p_size") % 7 + 1).cast("int"))
+    return read(spark, sf, "part").groupBy("p_brand").agg(F.count_if(C.truthy(text)).alias("n_true"), F.count("*").alias("n"))
+
+
 NAMES = (
-    "j3_gene_counts j4_multi_key a12_mode a18_members a27_normalised a28_block_stats a29_contingency w3_first_rows w6_fallback w11_ids o1_mixed_order o5_chosen u4_common f5_similarities f10_colours d8_flags d10_events "
+    "p4_molecules p2_labels p5_finite z15_truthy j3_gene_counts j4_multi_key a12_mode a18_members a27_normalised a28_block_stats a29_contingency w3_first_rows w6_fallback w11_ids o1_mixed_order o5_chosen u4_common f5_similarities f10_colours d8_flags d10_events "
     "d12_classes d14_guard d16_families d18_mesh d19_scores d21_signatures p11_flip j7_knn_field j10_gaussian_field j11_context f5_surroundings z13_turning z38_spacing z19_compatible z20_edge_score z35_edges z37_genes"
 ).split()
 QUERIES = {n: globals()[n] for n in NAMES}
@@ -273,6 +299,10 @@ _D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)"
 _FIRST = f"SELECT cluster, region, min(sample) AS first, round(avg(x), 3) AS mx, round(avg(y), 3) AS my FROM {_SPOTS} GROUP BY cluster, region"
 _STATES = ["LGR5", "MKI67", "MUC2", "BEST4", "CHGA"]
 ORACLE_SQL = {
+    "p4_molecules": f"SELECT CAST(cell AS VARCHAR) AS id, gene, count(*) AS n, round(max(qv), 4) AS best FROM {_TX} WHERE gene IN ('click', 'view') AND qv >= 20 GROUP BY ALL",
+    "p2_labels": "SELECT p_brand AS label, count(*) AS n FROM part WHERE p_size % 5 <> 0 AND p_size % 7 <> 0 AND p_size % 11 <> 0 GROUP BY p_brand",
+    "p5_finite": f"SELECT cluster, count(*) AS n, round(sum(x * CAST(0.2125 AS DOUBLE)), 5) AS total FROM {_POINTS} WHERE vec_id % 10 > 2 AND x IS NOT NULL GROUP BY cluster",
+    "z15_truthy": "SELECT p_brand, count(*) FILTER (p_size % 7 IN (0, 1, 3, 5)) AS n_true, count(*) AS n FROM part GROUP BY p_brand",
     "j3_gene_counts": f"""WITH n AS (SELECT cell, gene, count(*) AS n FROM {_TX} GROUP BY ALL), l AS (SELECT DISTINCT cell, cell % 7 AS gland, 'inside' AS part FROM n UNION ALL SELECT DISTINCT cell, cell % 11, 'ring' FROM n)
       SELECT gland, part, gene, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_cells FROM n JOIN l USING (cell) GROUP BY gland, part, gene""",
     "j4_multi_key": f"SELECT region, cluster, sample, count(*) AS n, count(*) FILTER (weight > 0.08) AS n_high FROM {_SPOTS} GROUP BY ALL",

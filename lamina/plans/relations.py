@@ -347,6 +347,10 @@ ORACLE_SQL = {
       d AS (SELECT a.cell AS a, sum(a.v * b.v) AS dot FROM w a JOIN w b ON b.cell = a.cell + 1 AND a.gene = b.gene GROUP BY a.cell)
       SELECT n.cell AS a, n.cell + 1 AS b, round(coalesce(dot, 0) / nullif(n.n * m.n, 0), 6) AS cosine FROM n LEFT JOIN d ON d.a = n.cell LEFT JOIN n m ON m.cell = n.cell + 1""",
     "f7_json": f"SELECT gene, CAST(sum(k) AS BIGINT) AS sum_k, count(*) FILTER (k IS NULL) AS n_bad, max('{{\"gene\":\"' || gene || '\",\"k\":' || k || '}}') AS top FROM {_TX} GROUP BY gene",
+    # Labels fall to the least about them, one step at a time; components of these tables are far less than 16 steps wide.
+    "g1_components": f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT a AS u, -b - 1 AS v FROM p UNION ALL SELECT -b - 1, a FROM p UNION SELECT a, a FROM p UNION SELECT -b - 1, -b - 1 FROM p),
+      r(u, c, k) AS (SELECT DISTINCT u, u, 0 FROM e UNION ALL SELECT e.u, min(r.c), max(r.k) + 1 FROM r JOIN e ON r.u = e.v WHERE r.k < 16 GROUP BY e.u)
+      SELECT u AS node, min(c) AS component FROM r GROUP BY u""",
     "d1_verdict": f"""WITH t AS (SELECT region, avg(weight) * 10 - 0.45 AS di, (avg(y) - 25) / 4 AS dt, avg(CASE WHEN cluster = 'AF' THEN 0.0 ELSE CAST(0.06 AS DOUBLE) END) AS p FROM {_SPOTS} GROUP BY region)
       SELECT region, CASE WHEN dt <= 0 OR p > 0.05 THEN 'FAIL' WHEN di <= 0.10 THEN 'PASS' WHEN di <= 0.30 THEN 'PARTIAL' ELSE 'FAIL' END AS verdict, round(CASE WHEN dt > 0 THEN 1 - greatest(di, 0) / dt END, 6) AS explained FROM t""",
     "d3_status": f"""WITH t AS (SELECT region, avg(weight) * 20 - 1 AS rl, (avg(y) - 25) / 2 AS csr, stddev_pop(weight) * 1.6 AS p FROM {_SPOTS} GROUP BY region)
