@@ -59,7 +59,7 @@ def measures(regions: DataFrame, key: str) -> DataFrame:
     cx, cy = centroid(r)
     area, length = F.abs(signed_area(r)), perimeter(r)
     return regions.select(
-        key, F.round(area, 1).alias("area"), F.round(length, 3).alias("perimeter"), F.round(cx, 3).alias("cx"), F.round(cy, 3).alias("cy"),
+        key, F.round(area, 1).alias("area"), F.round(length, 6).alias("perimeter"), F.round(cx, 6).alias("cx"), F.round(cy, 6).alias("cy"),
         F.round(F.try_divide(4 * math.pi * area, length * length), 6).alias("compactness"),
     )
 

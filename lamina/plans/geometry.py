@@ -58,7 +58,7 @@ def x15_polygons(spark, sf):
 def x12_isoline(spark, sf):
     """Outlines of where the most urgent cells prevail."""
     cells = tables.cells(spark, sf).select("cell_id", "x", "y", (F.col("cluster") == "1-URGENT").cast("int").alias("target"))
-    kept, rings = isolines.isoline(cells, X, Y, 5, 60.0, 200.0, 1.0, 0.3, 10)
+    kept, rings = isolines.isoline(cells, X, Y, 5, 60.0, 200.0, 1.0, 0.3, 3)
     return isolines.polygon_sizes(rings).join(kept.groupBy("component").agg(F.max("n_targets").alias("n_targets"), F.count("*").alias("n_bins")), "component")
 
 

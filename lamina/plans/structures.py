@@ -193,7 +193,7 @@ ORACLE_SQL = {
     "x52_resample": f"""WITH {_BOXES.format(e=0.0)}, e AS (SELECT region, x0 AS ax, y0 AS ay, x1 AS bx, y0 AS by_ FROM boxes UNION ALL SELECT region, x1, y0, x1, y1 FROM boxes UNION ALL SELECT region, x1, y1, x0, y1 FROM boxes UNION ALL SELECT region, x0, y1, x0, y0 FROM boxes),
       s AS (SELECT *, greatest(1, CAST(ceil(sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) / 100) AS BIGINT)) AS n FROM e), p AS (SELECT region, ax, ay, bx, by_, n, unnest(range(n)) AS i FROM s)
       SELECT region, count(*) AS n_points, round(sum(ax + (bx - ax) * i / n), 1) AS sum_x, round(sum(ay + (by_ - ay) * i / n), 1) AS sum_y FROM p GROUP BY region""",
-    "f11_region_measures": f"""WITH {_BOXES.format(e=0.0)} SELECT region, round((x1 - x0) * (y1 - y0), 1) AS area, round(2 * (x1 - x0 + y1 - y0), 3) AS perimeter, round((x0 + x1) / 2, 3) AS cx, round((y0 + y1) / 2, 3) AS cy,
+    "f11_region_measures": f"""WITH {_BOXES.format(e=0.0)} SELECT region, round((x1 - x0) * (y1 - y0), 1) AS area, round(2 * (x1 - x0 + y1 - y0), 6) AS perimeter, round((x0 + x1) / 2, 6) AS cx, round((y0 + y1) / 2, 6) AS cy,
       round(4 * pi() * (x1 - x0) * (y1 - y0) / ((2 * (x1 - x0 + y1 - y0)) * (2 * (x1 - x0 + y1 - y0))), 6) AS compactness FROM boxes""",
     "p6_bbox_cells": f"SELECT cluster, count(*) AS n, round(avg(y), 6) AS mean_y FROM {_CELLS} WHERE x BETWEEN 1000 AND 2000 AND y BETWEEN 500 AND 1500 GROUP BY cluster",
 }
