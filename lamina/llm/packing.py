@@ -182,7 +182,8 @@ def pack(cut_pieces: DataFrame, capacity: int = MAX_TOKENS) -> DataFrame:
     spark = cut_pieces.sparkSession
     names = cut_pieces.columns
     n_buckets = max(64, 4 * shuffle_partitions(spark))
-    rows = cut_pieces.withColumn("_bucket", F.pmod(F.xxhash64(*names), F.lit(n_buckets)).cast("int"))
+    told = [c for c in names if c not in ("length", "ids")]  # ids have a checksum among these
+    rows = cut_pieces.withColumn("_bucket", F.pmod(F.xxhash64(*told), F.lit(n_buckets)).cast("int"))
     per_bucket = rows.groupBy("length", "_bucket").count()
     histogram = {r["length"]: r["n"] for r in per_bucket.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # one row per length
     if not histogram:
@@ -192,7 +193,7 @@ def pack(cut_pieces: DataFrame, capacity: int = MAX_TOKENS) -> DataFrame:
     plan = spark.createDataFrame(places(plan_bins(histogram, capacity)), "length bigint, _from bigint, _to bigint, _sequence bigint, _n bigint, _offset bigint")
     before = F.sum("count").over(W.partitionBy("length").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
     starts = per_bucket.select("length", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    rank = F.row_number().over(W.partitionBy("length", "_bucket").orderBy(*[c for c in names if c != "length"])) - 1
+    rank = F.row_number().over(W.partitionBy("length", "_bucket").orderBy(*told)) - 1
     ranked = rows.withColumn("_rank", rank).join(starts, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     step = F.col("_rank") - F.col("_from")
     placed = ranked.join(F.broadcast(plan), (ranked["length"] == plan["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).drop(plan["length"])
@@ -211,7 +212,9 @@ def pack_documents(docs: DataFrame, encode: tuple[str, tuple[str, str]] | None =
 
 
 def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(read_table(spark, sf_dir, "documents"), with_ids=False)
+    """The packed pieces; their checksums are taken from the ids that were packed."""
+    packed = pack_documents(read_table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 QUERIES = {"op5_best_fit_packing": op5_best_fit_packing}
