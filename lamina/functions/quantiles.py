@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Bins of a group at most, and the rows a bin should have at least: small groups get few bins.
 BINS, LEAST_ROWS = 1024, 256
+#: Groups of so many rows at most are sorted as arrays, which gives the same quantiles in one pass.
+SMALL = 65_536
 
 
 def _bin(value: Column, bins: int) -> Column:
@@ -25,10 +27,12 @@ def _ranks(probabilities: list[float]) -> Column:
 def quantiles(df: DataFrame, keys: list[str], values: list[str], probabilities: list[float], bins: int = BINS) -> DataFrame:
     """(keys, and for each of ``values`` an array of its quantiles, linearly interpolated); nulls are left out.
 
-    Three passes, each with partial sums: range and count of each group, counts of its equal bins (``bins`` at most), and counts of
+    Groups are counted first. Where none is large they are sorted as they are; else in three passes, each with partial sums: range and count of each group, counts of its equal bins (``bins`` at most), and counts of
     the distinct values within the bins that hold a wanted rank. Windows run over a group's bins and over the distinct
     values of one bin, never over a group's rows.
     """
+    if (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= SMALL:
+        return _of_small_groups(df, keys, values, probabilities)
     named = F.explode(F.array(*[F.struct(F.lit(v).alias("_c"), F.col(v).cast("double").alias("_v")) for v in values])).alias("_e")
     long = df.select(*keys, named).select(*keys, "_e._c", "_e._v").where("_v is not null")
     group = [*keys, "_c"]
@@ -54,6 +58,21 @@ def quantiles(df: DataFrame, keys: list[str], values: list[str], probabilities:
     return each.groupBy(*keys).agg(*named) if keys else each.agg(*named)
 
 
+def _of_small_groups(df: DataFrame, keys: list[str], values: list[str], probabilities: list[float]) -> DataFrame:
+    held = df.groupBy(*keys).agg(*[F.sort_array(F.collect_list(F.col(v).cast("double"))).alias(v) for v in values])
+
+    def at(v: str, p: float) -> Column:
+        place = F.lit(float(p)) * (F.size(v) - 1)
+        low, high = (F.get(v, f(place).cast("int")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (place - F.floor(place))
+
+    some = F.lit(False)
+    for v in values:
+        some = some | (F.size(v) > 0)
+    found = [F.when(F.size(v) > 0, F.array(*[at(v, p) for p in probabilities])).alias(v) for v in values]
+    return (held.where(some) if keys else held).select(*keys, *found)
+
+
 def at_ranks(df: DataFrame, keys: list[str], order: str, ranks: Column, bins: int = BINS) -> DataFrame:
     """``df``'s rows at ``ranks`` (an array of places from 0, of ``_n`` rows, in the order of a numeric column without repeats) of each group.
 

@@ -175,11 +175,13 @@ def test_thinning_keeps_as_many_as_asked(spark):
     assert n == {"big": (400, 4900), "small": (100, 100)}
 
 
-def test_quantiles_equal_numpy(spark, monkeypatch):
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_quantiles_equal_numpy(spark, monkeypatch, small):
     from lamina.functions import quantiles as module
     from lamina.functions.quantiles import at_ranks, quantiles
 
     monkeypatch.setattr(module, "LEAST_ROWS", 8)
+    monkeypatch.setattr(module, "SMALL", small)
 
     rng = np.random.default_rng(0)
     rows = [("a", float(v)) for v in rng.standard_normal(999)] + [("b", float(v)) for v in rng.integers(0, 4, 500)] + [("c", 5.0)] * 3 + [("d", None), (None, 1.0), (None, 2.0)]
