@@ -69,9 +69,9 @@ def test_well_known_binary(spark, tmp_path):
 def test_folders_bundles_and_sinks(spark, tmp_path):
     for name in ("run_10", "run_2"):
         (tmp_path / "in" / name).mkdir(parents=True)
-        (tmp_path / "in" / name / "experiment.xenium").write_text("{}")
+        (tmp_path / "in" / name / "experiment.marker").write_text("{}")
     (tmp_path / "in" / "other").mkdir()
-    found = formats.discover(spark, str(tmp_path / "in"), "experiment.xenium").orderBy("order").collect()
+    found = formats.discover(spark, str(tmp_path / "in"), "experiment.marker").orderBy("order").collect()
     assert [(r.order, r.name) for r in found] == [(1, "run_2"), (2, "run_10")] and found[0].path.endswith("in/run_2")
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
     formats.write_table(df, str(tmp_path / "t.tsv"))
