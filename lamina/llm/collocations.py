@@ -29,11 +29,12 @@ from .common import batch_of, materialize, read_table, shuffle_partitions
 
 #: Words of a phrase at most; occurrences at least; hundredths of a phrase's occurrences that a longer one must have to replace it; phrases reported for each language.
 MAX_WORDS, LEAST, INSIDE, TOP = 3, 10, 50, 2000
-SHARDS = 4
+#: Fewer shards ask for higher local support, so less is proposed that turns out rare; at two or more, phrases of one occurrence are never sent.
+SHARDS = 2
 #: Bits of the bitmap of proposed phrases.
 BITMAP = 28
-#: Keys, or phrases, that a task gathers before it passes them on.
-HELD_KEYS, HELD_PHRASES = 4_000_000, 400_000
+#: Keys, or phrases, that a task gathers before it passes them on; of phrases it then keeps those seen so many times, unless they fill half the room.
+HELD_KEYS, HELD_PHRASES, OFTEN = 4_000_000, 400_000, 4
 
 _KINDS = spans.byte_kinds(spaces=b" \t", breaks=b".,;:!?\n\x0b\x0c\r")
 _MORE = np.uint64(0xA24BAED4963EE407)
@@ -168,8 +169,10 @@ def counted(docs: DataFrame, bitmap: np.ndarray, max_words: int = MAX_WORDS) ->
                 for i in np.flatnonzero(times).tolist():
                     seen[names[lang[i]], raw[start[i] : start[i] + length[i]]] += int(times[i])
                 if len(seen) > HELD_PHRASES:
-                    yield flush(seen)
-                    seen.clear()
+                    often = Counter({k: n for k, n in seen.items() if n >= OFTEN})
+                    often = often if 2 * len(often) < HELD_PHRASES else Counter()
+                    yield flush(seen - often if often else seen)
+                    seen = often
         yield flush(seen)
 
     return _with_langs(docs).mapInArrow(count, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
