@@ -1,10 +1,11 @@
 """Phrase collocations by partitioned mining: shards propose phrases at lowered support, all proposals are counted exactly.
 
 Input partitions are dealt into ``shards``. A phrase of global support ``least`` has ``least / shards`` occurrences in one
-shard at least, whatever the shards' sizes, so each shard is mined completely at that support. Mining works on 48-bit keys
-of (language, phrase) in blocks of numbers, and its union is a bitmap of fixed size, which is all that the driver and
-the second pass hold; keys that collide only propose phrases in vain. The second pass reads the texts again and counts
-proposed phrases by their very words, and the wanted support is then asked of those exact counts.
+shard at least, whatever the shards' sizes, so each shard is mined completely at that support: single words and pairs
+first, then longer phrases whose two parts of one word less are proposed already. Mining works on 48-bit keys of
+(language, phrase) in blocks of numbers, and its union is a bitmap of fixed size, which is all that the driver and the
+passes hold; keys that collide only propose phrases in vain. The last pass counts proposed phrases by their very words,
+and the wanted support is then asked of those exact counts.
 
 Texts are lower-cased (A-Z), cut into pieces at ``.,;:!?`` and line ends, and pieces into words at spaces and tabs. Null
 texts are empty, null languages are ``und``. Every row counts, repeated ones too. Parts of very long texts overlap by the
@@ -34,7 +35,9 @@ SHARDS = 2
 #: Bits of the bitmap of proposed phrases.
 BITMAP = 28
 #: Keys, or phrases, that a task gathers before it passes them on; of phrases it then keeps those seen so many times, unless they fill half the room.
-HELD_KEYS, HELD_PHRASES, OFTEN = 4_000_000, 400_000, 4
+HELD_KEYS, HELD_PHRASES, OFTEN = 2_000_000, 400_000, 4
+#: Bytes of text worked on at once.
+CHUNK = 1 << 20
 
 _KINDS = spans.byte_kinds(spaces=b" \t", breaks=b".,;:!?\n\x0b\x0c\r")
 _MORE = np.uint64(0xA24BAED4963EE407)
@@ -44,8 +47,11 @@ def _seed(lang: str) -> int:
     return int.from_bytes(blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
-def phrases(w: spans.Words, seeds: np.ndarray, max_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(words, first word, key) of all phrases whose last word is fresh, by length. ``seeds`` has a number for each row of the batch."""
+def phrases(w: spans.Words, seeds: np.ndarray, max_words: int, bitmap: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, first word, key) of all phrases whose last word is fresh, by length. ``seeds`` has a number for each row of the batch.
+
+    With ``bitmap``, phrases of three words or more are left out unless it has their first and their last words but one.
+    """
     if not len(w.start):
         return
     hashes = w.hashes()
@@ -56,11 +62,21 @@ def phrases(w: spans.Words, seeds: np.ndarray, max_words: int) -> Iterator[tuple
         if k > 1:
             more = np.flatnonzero(first + k - 1 < len(hashes))
             more = more[together[first[more] + k - 2]]
+            if k > 2 and bitmap is not None:
+                known = np.zeros(len(hashes) + 1, dtype=bool)
+                known[first] = marked(bitmap, key)
+                more = more[known[first[more]] & known[first[more] + 1]]
             first, key = first[more], spans._mixed(key[more] * _MORE + hashes[first[more] + k - 1])
         fresh = w.fresh[first + k - 1]
         yield k, first[fresh], key[fresh]
 
 
+def marked(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether a bitmap (bytes) has each key, by its first bits."""
+    p = (key >> np.uint64(64 - (len(bitmap).bit_length() + 2))).astype(np.int64)
+    return (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+
+
 def _with_langs(docs: DataFrame) -> DataFrame:
     return docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
 
@@ -74,7 +90,15 @@ def _summed(keys: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray
 
 
 def proposed(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS, shards: int = SHARDS, bits: int = BITMAP) -> np.ndarray:
-    """Bitmap (bytes) of the keys of phrases that some shard holds ``least / shards`` times or more.
+    """Bitmap (bytes) of the keys of phrases that some shard holds ``least / shards`` times or more, mined length by length."""
+    out = _mined(docs, least, 1, min(max_words, 2), shards, bits, None)
+    for k in range(3, max_words + 1):
+        out |= _mined(docs, least, k, k, shards, bits, out)
+    return out
+
+
+def _mined(docs: DataFrame, least: int, low: int, high: int, shards: int, bits: int, known: np.ndarray | None) -> np.ndarray:
+    """The bitmap of phrases of ``low`` to ``high`` words.
 
     Tasks send their keys, sorted and counted, in blocks by their first bits; a group is one block of all shards, about a
     shuffle partition's share of distinct phrases. Counts are kept up to the local support only, which decides nothing else.
@@ -85,6 +109,7 @@ def proposed(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS, sh
     unit = "<u1" if local < 256 else "<u4"
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("n", pa.binary())])
     edges = np.arange(1, n_blocks, dtype=np.uint64) << np.uint64(48 - block_bits)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def sent(shard: int, keys: list[np.ndarray]) -> pa.RecordBatch:
         key = np.concatenate(keys)
@@ -97,10 +122,11 @@ def proposed(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS, sh
         shard, held, n = TaskContext.get().partitionId() % shards, [], 0
         for b in batches:
             seeds = np.array([_seed(x) for x in b.column("lang").to_pylist()], dtype=np.uint64)
-            for w in spans.words(b.column("text"), _KINDS, fold=True, context=max_words - 1):
-                for _, _, key in phrases(w, seeds, max_words):
-                    held.append(key >> np.uint64(16))
-                    n += len(key)
+            for w in spans.words(b.column("text"), _KINDS, fold=True, context=high - 1, limit=CHUNK):
+                for k, _, key in phrases(w, seeds, high, shared.value):
+                    if k >= low:
+                        held.append(key >> np.uint64(16))
+                        n += len(key)
                 if n > HELD_KEYS:
                     yield sent(shard, held)
                     held, n = [], 0
@@ -128,10 +154,12 @@ def counted(docs: DataFrame, bitmap: np.ndarray, max_words: int = MAX_WORDS) ->
     """(lang, phrase, n): exact occurrences of each phrase that the bitmap proposes, and of all words (null phrase) of each language."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    shift = np.uint64(64 - (len(bitmap).bit_length() + 2))
 
-    def flush(seen: Counter) -> pa.RecordBatch:
-        return batch_of(schema, lang=[k for k, _ in seen], phrase=[None if p is None else p.decode() for _, p in seen], n=list(seen.values()))
+    def flush(seen: Counter, keep: int) -> pa.RecordBatch:
+        """Takes what is seen less than ``keep`` times out of ``seen``, in order, which compresses well."""
+        rows = sorted((lang, p is not None, p or b"") for (lang, p), n in seen.items() if not keep or n < keep)
+        keys = [(lang, p if some else None) for lang, some, p in rows]
+        return batch_of(schema, lang=[k for k, _ in keys], phrase=[None if p is None else p.decode() for _, p in keys], n=[seen.pop(k) for k in keys])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, seen = shared.value, Counter()
@@ -140,16 +168,15 @@ def counted(docs: DataFrame, bitmap: np.ndarray, max_words: int = MAX_WORDS) ->
             codes = {x: i for i, x in enumerate(dict.fromkeys(langs))}
             names, code = list(codes), np.array([codes[x] for x in langs], dtype=np.int64)
             seeds = np.array([_seed(x) for x in names], dtype=np.uint64)[code] if names else np.zeros(0, dtype=np.uint64)
-            for w in spans.words(b.column("text"), _KINDS, fold=True, context=max_words - 1):
+            for w in spans.words(b.column("text"), _KINDS, fold=True, context=max_words - 1, limit=CHUNK):
                 for c, k in zip(*np.unique(code[w.row[w.fresh]], return_counts=True), strict=True):
                     seen[names[c], None] += int(k)
                 if not len(w.start):
                     continue
                 plain = np.concatenate([[0], np.cumsum((w.start[1:] - w.end[:-1] != 1) | (w.data[w.end[:-1]] != 32))])  # gaps so far that aren't one space
                 at, last, keys = [], [], []
-                for k, first, key in phrases(w, seeds, max_words):
-                    p = (key >> shift).astype(np.int64)
-                    hit = (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+                for k, first, key in phrases(w, seeds, max_words, bitmap):
+                    hit = marked(bitmap, key)
                     at.append(first[hit])
                     last.append(first[hit] + k - 1)
                     keys.append(key[hit])
@@ -169,11 +196,10 @@ def counted(docs: DataFrame, bitmap: np.ndarray, max_words: int = MAX_WORDS) ->
                 for i in np.flatnonzero(times).tolist():
                     seen[names[lang[i]], raw[start[i] : start[i] + length[i]]] += int(times[i])
                 if len(seen) > HELD_PHRASES:
-                    often = Counter({k: n for k, n in seen.items() if n >= OFTEN})
-                    often = often if 2 * len(often) < HELD_PHRASES else Counter()
-                    yield flush(seen - often if often else seen)
-                    seen = often
-        yield flush(seen)
+                    yield flush(seen, OFTEN)
+                    if 2 * len(seen) > HELD_PHRASES:
+                        yield flush(seen, 0)
+        yield flush(seen, 0)
 
     return _with_langs(docs).mapInArrow(count, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
