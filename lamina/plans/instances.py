@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import Axis, histogram
 from ..functions.quantiles import quantiles
-from ..operators import fields, instances, structure
+from ..operators import biology, fields, instances, structure
 from ..sources import tables
 from ..sources.scratch import materialize
+from ..sources.tables import SQL
 from .structures import SPEC
 
 X, Y = Axis(0.0, 5000.0, 100), Axis(0.0, 2500.0, 50)
@@ -36,6 +37,109 @@ def x25_instances(spark, sf):
     return rows.select(*plain, *[F.round(c, 6).alias(c) for c in ("area", "cx", "cy", "lumen_area", "lumen_cx", "lumen_cy", "ring_support", "marker_score", "contamination")])
 
 
-NAMES = ["x25_instances"]
+SIGNATURES = {"growth": ("click", "view"), "transport": ("purchase",), "stress": ("error", "signup")}
+PAIRS = [("click", "purchase"), ("view", "error"), ("signup", "click")]
+BIN = 400.0
+
+
+def _biology(spark, sf):
+    """(tracks, instances, cells, molecules by cell): the middle halves of the cells of each slice and batch of owners are its instances, a batch's instances are one track."""
+    cells = tables.cells(spark, sf)
+    batch = F.col("owner") % 12
+    keyed = materialize(cells.select("cell_id", "slice", "x", "y", "owner", batch.alias("track")))
+    q = quantiles(keyed, ["slice", "track"], ["x", "y"], [0.3, 0.7])
+    corner = lambda i, j: F.struct(F.col("x")[i].alias("x"), F.col("y")[j].alias("y"))
+    z = F.when(F.col("slice") == "F", 0.0).when(F.col("slice") == "O", 10.0).otherwise(25.0)
+    regions = q.select(F.concat_ws(":", "slice", "track").alias("region"), "track", "slice", z.alias("z"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"), F.lit(None).cast("double").alias("cx"), F.lit(None).cast("double").alias("cy"))
+    regions = materialize(regions)
+    by_owner = tables.transcripts(spark, sf).groupBy(F.col("cell").alias("owner"), "gene").agg(F.count("*").alias("n"))
+    counts = materialize(keyed.select("cell_id", "owner").join(by_owner, "owner").select("cell_id", "gene", "n"))
+    rows = materialize(biology.assigned(keyed, regions, BIN))
+    return regions, keyed, counts, rows
+
+
+def x29_assignments(spark, sf):
+    regions, _, _, rows = _biology(spark, sf)
+    return rows.groupBy("region", "track").agg(F.count("*").alias("n_cells"), F.round(F.avg("radial"), 5).alias("radial"), F.round(F.max("radial"), 5).alias("farthest"), F.round(F.avg("longitudinal"), 5).alias("longitudinal"))
+
+
+def x29_entropy(spark, sf):
+    _, _, counts, rows = _biology(spark, sf)
+    e = biology.entropy(biology.cell_states(rows, counts, SIGNATURES))
+    return e.select("track", "n_cells", "dominant_state", *[F.round(c, 5).alias(c) for c in ("state_entropy", "dominant_fraction", "radial_variance")])
+
+
+def x29_axis(spark, sf):
+    _, _, counts, rows = _biology(spark, sf)
+    found = biology.axis_distortion(biology.cell_states(rows, counts, SIGNATURES), list(SIGNATURES), ("growth", "stress"))
+    return found.select("track", "n_cells", *[F.round(c, 4).alias(c) for c in found.columns[2:]])
+
+
+def x29_microenvironment(spark, sf):
+    regions, cells, counts, rows = _biology(spark, sf)
+    return biology.microenvironment(regions, rows, biology.ring_cells(cells, regions, 10.0, 30.0, BIN), counts, SIGNATURES)
+
+
+def x29_communication(spark, sf):
+    regions, cells, counts, rows = _biology(spark, sf)
+    found = biology.communication(regions, rows, biology.ring_cells(cells, regions, 10.0, 30.0, BIN), counts, PAIRS)
+    return found.select("track", "ligand", "receptor", "n_regions", F.round("mean_score", 6).alias("mean_score"), F.round("max_score", 6).alias("max_score"))
+
+
+def x29_features(spark, sf):
+    regions, _, counts, rows = _biology(spark, sf)
+    area = (F.col("ring")[1]["x"] - F.col("ring")[0]["x"]) * (F.col("ring")[2]["y"] - F.col("ring")[1]["y"])
+    tracks = regions.groupBy("track").agg(F.count("*").alias("n_slices"), F.median(area).alias("median_area")).withColumn("n_branches", F.col("track") % 3)
+    found = biology.features(tracks, rows, counts, biology.cell_states(rows, counts, SIGNATURES), SIGNATURES)
+    return found.select("track", "n_slices", "n_branches", "n_cells", "high_confidence", *[F.round(c, 5).alias(c) for c in (*[f"signature_{s}" for s in SIGNATURES], "state_entropy", "fission_score", "lumen_collapse")])
+
+
+NAMES = "x25_instances x29_assignments x29_entropy x29_axis x29_microenvironment x29_communication x29_features".split()
 QUERIES = {n: globals()[n] for n in NAMES}
-ORACLE_SQL: dict[str, str] = {}
+
+_SUM = lambda s, t: f"coalesce(sum(n) FILTER (gene IN ({', '.join(repr(g) for g in SIGNATURES[s])})), 0) AS {t}{s}"
+_BASE = f"""k AS (SELECT cell_id, slice, x, y, owner, owner % 12 AS track FROM {SQL["cells"]}),
+  b AS (SELECT slice || ':' || track AS region, track, slice, CASE slice WHEN 'F' THEN 0.0 WHEN 'O' THEN 10.0 ELSE 25.0 END::DOUBLE AS z, quantile_cont(x, CAST(0.3 AS DOUBLE)) AS x0, quantile_cont(x, CAST(0.7 AS DOUBLE)) AS x1,
+    quantile_cont(y, CAST(0.3 AS DOUBLE)) AS y0, quantile_cont(y, CAST(0.7 AS DOUBLE)) AS y1 FROM k GROUP BY slice, track),
+  r AS (SELECT *, (x1 - x0) * (y1 - y0) AS area, (x0 + x1) / 2 AS mx, (y0 + y1) / 2 AS my FROM b),
+  w AS (SELECT owner, gene, count(*) AS n FROM (SELECT cell AS owner, gene FROM {SQL["transcripts"]}) GROUP BY ALL), m AS (SELECT cell_id, gene, n FROM k JOIN w USING (owner)),
+  h AS (SELECT cell_id, k.x, k.y, r.slice, z, region, r.track, least(1.0, sqrt(power(k.x - mx, 2) + power(k.y - my, 2)) / sqrt(power(x1 - mx, 2) + power(y1 - my, 2))) AS radial FROM k JOIN r ON k.slice = r.slice AND k.x >= x0 AND k.x < x1 AND k.y >= y0 AND k.y < y1
+    QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY area, region) = 1),
+  a AS (SELECT *, coalesce((z - min(z) OVER (PARTITION BY track)) / nullif(max(z) OVER (PARTITION BY track) - min(z) OVER (PARTITION BY track), 0), 0) AS longitudinal FROM h),
+  g AS (SELECT cell_id, {", ".join(_SUM(s, "") for s in SIGNATURES)} FROM m GROUP BY cell_id), s AS (SELECT a.*, {", ".join(f"coalesce({s}, 0) AS {s}" for s in SIGNATURES)} FROM a LEFT JOIN g USING (cell_id)),
+  t AS (SELECT *, CASE WHEN greatest({", ".join(SIGNATURES)}) <= 0 THEN 'unresolved' {" ".join(f"WHEN {s} = greatest({', '.join(SIGNATURES)}) THEN '{s}'" for s in SIGNATURES)} END AS state FROM s)"""
+_ENTROPY = """n AS (SELECT track, state, count(*) AS n FROM t GROUP BY ALL), e AS (SELECT track, sum(n) AS total, max(n) AS most, -sum(n / nn * log2(n / nn)) AS state_entropy FROM (SELECT *, sum(n) OVER (PARTITION BY track) AS nn FROM n) GROUP BY track)"""
+_RING = """o AS (SELECT cell_id, region, r.track FROM (SELECT k.*, r.* EXCLUDE (slice, track), r.track AS rt, sqrt(power(greatest(x0 - k.x, k.x - x1, 0), 2) + power(greatest(y0 - k.y, k.y - y1, 0), 2)) AS d FROM k JOIN r ON k.slice = r.slice) q JOIN r USING (region)
+    WHERE d > 10 AND d <= 30)"""
+
+
+def _axis_sql() -> str:
+    out = []
+    for s in SIGNATURES:
+        w = f"nullif(sum({s}), 0)"
+        out += [f"sum({s} * radial) / {w} AS {s}_radial", f"sum({s} * longitudinal) / {w} AS {s}_along", f"CASE WHEN {w} IS NOT NULL THEN sqrt(greatest(sum({s} * longitudinal * longitudinal) / {w} - power(sum({s} * longitudinal) / {w}, 2), 0)) END AS {s}_spread", f"sum({s}) FILTER (longitudinal >= 0.75) / {w} AS {s}_apical"]
+    names = [f"{s}_{p}" for s in SIGNATURES for p in ("radial", "along", "spread", "apical")]
+    return f"""WITH {_BASE}, z AS (SELECT track, count(*) AS n_cells, {", ".join(out)} FROM t GROUP BY track)
+      SELECT track, n_cells, {", ".join(f"round({n}, 4) AS {n}" for n in names)}, round(list_avg(list_filter([growth_spread, stress_spread, stress_apical], lambda v: v IS NOT NULL)), 4) AS distortion FROM z"""
+
+
+_IN_OUT = "r2 AS (SELECT region, track FROM r)" + "".join(
+    f", {name}_n AS (SELECT region, count(*) AS n_{name} FROM {table} GROUP BY region), {name}_g AS (SELECT region, gene, sum(n) AS n FROM (SELECT cell_id, region FROM {table}) JOIN m USING (cell_id) GROUP BY ALL), {name}_s AS (SELECT region, {', '.join(_SUM(s, name + '_') for s in SIGNATURES)} FROM {name}_g GROUP BY region)"
+    for name, table in (("inside", "a"), ("ring", "o"))
+)
+ORACLE_SQL = {
+    "x29_assignments": f"WITH {_BASE} SELECT region, track, count(*) AS n_cells, round(avg(radial), 5) AS radial, round(max(radial), 5) AS farthest, round(avg(longitudinal), 5) AS longitudinal FROM a GROUP BY region, track",
+    "x29_entropy": f"""WITH {_BASE}, {_ENTROPY}, v AS (SELECT track, coalesce(var_samp(radial), 0) AS rv FROM t GROUP BY track), d AS (SELECT track, state FROM n QUALIFY row_number() OVER (PARTITION BY track ORDER BY n DESC, state) = 1)
+      SELECT track, CAST(total AS BIGINT) AS n_cells, state AS dominant_state, round(state_entropy, 5) AS state_entropy, round(most / total, 5) AS dominant_fraction, round(rv, 5) AS radial_variance FROM e JOIN v USING (track) JOIN d USING (track)""",
+    "x29_axis": _axis_sql(),
+    "x29_microenvironment": f"""WITH {_BASE}, {_RING}, {_IN_OUT} SELECT region, track, {", ".join(f"coalesce(n_{n}, 0) AS n_{n}, " + ", ".join(f"CAST(coalesce({n}_{s}, 0) AS BIGINT) AS {n}_{s}" for s in SIGNATURES) for n in ("inside", "ring"))}
+      FROM r2 LEFT JOIN inside_n USING (region) LEFT JOIN inside_s USING (region) LEFT JOIN ring_n USING (region) LEFT JOIN ring_s USING (region)""",
+    "x29_communication": f"""WITH {_BASE}, {_RING}, {_IN_OUT}, p(ligand, receptor) AS (VALUES {", ".join(str(p) for p in PAIRS)}),
+      c AS (SELECT r2.track, ligand, receptor, ln(1 + coalesce(i.n, 0) / greatest(coalesce(n_inside, 0), 1)) * ln(1 + coalesce(g.n, 0) / greatest(coalesce(n_ring, 0), 1)) * ln(1 + coalesce(n_ring, 0) / greatest(coalesce(n_inside, 0), 1)) AS score
+        FROM r2 CROSS JOIN p LEFT JOIN inside_n USING (region) LEFT JOIN ring_n USING (region) LEFT JOIN inside_g i ON i.region = r2.region AND i.gene = receptor LEFT JOIN ring_g g ON g.region = r2.region AND g.gene = ligand)
+      SELECT track, ligand, receptor, count(*) AS n_regions, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score FROM c GROUP BY ALL""",
+    "x29_features": f"""WITH {_BASE}, {_ENTROPY}, q AS (SELECT track, count(*) AS n_slices, median(area) AS ma, track % 3 AS n_branches FROM r GROUP BY track), c AS (SELECT track, count(*) AS n_cells FROM a GROUP BY track),
+      y AS (SELECT track, {", ".join(_SUM(s, "") for s in SIGNATURES)} FROM (SELECT cell_id, track FROM a) JOIN m USING (cell_id) GROUP BY track)
+      SELECT track, n_slices, n_branches, coalesce(n_cells, 0) AS n_cells, n_slices >= 3 AND n_branches <= 0 AS high_confidence, {", ".join(f"round(coalesce(coalesce({s}, 0) / n_cells, 0), 5) AS signature_{s}" for s in SIGNATURES)},
+      round(coalesce(state_entropy, 0), 5) AS state_entropy, round(n_branches / n_slices, 5) AS fission_score, round(1 / ln(1 + ma + 1), 5) AS lumen_collapse FROM q LEFT JOIN c USING (track) LEFT JOIN y USING (track) LEFT JOIN e USING (track)""",
+}
