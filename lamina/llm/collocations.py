@@ -34,8 +34,8 @@ MAX_WORDS, LEAST, INSIDE, TOP = 3, 10, 50, 2000
 SHARDS = 2
 #: Bits of the bitmap of proposed phrases.
 BITMAP = 28
-#: Keys, or phrases, that a task gathers before it passes them on; of phrases it then keeps those seen so many times, unless they fill half the room.
-HELD_KEYS, HELD_PHRASES, OFTEN = 2_000_000, 400_000, 4
+#: Keys, or phrases, that a task gathers before it passes them on.
+HELD_KEYS, HELD_PHRASES, SENT = 2_000_000, 700_000, 50_000
 #: Bytes of text worked on at once.
 CHUNK = 1 << 20
 
@@ -155,22 +155,26 @@ def counted(docs: DataFrame, bitmap: np.ndarray, max_words: int = MAX_WORDS) ->
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    def flush(seen: Counter, keep: int) -> pa.RecordBatch:
-        """Takes what is seen less than ``keep`` times out of ``seen``, in order, which compresses well."""
-        rows = sorted((lang, p is not None, p or b"") for (lang, p), n in seen.items() if not keep or n < keep)
-        keys = [(lang, p if some else None) for lang, some, p in rows]
-        return batch_of(schema, lang=[k for k, _ in keys], phrase=[None if p is None else p.decode() for _, p in keys], n=[seen.pop(k) for k in keys])
+    def flush(seen: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+        """All that was seen, in order, which compresses well. A key is the language, a line end, which no phrase holds, and the phrase."""
+        keys = sorted(seen)
+        for i in range(0, len(keys), SENT):
+            some = keys[i : i + SENT]
+            langs, texts = zip(*(k.rsplit(b"\n", 1) for k in some), strict=True)
+            yield batch_of(schema, lang=[x.decode() for x in langs], phrase=[x.decode() for x in texts], n=[seen[k] for k in some])
+        seen.clear()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, seen = shared.value, Counter()
+        bitmap, total = shared.value, Counter()
+        seen: dict[bytes, int] = {}
         for b in batches:
             langs = b.column("lang").to_pylist()
             codes = {x: i for i, x in enumerate(dict.fromkeys(langs))}
-            names, code = list(codes), np.array([codes[x] for x in langs], dtype=np.int64)
-            seeds = np.array([_seed(x) for x in names], dtype=np.uint64)[code] if names else np.zeros(0, dtype=np.uint64)
+            heads, code = [x.encode() + b"\n" for x in codes], np.array([codes[x] for x in langs], dtype=np.int64)
+            seeds = np.array([_seed(x) for x in codes], dtype=np.uint64)[code] if heads else np.zeros(0, dtype=np.uint64)
             for w in spans.words(b.column("text"), _KINDS, fold=True, context=max_words - 1, limit=CHUNK):
                 for c, k in zip(*np.unique(code[w.row[w.fresh]], return_counts=True), strict=True):
-                    seen[names[c], None] += int(k)
+                    total[heads[c]] += int(k)
                 if not len(w.start):
                     continue
                 plain = np.concatenate([[0], np.cumsum((w.start[1:] - w.end[:-1] != 1) | (w.data[w.end[:-1]] != 32))])  # gaps so far that aren't one space
@@ -183,7 +187,8 @@ def counted(docs: DataFrame, bitmap: np.ndarray, max_words: int = MAX_WORDS) ->
                 at, last, keys = (np.concatenate(x) for x in (at, last, keys))
                 odd = plain[at] != plain[last]
                 for i, j in zip(at[odd].tolist(), last[odd].tolist(), strict=True):
-                    seen[names[code[w.row[i]]], b" ".join(w.data[s:e].tobytes() for s, e in zip(w.start[i : j + 1].tolist(), w.end[i : j + 1].tolist(), strict=True))] += 1
+                    k = heads[code[w.row[i]]] + b" ".join(w.data[s:e].tobytes() for s, e in zip(w.start[i : j + 1].tolist(), w.end[i : j + 1].tolist(), strict=True))
+                    seen[k] = seen.get(k, 0) + 1
                 at, last, keys = at[~odd], last[~odd], keys[~odd]
                 start, length, lang = w.start[at], w.end[last] - w.start[at], code[w.row[at]]
 
@@ -192,14 +197,14 @@ def counted(docs: DataFrame, bitmap: np.ndarray, max_words: int = MAX_WORDS) ->
                     return same & spans.same_bytes(w.data, start[x], w.data, start[y], np.where(same, length[x], 0))
 
                 times = np.bincount(spans.insert(keys, equal), minlength=len(keys))
-                raw = w.data.tobytes()
-                for i in np.flatnonzero(times).tolist():
-                    seen[names[lang[i]], raw[start[i] : start[i] + length[i]]] += int(times[i])
+                raw, some = w.data.tobytes(), np.flatnonzero(times)
+                for s, e, c, n in zip(start[some].tolist(), (start + length)[some].tolist(), lang[some].tolist(), times[some].tolist(), strict=True):
+                    k = heads[c] + raw[s:e]
+                    seen[k] = seen.get(k, 0) + n
                 if len(seen) > HELD_PHRASES:
-                    yield flush(seen, OFTEN)
-                    if 2 * len(seen) > HELD_PHRASES:
-                        yield flush(seen, 0)
-        yield flush(seen, 0)
+                    yield from flush(seen)
+        yield from flush(seen)
+        yield batch_of(schema, lang=[k[:-1].decode() for k in total], phrase=[None] * len(total), n=list(total.values()))
 
     return _with_langs(docs).mapInArrow(count, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
