@@ -46,8 +46,8 @@ def voxel(x: Axis, y: Axis, z: Axis) -> Column:
     return F.when(ins[0] & ins[1] & ins[2], (i[2] * y.n + i[1]) * x.n + i[0]).cast("bigint")
 
 
-def within(left: DataFrame, right: DataFrame, radius: float, dims: str = "xy") -> DataFrame:
-    """Pairs of rows at most ``radius`` apart, with ``d2``; columns come as ``l_*`` and ``r_*``.
+def within(left: DataFrame, right: DataFrame, radius: float, dims: str = "xy", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of rows of equal ``keys`` at most ``radius`` apart, with ``d2``; columns come as ``l_*`` and ``r_*``.
 
     Both sides get the number of their bin of side ``radius``; the left is repeated for the neighbouring bins, so
     the join is an equi-join on bins whatever the size, never a product. AQE splits crowded bins.
@@ -59,7 +59,8 @@ def within(left: DataFrame, right: DataFrame, radius: float, dims: str = "xy") -
         a = a.withColumn(f"_b{d}", F.explode(near))
         b = b.withColumn(f"_b{d}", F.floor(F.col(f"r_{d}") / radius))
     d2 = sum((F.col(f"l_{d}") - F.col(f"r_{d}")) * (F.col(f"l_{d}") - F.col(f"r_{d}")) for d in dims)
-    bins = [f"_b{d}" for d in dims]
+    bins = [f"_b{d}" for d in dims] + [f"_k{k}" for k in keys]
+    a, b = (t.withColumns({f"_k{k}": F.col(f"{n}_{k}") for k in keys}) if keys else t for n, t in (("l", a), ("r", b)))
     return a.join(b, bins).drop(*bins).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
 
 
@@ -85,8 +86,8 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radi
             right, first = materialize(right), False
 
 
-def k_nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int, radius: float, limit: float, dims: str = "xy") -> DataFrame:
-    """(left id, near id, d2, place) of each left row's ``k`` nearest right rows within ``limit``, ties to the smaller id.
+def k_nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int, radius: float, limit: float, dims: str = "xy", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(left id, near id, d2, place) of each left row's ``k`` nearest right rows of its ``keys`` within ``limit``, ties to the smaller id.
 
     What is found within a radius is complete there, so only left rows with fewer than ``k`` are tried at twice the radius.
     """
@@ -94,7 +95,7 @@ def k_nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k:
     rest, first = left.where(F.col(left_id).isNotNull()), True
     near = f"near_{right_id}"
     while True:
-        pairs = within(rest, right, radius, dims).select(F.col(f"l_{left_id}").alias(left_id), F.col(f"r_{right_id}").alias(near), "d2")
+        pairs = within(rest, right, radius, dims, keys).select(F.col(f"l_{left_id}").alias(left_id), F.col(f"r_{right_id}").alias(near), "d2")
         place = F.row_number().over(W.partitionBy(left_id).orderBy("d2", near))
         ranked = materialize(pairs.withColumn("place", place).where(F.col("place") <= k))
         full = ranked.where(F.col("place") == k).select(left_id)

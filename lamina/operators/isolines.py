@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.grid import Axis, inverse_distance, k_nearest, nearest
 from ..sources.scratch import materialize
-from . import fields, raster
+from . import fields, levels, raster
 from .regions import perimeter, signed_area
 
 #: Steps to the neighbour beyond each side of a bin, and the side's corners with the bin on its left.
@@ -103,17 +104,49 @@ def isoline(cells: DataFrame, x: Axis, y: Axis, k: int = 30, radius: float = 50.
     return kept, polygons(kept.drop("n_targets"), x, y)
 
 
-def gene_isolines(molecules: DataFrame, cells: DataFrame, x: Axis, y: Axis, genes: list[str], **options) -> DataFrame:
-    """(gene, status, n_components, area) of one isoline for each gene: its molecules among the cells (X13, Z42). A gene without molecules gives a row that says so."""
-    rows = None
-    for g in genes:  # a list that the caller names
-        own = molecules.where(F.col("gene") == g)
-        both = own.select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("cell_id"), "x", "y", F.lit(1).alias("target")).unionByName(cells.select(F.concat(F.lit("c"), F.col("cell_id").cast("string")).alias("cell_id"), "x", "y", F.lit(0).alias("target")))
-        sizes = polygon_sizes(isoline(materialize(both), x, y, **options)[1])
-        one = sizes.agg(F.count("*").alias("n_components"), F.coalesce(F.sum("area"), F.lit(0.0)).alias("area"))
-        one = one.select(F.lit(g).alias("gene"), F.when(F.lit(own.isEmpty()), "no_molecules").when(F.col("n_components") == 0, "no_contour").otherwise("ok").alias("status"), "n_components", F.round("area", 1).alias("area"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+def target_fields(molecules: DataFrame, cells: DataFrame, x: Axis, y: Axis, genes: list[str], k: int, radius: float, limit: float, sigma: float) -> DataFrame:
+    """(gene, ix, iy, value): for each gene the share of its molecules (gene, id, x, y) among molecules and cells (cell_id, x, y) about each node, as :func:`target_field` has it.
+
+    Cells are searched once for all genes, molecules once with the gene as a key; a node's nearest of both are the nearest
+    of its nearest of each.
+    """
+    nodes = materialize(mesh(cells.sparkSession, x, y))
+    named = F.array(*[F.lit(g) for g in genes])
+    of_cells = k_nearest(nodes.select("node", "x", "y"), cells.select("cell_id", "x", "y"), "node", "cell_id", k, radius, limit)
+    own = nodes.withColumn("gene", F.explode(named)).withColumn("at", F.struct("gene", "node"))
+    of_genes = k_nearest(own.select("at", "gene", "x", "y"), molecules.where(F.col("gene").isin(genes)).select("gene", "id", "x", "y"), "at", "id", k, radius, limit, keys=("gene",))
+    both = of_genes.select("at.gene", "at.node", F.lit(1.0).alias("target"), "d2", F.col("near_id").cast("string").alias("id")).unionByName(
+        of_cells.select(F.explode(named).alias("gene"), "node", F.lit(0.0).alias("target"), "d2", F.col("near_cell_id").cast("string").alias("id"))
+    )
+    place = F.row_number().over(W.partitionBy("gene", "node").orderBy("d2", F.desc("target"), "id"))
+    near = both.withColumn("place", place).where(F.col("place") <= k).withColumn("at", F.struct("gene", "node"))
+    value = inverse_distance(near, "at", "target").select("at.gene", "at.node", "target")
+    bins = materialize(nodes.join(value, "node").select("gene", "ix", "iy", "target", F.lit(1.0).alias("on")))
+    even = fields.smooth(bins, ["gene"], {"ix": x.n, "iy": y.n}, sigma, ["target", "on"], "nearest")
+    return even.join(bins.select("gene", "ix", "iy"), ["gene", "ix", "iy"]).select("gene", "ix", "iy", F.round(F.col("target") / F.col("on"), 9).alias("value"))
+
+
+def level_isolines(field: DataFrame, targets: DataFrame, keys: list[str], x: Axis, y: Axis, level: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """((keys, ring, area, length, n_targets), their steps): interpolated outlines of where a field reaches ``level`` that have ``least`` targets (keys, id, x, y) or more inside.
+
+    Off the tissue the field is 0, so outlines close at its border. Areas of holes are negative.
+    """
+    ringed = materialize(levels.rings(levels.segments(field, keys, level, x, y, 0.0), keys))
+    held = levels.enclosing(targets, ringed, keys, "id", y.step).groupBy(*keys, "ring").agg(F.count("*").alias("n_targets")).where(F.col("n_targets") >= least)
+    sizes = levels.ring_sizes(ringed, keys).select(*keys, "ring", "area", "length").join(held, [*keys, "ring"])
+    return sizes, ringed.join(held.select(*keys, "ring"), [*keys, "ring"], "left_semi")
+
+
+def gene_isolines(molecules: DataFrame, cells: DataFrame, x: Axis, y: Axis, genes: list[str], k: int = 30, radius: float = 50.0, limit: float = 200.0, sigma: float = 5.0, level: float = 0.5, least: int = 10) -> DataFrame:
+    """(gene, status, n_rings, area, n_targets) for each gene named (X13, Z42): its molecules among the cells. A gene without molecules gives a row that says so."""
+    field = materialize(target_fields(molecules, cells, x, y, genes, k, radius, limit, sigma))
+    sizes, _ = level_isolines(field, molecules.where(F.col("gene").isin(genes)).select("gene", "id", "x", "y"), ["gene"], x, y, level, least)
+    found = sizes.groupBy("gene").agg(F.count("*").alias("n_rings"), F.round(F.sum("area"), 1).alias("area"), F.sum("n_targets").alias("n_targets"))
+    named = cells.sparkSession.createDataFrame([(g,) for g in genes], "gene string")
+    have = molecules.where(F.col("gene").isin(genes)).groupBy("gene").agg(F.count("*").alias("_n"))
+    rows = named.join(have, "gene", "left").join(found, "gene", "left")
+    status = F.when(F.col("_n").isNull(), "no_molecules").when(F.col("n_rings").isNull(), "no_contour").otherwise("ok")
+    return rows.select("gene", status.alias("status"), *[F.coalesce(c, F.lit(v)).alias(c) for c, v in (("n_rings", 0), ("area", 0.0), ("n_targets", 0))])
 
 
 def seeded(labels: DataFrame, mask: DataFrame, x: Axis, y: Axis) -> DataFrame:

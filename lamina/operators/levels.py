@@ -113,20 +113,27 @@ def ring_sizes(ringed: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def parents(ringed: DataFrame, keys: list[str], bin_size: float) -> DataFrame:
-    """(keys, ring, outer, area): the smallest outer ring around each ring's first crossing; an outer ring is its own.
+def enclosing(points: DataFrame, ringed: DataFrame, keys: list[str], point: str, bin_size: float) -> DataFrame:
+    """(keys, point, ring, area) of every ring, outer or hole, around each point (keys, point, x, y).
 
-    Rows of a ring's crossing and the steps of the outlines about it meet by strips of y: a ring encloses a point if, to the point's left, as
-    many more steps go down than up. Only steps in the point's strip are asked, and rings whose box holds it.
+    Points and steps meet by strips of y: a ring encloses a point if to its left as many steps more go one way than the
+    other.
     """
+    strip = lambda c: F.floor(c / bin_size)
+    size = ring_sizes(ringed, keys).select(*keys, "ring", "area")
+    walls = ringed.where("ay <> by").withColumn("_s", F.explode(F.sequence(strip(F.least("ay", "by")), strip(F.greatest("ay", "by")))))
+    p = points.select(*keys, F.col(point).alias("_p"), F.col("x").alias("_x"), F.col("y").alias("_y"), strip(F.col("y")).alias("_s"))
+    met = p.join(walls, [*keys, "_s"]).where((F.col("ay") > F.col("_y")) != (F.col("by") > F.col("_y")))
+    cut = F.col("ax") + (F.col("_y") - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
+    turns = F.sum(F.when(cut < F.col("_x"), F.when(F.col("by") < F.col("ay"), 1).otherwise(-1)).otherwise(0))
+    found = met.groupBy(*keys, "_p", "ring").agg(turns.alias("turns")).where("turns <> 0")
+    return found.join(size, [*keys, "ring"]).select(*keys, F.col("_p").alias(point), "ring", "area")
+
+
+def parents(ringed: DataFrame, keys: list[str], bin_size: float) -> DataFrame:
+    """(keys, ring, outer, area): the smallest outer ring around each hole's first crossing; an outer ring is its own."""
     sizes = materialize(ring_sizes(ringed, keys))
-    low = lambda c: F.floor(F.least(f"a{c}", f"b{c}") / bin_size)
-    high = lambda c: F.floor(F.greatest(f"a{c}", f"b{c}") / bin_size)
-    first = ringed.where("a = ring").join(sizes.where("area < 0").select(*keys, "ring"), [*keys, "ring"]).select(*keys, F.col("ring").alias("hole"), F.col("ax").alias("px"), F.col("ay").alias("py"), F.floor(F.col("ay") / bin_size).alias("_s"))
-    outer = sizes.where("area > 0").select(*keys, "ring", F.col("area").alias("size"), "x0", "x1")
-    walls = ringed.where("ay <> by").join(outer, [*keys, "ring"]).withColumn("_s", F.explode(F.sequence(low("y"), high("y"))))
-    met = first.join(walls, [*keys, "_s"]).where((F.col("x0") <= F.col("px")) & (F.col("px") <= F.col("x1")) & ((F.col("ay") > F.col("py")) != (F.col("by") > F.col("py"))))
-    cut = F.col("ax") + (F.col("py") - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
-    round_ = met.where(cut < F.col("px")).groupBy(*keys, "hole", "ring", "size").agg(F.sum(F.when(F.col("by") < F.col("ay"), 1).otherwise(-1)).alias("turns")).where("turns > 0")
-    found = round_.groupBy(*keys, "hole").agg(F.min(F.struct("size", "ring")).alias("m")).select(*keys, F.col("hole").alias("ring"), F.col("m.ring").alias("outer"))
+    first = ringed.where("a = ring").join(sizes.where("area < 0").select(*keys, "ring"), [*keys, "ring"]).select(*keys, F.col("ring").alias("hole"), F.col("ax").alias("x"), F.col("ay").alias("y"))
+    around = enclosing(first, ringed, keys, "hole", bin_size).where("area > 0")
+    found = around.groupBy(*keys, "hole").agg(F.min(F.struct("area", "ring")).alias("m")).select(*keys, F.col("hole").alias("ring"), F.col("m.ring").alias("outer"))
     return sizes.join(found, [*keys, "ring"], "left").select(*keys, "ring", F.coalesce("outer", "ring").alias("outer"), "area")

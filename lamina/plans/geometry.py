@@ -55,19 +55,6 @@ def x15_polygons(spark, sf):
     return isolines.polygon_sizes(isolines.polygons(parts, X, Y)).select("component", "area", "perimeter")
 
 
-def x12_isoline(spark, sf):
-    """Outlines of where the most urgent cells prevail."""
-    cells = tables.cells(spark, sf).select("cell_id", "x", "y", (F.col("cluster") == "1-URGENT").cast("int").alias("target"))
-    kept, rings = isolines.isoline(cells, X, Y, 5, 60.0, 200.0, 1.0, 0.3, 3)
-    return isolines.polygon_sizes(rings).join(kept.groupBy("component").agg(F.max("n_targets").alias("n_targets"), F.count("*").alias("n_bins")), "component")
-
-
-def x13_gene_isolines(spark, sf):
-    """One outline for each order status, its orders standing for molecules among all cells."""
-    c = tables.cells(spark, sf)
-    return isolines.gene_isolines(c.select(F.col("cell_id").alias("id"), "x", "y", F.col("slice").alias("gene")), c, X, Y, ["F", "O", "P", "none"], k=5, radius=60.0, sigma=1.0, level=0.25)
-
-
 def x10_seeded(spark, sf):
     """Bins of the closed mask of all structures, the empty ones filled from the nearest labelled bin."""
     bins = _mask(spark, sf)[0].where("bin_structure > 0").withColumnRenamed("bin_structure", "structure_id")
@@ -161,7 +148,7 @@ def d5_tested_clusters(spark, sf):
     return quality.tested_clusters(structure.assign_structure(tables.cells(spark, sf), SPEC))
 
 
-NAMES = "x15_polygons x12_isoline x13_gene_isolines x10_seeded z8_coverage x20_cluster_quality x20_border_depth x38_orientation x20_structure_quality d5_tested_clusters j13_ring_cells a30_overlaps x14_hulls x54_components x10_morphology x10_filled x34_signed_distance x47_procrustes x47_consensus x36_projection x46_warp j18_assignment".split()
+NAMES = "x15_polygons x10_seeded z8_coverage x20_cluster_quality x20_border_depth x38_orientation x20_structure_quality d5_tested_clusters j13_ring_cells a30_overlaps x14_hulls x54_components x10_morphology x10_filled x34_signed_distance x47_procrustes x47_consensus x36_projection x46_warp j18_assignment".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _BOX = _BOXES.format(e=0.0037)

@@ -108,7 +108,7 @@ _BASE = f"""k AS (SELECT cell_id, slice, x, y, owner, owner % 12 AS track FROM {
   a AS (SELECT *, coalesce((z - min(z) OVER (PARTITION BY track)) / nullif(max(z) OVER (PARTITION BY track) - min(z) OVER (PARTITION BY track), 0), 0) AS longitudinal FROM h),
   g AS (SELECT cell_id, {", ".join(_SUM(s, "") for s in SIGNATURES)} FROM m GROUP BY cell_id), s AS (SELECT a.*, {", ".join(f"coalesce({s}, 0) AS {s}" for s in SIGNATURES)} FROM a LEFT JOIN g USING (cell_id)),
   t AS (SELECT *, CASE WHEN greatest({", ".join(SIGNATURES)}) <= 0 THEN 'unresolved' {" ".join(f"WHEN {s} = greatest({', '.join(SIGNATURES)}) THEN '{s}'" for s in SIGNATURES)} END AS state FROM s)"""
-_ENTROPY = """n AS (SELECT track, state, count(*) AS n FROM t GROUP BY ALL), e AS (SELECT track, sum(n) AS total, max(n) AS most, -sum(n / nn * log2(n / nn)) AS state_entropy FROM (SELECT *, sum(n) OVER (PARTITION BY track) AS nn FROM n) GROUP BY track)"""
+_ENTROPY = """n AS (SELECT track, state, count(*) AS n FROM t GROUP BY ALL), e AS (SELECT track, sum(n) AS total, max(n) AS most, 0 - sum(n / nn * log2(n / nn)) AS state_entropy FROM (SELECT *, sum(n) OVER (PARTITION BY track) AS nn FROM n) GROUP BY track)"""
 _RING = """o AS (SELECT cell_id, region, r.track FROM (SELECT k.*, r.* EXCLUDE (slice, track), r.track AS rt, sqrt(power(greatest(x0 - k.x, k.x - x1, 0), 2) + power(greatest(y0 - k.y, k.y - y1, 0), 2)) AS d FROM k JOIN r ON k.slice = r.slice) q JOIN r USING (region)
     WHERE d > 10 AND d <= 30)"""
 
