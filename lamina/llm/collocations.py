@@ -35,7 +35,7 @@ SHARDS = 2
 #: Bits of the bitmap of proposed phrases.
 BITMAP = 28
 #: Keys, or phrases, that a task gathers before it passes them on.
-HELD_KEYS, HELD_PHRASES, SENT = 2_000_000, 700_000, 50_000
+HELD_KEYS, HELD_PHRASES, SENT = 2_000_000, 1_500_000, 50_000
 #: Bytes of text worked on at once.
 CHUNK = 1 << 20
 
