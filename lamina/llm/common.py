@@ -5,12 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.scratch import materialize, scratch_dir
 
-__all__ = ["SPACES", "batch_of", "hot_lookup", "materialize", "read_table", "scratch_dir", "shuffle_partitions", "slices", "texts_of", "unused"]
+__all__ = ["SPACES", "batch_of", "hot_lookup", "materialize", "read_table", "row_hash", "scratch_dir", "shuffle_partitions", "slices", "texts_of", "unused"]
 
 #: The six bytes that end a word in every operator here: space and 0x09-0x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -44,6 +45,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns. Maps have no order of their own and variants no hash, so columns that hold some are hashed as JSON, maps by their sorted keys."""
+
+    def plain(kind: T.DataType) -> bool:
+        inner = kind.fields if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+        return not isinstance(kind, T.MapType | T.VariantType) and all(plain(getattr(k, "dataType", k)) for k in inner)
+
+    def hashed(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name.replace('`', '``')}`")
+        if plain(f.dataType):
+            return c
+        return F.to_json(F.struct(F.array_sort(F.map_entries(c)).alias("v") if isinstance(f.dataType, T.MapType) and plain(f.dataType.valueType) else c.alias("v")))
+
+    return F.xxhash64(*[hashed(f) for f in df.schema])
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """``name``, with marks added until no column of ``frames`` is called so."""
     taken = {c.lower() for f in frames for c in f.columns}

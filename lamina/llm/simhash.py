@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, hot_lookup, materialize, read_table, texts_of, unused
+from .common import batch_of, hot_lookup, materialize, read_table, row_hash, texts_of, unused
 from .components import connected, forest
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 3, 64
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(t) for t in texts_of(b.column("text"))], dtype=np.uint64)
             yield batch_of(pa.schema([("doc_id", b.schema.field("doc_id").type), ("row", pa.int64()), ("fp", pa.int64())]), doc_id=b.column("doc_id"), row=b.column("row"), fp=fp.view(np.int64))
 
-    return docs.select("doc_id", F.xxhash64(*docs.columns).alias("row"), "text").mapInArrow(run, f"doc_id {id_type}, row bigint, fp bigint")
+    return docs.select("doc_id", row_hash(docs).alias("row"), "text").mapInArrow(run, f"doc_id {id_type}, row bigint, fp bigint")
 
 
 CHOICES = list(combinations(range(len(WIDTHS)), len(WIDTHS) - RADIUS))
@@ -214,7 +214,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     first = _grouped(docs).where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("m"))
     row = unused("_row", docs)
     kept = materialize(first.select(F.col("m.doc_id").alias("doc_id"), F.col("m.row").alias(row)))
-    once = docs.withColumn(row, F.xxhash64(*docs.columns)).join(kept, ["doc_id", row], "left_semi").dropDuplicates(["doc_id", row])
+    once = docs.withColumn(row, row_hash(docs)).join(kept, ["doc_id", row], "left_semi").dropDuplicates(["doc_id", row])
     return once.select(docs.columns).union(docs.where("doc_id is null"))
 
 

@@ -418,6 +418,50 @@ def test_a_crowd_of_near_copies(spark):
     assert sorted(r.doc_id for r in shingles.keep_first(rows).collect()) == sorted(set(root))
 
 
+def quartered(n, seed=2):
+    """A text of 200 words and ``n`` copies that each lack one of its quarters and have one word changed."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for i in range(n):
+        w = base[: 50 * (i % 4)] + base[50 * (i % 4 + 1) :]
+        w[rng.randrange(len(w))] = f"x{i}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_pairs_grow_with_a_crowd_in_several_groups(spark, monkeypatch):
+    asked, both = [], shingles._both_texts
+
+    def counting(pairs, texts):
+        asked[-1] += pairs.count()
+        return both(pairs, texts)
+
+    monkeypatch.setattr(shingles, "_both_texts", counting)
+    for n in (200, 400):
+        texts = quartered(n)
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+        asked.append(0)
+        kept = sorted(r.doc_id for r in shingles.keep_first(rows).collect())
+        sets, root = [brute_shingles(t) for t in texts], list(range(len(texts)))
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if root[i] != root[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+        assert kept == sorted(set(root))
+    assert asked[1] < 2.6 * asked[0] and asked[1] < 40 * 400, asked
+
+
+def test_columns_that_have_no_hash(spark):
+    one = " ".join(f"p{i}" for i in range(40))
+    rows = spark.createDataFrame([(2, one, {"a": 1, "b": 2}, [{"c": 1}]), (1, one, {"b": 2, "a": 1}, None), (3, None, None, [])], "doc_id bigint, text string, m map<string,int>, `d.e` array<map<string,int>>")
+    for keep in (shingles.keep_first, simhash.keep_first):
+        kept = keep(rows)
+        assert kept.columns == rows.columns and sorted((r.doc_id, r.m) for r in kept.collect()) == [(1, {"a": 1, "b": 2}), (3, None)]
+    assert sorted(r.component_id for r in simhash.near_groups(rows).collect()) == [1, 1, 3]
+
+
 def test_bands_recall():
     rng = np.random.default_rng(4)
     found = 0

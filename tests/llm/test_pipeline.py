@@ -1,6 +1,7 @@
 """The pipeline's stages on the small corpus: what each keeps, changes and adds, held against brute force on its own input."""
 
 import re
+import zlib
 
 import numpy as np
 
@@ -95,10 +96,11 @@ def test_stages_against_brute_force(spark, sf):
 
     rows, packed = found["best_fit_packing"]
     tk = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    lengths = {}
-    for r in packed.collect():
-        lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
-    assert lengths == {i: len(tk.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for i, r in rows.items()}
+    ids: dict[int, list] = {}
+    for r in sorted(packed.collect(), key=lambda r: (r.doc_id, r.piece)):
+        assert len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32
+        ids.setdefault(r.doc_id, []).extend(np.frombuffer(bytes(r.ids), dtype="<u4").tolist())
+    assert ids == {i: [*tk.encode(r["text"] or "", add_special_tokens=False).ids, 2] for i, r in rows.items()}
 
 
 def test_run_on_an_empty_table(spark, tmp_path):
@@ -108,4 +110,4 @@ def test_run_on_an_empty_table(spark, tmp_path):
 
 
 def test_registry():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
