@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.grid import Axis
-from ..operators import fields, isolines, levels, structure
+from ..operators import alpha, fields, isolines, levels, structure
 from ..sources import tables
 from ..sources.scratch import materialize
+from ..sources.tables import SQL
 from .fields import _smooth
 from .structures import _CELLS, _PLACED, SPEC, X, Y
 
 GENES = ["F", "O", "P", "none"]
 K, RADIUS, LIMIT, SIGMA = 30, 60.0, 200.0, 5.0
+ALPHA = 0.12
 
 
 def x15_contours(spark, sf):
@@ -56,7 +58,14 @@ def x13_gene_isolines(spark, sf):
     return isolines.gene_isolines(c.select(F.col("cell_id").alias("id"), "x", "y", F.col("slice").alias("gene")), c, X, Y, GENES, K, RADIUS, LIMIT, SIGMA, 0.33)
 
 
-NAMES = "x15_contours x10_level_areas x12_isoline x13_gene_isolines".split()
+def x14_alpha(spark, sf):
+    """Border of the triangles under a circumradius, by label."""
+    edges = alpha.border(tables.points(spark, sf).select("cluster", "vec_id", "x", "y"), ["cluster"], "vec_id", ALPHA)
+    s = alpha.sizes(edges, ["cluster"])
+    return s.select("cluster", "n_edges", F.round("area", 6).alias("area"), F.round("length", 6).alias("length"))
+
+
+NAMES = "x15_contours x10_level_areas x12_isoline x13_gene_isolines x14_alpha".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 
@@ -98,6 +107,11 @@ def _field_sql(near: str, key: str) -> str:
 
 
 ORACLE_SQL = {
+    "x14_alpha": f"""WITH p AS (SELECT cluster, x, y, min(vec_id) AS id FROM {SQL["points"]} WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL),
+      e AS (SELECT a.cluster, a.id AS a, b.id AS b, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy, sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2)) AS d FROM p a JOIN p b ON a.cluster = b.cluster AND a.id <> b.id),
+      c AS (SELECT *, (px + qx) / 2 + (qy - py) / d * sqrt({ALPHA * ALPHA} - d * d / 4) AS cx, (py + qy) / 2 - (qx - px) / d * sqrt({ALPHA * ALPHA} - d * d / 4) AS cy FROM e WHERE d < {2 * ALPHA}),
+      f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.cluster = c.cluster AND p.id <> c.a AND p.id <> c.b AND power(p.x - cx, 2) + power(p.y - cy, 2) < {ALPHA * ALPHA}))
+      SELECT cluster, count(*) AS n_edges, round(sum(px * qy - qx * py) / 2, 6) AS area, round(sum(d), 6) AS length FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.cluster = f.cluster AND g.a = f.b AND g.b = f.a) GROUP BY cluster""",
     "x15_contours": f"""WITH RECURSIVE {_PLACED}, fd AS (SELECT bin_structure AS structure, ix, iy, 1.0 AS value FROM bins WHERE bin_structure > 0), {_outline_sql("fd", "structure", "CAST(0.5 AS DOUBLE)", X, Y)}
       SELECT structure, count(*) AS n_rings, count(*) FILTER (area < 0) AS n_holes, round(sum(area), 2) AS area, round(sum(length), 2) AS length, round(max(area), 2) AS largest FROM rg GROUP BY structure""",
     "x10_level_areas": f"""WITH RECURSIVE {_PLACED}, h AS (SELECT structure_id, ix, iy, CAST(count(*) AS DOUBLE) AS value FROM placed WHERE structure_id > 0 AND x BETWEEN {X.low} AND {X.high} AND y BETWEEN {Y.low} AND {Y.high} GROUP BY ALL),
