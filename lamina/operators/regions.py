@@ -87,6 +87,14 @@ def smallest_region(points: DataFrame, regions: DataFrame, point_id: str, bin_si
     return best.select(point_id, "x", "y", F.col("m.region").alias("region"))
 
 
+def region_bins(regions: DataFrame, key: str, x: Axis, y: Axis) -> DataFrame:
+    """(key, ix, iy): bins whose middle a region holds (Z29, P7). A region asks the bins of its own box alone."""
+    side = lambda c, a: F.sequence(*[F.least(F.greatest(F.floor((f(F.transform("ring", lambda p: p[c])) - a.low) / a.step), F.lit(-1)), F.lit(a.n)).cast("bigint") for f in (F.array_min, F.array_max)])
+    spread = regions.select(key, "ring", F.explode(side("x", x)).alias("ix"), side("y", y).alias("_y")).select(key, "ring", "ix", F.explode("_y").alias("iy"))
+    inside = (F.col("ix") >= 0) & (F.col("ix") < x.n) & (F.col("iy") >= 0) & (F.col("iy") < y.n)
+    return spread.where(inside & contains(F.col("ring"), x.low + (F.col("ix") + 0.5) * x.step, y.low + (F.col("iy") + 0.5) * y.step)).select(key, "ix", "iy")
+
+
 def resample(regions: DataFrame, key: str, every: float) -> DataFrame:
     """(key, px, py): points along the outer ring, edges cut into equal parts of at most ``every``."""
     e = regions.select(key, F.explode(edges(F.col("ring"))).alias("e"))

@@ -9,7 +9,7 @@ from ..operators import fields, latent, patterns, structure, tracks
 from ..sources import tables
 from ..sources.scratch import materialize
 from ..sources.tables import SQL, read
-from ..streaming.windows import run_windows
+from ..streaming.windows import run_sessions, run_windows
 from .structures import _CELLS, _SPOTS, SPEC, SPEC_SQL, _bin
 
 X, Y, SIGMA = Axis(0.0, 5000.0, 40), Axis(0.0, 3000.0, 30), 1.5
@@ -92,6 +92,11 @@ def s_event_windows(spark, sf):
     return run_windows(spark, f"{sf}/events.parquet*")
 
 
+def s_event_sessions(spark, sf):
+    """Sessions of users with breaks of an hour or more between them."""
+    return run_sessions(spark, f"{sf}/events.parquet*", "1 hour")
+
+
 def a_rollup(spark, sf):
     return tables.cells(spark, sf).rollup("slice", "cluster").agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("total"))
 
@@ -102,7 +107,7 @@ def u1_union(spark, sf):
     return a.unionByName(b).groupBy("kind", "nation").agg(F.count("*").alias("n"), F.max("balance").alias("top"))
 
 
-NAMES = "x27_track_table x28_families x10_partition x31_enrichment x55_change x54_otsu x26_links x26_tracks x19_patterns x30_latent x7_label_groups x37_band_signatures s_event_windows a_rollup u1_union".split()
+NAMES = "x27_track_table x28_families x10_partition x31_enrichment x55_change x54_otsu x26_links x26_tracks x19_patterns x30_latent x7_label_groups x37_band_signatures s_event_windows s_event_sessions a_rollup u1_union".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _TX = SQL["transcripts"]
@@ -171,6 +176,9 @@ ORACLE_SQL = {
       r AS (SELECT CASE WHEN k <= lo THEN 'low' WHEN k >= hi THEN 'high' END AS band, gene FROM t JOIN q USING (cell)), n AS (SELECT band, gene, count(*) AS n FROM r WHERE band IS NOT NULL GROUP BY band, gene)
       SELECT band, gene, round(n / sum(n) OVER (PARTITION BY band), 6) AS share FROM n""",
     "s_event_windows": "SELECT event_type AS gene, time_bucket(INTERVAL 1 hour, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "s_event_sessions": """WITH e AS (SELECT user_id AS cell, ts, value, ts - lag(ts) OVER w >= INTERVAL 1 hour OR lag(ts) OVER w IS NULL AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+      s AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY cell ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM e)
+      SELECT cell, min(ts) AS start, max(ts) + INTERVAL 1 hour AS "end", count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY cell, no""",
     "a_rollup": f"SELECT slice, cluster, count(*) AS n, round(sum(x), 2) AS total FROM {_CELLS} GROUP BY ROLLUP (slice, cluster)",
     "u1_union": "SELECT kind, nation, count(*) AS n, max(balance) AS top FROM (SELECT 'c' AS kind, c_nationkey AS nation, c_acctbal AS balance FROM customer UNION ALL SELECT 's', s_nationkey, s_acctbal FROM supplier) GROUP BY ALL",
 }

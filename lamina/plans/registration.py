@@ -123,10 +123,8 @@ def z33_instances(spark, sf):
 
 def z29_mask(spark, sf):
     """Bins whose middle lies in a cluster's box."""
-    x, y = Axis(0.0, 5000.0, 25), Axis(0.0, 3000.0, 15)
     boxes = regions.quantile_boxes(tables.cells(spark, sf), "cluster", 0.0037)
-    grid = spark.range(x.n * y.n).select((F.col("id") % x.n).alias("ix"), F.floor(F.col("id") / x.n).alias("iy"))
-    return grid.crossJoin(F.broadcast(boxes)).where(regions.contains(F.col("ring"), (F.col("ix") + 0.5) * x.step, (F.col("iy") + 0.5) * y.step)).groupBy("region").agg(F.count("*").alias("n"), F.sum("ix").alias("sum_x"), F.sum("iy").alias("sum_y"))
+    return regions.region_bins(boxes, "region", Axis(0.0, 5000.0, 25), Axis(0.0, 3000.0, 15)).groupBy("region").agg(F.count("*").alias("n"), F.sum("ix").alias("sum_x"), F.sum("iy").alias("sum_y"))
 
 
 def x57_nearest_clusters(spark, sf):

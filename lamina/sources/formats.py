@@ -146,14 +146,14 @@ def _double(hex_: Column) -> Column:
 
 
 def discover(spark: SparkSession, root: str, marker: str) -> DataFrame:
-    """(order, name, path) of the folders under ``root`` that hold a file named ``marker``, in order of :func:`slice_order`.
+    """(order, name, path) of the folders under ``root`` that hold a file named ``marker``, in the order of :func:`slice_order`, those of one name by path.
 
     Files are listed by Spark's reader, so any store will do; only names are read.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", marker).load(root).select("path").distinct()
     folders = sorted(r.path.rsplit("/", 1)[0] for r in found.collect())  # as many as slices
-    names = {f.rsplit("/", 1)[-1]: f for f in folders}
-    return spark.createDataFrame([(i, n, names[n]) for i, n in slice_order(list(names))], "order int, name string, path string")
+    rows = sorted((last_number(n := f.rsplit("/", 1)[-1]), n, f) for f in folders)
+    return spark.createDataFrame([(i, n, f) for i, (_, n, f) in enumerate(rows, 1)], "order int, name string, path string")
 
 
 def read_bundle(spark: SparkSession, root: str, tables: dict[str, str]) -> dict[str, DataFrame]:
@@ -187,10 +187,14 @@ def selection_summary(regions: DataFrame, key: str) -> DataFrame:
     return v.groupBy(key).agg(F.countDistinct("ring").alias("n_rings"), F.count("*").alias("n_vertices"))
 
 
+def last_number(name: str) -> int:
+    """The last whole number in a name, -1 without one."""
+    return int((re.findall(r"\d+", name) or ["-1"])[-1])
+
+
 def slice_order(names: list[str]) -> list[tuple[int, str]]:
     """Folder names numbered from 1 by the last whole number in each, then by name."""
-    last = lambda n: int((re.findall(r"\d+", n) or ["-1"])[-1])
-    return list(enumerate(sorted(names, key=lambda n: (last(n), n)), 1))
+    return list(enumerate(sorted(names, key=lambda n: (last_number(n), n)), 1))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -95,3 +95,42 @@ def test_stream_equals_batch(spark, sf):
     got = {(r.gene, r.start): r.n for r in run_windows(spark, f"{sf}/events.parquet*").collect()}
     table = spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type", F.date_trunc("hour", "ts").alias("h")).count()
     assert got == {(r.event_type, r.h): r["count"] for r in table.collect()}
+
+
+def test_discover_keeps_folders_of_one_name(spark, tmp_path):
+    for name in ("r1/s2", "r2/s2", "r1/s10", "plain"):
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "cells.parquet").write_text("x")
+    rows = formats.discover(spark, str(tmp_path), "cells.parquet").collect()
+    assert [(r.order, r.name) for r in rows] == [(1, "plain"), (2, "s2"), (3, "s2"), (4, "s10")] and len({r.path for r in rows}) == 4
+
+
+def test_write_slices_prunes_by_folder(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"s{i % 3}") for i in range(9)], "i int, sample_id string")
+    formats.write_slices(df, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.select("i", "sample_id").collect())) == sorted(map(tuple, df.collect()))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["sample_id=s0", "sample_id=s1", "sample_id=s2"]
+
+
+def test_streams_close_windows_and_drop_late_rows(spark, tmp_path):
+    """Files come one by one: what is closed stays as it was, a row later than the watermark is dropped, an id counts once."""
+    from datetime import datetime, timedelta
+
+    from lamina.streaming import windows
+
+    day = datetime(2024, 1, 1)
+    files = [[(1, 0, 7, 1.0), (2, 5, 7, 1.0), (2, 6, 7, 1.0)], [(3, 200, 7, 1.0), (4, 201, 8, 1.0)], [(8, 202, 8, 1.0)], [(5, 10, 7, 9.0), (6, 210, 7, 1.0)], [(7, 500, 7, 1.0)]]
+    for k, rows in enumerate(files):
+        spark.createDataFrame([(i, day + timedelta(minutes=m), u, "g", v) for i, m, u, v in rows], windows.EVENTS).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        for f in (tmp_path / f"in/{k}").glob("part-*"):
+            f.rename(tmp_path / f"in/{k}.parquet")
+            import os
+
+            os.utime(tmp_path / f"in/{k}.parquet", (1_700_000_000 + k * 60,) * 2)
+    path = str(tmp_path / "in/*.parquet")
+    minutes = lambda t: int((t - day).total_seconds() // 60)
+    got = sorted((minutes(r.start), r.n, r.total) for r in windows.run_windows(spark, path, files=1).collect())
+    assert got == [(0, 3, 3.0), (180, 4, 4.0), (480, 1, 1.0)]  # the row at minute 10 came after its hour was closed
+    got = sorted((r.cell, minutes(r.start), minutes(r.end), r.n) for r in windows.run_sessions(spark, path, files=1).collect())
+    assert got == [(7, 0, 35, 2), (7, 200, 240, 2), (7, 500, 530, 1), (8, 201, 232, 2)]
