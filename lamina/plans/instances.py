@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import Axis, histogram
 from ..functions.quantiles import quantiles
-from ..operators import biology, fields, instances, structure
+from ..operators import alignment, biology, fields, instances, orientation, stacks, structure
 from ..sources import tables
 from ..sources.scratch import materialize
 from ..sources.tables import SQL
@@ -94,7 +94,33 @@ def x29_features(spark, sf):
     return found.select("track", "n_slices", "n_branches", "n_cells", "high_confidence", *[F.round(c, 5).alias(c) for c in (*[f"signature_{s}" for s in SIGNATURES], "state_entropy", "fission_score", "lumen_collapse")])
 
 
-NAMES = "x25_instances x29_assignments x29_entropy x29_axis x29_microenvironment x29_communication x29_features".split()
+def _slice_pairs(spark, sf):
+    """Regions' centres in each slice and in the one before it, by cluster."""
+    s = tables.spots(spark, sf).groupBy("cluster", "region", "sample").agg(F.avg("x").alias("x"), (F.avg("y") * 20).alias("y"))
+    before = s.select("cluster", "region", (F.col("sample") + 1).alias("sample"), F.col("x").alias("u"), F.col("y").alias("v"))
+    return s.join(before, ["cluster", "region", "sample"])
+
+
+def x51_stack(spark, sf):
+    """Each slice's transform to the first frame of its stack, from the fits of neighbouring slices."""
+    pairs = materialize(_slice_pairs(spark, sf))
+    steps = materialize(alignment.procrustes(pairs, ["cluster", "sample"]))
+    slices = tables.spots(spark, sf).select("cluster", "sample").distinct()
+    whole = stacks.composed(stacks.identity_first(steps, slices, ["cluster"], "sample"), ["cluster"], "sample", 3)
+    return whole.select("cluster", "sample", *[F.round(c, 4).alias(c) for c in ("rotation", "scale", "dx", "dy")])
+
+
+def x38_two_best(spark, sf):
+    """The two best orientations of each region's slices, and why the choice is in doubt."""
+    t = tables.spots(spark, sf).groupBy("region", "sample").agg(F.avg("x").alias("cx"), F.avg("weight").alias("w"))
+    nxt = t.select("region", (F.col("sample") - 1).alias("sample"), F.col("cx").alias("nx"), F.col("w").alias("nw"))
+    near, flip = F.round(1 / (1 + F.abs(F.col("cx") - F.col("nx")) / 50), 6), F.round(10 * F.abs(F.col("w") - F.col("nw")), 6)
+    e = t.join(nxt, ["region", "sample"]).select("region", "sample", near.alias("s00"), flip.alias("s01"), (flip / 2).alias("s10"), (near / 3).alias("s11"))
+    best = orientation.two_best(e, ["region"], "sample")
+    return best.select("region", "n_edges", "path", "second", *[F.round(c, 4).alias(c) for c in ("score", "second_score")], "reasons")
+
+
+NAMES = "x51_stack x38_two_best x25_instances x29_assignments x29_entropy x29_axis x29_microenvironment x29_communication x29_features".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _SUM = lambda s, t: f"coalesce(sum(n) FILTER (gene IN ({', '.join(repr(g) for g in SIGNATURES[s])})), 0) AS {t}{s}"
@@ -128,6 +154,22 @@ _IN_OUT = "r2 AS (SELECT region, track FROM r)" + "".join(
     for name, table in (("inside", "a"), ("ring", "o"))
 )
 ORACLE_SQL = {
+    "x51_stack": f"""WITH RECURSIVE s AS (SELECT cluster, region, sample, avg(x) AS x, avg(y) * 20 AS y FROM {SQL["spots"]} GROUP BY ALL),
+      p AS (SELECT a.cluster, a.sample, a.x, a.y, b.x AS u, b.y AS v FROM s a JOIN s b ON a.cluster = b.cluster AND a.region = b.region AND b.sample = a.sample - 1),
+      m AS (SELECT *, x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy, u - avg(u) OVER w AS du, v - avg(v) OVER w AS dv FROM p WINDOW w AS (PARTITION BY cluster, sample)),
+      f AS (SELECT cluster, sample, sum(dx * du + dy * dv) / sum(dx * dx + dy * dy) AS a, sum(dx * dv - dy * du) / sum(dx * dx + dy * dy) AS b, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv FROM m GROUP BY cluster, sample),
+      t AS (SELECT cluster, sample, a, b, mu - a * mx + b * my AS tx, mv - b * mx - a * my AS ty FROM f),
+      k AS (SELECT c.cluster, c.sample, coalesce(a, 1) AS a, coalesce(b, 0) AS b, coalesce(tx, 0) AS tx, coalesce(ty, 0) AS ty, row_number() OVER (PARTITION BY c.cluster ORDER BY c.sample) AS i FROM (SELECT DISTINCT cluster, sample FROM s) c LEFT JOIN t USING (cluster, sample)),
+      r(cluster, sample, i, a, b, tx, ty) AS (SELECT cluster, sample, i, a, b, tx, ty FROM k WHERE i = 1 UNION ALL
+        SELECT k.cluster, k.sample, k.i, r.a * k.a - r.b * k.b, r.a * k.b + r.b * k.a, r.a * k.tx - r.b * k.ty + r.tx, r.a * k.ty + r.b * k.tx + r.ty FROM r JOIN k ON k.cluster = r.cluster AND k.i = r.i + 1)
+      SELECT cluster, sample, round(degrees(atan2(b, a)), 4) AS rotation, round(sqrt(a * a + b * b), 4) AS scale, round(tx, 4) AS dx, round(ty, 4) AS dy FROM r""",
+    "x38_two_best": f"""WITH RECURSIVE t AS (SELECT region, sample, avg(x) AS cx, avg(weight) AS w FROM {SQL["spots"]} GROUP BY ALL),
+      e AS (SELECT a.region, a.sample, round(1 / (1 + abs(a.cx - b.cx) / 50), 6) AS near, round(10 * abs(a.w - b.w), 6) AS flip, row_number() OVER (PARTITION BY a.region ORDER BY a.sample) AS i FROM t a JOIN t b ON a.region = b.region AND b.sample = a.sample + 1),
+      c AS (SELECT region, count(*) AS n FROM e GROUP BY region), p(region, i, path, score) AS (SELECT region, 0, s, 0.0::DOUBLE FROM c, (SELECT unnest(['0', '1']) AS s) UNION ALL
+        SELECT p.region, e.i, path || s, score + CASE path[-1] || s WHEN '00' THEN near WHEN '01' THEN flip WHEN '10' THEN flip / 2 ELSE near / 3 END FROM p JOIN e ON e.region = p.region AND e.i = p.i + 1, (SELECT unnest(['0', '1']) AS s)),
+      o AS (SELECT p.region, n, path, score, row_number() OVER (PARTITION BY p.region ORDER BY score DESC, path) AS k FROM p JOIN c ON c.region = p.region AND c.n = p.i),
+      b AS (SELECT region, n, max(path) FILTER (k = 1) AS path, max(path) FILTER (k = 2) AS second, max(score) FILTER (k = 1) AS score, max(score) FILTER (k = 2) AS ss FROM o GROUP BY region, n)
+      SELECT region, n AS n_edges, path, second, round(score, 4) AS score, round(ss, 4) AS second_score, CASE WHEN (score - ss) / n < 0.05 THEN 'score_margin_below_threshold' ELSE '' END AS reasons FROM b""",
     "x29_assignments": f"WITH {_BASE} SELECT region, track, count(*) AS n_cells, round(avg(radial), 5) AS radial, round(max(radial), 5) AS farthest, round(avg(longitudinal), 5) AS longitudinal FROM a GROUP BY region, track",
     "x29_entropy": f"""WITH {_BASE}, {_ENTROPY}, v AS (SELECT track, coalesce(var_samp(radial), 0) AS rv FROM t GROUP BY track), d AS (SELECT track, state FROM n QUALIFY row_number() OVER (PARTITION BY track ORDER BY n DESC, state) = 1)
       SELECT track, CAST(total AS BIGINT) AS n_cells, state AS dominant_state, round(state_entropy, 5) AS state_entropy, round(most / total, 5) AS dominant_fraction, round(rv, 5) AS radial_variance FROM e JOIN v USING (track) JOIN d USING (track)""",
