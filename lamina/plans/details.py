@@ -30,9 +30,9 @@ def j3_gene_counts(spark, sf):
 
 def j4_multi_key(spark, sf):
     s = tables.spots(spark, sf)
-    keys = ["region", "cluster", "sample"]
+    keys = ["region", "cluster", "sample", "weight"]  # the last a double; both sides hold the same values
     a = s.groupBy(*keys).agg(F.count("*").alias("n"))
-    b = s.where("weight > 0.08").groupBy(*keys).agg(F.count("*").alias("n_high"))
+    b = s.where("y > 25").groupBy(*keys).agg(F.count("*").alias("n_high"))
     return a.join(b, keys, "left").select(*keys, "n", F.coalesce("n_high", F.lit(0)).alias("n_high"))
 
 
@@ -190,9 +190,11 @@ def p11_flip(spark, sf):
 
 
 def j7_knn_field(spark, sf):
-    """A field at each point of cluster 0 from its five nearest points of other clusters."""
-    p = tables.points(spark, sf).select("vec_id", "x", "y", "cluster", "z")
-    near = k_nearest(p.where("cluster = '0'").select("vec_id", "x", "y"), p.where("cluster <> '0'").select("vec_id", "x", "y"), "vec_id", "vec_id", 5, 0.1, 5.0)
+    """A field at each point from its thirty nearest other points."""
+    p = tables.points(spark, sf).select("vec_id", "x", "y", "z")
+    near = k_nearest(p.select("vec_id", "x", "y"), p.select("vec_id", "x", "y"), "vec_id", "vec_id", 31, 0.1, 5.0).where("vec_id <> near_vec_id")
+    # Where a point has thirty-one twins or more of smaller ids it isn't among its own nearest, and one is too many.
+    near = near.withColumn("place", F.row_number().over(W.partitionBy("vec_id").orderBy("d2", "near_vec_id"))).where("place <= 30")
     with_z = near.join(p.select(F.col("vec_id").alias("near_vec_id"), "z"), "near_vec_id")
     return inverse_distance(with_z, "vec_id", "z").select("vec_id", F.round("z", 5).alias("z"))
 
@@ -305,7 +307,7 @@ ORACLE_SQL = {
     "z15_truthy": "SELECT p_brand, count(*) FILTER (p_size % 7 IN (0, 1, 3, 5)) AS n_true, count(*) AS n FROM part GROUP BY p_brand",
     "j3_gene_counts": f"""WITH n AS (SELECT cell, gene, count(*) AS n FROM {_TX} GROUP BY ALL), l AS (SELECT DISTINCT cell, cell % 7 AS gland, 'inside' AS part FROM n UNION ALL SELECT DISTINCT cell, cell % 11, 'ring' FROM n)
       SELECT gland, part, gene, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_cells FROM n JOIN l USING (cell) GROUP BY gland, part, gene""",
-    "j4_multi_key": f"SELECT region, cluster, sample, count(*) AS n, count(*) FILTER (weight > 0.08) AS n_high FROM {_SPOTS} GROUP BY ALL",
+    "j4_multi_key": f"SELECT region, cluster, sample, weight, count(*) AS n, count(*) FILTER (y > 25) AS n_high FROM {_SPOTS} GROUP BY ALL",
     "a12_mode": f"WITH n AS (SELECT region, cluster, count(*) AS n FROM {_SPOTS} GROUP BY ALL) SELECT region, cluster, n FROM n QUALIFY row_number() OVER (PARTITION BY region ORDER BY n DESC, cluster) = 1",
     "a18_members": "SELECT p_brand, string_agg('c' || p_size, ';' ORDER BY p_size) AS members FROM (SELECT DISTINCT p_brand, p_size FROM part) GROUP BY p_brand",
     "a27_normalised": f"SELECT cell, round(coalesce(sum(k) FILTER (gene = 'purchase') / nullif(count(*) FILTER (gene = 'click'), 0), 0), 6) AS per_click FROM {_TX} GROUP BY cell",
@@ -351,8 +353,8 @@ ORACLE_SQL = {
       count(*) AS n, CAST(sum(top) AS BIGINT) AS score FROM m GROUP BY 1""",
     "p11_flip": f"""WITH p AS (SELECT vec_id, z, CAST(cluster AS INT) AS s FROM {_POINTS}), m AS (SELECT s, min(z) AS lo, max(z) AS hi FROM p GROUP BY s)
       SELECT vec_id, round(CASE WHEN s % 2 = 1 THEN lo + hi - z ELSE z END - (lo + hi) / 2 + 10.0 * s, 6) AS z FROM p JOIN m USING (s)""",
-    "j7_knn_field": f"""WITH k AS (SELECT a.vec_id, b.z, {_D2} AS d2, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_D2}, b.vec_id) AS k FROM {_POINTS} a JOIN {_POINTS} b ON a.cluster = '0' AND b.cluster <> '0')
-      SELECT vec_id, round(CASE WHEN count(*) FILTER (d2 = 0) > 0 THEN avg(z) FILTER (d2 = 0) ELSE sum(z / sqrt(d2)) FILTER (d2 > 0) / sum(1 / sqrt(d2)) FILTER (d2 > 0) END, 5) AS z FROM k WHERE k <= 5 GROUP BY vec_id""",
+    "j7_knn_field": f"""WITH k AS (SELECT a.vec_id, b.z, {_D2} AS d2, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_D2}, b.vec_id) AS k FROM {_POINTS} a JOIN {_POINTS} b ON a.vec_id <> b.vec_id)
+      SELECT vec_id, round(CASE WHEN count(*) FILTER (d2 = 0) > 0 THEN avg(z) FILTER (d2 = 0) ELSE sum(z / sqrt(d2)) FILTER (d2 > 0) / sum(1 / sqrt(d2)) FILTER (d2 > 0) END, 5) AS z FROM k WHERE k <= 30 GROUP BY vec_id""",
     "j10_gaussian_field": f"""WITH k AS (SELECT a.vec_id, b.z, {_D2} AS d2, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_D2}, b.vec_id) AS k FROM {_POINTS} a JOIN {_POINTS} b ON {_D2} <= 0.04)
       SELECT vec_id, round(sum(z * exp(-d2 / 0.02)) / sum(exp(-d2 / 0.02)), 5) AS z FROM k WHERE k <= 8 GROUP BY vec_id""",
     "j11_context": f"""WITH c AS (SELECT region, avg(x) AS x, avg(y) * 20 AS y FROM {_SPOTS} GROUP BY region), k AS (SELECT a.region, b.region AS near_region, {_D2} AS d2, row_number() OVER (PARTITION BY a.region ORDER BY {_D2}, b.region) AS k FROM c a JOIN c b ON a.region <> b.region)
