@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.grid import Axis
-from ..operators import alpha, fields, isolines, levels, structure
+from ..operators import alpha, fields, isolines, levels, structure, surfaces
 from ..sources import tables
 from ..sources.scratch import materialize
 from ..sources.tables import SQL
@@ -15,6 +15,7 @@ from .structures import _CELLS, _PLACED, SPEC, X, Y
 GENES = ["F", "O", "P", "none"]
 K, RADIUS, LIMIT, SIGMA = 30, 60.0, 200.0, 5.0
 ALPHA = 0.12
+CUBE = (Axis(-0.4, 0.4, 12), Axis(-0.4, 0.4, 12), Axis(-0.4, 0.4, 12))
 
 
 def x15_contours(spark, sf):
@@ -65,7 +66,27 @@ def x14_alpha(spark, sf):
     return s.select("cluster", "n_edges", F.round("area", 6).alias("area"), F.round("length", 6).alias("length"))
 
 
-NAMES = "x15_contours x10_level_areas x12_isoline x13_gene_isolines x14_alpha".split()
+def _voxels(spark, sf):
+    """(half, ix, iy, iz, value): points in each voxel, by the parity of their label."""
+    p = tables.points(spark, sf).where("x is not null and y is not null and z is not null")
+    at = [F.floor((F.col(c) - a.low) / a.step).cast("int").alias(f"i{c}") for c, a in zip("xyz", CUBE, strict=True)]
+    return p.where(" and ".join(f"{c} >= {a.low} and {c} < {a.high}" for c, a in zip("xyz", CUBE, strict=True))).groupBy((F.col("cluster").cast("int") % 2).alias("half"), *at).agg(F.count("*").cast("double").alias("value"))
+
+
+def x53_mesh(spark, sf):
+    """Surfaces about the voxels that hold points: counts, whether they are closed, area and volume."""
+    s = surfaces.summary(materialize(surfaces.triangles(_voxels(spark, sf), ["half"], 0.6, CUBE, 0.0)), ["half"])
+    return s.select("half", "n_faces", "n_vertices", "n_edges", "euler", "n_open_edges", F.round("area", 5).alias("area"), F.round("volume", 6).alias("volume"))
+
+
+def x53_mesh_parts(spark, sf):
+    """Connected surfaces of forty triangles or more."""
+    mesh = surfaces.parts(surfaces.triangles(_voxels(spark, sf), ["half"], 0.6, CUBE, 0.0), ["half"])
+    s = surfaces.summary(materialize(surfaces.large_parts(mesh, ["half"], 40)), ["half", "part"])
+    return s.groupBy("half").agg(F.count("*").alias("n_parts"), F.max("n_faces").alias("largest"), F.round(F.sum("volume"), 6).alias("volume"))
+
+
+NAMES = "x53_mesh x53_mesh_parts x15_contours x10_level_areas x12_isoline x13_gene_isolines x14_alpha".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 
@@ -106,7 +127,34 @@ def _field_sql(near: str, key: str) -> str:
       fd AS (SELECT ev.{key}, ix, iy, round(ev.target / ev."on", 9) AS value FROM ev JOIN (SELECT {key}, ix, iy FROM bn) USING ({key}, ix, iy))"""
 
 
+
+
+def _mesh_sql() -> str:
+    """Tables of the surface of the voxel counts: ``tr`` its triangles with names and places of their vertices, ``ed`` its edges."""
+    at = ", ".join(f"CAST(floor(({c} - {a.low}) / {a.step}) AS BIGINT) AS i{c}" for c, a in zip("xyz", CUBE, strict=True))
+    inside = " AND ".join(f"{c} >= {a.low} AND {c} < {a.high}" for c, a in zip("xyz", CUBE, strict=True))
+    corners = " UNION ALL ".join(f"SELECT half, {c} AS c, ix - {c & 1} AS cx, iy - {c >> 1 & 1} AS cy, iz - {c >> 2 & 1} AS cz, value FROM vx" for c in range(8))
+    values = ", ".join(f"CAST(coalesce(max(value) FILTER (c = {c}), 0) AS DOUBLE)" for c in range(8))
+    tets = " UNION ALL ".join(f"SELECT *, {t} AS tet, " + " + ".join(f"CASE WHEN v[{c + 1}] >= 0.6 THEN {1 << i} ELSE 0 END" for i, c in enumerate(cs)) + " AS bits FROM cu" for t, cs in enumerate(surfaces.TETRAHEDRA))
+    table = ", ".join(str(r) for r in surfaces.triangle_table())
+    ends = []
+    for p in "abc":
+        share = f"((CAST(0.6 AS DOUBLE) - v[{p}0 + 1]) / (v[{p}1 + 1] - v[{p}0 + 1]))"
+        ends.append(f"concat_ws(':', cx + ({p}0 & 1), cy + ({p}0 >> 1 & 1), cz + ({p}0 >> 2 & 1), {p}1 - {p}0) AS {p}")
+        for k, (n, a) in enumerate(zip("xyz", CUBE, strict=True)):
+            ends.append(f"{a.low} + (c{n} + ({p}0 >> {k} & 1) + (({p}1 >> {k} & 1) - ({p}0 >> {k} & 1)) * {share} + CAST(0.5 AS DOUBLE)) * {a.step} AS {p}_{n}")
+    return f"""vx AS (SELECT CAST(cluster AS INT) % 2 AS half, {at}, CAST(count(*) AS DOUBLE) AS value FROM {SQL["points"]} WHERE {inside} GROUP BY ALL), co AS ({corners}),
+      cu AS (SELECT half, cx, cy, cz, [{values}] AS v FROM co GROUP BY half, cx, cy, cz), te AS ({tets}),
+      tr AS (SELECT half, {", ".join(ends)} FROM te JOIN (VALUES {table}) q(tet, bits, a0, a1, b0, b1, c0, c1) USING (tet, bits)),
+      ed AS (SELECT half, least(u, w) AS u, greatest(u, w) AS w, count(*) AS n FROM (SELECT half, a AS u, b AS w FROM tr UNION ALL SELECT half, b, c FROM tr UNION ALL SELECT half, c, a FROM tr) GROUP BY ALL)"""
+
+
+_NX, _NY, _NZ = (f"((b_{p} - a_{p}) * (c_{q} - a_{q}) - (b_{q} - a_{q}) * (c_{p} - a_{p}))" for p, q in ("yz", "zx", "xy"))
+_TRIPLE = "(a_x * (b_y * c_z - b_z * c_y) + a_y * (b_z * c_x - b_x * c_z) + a_z * (b_x * c_y - b_y * c_x)) / 6"
 ORACLE_SQL = {
+    "x53_mesh": f"""WITH {_mesh_sql()}, f AS (SELECT half, count(*) AS n_faces, sum(sqrt({_NX} * {_NX} + {_NY} * {_NY} + {_NZ} * {_NZ})) / 2 AS area, sum({_TRIPLE}) AS volume FROM tr GROUP BY half),
+      v AS (SELECT half, count(DISTINCT p) AS n_vertices FROM (SELECT half, unnest([a, b, c]) AS p FROM tr) GROUP BY half), e AS (SELECT half, count(*) AS n_edges, count(*) FILTER (n <> 2) AS n_open_edges FROM ed GROUP BY half)
+      SELECT half, n_faces, n_vertices, n_edges, n_vertices - n_edges + n_faces AS euler, n_open_edges, round(area, 5) AS area, round(volume, 6) AS volume FROM f JOIN v USING (half) JOIN e USING (half)""",
     "x14_alpha": f"""WITH p AS (SELECT cluster, x, y, min(vec_id) AS id FROM {SQL["points"]} WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL),
       e AS (SELECT a.cluster, a.id AS a, b.id AS b, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy, sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2)) AS d FROM p a JOIN p b ON a.cluster = b.cluster AND a.id <> b.id),
       c AS (SELECT *, (px + qx) / 2 + (qy - py) / d * sqrt({ALPHA * ALPHA} - d * d / 4) AS cx, (py + qy) / 2 - (qx - px) / d * sqrt({ALPHA * ALPHA} - d * d / 4) AS cy FROM e WHERE d < {2 * ALPHA}),
