@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.grid import Axis
-from ..operators import alpha, fields, isolines, levels, structure, surfaces
+from ..operators import alpha, fields, isolines, levels, structure, superpixels, surfaces
 from ..sources import tables
 from ..sources.scratch import materialize
 from ..sources.tables import SQL
@@ -86,7 +86,31 @@ def x53_mesh_parts(spark, sf):
     return s.groupBy("half").agg(F.count("*").alias("n_parts"), F.max("n_faces").alias("largest"), F.round(F.sum("volume"), 6).alias("volume"))
 
 
-NAMES = "x53_mesh x53_mesh_parts x15_contours x10_level_areas x12_isoline x13_gene_isolines x14_alpha".split()
+IX, IY, STEP, COMPACT, ROUNDS = Axis(0.0, 1060.0, 48), Axis(0.0, 51.0, 32), 6, 20.0, 10
+
+
+def _image(spark, sf):
+    """Spots as a picture: discounts in red, slices in green, the share of one label in blue."""
+    s = tables.spots(spark, sf).where(IX.inside("x") & IY.inside("y"))
+    channels = [F.round(255 * c, 3).alias(n) for n, c in (("r", F.avg("weight") * 10), ("g", (F.avg("sample") - 1) / 6), ("b", F.avg((F.col("cluster") == "NO").cast("double"))))]
+    return materialize(s.groupBy(IX.clipped("x").alias("ix"), IY.clipped("y").alias("iy")).agg(*channels))
+
+
+def x54_superpixels(spark, sf):
+    taken = superpixels.superpixels(_image(spark, sf), ["r", "g", "b"], STEP, COMPACT, ROUNDS)
+    return taken.groupBy((F.col("seed") % superpixels.tiles.WIDE).alias("sx"), F.floor(F.col("seed") / superpixels.tiles.WIDE).alias("sy")).agg(F.count("*").alias("n"), F.round(F.avg("ix"), 4).alias("mx"), F.round(F.avg("iy"), 4).alias("my"))
+
+
+def x54_superpixel_components(spark, sf):
+    """Parts of like superpixels, by k-means of their ten standardised features."""
+    image = _image(spark, sf)
+    segments = materialize(superpixels.superpixels(image, ["r", "g", "b"], STEP, COMPACT, ROUNDS))
+    table = materialize(superpixels.features(image, segments, IX.n, IY.n))
+    labels = segments.join(superpixels.components_of(table, 4), "seed")
+    return superpixels.cleaned(labels, 6).groupBy("component", "part").agg(F.count("*").alias("n"), F.round(F.avg("ix"), 4).alias("mx"), F.round(F.avg("iy"), 4).alias("my"))
+
+
+NAMES = "x54_superpixels x54_superpixel_components x53_mesh x53_mesh_parts x15_contours x10_level_areas x12_isoline x13_gene_isolines x14_alpha".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 
@@ -149,9 +173,23 @@ def _mesh_sql() -> str:
       ed AS (SELECT half, least(u, w) AS u, greatest(u, w) AS w, count(*) AS n FROM (SELECT half, a AS u, b AS w FROM tr UNION ALL SELECT half, b, c FROM tr UNION ALL SELECT half, c, a FROM tr) GROUP BY ALL)"""
 
 
+def _superpixel_sql() -> str:
+    """Tables of the rounds; the last are the pixels' seeds ``t<rounds>``."""
+    bin_ = lambda c, a: f"CAST(least(floor(({c} - {a.low}) / {a.step}), {a.n - 1}) AS BIGINT)"
+    far = " + ".join(f"power(p.{v} - s.{v}, 2)" for v in "rgb") + f" + {(COMPACT / STEP) ** 2!r} * (power(p.ix - s.ix, 2) + power(p.iy - s.iy, 2))"
+    means = ", ".join(f"avg({v}) AS {v}" for v in ("r", "g", "b", "ix", "iy"))
+    out = f"""im AS (SELECT {bin_("x", IX)} AS ix, {bin_("y", IY)} AS iy, round(255 * (avg(weight) * 10), 3) AS r, round(255 * ((avg(sample) - 1) / 6), 3) AS g, round(255 * avg(CASE WHEN cluster = 'NO' THEN 1.0 ELSE 0 END), 3) AS b
+      FROM {SQL["spots"]} WHERE x BETWEEN {IX.low} AND {IX.high} AND y BETWEEN {IY.low} AND {IY.high} GROUP BY ALL), p AS (SELECT *, ix // {STEP} AS cx, iy // {STEP} AS cy FROM im), s0 AS (SELECT cx AS sx, cy AS sy, {means} FROM p GROUP BY cx, cy)"""
+    for i in range(1, ROUNDS + 1):
+        out += f""", t{i} AS (SELECT p.*, s.sx, s.sy FROM p JOIN s{i - 1} s ON abs(s.sx - cx) <= 1 AND abs(s.sy - cy) <= 1 QUALIFY row_number() OVER (PARTITION BY p.ix, p.iy ORDER BY round({far}, 9), s.sy, s.sx) = 1),
+      s{i} AS (SELECT sx, sy, {means} FROM t{i} GROUP BY sx, sy)"""
+    return out
+
+
 _NX, _NY, _NZ = (f"((b_{p} - a_{p}) * (c_{q} - a_{q}) - (b_{q} - a_{q}) * (c_{p} - a_{p}))" for p, q in ("yz", "zx", "xy"))
 _TRIPLE = "(a_x * (b_y * c_z - b_z * c_y) + a_y * (b_z * c_x - b_x * c_z) + a_z * (b_x * c_y - b_y * c_x)) / 6"
 ORACLE_SQL = {
+    "x54_superpixels": f"WITH {_superpixel_sql()} SELECT sx, sy, count(*) AS n, round(avg(ix), 4) AS mx, round(avg(iy), 4) AS my FROM t{ROUNDS} GROUP BY sx, sy",
     "x53_mesh": f"""WITH {_mesh_sql()}, f AS (SELECT half, count(*) AS n_faces, sum(sqrt({_NX} * {_NX} + {_NY} * {_NY} + {_NZ} * {_NZ})) / 2 AS area, sum({_TRIPLE}) AS volume FROM tr GROUP BY half),
       v AS (SELECT half, count(DISTINCT p) AS n_vertices FROM (SELECT half, unnest([a, b, c]) AS p FROM tr) GROUP BY half), e AS (SELECT half, count(*) AS n_edges, count(*) FILTER (n <> 2) AS n_open_edges FROM ed GROUP BY half)
       SELECT half, n_faces, n_vertices, n_edges, n_vertices - n_edges + n_faces AS euler, n_open_edges, round(area, 5) AS area, round(volume, 6) AS volume FROM f JOIN v USING (half) JOIN e USING (half)""",
