@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import natural_key
+from ..functions.grid import within
 from ..functions.quantiles import quantiles
 from ..sources.scratch import materialize
 from .decisions import track_priority, track_quality
@@ -106,3 +107,34 @@ def families(objects: DataFrame, found: DataFrame, slice_no: str, key: str, leas
     event = F.when(F.col("n_events").isNull(), "none").when(split & merge, "complex").when(split, "candidate_split").when(merge, "candidate_merge").otherwise("candidate_branch")
     j = index.join(n, "family", "left").join(splits, "family", "left").join(merges, "family", "left")
     return j.select("family", F.size("m").cast("bigint").alias("n_members"), named.alias("members"), "n_slices", F.coalesce("n_events", F.lit(0)).alias("n_events"), event.alias("event"))
+
+
+def instance_links(instances: DataFrame, bins: DataFrame, slice_no: str, group: str, reach: float, ratios: tuple[float, float], least_overlap: float = 0.1, lumen_weight: float = 0.4, marker_weight: float = 0.3) -> DataFrame:
+    """(source, target, score, iou, distance, ratio, lumen_distance, marker_similarity) of instances of one group in neighbouring slices.
+
+    ``instances`` has id, cx, cy, area, lumen_cx, lumen_cy and profile (an array of marker counts), ``bins`` the rasters (id,
+    slice, group, ix, iy), so overlaps are those of the shapes themselves. Pairs share a bin or are within ``reach``; what
+    the lumens and the marker profiles leave of the score is half overlap, three tenths distance, a fifth area ratio.
+    Instances without a lumen are compared by their centres, and profiles of nothing by 0.
+    """
+    a, b = (bins.select("id", group, (F.col(slice_no) + k).alias("_s"), "ix", "iy") for k in (1, 0))
+    shared = a.withColumnRenamed("id", "source").join(b.withColumnRenamed("id", "target"), [group, "_s", "ix", "iy"]).groupBy("source", "target").agg(F.count("*").alias("shared"))
+    size = bins.groupBy("id").agg(F.count("*").alias("n"))
+    own = instances.select("id", group, F.col(slice_no).alias("_s"), "cx", "cy", "area", F.coalesce("lumen_cx", "cx").alias("lx"), F.coalesce("lumen_cy", "cy").alias("ly"), F.col("lumen_cx").isNotNull().alias("hollow"), "profile").join(size, "id")
+    at = lambda k: own.select("id", group, (F.col("_s") + k).alias("_s"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    close = within(at(1), at(0), reach, keys=(group, "_s")).select(F.col("l_id").alias("source"), F.col("r_id").alias("target"))
+    pairs = shared.select("source", "target").union(close).distinct().join(shared, ["source", "target"], "left").fillna(0, ["shared"])
+    p, q = (own.select(*[F.col(c).alias(f"{n}_{c}") for c in ("id", "cx", "cy", "area", "lx", "ly", "hollow", "profile", "n")]) for n in "pq")
+    m = pairs.join(p.withColumnRenamed("p_id", "source"), "source").join(q.withColumnRenamed("q_id", "target"), "target")
+    d = lambda x, y: F.hypot(F.col(f"p_{x}") - F.col(f"q_{x}"), F.col(f"p_{y}") - F.col(f"q_{y}"))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    dot = total(F.zip_with("p_profile", "q_profile", lambda s, t: s.cast("double") * t))
+    norm = lambda c: F.sqrt(total(F.transform(c, lambda x: x.cast("double") * x)))
+    m = m.withColumns({
+        "iou": F.col("shared") / (F.col("p_n") + F.col("q_n") - F.col("shared")), "distance": d("cx", "cy"), "ratio": F.greatest("p_area", "q_area") / F.greatest(F.least("p_area", "q_area"), F.lit(1e-9)),
+        "lumen_distance": F.when(F.col("p_hollow") & F.col("q_hollow"), d("lx", "ly")).otherwise(d("cx", "cy")), "marker_similarity": F.coalesce(F.try_divide(dot, norm("p_profile") * norm("q_profile")), F.lit(0.0)),
+    }).where(((F.col("iou") >= least_overlap) | (F.col("distance") <= reach)) & (F.col("ratio") >= ratios[0]) & (F.col("ratio") <= ratios[1]))
+    near = lambda c: F.greatest(F.lit(0.0), 1 - F.col(c) / max(reach, 1e-9))
+    rest = max(0.0, 1 - lumen_weight - marker_weight)
+    score = rest * (0.5 * F.col("iou") + 0.3 * near("distance") + 0.2 / F.col("ratio")) + lumen_weight * near("lumen_distance") + marker_weight * F.col("marker_similarity")
+    return m.select("source", "target", F.round(score, 9).alias("score"), "iou", "distance", "ratio", "lumen_distance", "marker_similarity")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import Axis, histogram
 from ..functions.quantiles import quantiles
-from ..operators import alignment, biology, fields, instances, orientation, stacks, structure
+from ..operators import alignment, biology, fields, instances, orientation, stacks, structure, tracks
 from ..sources import tables
 from ..sources.scratch import materialize
 from ..sources.tables import SQL
@@ -37,6 +37,18 @@ def x25_instances(spark, sf):
     return rows.select(*plain, *[F.round(c, 6).alias(c) for c in ("area", "cx", "cy", "lumen_area", "lumen_cx", "lumen_cy", "ring_support", "marker_score", "contamination")])
 
 
+def x26_instance_links(spark, sf):
+    """Links of instances in neighbouring slices by their shapes, lumens and markers."""
+    cells = _marked_cells(spark, sf)
+    rows, bins = instances.instances(cells, _masks(cells), X, Y, SETTINGS)
+    number = F.when(F.col("slice") == "F", 1).when(F.col("slice") == "O", 2).otherwise(3).alias("s")
+    profile = F.array(F.col("markers").cast("double"), (F.col("n_cells") - F.col("markers")).cast("double")).alias("profile")
+    own = materialize(rows.select("id", "slice", "structure", "instance", number, "cx", "cy", "area", "lumen_cx", "lumen_cy", profile))
+    named = bins.join(own.select("id", "slice", "structure", "instance", "s"), ["slice", "structure", "instance"])
+    found = tracks.instance_links(own, materialize(named.select("id", "structure", "s", "ix", "iy")), "s", "structure", 100.0, (0.0, 3.0))
+    return found.select("source", "target", *[F.round(c, 6).alias(c) for c in found.columns[2:]])
+
+
 SIGNATURES = {"growth": ("click", "view"), "transport": ("purchase",), "stress": ("error", "signup")}
 PAIRS = [("click", "purchase"), ("view", "error"), ("signup", "click")]
 BIN = 400.0
@@ -120,7 +132,7 @@ def x38_two_best(spark, sf):
     return best.select("region", "n_edges", "path", "second", *[F.round(c, 4).alias(c) for c in ("score", "second_score")], "reasons")
 
 
-NAMES = "x51_stack x38_two_best x25_instances x29_assignments x29_entropy x29_axis x29_microenvironment x29_communication x29_features".split()
+NAMES = "x51_stack x38_two_best x25_instances x26_instance_links x29_assignments x29_entropy x29_axis x29_microenvironment x29_communication x29_features".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 _SUM = lambda s, t: f"coalesce(sum(n) FILTER (gene IN ({', '.join(repr(g) for g in SIGNATURES[s])})), 0) AS {t}{s}"

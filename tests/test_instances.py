@@ -133,3 +133,36 @@ def test_instances_of_planted_rings(spark):
     assert sum(r.n_cells for r in rows.values()) == bins.join(df.select("slice", x.clipped("x").alias("ix"), y.clipped("y").alias("iy")), ["slice", "ix", "iy"]).count()
     assert left.area + right.area == sum(1 for m in mask if m[0] == "s1") * 100.0
     assert instances.instances(df.where("false"), masks, x, y, s)[0].where("n_cells > 0").count() == 0
+
+
+def test_links_of_instances_by_shape_lumen_and_markers(spark):
+    import math
+
+    from lamina.operators import tracks
+
+    rng = np.random.default_rng(7)
+    shapes, rows = {}, []
+    for s in (1, 2, 3):
+        for k in range(6):
+            x, y, w, h = (int(v) for v in (rng.integers(0, 30), rng.integers(0, 30), rng.integers(2, 9), rng.integers(2, 9)))
+            name, group = f"{s}:{k}", "ab"[k % 2]
+            shapes[name] = {(i, j) for i in range(x, x + w) for j in range(y, y + h)}
+            hollow = k != 3
+            rows.append((name, group, s, x + w / 2, y + h / 2, float(w * h), x + 1.0 if hollow else None, y + 1.0 if hollow else None, [float(v) for v in rng.integers(0, 3, 3)]))
+    found = spark.createDataFrame(rows, "id string, g string, s int, cx double, cy double, area double, lumen_cx double, lumen_cy double, profile array<double>")
+    bins = spark.createDataFrame([(r[0], r[1], r[2], *b) for r in rows for b in shapes[r[0]]], "id string, g string, s int, ix int, iy int").repartition(3)
+    want = {}
+    for p in rows:
+        for q in rows:
+            if p[1] != q[1] or q[2] != p[2] + 1:
+                continue
+            a, b = shapes[p[0]], shapes[q[0]]
+            iou, d = len(a & b) / len(a | b), math.dist(p[3:5], q[3:5])
+            ratio = max(p[5], q[5]) / min(p[5], q[5])
+            lumen = math.dist(p[6:8], q[6:8]) if p[6] is not None and q[6] is not None else d
+            norm = math.hypot(*p[8]) * math.hypot(*q[8])
+            cosine = sum(x * y for x, y in zip(p[8], q[8], strict=True)) / norm if norm else 0.0
+            if (iou >= 0.1 or d <= 12) and ratio <= 3:
+                want[p[0], q[0]] = 0.3 * (0.5 * iou + 0.3 * max(0, 1 - d / 12) + 0.2 / ratio) + 0.4 * max(0, 1 - lumen / 12) + 0.3 * cosine
+    got = {(r.source, r.target): r.score for r in tracks.instance_links(found, bins, "s", "g", 12.0, (0.0, 3.0)).collect()}
+    assert set(got) == set(want) and len(want) > 5 and all(abs(got[k] - v) < 1e-8 for k, v in want.items())
