@@ -215,7 +215,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     row = unused("_row", docs)
     kept = materialize(first.select(F.col("m.doc_id").alias("doc_id"), F.col("m.row").alias(row)))
     once = docs.withColumn(row, row_hash(docs)).join(kept, ["doc_id", row], "left_semi").dropDuplicates(["doc_id", row])
-    return once.select(docs.columns).union(docs.where("doc_id is null"))
+    return once.drop(row).union(docs.where("doc_id is null"))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
