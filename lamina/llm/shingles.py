@@ -187,10 +187,36 @@ def _profiles(texts: DataFrame) -> DataFrame:
 
 
 def _pivots(members: DataFrame, own: DataFrame) -> DataFrame:
-    """(key, a): of the PIVOTS largest groups of each crowd (key, node, root) the member with the fewest shingles of its own."""
-    groups = members.select("key", "node", "root").join(own, "node").groupBy("key", "root").agg(F.count("*").alias("n"), F.min(F.struct("own", F.xxhash64("node").alias("o"), "node")).alias("m"))
+    """(key, place, a, size): a member of each of the PIVOTS largest groups of each crowd (key, node, root), and its shingles.
+
+    A group has one such member, that with the fewest shingles of its own, in all crowds that it is in, as the buckets
+    of several bands hold much the same nodes.
+    """
+    groups = members.groupBy("key", "root").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), F.xxhash64("root"), "root"))
-    return materialize(groups.withColumn("place", place).where(F.col("place") <= PIVOTS).select("key", F.col("m.node").alias("a")))
+    largest = groups.withColumn("place", place).where(F.col("place") <= PIVOTS)
+    one = members.select("root", "node").distinct().join(own, "node").groupBy("root").agg(F.min(F.struct("own", F.xxhash64("node").alias("o"), "node", "size")).alias("m"))
+    return materialize(largest.join(one, "root").select("key", "place", F.col("m.node").alias("a"), F.col("m.size").alias("size")))
+
+
+def _parting(pivots: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, a) of the pivots (key, place, a, size) that part their crowd: those farther than half of their shingles from all kept before them.
+
+    A member whose nearest pivot is a is farther from b by no more than b is from a. If that is half of its shingles it
+    goes to both (see _regions), so b would make a row of each such member and part none of them.
+    """
+    p, q = LEAST
+    one, two = (pivots.select("key", *[F.col(c).alias(f"{c}_{n}") for c in ("place", "a")]) for n in "xy")
+    pairs = materialize(one.join(two, "key").where("place_x < place_y").select("key", "a_x", "a_y"))
+    edits = _edits(materialize(pairs.select(F.col("a_x").alias("a"), F.col("a_y").alias("b")).distinct()), texts)
+    apart = edits.select(F.col("hub").alias("a_x"), F.col("node").alias("a_y"), (F.col("lacking") + F.size("added")).alias("d"))
+    before = pairs.join(apart, ["a_x", "a_y"]).groupBy("key", F.col("a_y").alias("a")).agg(F.map_from_entries(F.collect_list(F.struct("a_x", "d"))).alias("far"))
+    # A crowd's pivots are one row of PIVOTS at most, in the order of their groups.
+    rows = pivots.join(before, ["key", "a"], "left").groupBy("key").agg(F.collect_list(F.struct("place", "a", "size", "far")).alias("all"))
+    near = lambda x, a: p * F.element_at(x["far"], a) <= 2 * (q - p) * x["size"]
+    keep = lambda kept, x: F.when(F.exists(kept, lambda a: near(x, a)), kept).otherwise(F.concat(kept, F.array(x["a"])))
+    placed = F.array_sort("all", lambda x, y: x["place"] - y["place"])
+    return materialize(rows.select("key", F.explode(F.aggregate(placed, F.array().cast("array<binary>"), keep)).alias("a")))
 
 
 def _regions(members: DataFrame, pivots: DataFrame, edits: DataFrame) -> DataFrame:
@@ -268,7 +294,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         profiles = materialize(_profiles(texts.join(open_.select("node").distinct(), "node", "left_semi")))
         open_, left = open_.withColumn("own", F.lit(True)), []
         for last in [False] * (SPLITS - 1) + [True]:
-            pivots = _pivots(open_, profiles)
+            pivots = _parting(_pivots(open_, profiles), texts)
             about = open_.join(pivots, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
             edits = materialize(_edits(materialize(about), texts))
             near = near.union(edits.where("alike").select(F.col("hub").alias("a"), F.col("node").alias("b")))

@@ -453,6 +453,33 @@ def test_pairs_grow_with_a_crowd_in_several_groups(spark, monkeypatch):
     assert asked[1] < 2.6 * asked[0] and asked[1] < 40 * 400, asked
 
 
+def test_members_of_a_crowd_are_held_against_few_pivots(spark, monkeypatch):
+    """Edited copies of one text, in many groups: pivots that part none of them would each make a row of every member."""
+    seen, across = [], shingles._across
+
+    def counting(edits):
+        seen.append(edits.count() / edits.select("node").distinct().count())
+        return across(edits)
+
+    monkeypatch.setattr(shingles, "_across", counting)
+    rng, base = random.Random(8), [f"w{i}" for i in range(100)]
+    texts = []
+    for _ in range(240):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 3, 4, 5])):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(400)}"
+        texts.append(" ".join(w))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    sets, root = [brute_shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert sorted(r.doc_id for r in shingles.keep_first(rows).collect()) == sorted(set(root))
+    assert len(seen) == 1 and seen[0] < 6, seen
+
+
 def test_columns_that_have_no_hash(spark):
     one = " ".join(f"p{i}" for i in range(40))
     rows = spark.createDataFrame([(2, one, {"a": 1, "b": 2}, [{"c": 1}]), (1, one, {"b": 2, "a": 1}, None), (3, None, None, [])], "doc_id bigint, text string, m map<string,int>, `d.e` array<map<string,int>>")
