@@ -1,8 +1,11 @@
 """Groups of documents whose sets of word shingles have a Jaccard similarity of LEAST or more.
 
-Candidates share a band of minima of random hashes: at a similarity of exactly LEAST, a pair shares one of BANDS bands
-of ROWS minima with probability 0.9996. Each candidate pair is then held against its exact shingle sets. Texts of the
-same words are one node, so a group of copies costs one row however large it is. Null and empty texts are alike.
+Candidates come from SimHash fingerprints of the sets: those that ``simhash.links`` finds within its radius, by blocks of
+bits and pivot distance tables, are held against one another. That radius can't hold the similarity, as most pairs that
+are just alike differ in more bits. For these, candidates also share a band of minima of random hashes: at a similarity
+of exactly LEAST, a pair shares one of BANDS bands of ROWS minima with probability 0.9996. Each candidate pair of either
+kind is then held against its exact shingle sets. Texts of the same words are one node, so a group of copies costs one
+row however large it is. Null and empty texts are alike.
 
 Every node of a bucket is first compared with one hub there, drawn anew for each fourth of the bands, so a crowd of near
 copies makes a few pairs a node. Where nodes of a bucket are then still in different groups, they are held against a few
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, hot_lookup, materialize, row_hash, slices, texts_of, unused
 from .components import connected
+from .simhash import links, majority
 
 SHINGLE, SEED, BANDS, ROWS = 5, 42, 20, 5
 #: Hubs of a crowd whose members share all bands; a shingle added by so many members of a crowd at most is rare.
@@ -90,18 +94,20 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, node, bands) of every row; ``row`` hashes all of its columns."""
+    """(doc_id, row, node, fp, bands) of every row; ``row`` hashes all of its columns, ``fp`` is the SimHash of the set."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, SLICE_BYTES):
                 words = [words_of(t) for t in texts_of(b.column("text"))]
-                keys = np.array([bands(shingles(w)) for w in words], dtype=np.uint64).view(np.int64)
-                schema = pa.schema([b.schema.field("doc_id"), ("row", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
-                yield batch_of(schema, doc_id=b.column("doc_id"), row=b.column("row"), node=[node_of(w) for w in words], bands=list(keys))
+                marks = [(majority(h), bands(h)) for h in map(shingles, words)]
+                fp = np.array([f for f, _ in marks], dtype=np.uint64).view(np.int64)
+                keys = np.array([k for _, k in marks], dtype=np.uint64).view(np.int64)
+                schema = pa.schema([b.schema.field("doc_id"), ("row", pa.int64()), ("node", pa.binary()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+                yield batch_of(schema, doc_id=b.column("doc_id"), row=b.column("row"), node=[node_of(w) for w in words], fp=fp, bands=list(keys))
 
-    return docs.select("doc_id", row_hash(docs).alias("row"), "text").mapInArrow(run, f"doc_id {id_type}, row bigint, node binary, bands array<bigint>")
+    return docs.select("doc_id", row_hash(docs).alias("row"), "text").mapInArrow(run, f"doc_id {id_type}, row bigint, node binary, fp bigint, bands array<bigint>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -275,16 +281,26 @@ def _across(edits: DataFrame) -> DataFrame:
     return by_token.select(*ends).union(by_size.select(*ends)).distinct()
 
 
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs that connect the nodes (node, fp) whose fingerprints are linked. Nodes of one fingerprint meet its hub, and hubs meet as their fingerprints are linked."""
+    fps = materialize(nodes.groupBy("fp").agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node")).alias("m"), F.count("*").alias("n")).select("fp", F.col("m.node").alias("hub"), "n"))
+    same = hot_lookup(nodes, fps, "fp", "n").select(F.col("hub").alias("x"), F.col("node").alias("y"))
+    one, two = (fps.select(F.col("fp").alias(c), F.col("hub").alias(n)) for c, n in ("ax", "by"))
+    linked = links(fps).select("a", "b").distinct().join(one, "a").join(two, "b").select("x", "y")
+    return same.union(linked).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, row, node, root) of every row; rows of one root are one group."""
     marks = materialize(marked(docs))
+    printed = materialize(by_fingerprint(marks.groupBy("node").agg(F.first("fp").alias("fp"))))
     members = marks.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.posexplode("bands").alias("band", "key"))
     drawn = F.struct(F.xxhash64("node", F.pmod("band", F.lit(HUBS))).alias("o"), F.col("node").alias("hub"))
     hubs = materialize(members.groupBy("key").agg(F.min(drawn).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", F.col("m.hub").alias("hub"), "n"))
     shared = materialize(hot_lookup(members.select("key", "node"), hubs, "key", "n").where("hub is not null and node <> hub").select("key", "node", "hub"))
-    wanted = shared.select("node").union(shared.select("hub")).distinct()
+    wanted = shared.select("node").union(shared.select("hub")).union(printed.select("a")).union(printed.select("b")).distinct()
     texts = materialize(_texts(docs).groupBy("node").agg(F.min("text").alias("text")).join(wanted, "node", "left_semi"))
-    pairs = shared.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    pairs = printed.union(shared.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))).distinct()
     near = materialize(verified(materialize(pairs), texts))
     roots = materialize(connected(near))
     held = materialize(shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
@@ -312,7 +328,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
             near = near.union(materialize(verified(materialize(_across(materialize(rest))), texts)))
         roots = connected(near)
     sizes = marks.groupBy("node").agg(F.count("*").alias("n")).join(roots, "node")
-    return hot_lookup(marks.drop("bands"), sizes, "node", "n").withColumn("root", F.coalesce("root", "node"))
+    return hot_lookup(marks.drop("fp", "bands"), sizes, "node", "n").withColumn("root", F.coalesce("root", "node"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -48,7 +48,11 @@ def fingerprint(text: str) -> int:
         starts = (ends - lengths)[: 1 - SHINGLE].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[s:e], SEED) for s, e in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)]
-    h = np.array(hashes, dtype="<u8")
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero for none."""
     counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(h), 1 << 16):
         counts += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -453,6 +453,33 @@ def test_pairs_grow_with_a_crowd_in_several_groups(spark, monkeypatch):
     assert asked[1] < 2.6 * asked[0] and asked[1] < 40 * 400, asked
 
 
+def test_near_fingerprints_are_candidates(spark, monkeypatch):
+    """With bands that no two texts share, texts alike are still found where their fingerprints are near, and those alone."""
+    marked = shingles.marked
+    monkeypatch.setattr(shingles, "marked", lambda docs: marked(docs).withColumn("bands", F.array(F.xxhash64("node"))))
+    rng = random.Random(6)
+    texts = []
+    for i in range(12):
+        w = [f"w{i}x{rng.randrange(900)}" for _ in range(rng.choice([60, 300, 900]))]
+        for n in range(1, 6):
+            texts.append(" ".join([*w, *[f"e{i}n{n}k{k}" for k in range(n)]]))
+    sets = [brute_shingles(t) for t in texts]
+    prints = []
+    for t in texts:
+        w = t.encode().split()
+        h = {xxhash.xxh64(b" ".join(w[k : k + 5]), seed=42).intdigest() for k in range(len(w) - 4)}
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and (prints[i] ^ prints[j]).bit_count() <= 3 and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert 12 < len(set(root)) < 50
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert sorted(r.doc_id for r in shingles.keep_first(rows).collect()) == sorted(set(root))
+
+
 def test_members_of_a_crowd_are_held_against_few_pivots(spark, monkeypatch):
     """Edited copies of one text, in many groups: pivots that part none of them would each make a row of every member."""
     seen, across = [], shingles._across
