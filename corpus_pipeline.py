@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays whose 5-word shingle sets are similar by 0.8 or more; fingerprints can't hold that radius, see README."""
+    """One document of each group stays whose 5-word shingle sets are similar by 0.8 or more: SimHash and pivot distance tables, bands beyond their radius, exact sets."""
     return shingles.keep_first(docs)
 
 
