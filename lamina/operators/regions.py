@@ -121,16 +121,9 @@ def away_from(points: DataFrame, others: DataFrame, key: str, radius: float) ->
 def search_find(points: DataFrame, key: str, labels: list[str], radius: float, limit: float) -> DataFrame:
     """(a, b, distance): the mean distance from a label's points to the nearest point of another label (X1). Not symmetric."""
     p = points.where(F.col("cluster").isin(labels)).select(key, "x", "y", "cluster")
-    span = p.agg(F.min("x").alias("low"), F.max("x").alias("high")).first()
-    if span.low is None:
-        return p.select(F.col("cluster").alias("a"), F.col("cluster").alias("b"), F.col("x").alias("distance"))
-    # Each target label has a place of its own along x, so that one search serves all pairs of labels.
-    place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("b")) * F.lit(span.high - span.low + 2 * limit + 1.0)
-    asked = p.withColumn("b", F.explode(F.array(*[F.lit(x) for x in labels]))).where("b <> cluster")
-    left = asked.select(F.concat_ws("|", F.col(key).cast("string"), "b").alias("ask"), F.col("cluster").alias("a"), "b", (F.col("x") + place).alias("x"), "y")
-    right = p.withColumn("b", F.col("cluster")).select(key, (F.col("x") + place).alias("x"), "y")
-    near = nearest(left.select("ask", "x", "y"), right, "ask", key, radius, limit)
-    return near.join(left.select("ask", "a", "b"), "ask").groupBy("a", "b").agg(F.round(F.avg(F.sqrt("d2")), 6).alias("distance"))
+    asked = p.withColumn("b", F.explode(F.array(*[F.lit(x) for x in labels]))).where("b <> cluster").withColumn("ask", F.struct(key, "b", F.col("cluster").alias("a")))
+    near = nearest(asked, p.withColumn("b", F.col("cluster")), "ask", key, radius, limit, keys=("b",))  # one search serves all pairs of labels
+    return near.groupBy("ask.a", "ask.b").agg(F.round(F.avg(F.sqrt("d2")), 6).alias("distance"))
 
 
 def overlap(spots: DataFrame, x: Axis, y: Axis, key: str, quantile: float) -> DataFrame:
