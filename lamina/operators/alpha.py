@@ -3,7 +3,7 @@
 No triangulation is made. A circle of the limit's radius that touches a point and holds no other can be rolled about it
 through an open angle; where it is stopped by another point, the two are an edge of the border. So what a point needs
 are the directions of its neighbours within the circle's diameter, which bins bring together exactly, whatever the
-partitioning. Points inside are told first by the nearest neighbour in each of a few sectors, a table of bounded width.
+partitioning. Points inside are told first by a few nearest neighbours, so only those near the border meet all about them.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.grid import within
+from ..functions.grid import k_nearest, within
 from ..sources.scratch import materialize
 
-SECTORS = 16
+#: Nearest neighbours by which points inside are told.
+FEW = 24
 
 
 def open_angles(direction: np.ndarray, reach: np.ndarray) -> list[tuple[int, int]]:
@@ -52,15 +53,17 @@ def border(points: DataFrame, keys: list[str], point: str, radius: float) -> Dat
     once = materialize(points.where("x is not null and y is not null").groupBy(*keys, "x", "y").agg(F.min(point).alias("p")))
     ids = ["p", "x", "y"]
     turn = F.atan2(F.col("r_y") - F.col("l_y"), F.col("r_x") - F.col("l_x"))
-    sector = F.floor((turn + math.pi) / (2 * math.pi) * SECTORS).cast("int")
+    reach = F.acos(F.least(F.sqrt("d2") / (2 * radius), F.lit(1.0)))
 
     def around(some: DataFrame) -> DataFrame:
         met = within(some, once, 2 * radius, keys=tuple(keys)).where("d2 > 0 and l_p <> r_p")
-        reach = F.acos(F.least(F.sqrt("d2") / (2 * radius), F.lit(1.0)))
-        return met.select(*[F.col(f"l_{k}").alias(k) for k in [*keys, *ids]], turn.alias("turn"), reach.alias("reach"), sector.alias("sector"), "d2", F.struct(F.col("r_p").alias("p"), F.col("r_x").alias("x"), F.col("r_y").alias("y")).alias("to"))
+        return met.select(*[F.col(f"l_{k}").alias(k) for k in [*keys, *ids]], turn.alias("turn"), reach.alias("reach"), F.struct(F.col("r_p").alias("p"), F.col("r_x").alias("x"), F.col("r_y").alias("y")).alias("to"))
 
-    near = around(once).groupBy(*keys, *ids, "sector").agg(F.min(F.struct("d2", "turn", "reach")).alias("m"))
-    near = near.groupBy(*keys, *ids).agg(F.collect_list("m").alias("near"))
+    sites = once.withColumn("site", F.struct(*keys, "p"))
+    near = k_nearest(sites, sites, "site", "site", FEW + 1, 2 * radius, 2 * radius, keys=tuple(keys)).where("site <> near_site")
+    near = near.join(sites.select(F.col("site").alias("near_site"), F.col("x").alias("r_x"), F.col("y").alias("r_y")).hint("merge"), "near_site")
+    near = near.join(sites.select("site", *keys, "p", F.col("x").alias("l_x"), F.col("y").alias("l_y")).hint("merge"), "site")
+    near = near.groupBy(*keys, "p", F.col("l_x").alias("x"), F.col("l_y").alias("y")).agg(F.collect_list(F.struct(turn.alias("turn"), reach.alias("reach"))).alias("near"))
     types = ", ".join(f"{k} {once.schema[k].dataType.simpleString()}" for k in [*keys, *ids])
     id_type = once.schema["p"].dataType.simpleString()
 

@@ -74,3 +74,14 @@ def test_twins_and_groups(spark):
     assert [(r.near_id, r.d2) for r in many] == [(3, 0.0), (7, 0.0), (11, 0.0)]
     assert nearest(p, p.where("false"), "id", "id", 0.5, 9.0).collect() == []
     assert nearest(p.where("false"), p, "id", "id", 0.5, 9.0).collect() == []
+
+
+def test_outlines_of_crowds_meet_few(spark):
+    from lamina.operators import alpha
+
+    rows = [(i, math.sqrt((i + 0.5) / 1500) * math.cos(2.4 * i), math.sqrt((i + 0.5) / 1500) * math.sin(2.4 * i), "g") for i in range(1500)]
+    p = spark.createDataFrame(rows, "id int, x double, y double, g string")
+    made, edges = joined_rows(spark, lambda: alpha.border(p, ["g"], "id", 0.5).collect())
+    met = {r.a for r in edges}
+    assert len(met) == len(edges) > 30 and all(math.hypot(*rows[i][1:3]) > 0.9 for i in met)
+    assert len(rows) <= made < 300 * len(rows)  # all within the diameter are over 1,000,000
