@@ -16,7 +16,7 @@ from .fields import _BOXES as _OBJECTS
 from .fields import _objects
 from .structures import _BOXES, _CELLS
 
-WIDE, LIMIT = 10_000.0, 2_000.0
+LIMIT = 2_000.0
 
 
 def _sides(spark, sf):
@@ -28,13 +28,13 @@ def _sides(spark, sf):
 
 def z2_chamfer(spark, sf):
     a, b = _sides(spark, sf)
-    return R.chamfer(a, b, ["cluster"], "id", 20.0, LIMIT, WIDE).select("cluster", F.round("chamfer", 4).alias("chamfer"))
+    return R.chamfer(a, b, ["cluster"], "id", 20.0, LIMIT).select("cluster", F.round("chamfer", 4).alias("chamfer"))
 
 
 def z1_score(spark, sf):
     """Score of leaving two slices as they are, by cluster."""
     a, b = _sides(spark, sf)
-    c, loss = R.chamfer(a, b, ["cluster"], "id", 20.0, LIMIT, WIDE), R.layout_loss(a, b, ["cluster"], "id", "area", 20.0, LIMIT, WIDE)
+    c, loss = R.chamfer(a, b, ["cluster"], "id", 20.0, LIMIT), R.layout_loss(a, b, ["cluster"], "id", "area", 20.0, LIMIT)
     score = R.label_free_score(F.lit(0.5), F.col("chamfer"), F.col("loss"), F.lit(1000.0))
     return c.join(loss, "cluster").select("cluster", F.round("loss", 4).alias("loss"), F.round(score, 5).alias("score"))
 
@@ -46,7 +46,7 @@ def x43_backend(spark, sf):
 
 def x45_landmarks(spark, sf):
     a, b = _sides(spark, sf)
-    found = R.mutual_landmarks(a, b, ["cluster"], "id", 20.0, LIMIT, WIDE, 2.0, 25)
+    found = R.mutual_landmarks(a, b, ["cluster"], "id", 20.0, LIMIT, 2.0, 25)
     return found.select("cluster", "a", "b", F.round("d", 4).alias("d"))
 
 

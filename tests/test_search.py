@@ -85,3 +85,15 @@ def test_outlines_of_crowds_meet_few(spark):
     met = {r.a for r in edges}
     assert len(met) == len(edges) > 30 and all(math.hypot(*rows[i][1:3]) > 0.9 for i in met)
     assert len(rows) <= made < 300 * len(rows)  # all within the diameter are over 1,000,000
+
+
+def test_layout_loss_takes_all_components(spark):
+    from lamina.operators import registration as R
+
+    # 900 components of a slice, of which the last hundred lie a step off the other slice's.
+    a = [("g", f"a{i}", 10.0 * i, 0.0, 1000 - i) for i in range(900)]
+    b = [("g", f"b{i}", 10.0 * i, 3.0 if i >= 800 else 0.0, 1000 - i) for i in range(900)]
+    sides = [spark.createDataFrame(r, "g string, id string, x double, y double, area long") for r in (a, b)]
+    total = sum(r[4] for r in a)
+    loss = R.layout_loss(*sides, ["g"], "id", "area", 5.0, 1e5).first().loss
+    assert math.isclose(loss, sum(3.0 * r[4] / total for r in a[800:]))
