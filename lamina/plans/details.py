@@ -13,6 +13,7 @@ from ..operators import profiles as P
 from ..operators import regions, structure
 from ..sources import tables
 from ..sources.formats import molecules
+from ..sources.scratch import materialize
 from ..sources.tables import SQL, read
 from .structures import _BOXES, _MATRIX
 
@@ -208,7 +209,7 @@ def j10_gaussian_field(spark, sf):
 
 def j11_context(spark, sf):
     """Each region's four nearest other regions by centroid."""
-    c = tables.spots(spark, sf).groupBy("region").agg(F.avg("x").alias("x"), (F.avg("y") * 20).alias("y"))
+    c = materialize(tables.spots(spark, sf).groupBy("region").agg(F.avg("x").alias("x"), (F.avg("y") * 20).alias("y")))
     near = k_nearest(c, c, "region", "region", 5, 10.0, 2000.0).where("region <> near_region")
     place = F.row_number().over(W.partitionBy("region").orderBy("d2", "near_region"))  # five rows a region
     return near.withColumn("place", place.cast("bigint")).where("place <= 4").select("region", "near_region", "place", F.round(F.sqrt("d2"), 5).alias("distance"))
@@ -216,7 +217,7 @@ def j11_context(spark, sf):
 
 def f5_surroundings(spark, sf):
     """How alike the surroundings of regions with neighbouring numbers are."""
-    c = tables.spots(spark, sf).groupBy("region").agg(F.avg("x").alias("x"), (F.avg("y") * 20).alias("y"), F.count("*").alias("n"))
+    c = materialize(tables.spots(spark, sf).groupBy("region").agg(F.avg("x").alias("x"), (F.avg("y") * 20).alias("y"), F.count("*").alias("n")))
     near = k_nearest(c.select("region", "x", "y"), c.select("region", "x", "y"), "region", "region", 6, 10.0, 2000.0).where("region <> near_region")
     o = c.select(F.col("region").alias("near_region"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("n").alias("nn"))
     rows = near.join(o, "near_region").join(c, "region").select("region", (F.col("nx") - F.col("x")).alias("dx"), (F.col("ny") - F.col("y")).alias("dy"), (F.col("nn") / F.col("n")).alias("ratio"))
