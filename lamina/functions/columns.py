@@ -42,6 +42,11 @@ def finite(c: Column | str) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
 
+def rounded(c: Column | str, places: int) -> Column:
+    """As SQL rounds doubles: a whole number of steps over a power of ten, halves away from zero."""
+    return F.round(col(c) * float(10**places)) / float(10**places)
+
+
 def ratio(n: Column | str, d: Column | str) -> Column:
     """n / d, null where the denominator is about zero."""
     return F.when(F.abs(col(d)) > 1e-9, col(n) / col(d))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import Axis, histogram, nearest, within
+from ..functions.ordered import PLACE, aggregate
 from ..functions.quantiles import quantiles
 from ..sources.scratch import materialize
 
@@ -131,7 +132,9 @@ def overlap(spots: DataFrame, x: Axis, y: Axis, key: str, quantile: float) -> Da
 
     Fields meet bin by bin in an equi-join; there are as many result rows as pairs of field names.
     """
-    v = materialize(histogram(spots, x, y, [key], F.col("value")).withColumnRenamed(key, "gene"))
+    at = spots.where(x.inside("x") & y.inside("y")).withColumns({"ix": x.clipped("x"), "iy": y.clipped("y")})
+    sums = aggregate(at, [key, "ix", "iy"], sums={"value": F.col("value")}) if set(PLACE) <= set(spots.columns) else histogram(spots, x, y, [key], F.col("value"))
+    v = materialize(sums.withColumnRenamed(key, "gene"))
     cut = quantiles(v, ["gene"], ["value"], [quantile]).select("gene", F.col("value")[0].alias("cut"))
     hot = v.join(cut, "gene").where("value >= cut").select("gene", "ix", "iy")
     n = hot.groupBy("gene").agg(F.count("*").alias("n"))

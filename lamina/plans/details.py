@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.grid import gaussian_mean, inverse_distance, k_nearest
+from ..functions.ordered import aggregate
 from ..operators import decisions as D
 from ..operators import matching as M
 from ..operators import profiles as P
@@ -78,7 +79,8 @@ def w6_fallback(spark, sf):
 
 
 def _objects(spark, sf):
-    return tables.spots(spark, sf).groupBy("cluster", "region").agg(F.min("sample").alias("first"), F.round(F.avg("x"), 3).alias("mx"), F.round(F.avg("y"), 3).alias("my"))
+    o = aggregate(tables.spots(spark, sf, place=True), ["cluster", "region"], F.min("sample").alias("first"), means={"mx": F.col("x"), "my": F.col("y")})
+    return o.withColumns({c: C.rounded(c, 3) for c in ("mx", "my")})
 
 
 def w11_ids(spark, sf):
@@ -125,7 +127,7 @@ def f10_colours(spark, sf):
 
 
 def d8_flags(spark, sf):
-    t = tables.spots(spark, sf).groupBy("region").agg(F.count_if(F.col("weight") > 0.098).alias("seeds"), F.avg("weight").alias("ring"), F.countDistinct("cluster").alias("lumens"), F.count("*").alias("area"))
+    t = aggregate(tables.spots(spark, sf, place=True), ["region"], F.count_if(F.col("weight") > 0.098).alias("seeds"), F.countDistinct("cluster").alias("lumens"), F.count("*").alias("area"), means={"ring": F.col("weight")})
     return t.select("region", D.instance_flags(F.when(F.col("seeds") > 50, 0).otherwise(F.col("seeds")), F.col("ring"), F.col("lumens") - 3, F.col("area"), 0.05, 590).alias("flags"))
 
 
@@ -141,15 +143,16 @@ def d10_events(spark, sf):
 
 
 def d12_classes(spark, sf):
-    s = tables.spots(spark, sf).groupBy("region").agg((F.avg("weight") * 14).alias("score"), (F.count("*") % 2 == 0).alias("mutual"))
-    return s.groupBy(D.correspondence_class(F.col("score"), F.col("mutual")).alias("class")).agg(F.count("*").alias("n"))
+    s = aggregate(tables.spots(spark, sf, place=True), ["region"], (F.count("*") % 2 == 0).alias("mutual"), means={"weight": F.col("weight")})
+    return s.groupBy(D.correspondence_class(F.col("weight") * 14, F.col("mutual")).alias("class")).agg(F.count("*").alias("n"))
 
 
 def d14_guard(spark, sf):
-    t = tables.spots(spark, sf).groupBy("region").agg(
-        F.avg("x").alias("residual"), F.countDistinct("y").alias("n"), ((F.avg("weight") - 0.05) * 8000).alias("rotation"), F.stddev_pop("weight").alias("coverage"), F.countDistinct("cluster").alias("quadrants")
-    )
-    rule = D.seed_guard(F.col("region") % 9 > 0, F.col("residual") - 470, F.col("n") - 40, F.col("rotation"), F.col("coverage") * 1.6, F.col("quadrants") - 3, 125.0, 4)
+    t = aggregate(
+        tables.spots(spark, sf, place=True), ["region"], F.countDistinct("y").alias("n"), F.stddev_pop("weight").alias("coverage"), F.countDistinct("cluster").alias("quadrants"),
+        means={"residual": F.col("x"), "weight": F.col("weight")},
+    )
+    rule = D.seed_guard(F.col("region") % 9 > 0, F.col("residual") - 470, F.col("n") - 40, (F.col("weight") - 0.05) * 8000, F.col("coverage") * 1.6, F.col("quadrants") - 3, 125.0, 4)
     return t.select("region", rule.alias("rule"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.grid import Axis
+from ..functions.ordered import aggregate
 from ..operators import decisions as D
 from ..operators import matching as M
 from ..operators import regions, tracks
@@ -40,8 +41,8 @@ def z1_score(spark, sf):
 
 
 def x43_backend(spark, sf):
-    t = tables.spots(spark, sf).groupBy("region").agg(F.avg("weight").alias("w"), F.count("*").alias("n"), ((F.avg("x") - 525) / 2).alias("rotation"))
-    return t.groupBy(R.backend(F.col("w") > 0.0505, F.col("n") % 3 > 0, F.col("rotation")).alias("backend")).agg(F.count("*").alias("n"))
+    t = aggregate(tables.spots(spark, sf, place=True), ["region"], F.count("*").alias("n"), means={"w": F.col("weight"), "x": F.col("x")})
+    return t.groupBy(R.backend(F.col("w") > 0.0505, F.col("n") % 3 > 0, (F.col("x") - 525) / 2).alias("backend")).agg(F.count("*").alias("n"))
 
 
 def x45_landmarks(spark, sf):

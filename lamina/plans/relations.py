@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.ordered import aggregate
 from ..operators import aggregates as A
 from ..operators import alignment
 from ..operators import decisions as D
@@ -138,7 +139,7 @@ def a34_region_table(spark, sf):
 
 
 def w1_rank(spark, sf):
-    counts = tables.spots(spark, sf).groupBy("region").agg(F.round(F.sum("x"), 2).alias("total"))
+    counts = aggregate(tables.spots(spark, sf, place=True), ["region"], sums={"total": F.col("x")}).withColumn("total", C.rounded("total", 2))
     return M.global_rank(counts, [F.desc("total"), F.col("region")], "place").withColumn("name", F.format_string("region_%04d", "place"))
 
 
@@ -211,9 +212,10 @@ def g1_components(spark, sf):
 
 
 def d1_verdict(spark, sf):
-    t = tables.spots(spark, sf).groupBy("region").agg((F.avg("weight") * 10 - 0.45).alias("di_in"), ((F.avg("y") - 25) / 4).alias("di_tissue"), F.avg(F.when(F.col("cluster") == "AF", 0.0).otherwise(0.06)).alias("p"))
-    verdict, explained = D.structure_verdict(F.col("di_in"), F.col("di_tissue"), F.col("p"))
-    return t.select("region", verdict.alias("verdict"), F.round(explained, 6).alias("explained"))
+    p = F.when(F.col("cluster") == "AF", 0.0).otherwise(0.06)
+    t = aggregate(tables.spots(spark, sf, place=True), ["region"], means={"weight": F.col("weight"), "y": F.col("y"), "p": p})
+    verdict, explained = D.structure_verdict(F.col("weight") * 10 - 0.45, (F.col("y") - 25) / 4, F.col("p"))
+    return t.select("region", verdict.alias("verdict"), C.rounded(explained, 6).alias("explained"))
 
 
 def d3_status(spark, sf):
@@ -222,10 +224,11 @@ def d3_status(spark, sf):
 
 
 def d6_quality(spark, sf):
-    t = tables.spots(spark, sf).groupBy("region").agg(
-        F.countDistinct("sample").alias("n_slices"), (F.min("weight") + F.avg("weight")).alias("overlap"), (F.max("x") - F.avg("x")).alias("jump"), (F.stddev_pop("x") / F.avg("x")).alias("cv"),
-        F.count_if(F.col("weight") > 0.099).alias("n_high"),
+    t = aggregate(
+        tables.spots(spark, sf, place=True), ["region"], F.countDistinct("sample").alias("n_slices"), F.min("weight").alias("least"), F.max("x").alias("most"), F.stddev_pop("x").alias("spread"),
+        F.count_if(F.col("weight") > 0.099).alias("n_high"), means={"mw": F.col("weight"), "mx": F.col("x")},
     )
+    t = t.withColumns({"overlap": F.col("least") + F.col("mw"), "jump": F.col("most") - F.col("mx"), "cv": F.col("spread") / F.col("mx")})
     n_branch = F.when(F.col("n_high") > 60, 1).otherwise(0)
     quality = D.track_quality(F.col("n_slices"), F.col("overlap"), F.col("jump"), F.col("cv"), n_branch, F.lit(0), 0.0495, 550.0, 0.56)
     t = t.withColumn("quality", quality).withColumn("priority", D.track_priority(F.col("quality"), n_branch, F.col("overlap"), F.col("n_slices")))

@@ -109,7 +109,7 @@ def j12_smallest_area(spark, sf):
 
 
 def x33_overlap(spark, sf):
-    s = tables.spots(spark, sf)
+    s = tables.spots(spark, sf, place=True)
     return regions.overlap(s.withColumn("value", F.col("weight")), Axis(0.0, 1060.0, 40), Axis(0.0, 51.0, 25), "cluster", 0.9)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordered import PLACE, placed
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,11 +21,12 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense measurements without a unique id: x, y, cluster, sample."""
-    return read(spark, sf_dir, "lineitem").select(
+def spots(spark: SparkSession, sf_dir: str, place: bool = False) -> DataFrame:
+    """Dense measurements without a unique id: x, y, cluster, sample; with their place in the table if asked."""
+    rows = read(spark, sf_dir, "lineitem")
+    return (placed(rows) if place else rows).select(
         (F.col("l_extendedprice") / 100).alias("x"), F.col("l_quantity").alias("y"), F.concat("l_returnflag", "l_linestatus").alias("cluster"),
-        F.col("l_linenumber").alias("sample"), F.col("l_discount").alias("weight"), F.col("l_suppkey").alias("region"),
+        F.col("l_linenumber").alias("sample"), F.col("l_discount").alias("weight"), F.col("l_suppkey").alias("region"), *(PLACE if place else ()),
     )
 
 
