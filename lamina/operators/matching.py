@@ -82,13 +82,16 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     """(node, component) of every node of an edge table, component being its smallest member (G1).
 
     Labels fall to the least among neighbours, then to their label's own label, so long chains shorten by half a round.
+    No join is a broadcast: a written table of labels is small in its file and many times that in the driver's memory.
     """
     pairs = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct())
     label = materialize(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("c")))
     for _ in range(max_rounds):
-        near = pairs.join(label.withColumnsRenamed({"u": "v", "c": "cv"}), "v").groupBy("u").agg(F.min("cv").alias("m"))
-        low = label.join(near, "u").select("u", F.least("c", "m").alias("c"), F.col("c").alias("was"))
-        jump = low.join(low.select(F.col("u").alias("c"), F.col("c").alias("cc")), "c").select("u", "cc", "was")
+        near = pairs.join(label.withColumnsRenamed({"u": "v", "c": "cv"}).hint("merge"), "v").groupBy("u").agg(F.min("cv").alias("m"))
+        low = label.join(near.hint("merge"), "u").select("u", F.least("c", "m").alias("c"), F.col("c").alias("was"))
+        low = materialize(low)
+        own = low.select(F.col("u").alias("c"), F.col("c").alias("cc")).join(low.select("c").distinct().hint("merge"), "c")  # a row for each label still in use
+        jump = low.join(own.hint("merge"), "c").select("u", "cc", "was")
         new = materialize(jump.select("u", F.col("cc").alias("c"), (F.col("cc") != F.col("was")).alias("moved")))
         label = new.select("u", "c")
         if new.where("moved").isEmpty():

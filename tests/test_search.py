@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lamina.functions.grid import k_nearest, nearest
 from lamina.operators import regions
@@ -107,3 +108,16 @@ def test_tears_follow_all_anchors(spark):
     moved = R.tear_field(p, "id", spark.createDataFrame(anchors, "x double, y double, dx double, dy double"), 4.0, 9.0).first()
     w = [math.exp(-(x * x) / 8) for x, *_ in anchors]
     assert math.isclose(moved.x, sum(w[70:]) / sum(w))
+
+
+def test_components_broadcast_nothing(spark):
+    from lamina.operators import matching as M
+
+    edges = spark.range(3000).select((F.col("id") * 2).alias("a"), (F.col("id") * 2 + F.when(F.col("id") % 10 < 9, 2).otherwise(1)).alias("b"))
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    got = {r.node: r.component for r in M.components(edges, "a", "b").collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert got == {n: n // 20 * 20 for n in got} and len(got) == 3300
+    plans = [store.executionsList().apply(i).physicalPlanDescription() for i in range(before, store.executionsList().size())]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
