@@ -44,7 +44,8 @@ def finite(c: Column | str) -> Column:
 
 def rounded(c: Column | str, places: int) -> Column:
     """As SQL rounds doubles: a whole number of steps over a power of ten, halves away from zero."""
-    return F.round(col(c) * float(10**places)) / float(10**places)
+    r = F.round(col(c) * float(10**places)) / float(10**places)
+    return F.when(r == 0, col(c) * 0.0).otherwise(r)  # what is rounded to zero keeps its sign
 
 
 def ratio(n: Column | str, d: Column | str) -> Column:

@@ -32,11 +32,11 @@ def test_sums_follow_the_table(spark, tmp_path):
 
 
 def test_rounding_is_that_of_sql(spark):
-    values = [0.7859375, 1.005, 2.675, 348486.915, 300573.115, -1.0000005, 123.4565, 0.5, None]
+    values = [0.7859375, 1.005, 2.675, 348486.915, 300573.115, -1.0000005, -1e-9, 123.4565, 0.5, None]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for p in (2, 3, 6):
         want = [r[0] for r in duckdb.sql("SELECT round(v, " + str(p) + ") FROM (VALUES " + ", ".join(f"({'NULL' if v is None else repr(v)}::DOUBLE)" for v in values) + ") t(v)").fetchall()]
-        assert [r.v for r in df.select(rounded("v", p).alias("v")).collect()] == want
+        assert repr([r.v for r in df.select(rounded("v", p).alias("v")).collect()]) == repr(want)
 
 
 @pytest.mark.parametrize("name", ["d12_classes", "d14_guard", "d1_verdict", "d6_quality", "d8_flags", "x33_overlap", "x43_backend", "w11_ids", "w1_rank"])
